@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from wicker.llm.bpe import op6_bpe
 from wicker.llm.langid import op10_language_id
 from wicker.llm.mixing import OP7_SQL, op7_mixing
+from wicker.llm.quality import op4_quality
 from wicker.llm.sharding import op2_sharding
+from wicker.llm.winnowing import op9_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_sharding, op6_bpe, op7_mixing, op10_language_id)}
+    return {q.__name__: q for q in (op2_sharding, op4_quality, op6_bpe, op7_mixing, op9_winnowing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
