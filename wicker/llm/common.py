@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -73,3 +75,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def id_marks(wanted: DataFrame) -> tuple[Broadcast, Callable[[Column], Column]]:
+    """A bit map of the ids in wanted (id), about 16 bits each and 128 MB at most, and the column that gives an id's bit. It may pass other ids, never misses one."""
+    bits = 1 << min(30, max(16, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place(F.col("id")).alias("p")).selectExpr("p >> 5 AS word", "shiftleft(1L, cast(p & 31 AS int)) AS mark").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["mark"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return wanted.sparkSession.sparkContext.broadcast(table), place
+
+
+def marked_rows(batch: pa.RecordBatch, table: np.ndarray, column: int) -> pa.RecordBatch:
+    """The rows whose place in the bit map, in the given column, is marked."""
+    p = np.asarray(pc.fill_null(batch.column(column), 0), dtype=np.int64)
+    return batch.filter(pa.array((table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
