@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wicker.llm.common import documents, slices, texts_of
 
@@ -174,13 +175,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids (array of long), decoded (the text that the ids give).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, ids (array of long), decoded (the text that the ids give). With carry, the id, the text and _ids, _decoded instead.
 
     path names a vocabulary file that every executor has. Null text counts as empty, which has no ids. Ids and repeated
     rows pass through; other columns are not read; an empty table gives no rows. Texts are handled whole, a few
     megabytes at a time.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ("text string, _ids array<bigint>, _decoded string" if carry else "ids array<bigint>, decoded string")
+    names = ["doc_id", "text", "_ids", "_decoded"] if carry else ["doc_id", "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -189,9 +193,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 coded = c.encode_batch([t or "" for t in texts_of(part)])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([c.decode(x) for x in coded], pa.string())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 2], ids, pa.array([c.decode(x) for x in coded], pa.string())], names=names)
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<bigint>, decoded string")
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wicker.llm.common import documents, slices, stash, texts_of
 
@@ -175,8 +176,8 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return langs, logp
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (posterior of the predicted language, equal priors).
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score (posterior of the predicted language, equal priors). With carry, the input's own columns and _lang_pred, _lang_score instead.
 
     `und` with score 0 where the text is null, empty or has no letter, or no language was learned. Ties go to the first
     language by code point. Texts are scored whole; repeated rows get equal results; other columns are not read.
@@ -189,8 +190,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
         index: dict[str, int] = {}
         known = np.empty((0, len(langs)))
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [t if t and langs and LETTER.search(t) else None for t in texts_of(part)]
+            for part in slices(batch, text_name):
+                texts = [t if t and langs and LETTER.search(t) else None for t in texts_of(part, text_name)]
                 if len(index) > REMEMBERED:
                     index, known = {}, known[:0]
                 ids: list[int] = []
@@ -209,9 +210,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
                 score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 name = [langs[b] if t else "und" for b, t in zip(best.tolist(), texts, strict=True)]
                 score = np.where([t is not None for t in texts], score, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+                lead = part.columns if carry else [part.column(0)]
+                yield pa.RecordBatch.from_arrays([*lead, pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*carried, *added])
+
+    added = ["_lang_pred", "_lang_score"] if carry else ["lang_pred", "score"]
+    rows = docs if carry else docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    carried = rows.columns if carry else ["doc_id"]
+    text_name = text_col if carry else "text"
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -10,6 +10,7 @@ from wicker.llm.bpe import op6_bpe
 from wicker.llm.embedding_dedup import op5_embedding_dedup
 from wicker.llm.langid import op10_language_id
 from wicker.llm.line_dedup import op1_line_dedup
+from wicker.llm.lm_scoring import op3_lm_scoring
 from wicker.llm.mixing import OP7_SQL, op7_mixing
 from wicker.llm.ngram_join import op8_ngram_join
 from wicker.llm.quality import op4_quality
@@ -18,7 +19,7 @@ from wicker.llm.winnowing import op9_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_line_dedup, op2_sharding, op4_quality, op5_embedding_dedup, op6_bpe, op7_mixing, op8_ngram_join, op9_winnowing, op10_language_id)}
+    return {q.__name__: q for q in (op1_line_dedup, op2_sharding, op3_lm_scoring, op4_quality, op5_embedding_dedup, op6_bpe, op7_mixing, op8_ngram_join, op9_winnowing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
