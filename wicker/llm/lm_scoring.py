@@ -183,9 +183,10 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, requests = None, [], []
 
-        def emit(id_type: pa.DataType) -> pa.RecordBatch:
+        def emit(like: pa.Schema) -> pa.RecordBatch:
             n = len(blocks)
-            return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([now] * n, pa.int32()), pa.array(answer(requests), pa.binary()), pa.array([None] * n, id_type)], names=names)
+            columns = [[0] * n, blocks, [0] * n, [now] * n, answer(requests), [None] * n]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, like, strict=True)], schema=like)
 
         for batch in batches:
             docs_here = batch.filter(pc.equal(batch.column(2), 1))
@@ -194,13 +195,13 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
             asked = batch.filter(pc.equal(batch.column(2), 0))
             for block, part, data in zip(*(asked.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
                 if part != now and requests:
-                    yield emit(batch.schema.field(5).type)
+                    yield emit(batch.schema)
                     blocks, requests = [], []
                 now = part
                 blocks.append(block)
                 requests.append(data)
         if requests:
-            yield emit(batch.schema.field(5).type)
+            yield emit(batch.schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers: dict[int, bytes] = {}
