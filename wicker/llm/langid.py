@@ -8,6 +8,7 @@ language; the expectation runs on the executors, and the driver only sees one nu
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,14 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicker.llm.common import documents, slices, stash, texts_of
+from wicker.llm.common import documents, mix, slices, stash, texts_of
 
 #: Documents per language that training reads, about; the documented bound on the labelled sample.
 TRAIN_DOCS = 1500
 ROUNDS = 3
 #: Longer runs without white space are scored in cuts of this many characters.
 LONGEST_WORD = 48
-REMEMBERED = 300_000
+#: Words whose scores a worker remembers, from task to task, before it starts afresh; a bound on memory only.
+REMEMBERED = 600_000
+_SCORES: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -41,23 +44,55 @@ class Pieces:
         names = dict.fromkeys(sp.id_to_piece(i).lower() for i in usable)
         self.number = {name: k + 1 for k, name in enumerate(names)}
         self.size = len(self.number) + 1
-        self.longest = max(map(len, self.number), default=1)
+        # Every beginning of a piece by length: sorted hashes, and the piece's number where the beginning is one, else 0.
+        self.beginnings: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(1, max(map(len, self.number), default=0) + 1):
+            found = {name[:n]: self.number.get(name[:n], 0) for name in self.number if len(name) >= n}
+            h = self.hashes(list(found))
+            order = np.argsort(h)
+            self.beginnings.append((h[order], np.fromiter(found.values(), dtype=np.int64, count=len(found))[order]))
+
+    @staticmethod
+    def extend(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return mix(h * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1))
+
+    def hashes(self, texts: list[str]) -> np.ndarray:
+        """64-bit hashes of texts of one length, character by character."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").reshape(len(texts), -1)
+        h = np.zeros(len(texts), dtype=np.uint64)
+        for c in codes.T:
+            h = self.extend(h, c)
+        return h
 
     def matches(self, words: list[str]) -> np.ndarray:
         """Rows (word, start, end, piece, bytes outside the vocabulary), for every piece at every place of every word."""
-        out: list[tuple[int, int, int, int, int]] = []
-        get = self.number.get
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                alone = True
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    if (k := get(word[i:j])) is not None:
-                        out.append((w, i, j, k, 0))
-                        alone &= j > i + 1
-                if alone:
-                    out.append((w, i, i + 1, 0, len(word[i].encode("utf-8", "replace"))))
-        return np.array(out, dtype=np.int64).reshape(-1, 5)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        word, ends = np.repeat(np.arange(len(words)), lengths), np.cumsum(lengths)
+        left, start = ends[word] - np.arange(len(codes)), np.arange(len(codes)) - (ends - lengths)[word]
+        live, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+        single = np.zeros(len(codes), dtype=bool)
+        at, size, piece = [], [], []
+        for n, (known, number) in enumerate(self.beginnings, 1):
+            fits = left[live] >= n
+            live, h = live[fits], h[fits]
+            h = self.extend(h, codes[live + n - 1])
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            begins = known[place] == h
+            live, h, place = live[begins], h[begins], place[begins]
+            whole = number[place] > 0
+            at.append(live[whole])
+            size.append(np.full(len(at[-1]), n))
+            piece.append(number[place][whole])
+            if n == 1:
+                single[at[-1]] = True
+        at.append(other := np.flatnonzero(~single))
+        size.append(np.ones(len(other), dtype=np.int64))
+        piece.append(np.zeros(len(other), dtype=np.int64))
+        at, size, piece = np.concatenate(at), np.concatenate(size), np.concatenate(piece)
+        c = codes[at]
+        outside = np.where(piece == 0, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), 0)
+        return np.stack([word[at], start[at], start[at] + size, piece, outside], axis=1)
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +129,7 @@ def forward(m: np.ndarray, lengths: np.ndarray, logp: np.ndarray) -> tuple[np.nd
     own = logp[m[:, 3]] - (m[:, 4] * np.log(256.0))[:, None]
     table = np.full((len(lengths), int(lengths.max()) + 1, logp.shape[1]), -np.inf)
     table[:, 0] = 0.0
-    order = np.lexsort((m[:, 0], m[:, 2]))
+    order = np.argsort(m[:, 2] * len(lengths) + m[:, 0])
     for s in _steps(m[order, 2]):
         rows = order[s]
         _sum_into(table, m[rows, 0], m[rows, 2], table[m[rows, 0], m[rows, 1]] + own[rows])
@@ -121,7 +156,7 @@ def expected_counts(p: Pieces, words: list[str], weight: np.ndarray, column: np.
         ahead, own = forward(m, lengths, logp)
         behind = np.full_like(ahead, -np.inf)
         behind[np.arange(len(some)), lengths] = 0.0
-        order = np.lexsort((m[:, 0], -m[:, 1]))
+        order = np.argsort(-m[:, 1] * len(some) + m[:, 0])
         for s in _steps(m[order, 1]):
             rows = order[s]
             _sum_into(behind, m[rows, 0], m[rows, 1], behind[m[rows, 0], m[rows, 2]] + own[rows])
@@ -184,11 +219,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
     """
     langs, logp = model
     held = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+    name_of_model = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, now = pieces(path), held.value.astype(np.float64)
-        index: dict[str, int] = {}
-        known = np.empty((0, len(langs)))
+        index, known = _SCORES.get(name_of_model) or ({}, np.empty((0, len(langs))))
         for batch in batches:
             for part in slices(batch, text_name):
                 texts = [t if t and langs and LETTER.search(t) else None for t in texts_of(part, text_name)]
@@ -202,6 +237,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
                 fresh = list(index)[len(known) :]
                 if fresh:
                     known = np.concatenate([known, word_scores(p, fresh, now)])
+                    _SCORES.clear()
+                    _SCORES[name_of_model] = index, known
                 sums = np.zeros((len(ids) + 1, len(langs)))
                 if langs:
                     np.cumsum(known[ids], axis=0, out=sums[1:])
