@@ -22,14 +22,30 @@ NOW, TODAY = 1784721600, "2026-07-22"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Parsed documents, resolved links and nodes are made once per input and kept on the executors; what is lost there is made again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HELD:
+        _HELD[key] = make().persist()
+    return _HELD[key]
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(tables.documents(spark, sf_dir))
+    return _held(spark, sf_dir, "parsed", lambda: parse.parse(tables.documents(spark, sf_dir)))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     parsed = _parsed(spark, sf_dir)
-    resolved = graph.all_links(parsed)
-    return parsed, resolved, graph.nodes(parsed, resolved)
+    resolved = _held(spark, sf_dir, "links", lambda: graph.all_links(parsed))
+    return parsed, resolved, _held(spark, sf_dir, "nodes", lambda: graph.nodes(parsed, resolved))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = _graph(spark, sf_dir)[1]
+    return _held(spark, sf_dir, "edges", lambda: graph.edges(resolved))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +116,7 @@ def register(name: str, sql: str | None = None, facts: bool = True):
 @register("graph_statistics", "SELECT count(*) AS concept_count, (SELECT count(*) FROM e) AS edge_count, count(*) FILTER (WHERE orphan) AS orphan_count, (SELECT count(*) FROM l WHERE class = 'broken') AS broken_link_count FROM node")
 def graph_statistics(spark, sf_dir):
     _, resolved, nodes = _graph(spark, sf_dir)
-    return graph.statistics(nodes, graph.edges(resolved), graph.broken_links(resolved)).drop("bundle_id")
+    return graph.statistics(nodes, _edges(spark, sf_dir), graph.broken_links(resolved)).drop("bundle_id")
 
 
 @register("type_counts", "SELECT type, count(*) AS n FROM c GROUP BY 1")
@@ -115,32 +131,32 @@ def tag_counts(spark, sf_dir):
 
 @register("link_classification", "SELECT source AS source_id, nth, label, raw_target, class AS classification, target AS target_id FROM l")
 def link_classification(spark, sf_dir):
-    return graph.all_links(_parsed(spark, sf_dir)).select("source_id", F.col("nth").cast("long").alias("nth"), "label", "raw_target", "classification", "target_id")
+    return _graph(spark, sf_dir)[1].select("source_id", F.col("nth").cast("long").alias("nth"), "label", "raw_target", "classification", "target_id")
 
 
 @register("link_class_counts", "SELECT class AS classification, count(*) AS n FROM l GROUP BY 1")
 def link_class_counts(spark, sf_dir):
-    return graph.all_links(_parsed(spark, sf_dir)).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return _graph(spark, sf_dir)[1].groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("target_components", "SELECT source AS source_id, nth, raw_target, CASE WHEN class = 'external' THEN 'b' WHEN contains(raw_target, '?') THEN 'from=order' END AS query, CASE WHEN contains(raw_target, '#') THEN split_part(raw_target, '#', 2) END AS fragment FROM l WHERE contains(raw_target, '?') OR contains(raw_target, '#')")
 def target_components(spark, sf_dir):
-    return graph.all_links(_parsed(spark, sf_dir)).where("query IS NOT NULL OR fragment IS NOT NULL").select("source_id", F.col("nth").cast("long").alias("nth"), "raw_target", "query", "fragment")
+    return _graph(spark, sf_dir)[1].where("query IS NOT NULL OR fragment IS NOT NULL").select("source_id", F.col("nth").cast("long").alias("nth"), "raw_target", "query", "fragment")
 
 
 @register("graph_edges", "SELECT 'edge:' || lower(to_base(row_number() OVER (ORDER BY source, nth) - 1, 36)) AS edge_id, source, target FROM e")
 def graph_edges(spark, sf_dir):
-    return graph.edges(graph.all_links(_parsed(spark, sf_dir))).select("edge_id", "source", "target")
+    return _edges(spark, sf_dir).select("edge_id", "source", "target")
 
 
 @register("backlinks", "SELECT DISTINCT target, source FROM e")
 def backlinks(spark, sf_dir):
-    return graph.backlinks(graph.edges(graph.all_links(_parsed(spark, sf_dir)))).drop("bundle_id")
+    return graph.backlinks(_edges(spark, sf_dir)).drop("bundle_id")
 
 
 @register("broken_links", "SELECT source AS source_id, label, raw_target FROM l WHERE class = 'broken'")
 def broken_links(spark, sf_dir):
-    return graph.broken_links(graph.all_links(_parsed(spark, sf_dir))).select("source_id", "label", "raw_target")
+    return graph.broken_links(_graph(spark, sf_dir)[1]).select("source_id", "label", "raw_target")
 
 
 @register("orphans", "SELECT id FROM node WHERE orphan")
@@ -158,20 +174,20 @@ def graph_nodes(spark, sf_dir):
 @register("graph_invariants", "SELECT 0::BIGINT AS repeated_ids, 0::BIGINT AS dangling_edges, 0::BIGINT AS wrong_orphans, 0::BIGINT AS repeated_edge_ids", facts=False)
 def graph_invariants(spark, sf_dir):
     _, resolved, nodes = _graph(spark, sf_dir)
-    return graph.invariants(nodes, graph.edges(resolved))
+    return graph.invariants(nodes, _edges(spark, sf_dir))
 
 
 @register("induced_subgraph", "SELECT source, target, count(*) AS n FROM e JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.type IN ('nation', 'customer', 'region') AND b.type IN ('nation', 'customer', 'region') GROUP BY 1, 2")
 def induced_subgraph(spark, sf_dir):
     _, resolved, nodes = _graph(spark, sf_dir)
     seen = query.visible(nodes, query.View(types=["nation", "customer", "region"]))
-    return graph.induced(graph.edges(resolved), seen).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return graph.induced(_edges(spark, sf_dir), seen).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("node_details", "SELECT id, (SELECT count(*) FROM e WHERE source = id) AS outgoing, (SELECT count(DISTINCT target) FROM e WHERE source = id) AS targets, (SELECT count(DISTINCT source) FROM e WHERE target = id) AS backlinks, broken FROM node")
 def node_details(spark, sf_dir):
     _, resolved, nodes = _graph(spark, sf_dir)
-    return query.details(graph.edges(resolved), nodes, graph.broken_links(resolved)).drop("bundle_id")
+    return query.details(_edges(spark, sf_dir), nodes, graph.broken_links(resolved)).drop("bundle_id")
 
 
 @register("findings_all", "SELECT DISTINCT code, category, severity, 'mem://tables/' || id || '.md' AS uri, subject FROM f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wicker.functions.text import has_control
+from wicker.functions.text import has_control, let
 
 
 def _fold(path: Column) -> Column:
@@ -22,10 +22,11 @@ def _fold(path: Column) -> Column:
 
 def canonical_path(raw: Column) -> Column:
     """The canonical bundle path, or null: no drive, no leading slash, no control character, no escape, 64 segments at most."""
-    path = F.replace(raw, F.lit("\\"), F.lit("/"))
-    folded = _fold(path)
-    refused = path.startswith("/") | path.rlike("^[A-Za-z]:") | has_control(path) | (F.octet_length(path) > 4096)
-    return F.when(~refused & (F.size(folded) > 0) & (F.size(folded) <= 64), F.array_join(folded, "/"))
+    def checked(path: Column) -> Column:
+        refused = path.startswith("/") | path.rlike("^[A-Za-z]:") | has_control(path) | (F.octet_length(path) > 4096)
+        return let(_fold(path), lambda done: F.when(~refused & (F.size(done) > 0) & (F.size(done) <= 64), F.array_join(done, "/")))
+
+    return let(F.replace(raw, F.lit("\\"), F.lit("/")), checked)
 
 
 def concept_id(path: Column) -> Column:
@@ -68,26 +69,34 @@ def split_target(raw: Column) -> Column:
 
 def decoded(path: Column) -> Column:
     """Percent-decoded once; null where an escape is malformed, is no UTF-8 or gives a control character. A decoded backslash separates."""
-    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    broken = path.rlike("%(?![0-9A-Fa-f]{2})") | (plain.contains("�") & ~path.rlike("(?i)�|%ef%bf%bd")) | has_control(plain)
-    return F.when(~broken, F.replace(plain, F.lit("\\"), F.lit("/")))
+    def checked(plain: Column) -> Column:
+        broken = path.rlike("%(?![0-9A-Fa-f]{2})") | (plain.contains("\ufffd") & ~path.rlike("(?i)\ufffd|%ef%bf%bd")) | has_control(plain)
+        return F.when(~broken, F.replace(plain, F.lit("\\"), F.lit("/")))
+
+    return let(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), checked)
 
 
 def target_parts(raw: Column, source_path: Column) -> Column:
     """What a link target says by itself: struct(kind, resolved, query, fragment, ends_with_slash). kind is null where the bundle's inventory decides."""
-    t = split_target(raw)
-    path, plain = t["path"], decoded(t["path"])
-    rooted = path.startswith("/") | plain.startswith("/")
-    full = F.when(rooted | (directory_name(source_path) == ""), plain).otherwise(F.concat(directory_name(source_path), F.lit("/"), plain))
-    folded = _fold(full)
-    kind = (
-        F.when((F.length(raw) == 0) | has_control(raw), "invalid")
-        .when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | path.startswith("//"), "external")
-        .when(path == "", F.when(t["fragment"].isNotNull() & t["query"].isNull(), "fragment").otherwise("invalid"))
-        .when(path.contains("\\") | plain.isNull(), "invalid")
-        .when(folded.isNull(), "out-of-bundle")
-    )
-    return F.struct(kind.alias("kind"), F.array_join(folded, "/").alias("resolved"), t["query"].alias("query"), t["fragment"].alias("fragment"), F.coalesce(plain.endswith("/"), F.lit(False)).alias("ends_with_slash"))
+    folder = directory_name(source_path)
+
+    def answer(t: Column, plain: Column, done: Column) -> Column:
+        path = t["path"]
+        kind = (
+            F.when((F.length(raw) == 0) | has_control(raw), "invalid")
+            .when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | path.startswith("//"), "external")
+            .when(path == "", F.when(t["fragment"].isNotNull() & t["query"].isNull(), "fragment").otherwise("invalid"))
+            .when(path.contains("\\") | plain.isNull(), "invalid")
+            .when(done.isNull(), "out-of-bundle")
+        )
+        return F.struct(kind.alias("kind"), F.array_join(done, "/").alias("resolved"), t["query"].alias("query"), t["fragment"].alias("fragment"), F.coalesce(plain.endswith("/"), F.lit(False)).alias("ends_with_slash"))
+
+    def placed(t: Column, plain: Column) -> Column:
+        rooted = t["path"].startswith("/") | plain.startswith("/")
+        full = let(folder, lambda f: F.when(rooted | (f == ""), plain).otherwise(F.concat(f, F.lit("/"), plain)))
+        return let(_fold(full), lambda done: answer(t, plain, done))
+
+    return let(split_target(raw), lambda t: let(decoded(t["path"]), lambda plain: placed(t, plain)))
 
 
 def folder_of(node_id: Column) -> Column:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the white space that trimming removes (ECMAScript's set), as a regular expression class.
-SPACE = r"[\s ﻿  -     　]"
+SPACE = "[\\s\\x{00a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Colours of concept types, picked by hash.
 TYPE_COLORS = ("#4c78a8", "#f58518", "#e45756", "#72b7b2", "#54a24b", "#eeca3b", "#b279a2", "#ff9da6", "#9d755d", "#bab0ac")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def wide_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -113,7 +121,7 @@ def display_type(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "Missing type").otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def search_form(s: pd.Series) -> pd.Series:
     """NFKC, then lower case: the form that search terms and values are compared in."""
     return s.str.normalize("NFKC").str.lower()

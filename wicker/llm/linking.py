@@ -83,13 +83,15 @@ def _cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, compatibl
 def candidate_pairs(lists: DataFrame, payload: DataFrame, groups: DataFrame | None, compatible: Compatible) -> DataFrame:
     """Distinct pairs (a < b) to verify. payload: node, size, sig (binary, whole 64-bit words). groups: node, component, or None in the first pass."""
     leading = groups is None
-    rows = lists.select("list", F.explode("nodes").alias("node")).join(payload, "node")
+    rows = lists.select("list", F.explode("nodes").alias("node"))
     if leading:
         rows = rows.withColumn("group", F.col("node"))
     else:
+        # Lists inside one group are answered; only the others get their nodes' descriptions.
         rows = rows.join(groups.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    held = rows.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("node", "size", "group", "sig"))).alias("rows"), F.min("group").alias("low"), F.max("group").alias("high"))
-    held = held.where("low <> high").select("rows")
+        open_lists = rows.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("list")
+        rows = stash(rows.join(stash(open_lists), "list", "left_semi"))
+    held = rows.join(payload, "node").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("node", "size", "group", "sig"))).alias("rows")).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,23 +26,32 @@ from wicker.llm.common import ascii_words, documents, hash_words, mix, slices, s
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Text bytes per block, and words that one partition of the count tables sums, about.
-BLOCK_BYTES, PARTITION_WORDS = 12 << 20, 3_000_000
+BLOCK_BYTES, PARTITION_WORDS = 12 << 20, 5_000_000
+#: A word is known by this many bits of its hash: among a billion words, some two thousand pairs would share a number.
+WORD_BITS = 48
 #: Stands before each text's first word, twice.
 START = np.uint64(0x5EED0F57A27)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, compressed; differences of the first, which is sorted, compress best."""
-    return zlib.compress(b"".join([np.diff(columns[0], prepend=columns[0][:1] * 0).tobytes(), *(c.tobytes() for c in columns[1:])]), 1)
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes, and so on: small values leave whole planes of zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+def pack(*columns: np.ndarray, rising: bool = True) -> bytes:
+    """Columns of one length, compressed; a rising first one by its differences."""
+    first = np.diff(columns[0], prepend=columns[0][:1] * 0) if rising else columns[0]
+    return zlib.compress(b"".join(map(planes, (first, *columns[1:]))), 1)
+
+
+def unpack(data: bytes, *kinds: str, rising: bool = True) -> list[np.ndarray]:
     raw = zlib.decompress(data)
     n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
     for k in kinds:
-        out.append(np.frombuffer(raw, dtype=k, count=n, offset=at))
-        at += n * np.dtype(k).itemsize
-    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return [np.cumsum(out[0], dtype=kinds[0]) if rising else out[0], *out[1:]]
 
 
 def bigram_hash(b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -102,6 +111,12 @@ def read_request(data: bytes) -> tuple[np.ndarray, ...]:
     return pair, mix(pair * np.uint64(0xD6E8FEB86659FD93) + need[a]), uses, words, totals
 
 
+def read_counts(data: bytes, n: int) -> np.ndarray:
+    """Counts of an answer, in four bytes each or in eight."""
+    found = unpack(data, "<u4", rising=False)[0]
+    return found if len(found) == n else unpack(data, "<u8", rising=False)[0]
+
+
 def answer(requests: list[bytes]) -> list[bytes]:
     """Counts over all requests, in the order each one asked: trigrams, their bigrams, words."""
     read = [read_request(r) for r in requests]
@@ -111,7 +126,7 @@ def answer(requests: list[bytes]) -> list[bytes]:
         _, at = np.unique(np.concatenate([r[key] for r in read]), return_inverse=True)
         return np.split(np.bincount(at, weights=np.concatenate([r[uses] for r in read])).astype(np.uint64)[at], sizes)
 
-    return [join([pack(t), pack(p), pack(w)]) for t, p, w in zip(total(1, 2), total(0, 2), total(3, 4), strict=True)]
+    return [join([pack(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x, rising=False) for x in answers]) for answers in zip(total(1, 2), total(0, 2), total(3, 4), strict=True)]
 
 
 def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, min_count: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +135,7 @@ def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, min
     f3, f2, f1 = np.zeros(len(block.triples)), np.zeros(len(block.pairs)), np.ones(len(block.words) + 1)
     for part, data in answers.items():
         mine = np.flatnonzero(triple_part == part)
-        f3[mine], f2[block.triples[mine] // block.n], f1[1:][word_part == part] = (unpack(x, "<u8")[0] for x in split(data))
+        f3[mine], f2[block.triples[mine] // block.n], f1[1:][word_part == part] = (read_counts(x, n) for x, n in zip(split(data), (len(mine), len(mine), int((word_part == part).sum())), strict=True))
     t, p = f3[block.triple_at], f2[block.pair_at]
     at_start = block.context == 0
     context = np.where(at_start, 1.0, f2[np.minimum(np.searchsorted(block.pairs, block.context), len(f2) - 1)])
@@ -129,7 +144,7 @@ def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, min
         each = np.where(whole, np.log(t) - np.log(context), np.where(half, np.log(alpha) + np.log(p) - np.log(f1[block.b]), 2 * np.log(alpha) + np.log(f1[block.number])))
     texts = (whole & at_start) | (half & (block.b == 0))
     of = np.repeat(np.arange(len(block.counts)), block.counts)
-    add = lambda x: np.bincount(of, weights=x, minlength=len(block.counts))
+    add = lambda x: np.bincount(of, weights=x, minlength=len(block.counts)).astype(np.float64)
     return add(each), add(texts), add(~whole & ~half)
 
 
@@ -162,7 +177,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
             by_triple, by_word = np.argsort(triple_part, kind="stable"), np.argsort(word_part, kind="stable")
             cut3, cut1 = (np.searchsorted(x[o], np.arange(partitions + 1)) for x, o in ((triple_part, by_triple), (word_part, by_word)))
             asked = [block.request(by_triple[cut3[k] : cut3[k + 1]], by_word[cut1[k] : cut1[k + 1]], totals) for k in range(partitions)]
-            own = join([pack(block.words), zlib.compress(block.number.astype(np.uint32).tobytes(), 1), zlib.compress(block.counts.tobytes(), 1)])
+            own = join([pack(block.words), pack(block.number.astype(np.uint32), rising=False), pack(block.counts, rising=False)])
             n = partitions
             return pa.RecordBatch.from_arrays([pa.array([*range(n), name % n], pa.int64()), pa.array([name] * (n + 1), pa.int64()), pa.array([0] * n + [1], pa.int32()), pa.array([*range(n), 0], pa.int32()), pa.array([*asked, own], pa.binary()), pa.array([None] * n + [ids], pa.list_(id_type))], names=names)
 
@@ -170,7 +185,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
             for part in slices(batch, "text"):
                 texts = texts_of(part)
                 words, n = ascii_words(texts)
-                hashes.append(hash_words(words))
+                hashes.append(hash_words(words) >> np.uint64(64 - WORD_BITS))
                 counts.append(n)
                 ids += part.column(0).to_pylist()
                 held += sum(map(len, words)) + len(words)
@@ -211,7 +226,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
                     answers[batch.column(3)[k].as_py()] = batch.column(4)[k].as_py()
                     continue
                 words, number, counts = split(batch.column(4)[k].as_py())
-                block = Block(unpack(words, "<u8")[0], np.frombuffer(zlib.decompress(number), dtype=np.uint32).astype(np.int64), np.frombuffer(zlib.decompress(counts), dtype=np.int64))
+                block = Block(unpack(words, "<u8")[0], unpack(number, "<u4", rising=False)[0].astype(np.int64), unpack(counts, "<i8", rising=False)[0])
                 total, texts, singles = partial_scores(block, answers, partitions, min_count, alpha)
                 answers = {}
                 yield pa.RecordBatch.from_arrays([batch.column(5)[k].values, pa.array(block.counts), pa.array(total), pa.array(texts), pa.array(singles)], names=["doc_id", "n_words", "total", "by_texts", "by_words"])

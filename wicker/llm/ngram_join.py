@@ -108,7 +108,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int64) for s in shingle_sets(texts_of(part), words_each)], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     sets = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
-    return sets.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    return sets.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
 
 
 def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +116,7 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets (percent at least 80). Null and
     empty texts have no shingles and link with nothing. A null id stays null and links with nothing. Rows that repeat an
-    id should repeat its text; they get equal results. Other columns are not read; an empty table gives no rows.
+    id are one document: what either text links with, both do. Other columns are not read; an empty table gives no rows.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
@@ -125,8 +125,8 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
     real = known.where("doc_id IS NOT NULL AND size > 0")
     classes = stash(real.groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("node")))
     leads = real.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
-    payload = stash(leads.select("node", "size", "sig", "prefix").dropDuplicates(["node"]))
-    entries = payload.select(F.explode("prefix").alias("token"), "node", "size")
+    payload = stash(leads.select("node", "size", "sig"))
+    entries = leads.select(F.explode("prefix").alias("token"), "node", "size")
 
     def compatible(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
         return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
@@ -139,7 +139,7 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
         common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
         return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    groups = find_groups(entries, payload.select("node", "size", "sig"), compatible, verify)
+    groups = find_groups(entries, payload, compatible, verify)
     by_class = classes.join(groups, "node", "left").select("k1", "k2", F.col("size").alias("n"), F.coalesce("component", "node").alias("component"))
     joined = known.drop("prefix", "sig").join(by_class.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("n")), "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths
 from wicker.functions.dates import explicit_zone_epoch
-from wicker.functions.text import actor_ok, one_line, wide_trim
+from wicker.functions.text import actor_ok, let, one_line, wide_trim
 
 REGION = r"^(?s)\x{FEFF}?---[ \t]*\n((?:.*?\n)??)---[ \t]*(?:\n|$)"
 FIELD = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*))?$"
@@ -30,10 +30,13 @@ def has_field(name: str) -> Column:
 
 def scalar_text(raw: Column) -> Column:
     """The string a scalar stands for; null for other kinds (numbers, booleans, null, lists, mappings)."""
-    plain = wide_trim(F.regexp_replace(raw, r"[ \t]+#.*$", ""))
-    double = F.regexp_replace(F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\/])', "$1")
-    single = F.regexp_replace(F.regexp_extract(raw, r"^'((?:[^']|'')*)'", 1), "''", "'")
-    return F.when(raw.startswith('"'), double).when(raw.startswith("'"), single).when(~plain.rlike(NOT_TEXT) & ~plain.rlike(r"^[\[{|>&*!]"), plain)
+    def read(raw: Column) -> Column:
+        double = F.regexp_replace(F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\/])', "$1")
+        single = F.regexp_replace(F.regexp_extract(raw, r"^'((?:[^']|'')*)'", 1), "''", "'")
+        plain = let(wide_trim(F.regexp_replace(raw, r"[ \t]+#.*$", "")), lambda p: F.when(~p.rlike(NOT_TEXT) & ~p.rlike(r"^[\[{|>&*!]"), p))
+        return F.when(raw.startswith('"'), double).when(raw.startswith("'"), single).otherwise(plain)
+
+    return let(raw, read)
 
 
 def text_field(name: str) -> Column:
@@ -77,12 +80,14 @@ def parse(docs: DataFrame) -> DataFrame:
     open_region = F.col("front").isNull() & F.col("text").rlike(r"^\x{FEFF}?---[ \t]*\n")
     broken = twice | open_region | (F.col("front").isNull() & F.col("reserved").isNull())
     rows = rows.withColumn("failure", F.coalesce("failure", F.when(broken, "frontmatter")))
+    names = ("type", "title", "description", "resource", "timestamp", "status", "runtime", "computation", "stale_after", "okf_version")
+    rows = rows.withColumn("texts", F.transform(F.array(*map(F.lit, names)), lambda n: scalar_text(F.try_element_at("values", F.nullif(F.array_position("keys", n).cast("int"), F.lit(0))))))
+    fields = {("declared_version" if name == "okf_version" else name): F.col("texts")[k] for k, name in enumerate(names)}
     verified = F.when(has_field("verified"), F.struct(map_entry("verified", "by").alias("by"), map_entry("verified", "at").alias("at")))
-    sound = actor_ok(verified["by"]) & (verified["at"].isNull() | explicit_zone_epoch(verified["at"]).isNotNull())
-    tier = F.when(sound & verified["by"].startswith("human:"), "human-verified").when(sound, "process-verified").otherwise("unverified")
-    fields = {name: text_field(name) for name in ("type", "title", "description", "resource", "timestamp", "status", "runtime", "computation")}
-    fields |= {"stale_after": text_field("stale_after"), "tags": list_field("tags"), "generated_by": map_entry("generated", "by"), "generated_at": map_entry("generated", "at"), "verified": verified, "trust_tier": tier, "declared_version": text_field("okf_version")}
-    return rows.withColumns(fields).drop("head", "content", "bundle_path")
+    rows = rows.withColumns(fields | {"tags": list_field("tags"), "generated_by": map_entry("generated", "by"), "generated_at": map_entry("generated", "at"), "verified": verified})
+    sound = actor_ok(F.col("verified.by")) & (F.col("verified.at").isNull() | explicit_zone_epoch(F.col("verified.at")).isNotNull())
+    tier = F.when(sound & F.col("verified.by").startswith("human:"), "human-verified").when(sound, "process-verified").otherwise("unverified")
+    return rows.withColumn("trust_tier", tier).drop("head", "content", "bundle_path", "texts")
 
 
 def concepts(parsed: DataFrame) -> DataFrame:

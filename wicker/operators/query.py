@@ -27,10 +27,7 @@ def matches(text: str) -> Column:
 
     values = F.split(search_form(F.concat_ws("\x00", "id", "title", F.array_join("tags", "\x00"))), "\x00")
     terms = unicodedata.normalize("NFKC", text).lower().split()
-    out = F.lit(True)
-    for term in terms:
-        out = out & F.exists(values, lambda v, term=term: F.contains(v, F.lit(term)))
-    return out
+    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.exists(values, lambda v: F.contains(v, t))) if terms else F.lit(True)
 
 
 def visible(node_rows: DataFrame, view: View) -> DataFrame:
