@@ -59,8 +59,12 @@ def features(texts: list[str | None]) -> np.ndarray:
     return np.concatenate([np.sqrt(pairs), np.stack(stats, axis=1)], axis=1).astype(np.float32)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights by full-batch Adam on the non-negative risk with the logistic loss. No positives: the score is the prior."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, sparsity: float = 0.02) -> dict[str, np.ndarray]:
+    """Weights by full-batch Adam on the non-negative risk with the logistic loss. No positives: the score is the prior.
+
+    A smoothed L1 penalty keeps features that only tell the two samples apart by chance out of the score. Steps that go
+    up the gradient push all scores up, so the bias is set last: the mean score of the unlabelled texts is the prior.
+    """
     both = np.concatenate([positive, unlabelled])
     width = CLASSES**2 + WORD_STATS
     if not len(positive) or not len(unlabelled):
@@ -75,9 +79,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
         rest = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
         rest_step = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        step = (-prior * (p.T @ (1 - sp)) / len(p) + rest_step if rest >= 0 else -rest_step) + decay * np.r_[w[:-1], 0]
+        step = (-prior * (p.T @ (1 - sp)) / len(p) + rest_step if rest >= 0 else -rest_step) + sparsity * np.r_[w[:-1] / np.sqrt(w[:-1] ** 2 + 1e-4), 0]
         first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    z, low, high = u[:, :-1] @ w[:-1], -60.0, 60.0
+    for _ in range(60):
+        w[-1] = (low + high) / 2
+        low, high = (w[-1], high) if (1 / (1 + np.exp(-np.clip(z + w[-1], -30, 30)))).mean() < prior else (low, w[-1])
     return {"mean": mean, "scale": scale, "weight": w[:-1], "bias": np.array(w[-1])}
 
 
