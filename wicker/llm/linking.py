@@ -51,7 +51,9 @@ def index_lists(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     differ too much are skipped (a size below 0.8 of the other's).
     """
     counted = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
-    short = counted.where(F.col("m") <= 2 * block).groupBy("token").agg(F.sort_array(F.collect_set("node")).alias("nodes")).select("nodes")
+    # Short lists carry the size too, so that both kinds read one and the same exchange of the entries.
+    nodes = F.transform(F.sort_array(F.collect_set(F.struct("node", "size"))), lambda x: x["node"])
+    short = counted.where(F.col("m") <= 2 * block).groupBy("token").agg(nodes.alias("nodes")).select("nodes")
     long = counted.where(F.col("m") > 2 * block).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("size", "node")) - 1) / block))
     spans = long.groupBy("token", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     later = spans.select(F.col("token").alias("t"), F.col("block").alias("with_block"), F.col("low").alias("with_low"))

@@ -23,6 +23,8 @@ from wicker.llm.linking import find_groups
 #: Counters in the frequency table, in chunks; the driver and each worker hold one byte for each.
 COUNTERS, CHUNK = 1 << 22, 1 << 16
 MAP_BITS = 512
+#: Bytes of each shingle's hash that sets are verified by: two sets that differ in 500 shingles each count one wrong with a chance of 1e-9.
+VERIFIED_BYTES = 6
 
 
 def shingle_sets(texts: list[str | None], words_each: int) -> list[np.ndarray]:
@@ -75,7 +77,7 @@ def _row(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[list[int], b
     n = len(s)
     if not n:
         return [], b"\0" * (MAP_BITS // 8), 0, 0
-    # Index tokens: frequency class, then the hash without its low six bits (a clash there is only one more candidate).
+    # Index tokens: frequency class, then the hash without its low seven bits (a clash there is only one more candidate).
     keys = (classes[s % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
     keys.sort()
     parity = np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
@@ -98,16 +100,27 @@ def described(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     return stash(docs.mapInArrow(run, "doc_id bigint, size bigint, k1 bigint, k2 bigint, prefix array<bigint>, sig binary"))
 
 
+def packed(s: np.ndarray) -> bytes:
+    return s.view(np.uint8).reshape(-1, 8)[:, :VERIFIED_BYTES].tobytes()
+
+
+def common(a: bytes, b: bytes) -> tuple[int, int]:
+    """Sizes of intersection and union of two packed sets."""
+    x, y = (np.unique(np.frombuffer(s, dtype=f"V{VERIFIED_BYTES}").astype("V8").view(np.uint64)) for s in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """doc_id, shingles of the documents whose ids are in wanted (id); others are passed over by a bounded bit map, then by an exact semi-join."""
+    """doc_id, shingles (packed) of the documents whose ids are in wanted (id); others are passed over by a bounded bit map, then by an exact semi-join."""
     held, place = id_marks(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(marked_rows(batch, held.value, 2), "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int64) for s in shingle_sets(texts_of(part), words_each)], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(s) for s in shingle_sets(texts_of(part), words_each)], pa.binary())], names=["doc_id", "shingles"])
 
-    sets = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    sets = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place")).mapInArrow(run, "doc_id bigint, shingles binary")
     return sets.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
 
 
@@ -136,8 +149,13 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
         sets = stash(sets_of(rows, wanted, words_each))
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
         both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-        common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-        return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = [common(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array([100 * both >= percent * union for both, union in sizes], pa.bool_()))
+
+        return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
     groups = find_groups(entries, payload, compatible, verify)
     by_class = classes.join(groups, "node", "left").select("k1", "k2", F.col("size").alias("n"), F.coalesce("component", "node").alias("component"))
