@@ -9,7 +9,7 @@ shuffled order and over ranges of finish time, so that no task holds a whole sou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.llm.common import documents, stash
@@ -37,10 +37,14 @@ def targets(per_source: DataFrame, weights: tuple[int, ...], budget_share: float
     return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"), "budget")
 
 
+def row_hash(*columns: str) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
 def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every copy in the queue: row key, doc_id, source, size, source_size, target, epoch, finish, position (words sent before it and with it), taken (boolean)."""
+    """Every copy in the queue: row key, at (hash of id, source and text), doc_id, source, size, source_size, target, epoch, finish, position (words sent before it and with it), taken (boolean)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), row_hash(id_col, source_col, text_col).alias("at"))
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("#" + seed)))
     sized = stash(sized.withColumn("h", shuffled).withColumn("run", F.substring("h", 1, 3)))
     runs = sized.groupBy("source", "run").agg(F.sum("size").alias("words"))
@@ -65,7 +69,7 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: flo
     fair = Window.partitionBy("span", "part").orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "epoch", "nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = copies.join(spans, (F.col("span") == F.col("s_span")) & F.col("part").eqNullSafe(F.col("s_part")))
     placed = placed.withColumn("position", F.col("ahead") + F.sum("size").over(fair)).withColumn("taken", (F.col("position") <= F.col("budget")) & F.col("finish").isNotNull())
-    return placed.select("doc_id", "source", "h", "nth", "run", "size", "source_size", "target", "epoch", "finish", "position", "taken")
+    return placed.select("doc_id", "source", "h", "nth", "run", "size", "source_size", "target", "epoch", "finish", "position", "taken", "at")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -83,17 +87,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the input rows in mix order, once per copy taken, range-sorted by position; input columns only.
 
-    Rows with null or empty text are in no mix. Rows that repeat an id are told apart by source and size; equal ones
-    are interchangeable.
+    Rows with null or empty text are in no mix. Rows that repeat id, source and text are told apart by a row number, and
+    are interchangeable. Texts are shuffled twice: to meet their places, and by place. Only repeated rows are numbered,
+    from the same exchange.
     """
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    same = Window.partitionBy("_mix_id", "_mix_epoch").orderBy(F.col("_mix_source").asc_nulls_last(), "_mix_size", "_mix_position")
-    q = queue(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("epoch").alias("_mix_epoch"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("position").alias("_mix_position"), F.col("taken").alias("_mix_taken"))
-    q = q.withColumn("_mix_k", F.row_number().over(same)).where(F.col("_mix_taken") & (F.col("_mix_size") > 0)).select("_mix_id", "_mix_k", "_mix_position")
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
-    rows = docs.withColumn("_mix_row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(source_col).asc_nulls_last(), size)))
-    joined = rows.join(q, rows[id_col].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_k")))
-    return joined.orderBy("_mix_position").select(*[joined[c] for c in docs.columns])
+    q = queue(docs, **options).select(F.col("at").alias("_mix_to"), F.col("epoch").alias("_mix_epoch"), F.col("position").alias("_mix_position"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    q = q.withColumn("_mix_rows", F.sum(F.when(F.col("_mix_epoch") == 0, 1).otherwise(0)).over(Window.partitionBy("_mix_to")))
+    places = q.where(F.col("_mix_taken") & (F.col("_mix_size") > 0))
+    rows = docs.withColumn("_mix_at", row_hash(id_col, source_col, text_col))
+    here = F.col("_mix_at") == F.col("_mix_to")
+    single = rows.join(places.where("_mix_rows = 1").select("_mix_to", "_mix_position"), here)
+    # The k-th of equal rows takes the k-th place of each epoch.
+    nth = F.row_number().over(Window.partitionBy("_mix_to", "_mix_epoch").orderBy("_mix_position"))
+    repeated = q.where("_mix_rows > 1").withColumn("_mix_k", nth).where(F.col("_mix_taken") & (F.col("_mix_size") > 0)).select("_mix_to", "_mix_k", "_mix_position")
+    equal = rows.join(q.where("_mix_rows > 1").select("_mix_to").distinct(), here, "left_semi").withColumn("_mix_row", F.row_number().over(Window.partitionBy("_mix_at").orderBy(F.col(id_col), F.col(source_col))))
+    again = equal.join(repeated, here & (F.col("_mix_row") == F.col("_mix_k")))
+    joined = single.select(*docs.columns, "_mix_position").unionByName(again.select(*docs.columns, "_mix_position"))
+    return joined.orderBy("_mix_position").select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
