@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import documents, hash_words, id_marks, marked_rows, slices, stash, texts_of
+from wicker.llm.common import discard, documents, hash_words, id_marks, marked_rows, slices, stash, texts_of
 from wicker.llm.linking import find_groups
 
 MAX_BITS, SIMILARITY = 3, 0.8
@@ -135,7 +135,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, max_bits: i
                 alike = [edit_similarity(x.split(" "), y.split(" "), similarity) >= similarity - 1e-9 for x, y in zip(a, b, strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
-        return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
+        linked = stash(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint"))
+        discard(words, wanted)
+        return linked
 
     groups = find_groups(entries, payload, compatible, verify)
     grouped = nodes.join(groups, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("component"))

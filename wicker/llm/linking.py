@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.common import stash
+from wicker.llm.common import discard, stash
 
 #: Nodes per block of a long index list, and leaders of a list in the first pass (the second compares what they miss).
 BLOCK, LEADERS = 500, 16
@@ -111,9 +111,13 @@ def candidate_pairs(lists: DataFrame, payload: DataFrame, groups: DataFrame | No
 
 
 def find_groups(entries: DataFrame, payload: DataFrame, compatible: Compatible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, component for every node that has a verified link. verify: pairs (a, b) -> those of them that link."""
+    """node, component for every node that has a verified link. verify: pairs (a, b) -> those of them that link, stashed."""
     lists = index_lists(entries)
-    first = stash(verify(stash(candidate_pairs(lists, payload, None, compatible))))
+    pairs = stash(candidate_pairs(lists, payload, None, compatible))
+    first = verify(pairs)
     groups = components(first)
-    second = verify(stash(candidate_pairs(lists, payload, groups, compatible)))
-    return components(first.unionByName(second))
+    more = stash(candidate_pairs(lists, payload, groups, compatible))
+    second = verify(more)
+    found = components(first.unionByName(second))
+    discard(lists, pairs, more, first, second)
+    return found

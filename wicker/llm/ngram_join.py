@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import ascii_words, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
+from wicker.llm.common import ascii_words, discard, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
 from wicker.llm.linking import find_groups
 
 #: Counters in the frequency table, in chunks; the driver and each worker hold one byte for each.
@@ -155,7 +155,9 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
                 sizes = [common(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select([0, 1]).filter(pa.array([100 * both >= percent * union for both, union in sizes], pa.bool_()))
 
-        return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
+        linked = stash(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint"))
+        discard(sets, wanted)
+        return linked
 
     groups = find_groups(entries, payload, compatible, verify)
     by_class = classes.join(groups, "node", "left").select("k1", "k2", F.col("size").alias("n"), F.coalesce("component", "node").alias("component"))
