@@ -207,6 +207,29 @@ def test_line_dedup(spark, docs):
     assert {r["doc_id"]: r["text"] for r in got} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i]) for i, t in made.items()}
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_line_dedup_finds_all_alike_lines(spark, docs, similarity):
+    rng = np.random.default_rng(6)
+    base = [line for r in docs.values() for line in line_dedup.normal_lines(r["text"]) if len(line) >= 5]
+    lines = []
+    for n in [5, 6, 9, 10, 11, 14, 15, 20, 40, 80] * 4:
+        line = [w.decode() for w in base[len(lines)]] * 20
+        lines.append(line[:n])
+        for _ in range(3):
+            copy = lines[-1][:]
+            for _ in range(rng.integers(1, max(2, n // 5 + 1))):
+                at, kind = rng.integers(len(copy)), rng.integers(3)
+                copy[at : at + (kind != 0)] = [] if kind == 1 else [f"new{rng.integers(99)}"]
+            lines.append(copy)
+    nodes = list(dict.fromkeys(map(tuple, lines)))
+    links = [(a, b) for a, b in combinations(range(len(nodes)), 2) if line_dedup.edit_similarity(list(nodes[a]), list(nodes[b]), similarity) >= similarity - 1e-9]
+    assert len(links) > 100
+    group = groups(range(len(nodes)), links)
+    kept = {i for i, n in enumerate(nodes) if group[i] == i}
+    got = line_dedup.dedup_lines(spark.createDataFrame([(i, " ".join(n)) for i, n in enumerate(nodes)], "doc_id bigint, text string"), similarity).collect()
+    assert {r["doc_id"] for r in got if not r["n_dropped"]} == kept
+
+
 def test_edit_similarity():
     def plain(a, b):
         row = list(range(len(b) + 1))

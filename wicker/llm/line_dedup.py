@@ -1,16 +1,16 @@
 """Fuzzy line dedup.
 
-Lines are normalised (lower case, no ASCII punctuation, single spaces). Equal ones are one node. A node's SimHash is cut
-into five blocks; two hashes at most three bits apart agree on two of them at least, so each pair of blocks is an index
-token. Candidates within three bits are verified by the edit similarity of their words, and of every connected group one
-occurrence stays: the first by document id, then by place in the document.
+Lines are normalised (lower case, no ASCII punctuation, single spaces). Equal ones are one node. An edit of a word changes
+two of a line's word pairs at most, so lines within the edit distance share many pairs, and one at least of the rarest of
+each (prefixes under one order of all pairs): these are the index tokens. Candidates whose parity maps of words do not
+rule it out are verified by the edit similarity of their words, and of every connected group one occurrence stays: the
+first by document id, then by place in the document. Every pair of lines that reaches the similarity is found.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import discard, documents, hash_words, id_marks, marked_rows, slices, stash, texts_of
+from wicker.llm.common import discard, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
 from wicker.llm.linking import find_groups
+from wicker.llm.ngram_join import COUNTERS, frequency_classes
 
-MAX_BITS, SIMILARITY = 3, 0.8
-#: Bit ranges of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+SIMILARITY = 0.8
+#: Bits of a line's parity map, and one document in so many is read for the order of the tokens (any order finds all pairs).
+MAP_BITS, ORDER_SAMPLE = 512, 8
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -35,7 +36,7 @@ def normal_lines(text: str | None) -> list[list[bytes]]:
 
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """64-bit SimHash of each line (none may be empty): words vote with their length, ten at most; a tie is a 0."""
+    """64-bit SimHash of each line (none may be empty): words vote with their length, ten at most; a tie is a 0. Only tests read it."""
     words = [w for line in lines for w in line]
     out = np.zeros(len(lines), dtype=np.uint64)
     if not words:
@@ -76,19 +77,94 @@ def edit_similarity(a: list[str], b: list[str], at_least: float) -> float:
     return 1 - int(row[-1]) / longer if longer else 1.0
 
 
+def edits(longer: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Edits that lines may differ in when the longer one has so many words, as edit_similarity counts them."""
+    return np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+
+
+def words_a_token(similarity: float) -> int:
+    """Pairs of words where enough of them outlast the edits, else single words."""
+    return 2 if similarity >= 0.7 else 1
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Tokens of a line of that size that go into the index: all but those that each line alike must share, and one."""
+    each = words_a_token(similarity)
+    longer = np.arange(size, int(size / similarity + 1e-9) + 1)
+    shared = longer + each - 1 - each * edits(longer, similarity)
+    return size + each - int(shared.min())
+
+
+def line_tokens(lines: list[list[bytes]], each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line, token of each run of `each` words (pairs reach over both ends of a line; a repeated run is numbered), and the parity map of each line's words."""
+    counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    h = hash_words([w for line in lines for w in line])
+    line = np.repeat(np.arange(len(lines)), counts)
+    cells = np.bincount(line * MAP_BITS + (h >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=len(lines) * MAP_BITS)
+    maps = np.packbits((cells & 1).astype(np.uint8).reshape(-1, MAP_BITS), axis=1)
+    if each == 2:
+        ends = np.cumsum(counts)
+        # One more token than words: each word with the one before it, and the last with the end.
+        left, right = np.insert(h, ends - counts, 0), np.insert(h, ends, 0)
+        h, line = mix(left * np.uint64(0x9E3779B97F4A7C15) + right), np.repeat(np.arange(len(lines)), counts + 1)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    at = np.arange(len(h))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])], at, 0)) if len(h) else at
+    return line, mix(h + again.astype(np.uint64)), maps
+
+
+def order_of_tokens(docs: DataFrame, each: int) -> np.ndarray:
+    """Frequency class of each counter, from a sample of the documents."""
+
+    def sets(texts: list[str | None]) -> list[np.ndarray]:
+        lines = [line for t in texts for line in normal_lines(t) if line]
+        return [line_tokens(lines, each)[1]]
+
+    return frequency_classes(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0), sets)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, version, line, node, size (words), sig (SimHash) of every line with a word. docs: doc_id, version, text."""
+    """doc_id, version, line, node, size (words) of every line with a word. docs: doc_id, version, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                found = [(d, v, k, xxhash.xxh3_64_intdigest(b" ".join(line)), len(line)) for d, v, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for k, line in enumerate(normal_lines(t)) if line]
+                nodes = np.fromiter((f[3] for f in found), dtype=np.uint64, count=len(found)).astype(np.int64)
+                columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes), pa.array([f[4] for f in found], pa.int64())], names=["doc_id", "version", "line", "node", "size"])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id bigint, version bigint, line bigint, node bigint, size bigint")
+
+
+def index_tokens(docs: DataFrame, similarity: float, least: int) -> DataFrame:
+    """node, size, sig (parity map), prefix (index tokens) of the lines of at least so many words; a line may come once from each slice of the texts."""
+    each = words_a_token(similarity)
+    held = docs.sparkSession.sparkContext.broadcast(order_of_tokens(docs, each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, lengths = held.value, {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                found = [(d, v, k, line) for d, v, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for k, line in enumerate(normal_lines(t)) if line]
-                sigs = simhashes([f[3] for f in found])
-                nodes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(f[3])) for f in found), dtype=np.uint64, count=len(found))
-                columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes.astype(np.int64)), pa.array([len(f[3]) for f in found], pa.int64()), pa.array(sigs.astype(np.int64))], names=["doc_id", "version", "line", "node", "size", "sig"])
+                lines = {xxhash.xxh3_64_intdigest(b" ".join(line)): line for t in texts_of(part) for line in normal_lines(t) if len(line) >= least}
+                words = list(lines.values())
+                line, token, maps = line_tokens(words, each)
+                # Frequency class, then the hash without its low seven bits (a clash there is only one more candidate).
+                key = (classes[token % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(57)) | (token >> np.uint64(7))
+                key = key[np.lexsort((key, line))]
+                sizes = [len(w) for w in words]
+                for n in set(sizes) - set(lengths):
+                    lengths[n] = prefix_length(n, similarity)
+                prefix = np.array([lengths[n] for n in sizes], dtype=np.int64)
+                tokens = np.array(sizes, dtype=np.int64) + each - 1
+                start = np.cumsum(tokens) - tokens
+                inside = np.arange(len(key)) - np.repeat(start, tokens) < np.repeat(prefix, tokens)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(key[inside].astype(np.int64)))
+                nodes = np.fromiter(lines, dtype=np.uint64, count=len(lines)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes, pa.int64()), pa.array([m.tobytes() for m in maps], pa.binary()), lists], names=["node", "size", "sig", "prefix"])
 
-    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id bigint, version bigint, line bigint, node bigint, size bigint, sig bigint")
+    return docs.select("text").mapInArrow(run, "node bigint, size bigint, sig binary, prefix array<bigint>")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,22 +182,23 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, version, drop (line numbers to drop, from 0) of documents (doc_id, version, text) that lose a line."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("five blocks find hashes at most three bits apart")
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     real = docs.where("doc_id IS NOT NULL")
     seen = stash(occurrences(real))
-    nodes = stash(seen.groupBy("node").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    # Below five words one edit already leaves less than the similarity, so short lines only match when equal.
-    fuzzy = nodes.where(F.col("size") >= int(np.ceil(1 / (1 - similarity) - 1e-9)) if similarity < 1 else F.lit(False))
-    cut = lambda k: F.expr(f"(shiftrightunsigned(sig, {BLOCKS[k][0]}) & {(1 << BLOCKS[k][1]) - 1})")
-    tokens = [F.lit(k << 26) + F.shiftleft(cut(i), 13) + cut(j) for k, (i, j) in enumerate(combinations(range(5), 2))]
-    entries = fuzzy.select(F.explode(F.array(*[t.cast("long") for t in tokens])).alias("token"), "node", "size")
-    payload = fuzzy.select("node", "size", F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig"))
+    nodes = stash(seen.groupBy("node").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
+    # The longer line of a pair has five words at least (at 0.8), or one edit already leaves less; shorter ones only match when equal.
+    least = max(1, int(np.ceil(1 / (1 - similarity) - 1e-9)) - 1) if similarity < 1 else 1 << 62
+    fuzzy = index_tokens(real, similarity, least)
+    entries = fuzzy.select(F.explode("prefix").alias("token"), "node", "size")
+    payload = stash(fuzzy.select("node", "size", "sig").dropDuplicates(["node"]))
 
     def compatible(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
-        return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= max_bits)
+        # A replaced word changes two bits at most, an added one a single bit.
+        most, apart = edits(np.maximum(n, m), similarity), np.abs(n - m)
+        return (apart <= most) & (differ <= 2 * most - apart)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

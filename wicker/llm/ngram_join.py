@@ -10,7 +10,7 @@ whole sets. Answers of a set that is joined to a leader are taken from the leade
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,14 @@ def shingle_sets(texts: list[str | None], words_each: int) -> list[np.ndarray]:
     return out
 
 
-def frequency_classes(docs: DataFrame, words_each: int) -> np.ndarray:
-    """uint8 per counter: floor(log2(1 + documents with a shingle of that counter)), over all documents."""
+def frequency_classes(docs: DataFrame, sets: Callable[[list[str | None]], list[np.ndarray]]) -> np.ndarray:
+    """uint8 per counter: floor(log2(1 + how often sets, which reads texts, gives a hash of that counter)), over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = shingle_sets(texts_of(part), words_each)
+                found = sets(texts_of(part))
                 np.add.at(table, np.concatenate(found) % np.uint64(COUNTERS), 1) if found else None
         chunks = table.reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
@@ -87,7 +87,7 @@ def _row(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[list[int], b
 
 def described(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """doc_id, size, k1, k2 (digest of the set), prefix (index tokens), sig (parity map) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, words_each))
+    held = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, lambda texts: shingle_sets(texts, words_each)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = held.value
