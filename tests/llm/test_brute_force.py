@@ -177,6 +177,14 @@ def test_long_index_lists_lose_no_pair(spark):
     assert found >= set(combinations(range(40), 2))
 
 
+def test_long_index_lists_keep_sizes_of_the_callers_ratio(spark):
+    from wicker.llm.linking import index_lists
+
+    entries = spark.createDataFrame([(1, n, 70 if n < 20 else 100) for n in range(40)], "token bigint, node bigint, size bigint")
+    found = {p for r in index_lists(entries, block=5, ratio=0.7).collect() for p in combinations(r["nodes"], 2)}
+    assert found >= set(combinations(range(40), 2))
+
+
 def test_line_dedup(spark, docs):
     rng = np.random.default_rng(5)
     made = {i: r["text"] for i, r in docs.items()}

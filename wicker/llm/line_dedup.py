@@ -216,7 +216,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         discard(words, wanted)
         return linked
 
-    groups = find_groups(entries, payload, compatible, verify)
+    groups = find_groups(entries, payload, compatible, verify, similarity)
     grouped = nodes.join(groups, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("component"))
     stays = grouped.groupBy("component").agg(F.min("first").alias("stay"))
     stay = stash(grouped.select("node", "component").join(stays, "component").select(F.col("node").alias("of"), "stay"))

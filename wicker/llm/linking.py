@@ -44,11 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = stash(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct())
 
 
-def index_lists(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+def index_lists(entries: DataFrame, block: int = BLOCK, ratio: float = 0.8) -> DataFrame:
     """Distinct node arrays that between them hold every pair of nodes with a common token and matching sizes.
 
     entries: token, node, size. Lists over two blocks long become one array per pair of blocks; block pairs whose sizes
-    differ too much are skipped (a size below 0.8 of the other's).
+    differ too much are skipped (a size below ratio of the other's).
     """
     counted = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     # Short lists carry the size too, so that both kinds read one and the same exchange of the entries.
@@ -57,7 +57,7 @@ def index_lists(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     long = counted.where(F.col("m") > 2 * block).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("size", "node")) - 1) / block))
     spans = long.groupBy("token", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     later = spans.select(F.col("token").alias("t"), F.col("block").alias("with_block"), F.col("low").alias("with_low"))
-    cells = spans.join(later, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("with_block")) & (F.col("high") >= 0.8 * F.col("with_low")))
+    cells = spans.join(later, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("with_block")) & (F.col("high") >= ratio * F.col("with_low") - 1e-9))
     cells = cells.select(F.col("token").alias("t"), F.col("block").alias("i"), F.col("with_block").alias("j"), F.explode(F.array_distinct(F.array("block", "with_block"))).alias("b"))
     dealt = long.join(cells, (F.col("token") == F.col("t")) & (F.col("block") == F.col("b"))).groupBy("t", "i", "j").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     return stash(short.unionByName(dealt.select("nodes")).where(F.size("nodes") > 1).distinct().withColumn("list", F.xxhash64("nodes")))
@@ -110,9 +110,9 @@ def candidate_pairs(lists: DataFrame, payload: DataFrame, groups: DataFrame | No
     return held.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def find_groups(entries: DataFrame, payload: DataFrame, compatible: Compatible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, component for every node that has a verified link. verify: pairs (a, b) -> those of them that link, stashed."""
-    lists = index_lists(entries)
+def find_groups(entries: DataFrame, payload: DataFrame, compatible: Compatible, verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+    """node, component for every node that has a verified link. verify: pairs (a, b) -> those of them that link, stashed. ratio: nodes link only if the smaller size is at least so much of the other."""
+    lists = index_lists(entries, ratio=ratio)
     pairs = stash(candidate_pairs(lists, payload, None, compatible))
     first = verify(pairs)
     groups = components(first)

@@ -159,7 +159,7 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
         discard(sets, wanted)
         return linked
 
-    groups = find_groups(entries, payload, compatible, verify)
+    groups = find_groups(entries, payload, compatible, verify, percent / 100)
     by_class = classes.join(groups, "node", "left").select("k1", "k2", F.col("size").alias("n"), F.coalesce("component", "node").alias("component"))
     joined = known.drop("prefix", "sig").join(by_class.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("n")), "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
