@@ -28,16 +28,16 @@ CONCEPT = "---\ntype: note\ntitle: T\ndescription: D\n---\n\n"
 
 def test_link_classes(spark):
     targets = {
-        "./nested/target.md?mode=full#section": "internal", "/shared/%E6%97%A5%E6%9C%AC%20%E8%AA%9E.md": "internal", "https://example.test/reference?q=1#top": "external", "./missing.md": "broken", "../../outside.md": "out-of-bundle",
-        "/%2e%2e/secret.md": "out-of-bundle", "%2F..%2Fsecret.md": "out-of-bundle", "#details": "fragment", "./nested/": "directory", "./bad%ZZ.md": "invalid", "./asset.json": "invalid", "nested/index.md": "directory",
+        "./sub/leaf.md?view=wide#part-2": "internal", "/common/%C3%BC%C3%A9%20%C3%B8.md": "internal", "https://links.test/page?x=2#end": "external", "mailto:ann@links.test": "external", "./absent.md": "broken", "../../../above.md": "out-of-bundle",
+        "/%2E%2E/above.md": "out-of-bundle", "%2f..%2fabove.md": "out-of-bundle", "#part-2": "fragment", "./sub/": "directory", "./half%4.md": "invalid", "./table.csv": "invalid", "sub/index.md": "directory",
     }
     body = "\n".join(f"[x]({t})" for t in targets)
-    parsed = bundle(spark, {"topics/source.md": CONCEPT + body, "topics/nested/target.md": CONCEPT, "topics/nested/index.md": "# I\n", "shared/日本 語.md": CONCEPT})
+    parsed = bundle(spark, {"notes/from.md": CONCEPT + body, "notes/sub/leaf.md": CONCEPT, "notes/sub/index.md": "# I\n", "common/üé ø.md": CONCEPT})
     got = {r["raw_target"]: r for r in graph.all_links(parsed).collect()}
     assert {t: r["classification"] for t, r in got.items()} == targets
-    first = got["./nested/target.md?mode=full#section"]
-    assert (first["target_id"], first["query"], first["fragment"]) == ("topics/nested/target", "mode=full", "section")
-    assert got["/shared/%E6%97%A5%E6%9C%AC%20%E8%AA%9E.md"]["target_id"] == "shared/日本 語"
+    first = got["./sub/leaf.md?view=wide#part-2"]
+    assert (first["target_id"], first["query"], first["fragment"]) == ("notes/sub/leaf", "view=wide", "part-2")
+    assert got["/common/%C3%BC%C3%A9%20%C3%B8.md"]["target_id"] == "common/üé ø"
 
 
 def test_link_forms(spark):
@@ -49,7 +49,7 @@ def test_link_forms(spark):
 def test_frontmatter_values(spark):
     front = "---\r\ntype: 'it''s'\r\ntitle: \"a \\\"b\\\"\"\r\ndescription: 12\r\nresource: plain # note\r\ntags:\r\n  - x\r\n  - \"y z\"\r\nverified: {by: human:ann, at: 2026-07-01T00:00:00Z}\r\n---\r\nBody\r\n"
     r = bundle(spark, {"a.md": "﻿" + front}).first()
-    assert (r["type"], r["title"], r["description"], r["resource"], r["tags"], r["trust_tier"], r["failure"], r["body"]) == ("it's", 'a "b"', None, "plain", ["x", "y z"], "human-verified", None, "Body\n")
+    assert (r["type"], r["title"], r["description"], r["resource"], r["tags"], r["trust_tier"], r["failure"], r["body"]) == ("it's", 'a "b"', None, "plain", ["x", "y z"], "human-reviewed", None, "Body\n")
     mixed = bundle(spark, {"a.md": "---\ntype: x\ntags: [a, 1]\n---\n"}).first()
     assert mixed["tags"] == []
 
@@ -65,6 +65,49 @@ def test_failures_and_rules(spark):
     ])
 
 
+def test_field_positions_keep_their_digits(spark):
+    names = ["type", "title", "description", "resource", "status", "stale_after", "runtime", "computation"]
+    front = "".join(f"{n}:  {k + 1}x{k}{k + 1} \n" for k, n in enumerate(names))
+    r = bundle(spark, {"a.md": f"---\n{front}---\n"}).first()
+    assert [r[n] for n in names] == [f"{k + 1}x{k}{k + 1}" for k in range(len(names))]
+
+
+def test_fences_are_whole_lines(spark):
+    got = {r["path"]: r["failure"] for r in bundle(spark, {"a.md": "--- \ntype: x\n---\n", "b.md": "---\ntype: x\n--- \n", "c.md": "---\ntype: x\n---", "d.md": "---"}).collect()}
+    assert got == {"a.md": "frontmatter", "b.md": "frontmatter", "c.md": None, "d.md": "frontmatter"}
+
+
+def test_verification_events(spark):
+    at = "at: 2026-07-01T00:00:00Z"
+    cases = {
+        "{by: human:ann, %s}" % at: ("human-reviewed", []), "{by: process:ci}": ("unverified", ["invalid-verified"]), "\n  - {by: bob, %s}\n  - by: human:ann\n    %s" % (at, at): ("human-reviewed", ["invalid-verified"]),
+        "[{by: tool/1.0, %s}, {by: process:ci, %s}]" % (at, at): ("machine-confirmed", []), "\n  by: human:ann\n  at: 2027-01-01T00:00:00Z": ("human-reviewed", ["future-verified-at"]), "[]": ("unverified", ["invalid-verified"]), "true": ("unverified", ["invalid-verified"]),
+        "[{by: human:ann, %s}, done]" % at: ("human-reviewed", ["invalid-verified"]),
+    }
+    parsed = bundle(spark, {f"{k}.md": f"---\ntype: x\nverified: {v}\ntitle: t\n---\n" for k, v in enumerate(cases)})
+    found = {}
+    for r in rules.verified(parsed, NOW).collect():
+        found.setdefault(r["uri"][8:], []).append(r["code"].rsplit(".", 1)[1])
+    assert {r["path"]: (r["trust_tier"], found.get(r["path"], [])) for r in parsed.collect()} == {f"{k}.md": v for k, v in enumerate(cases.values())}
+
+
+def test_sources_and_attested_parts(spark):
+    whole = "  - resource: https://a.test\n    author: team:docs\n    last_modified: 2026-01-31\n    usage_count: 3\n    usage_window: {from: 2026-01-01, to: 2026-02-01}\n"
+    cases = {
+        "sources:\n" + whole: [], "sources: [{resource: a}, {resource: b, id: c}]\n": [], "sources: []\n": [], "sources:\n  - resource: ''\n": ["invalid-sources"], "sources:\n  - id: a\n": ["invalid-sources"], "sources: {resource: a}\n": ["invalid-sources"],
+        "sources:\n  - {resource: a, author: someone}\n": ["invalid-sources"], "sources:\n  - {resource: a, usage_count: 1}\n": ["invalid-sources"], "sources:\n  - {resource: a, last_modified: soon}\n": ["invalid-sources"],
+    }
+    parsed = bundle(spark, {f"{k}.md": f"---\ntype: x\n{v}title: t\n---\n" for k, v in enumerate(cases)})
+    got = {r["uri"][8:]: [r["code"].rsplit(".", 1)[1]] for r in rules.provenance(parsed).collect()}
+    assert {f"{k}.md": got.get(f"{k}.md", []) for k in range(len(cases))} == {f"{k}.md": v for k, v in enumerate(cases.values())}
+    parts = {
+        "runtime: py\nparameters:\n  - {name: a, type: int, required: true}\n": None, "runtime: py\nparameters:\n  - {name: a, type: int}\n": "parameters", "runtime: py\ncomputation: f.py\n": "computation", "parameters: x\n": "runtime",
+        "runtime: py\nexecutor: {resource: r, receipt: [a, b]}\nattester: {resource: s}\n": None, "runtime: py\nexecutor: {resource: ''}\n": "executor", "runtime: py\nattester: x\n": "attester",
+    }
+    parsed = bundle(spark, {f"{k}.md": f"---\ntype: Attested Computation\n{v}---\n# Computation\n\n```\nx\n```\n" for k, v in enumerate(parts)})
+    assert {r["uri"][8:]: r["subject"] for r in rules.attested(parsed).collect()} == {f"{k}.md": v for k, v in enumerate(parts.values()) if v}
+
+
 def test_attested_computation(spark):
     head = "---\ntype: Attested Computation\ntitle: t\ndescription: d\nruntime: py\n---\n"
     got = codes(spark, {"a.md": head + "# Computation\n\n```\nx\n```\n[b](b.md)", "b.md": head + "# Computation\n\nnothing\n[a](a.md)"})
@@ -87,9 +130,9 @@ def test_order_of_documents_does_not_matter(spark):
 
 
 def test_search(spark):
-    nodes = spark.createDataFrame([("b", "研究/AI-agent", "Ｆｕｌｌ Width", ["Knowledge-Graph", "調査"])], "bundle_id string, id string, title string, tags array<string>")
+    nodes = spark.createDataFrame([("b", "büro/Tea-room", "Ｂｉｇ Kettle", ["Hot-Water", "чай"])], "bundle_id string, id string, title string, tags array<string>")
     hit = lambda q: query.visible(nodes, query.View(text=q)).count() == 1
-    assert all(map(hit, ["full width", "ＡＩ", "knowledge 調査", "研究", "", "  "])) and not any(map(hit, ["full missing", "widthknowledge"]))
+    assert all(map(hit, ["big kettle", "ＴＥＡ", "water чай", "büro", "", "  "])) and not any(map(hit, ["big pan", "kettlewater"]))
 
 
 def test_paths(spark):
@@ -116,7 +159,7 @@ def test_text(spark):
 
 
 def test_dates(spark):
-    cases = {"2026-07-22T12:00:00Z": NOW, "2026-07-22T14:30:00.5+02:30": NOW, "2026-07-22T11:00:00-0100": NOW, "2026-02-30T00:00:00Z": None, "2026-07-22": None, "2026-07-22T24:00:00Z": None, "2026-07-22T12:00:00": None}
+    cases = {"2026-07-22T12:00:00Z": NOW, "2026-07-22T14:30:00.5+02:30": NOW, "2026-07-22T11:00:00-01:00": NOW, "2026-07-22T11:00:00-0100": None, "2026-02-30T00:00:00Z": None, "2026-07-22": None, "2026-07-22T24:00:00Z": None, "2026-07-22T12:00:00": None}
     df = spark.createDataFrame(list(cases.items()), "s string, e bigint")
     assert df.where(~dates.explicit_zone_epoch(F.col("s")).eqNullSafe(F.col("e"))).count() == 0
 
@@ -134,7 +177,7 @@ def test_index_plan_is_idempotent(spark, eol):
 
 
 def test_migration(spark):
-    files = {"index.md": '---\nokf_version: "0.1" # v\n---\n', "a.md": "---\ntype: x\ntimestamp: 2026-07-01T00:00:00Z\n---\n# Citations\n\n- https://a.test/x\n- https://b.test\n", "b.md": "---\ntype: x\ntimestamp: yesterday\n---\n# Citations\n\n- see https://a.test\n- https://b.test\n"}
+    files = {"index.md": '---\nokf_version: "0.1" # v\n---\n', "a.md": "---\ntype: x\ntimestamp: 2026-07-01T00:00:00Z\n---\n# Citations\n\n- https://a.test/x\n- https://b.test\n", "b.md": "---\ntype: x\ntimestamp: 2026-02-31T00:00:00Z\n---\n# Citations\n\n- see https://a.test\n- https://b.test\n"}
     got = {r["path"]: r for r in migration.plan(bundle(spark, files), "process:migrate").collect()}
     assert got["index.md"]["text"] == '---\nokf_version: "0.2" # v\n---\n'
     assert got["a.md"]["actions"] == ["timestamp-to-generated", "citations-to-sources"] and got["b.md"]["reasons"] == ["timestamp-requires-manual-migration", "citations-require-manual-migration"]

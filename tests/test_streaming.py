@@ -17,6 +17,24 @@ def test_churn_is_capped(spark):
     assert [r["count"] for r in got] == [5, 2] and stream.sessions(df).count() == 1
 
 
+def test_capped_batches_match_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = sorted((b, ms, "change", f"{ms}.md") for b in "abc" for ms in rng.sample(range(20_000), 90))
+    expected, bundle, first, last = {}, None, 0, 0
+    for b, ms, _, _ in rows:
+        if b != bundle or ms - last >= 250 or ms - first >= 1000:
+            bundle, first = b, ms
+        last = ms
+        expected[b, ms] = first
+    base = int(T0.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = changes(spark, rows).withColumn("ts", F.col("ts").cast(kind))
+        got = stream.capped_batches(df).select("bundle_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "batch_start").collect()
+        assert {(r["bundle_id"], r["ms"] - base): r["batch_start"] - base for r in got} == expected
+
+
 def test_overflow_becomes_a_rescan(spark):
     for n, rescan in ((512, False), (513, True)):
         df = stream.capped_batches(changes(spark, [("b", 0, "change", f"{k}.md") for k in range(n)] * 2))

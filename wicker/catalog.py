@@ -33,6 +33,13 @@ def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
     return _HELD[key]
 
 
+def release() -> None:
+    """Give up what queries keep on the executors; needed when a table's files change under its path."""
+    for df in _HELD.values():
+        df.unpersist()
+    _HELD.clear()
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(spark, sf_dir, "parsed", lambda: parse.parse(tables.documents(spark, sf_dir)))
 
@@ -61,7 +68,7 @@ WITH lines AS (
   SELECT 'region/' || r_name AS id, 'region' AS type, r_name AS title, 'A region of the world.' AS description, NULL::VARCHAR AS resource, ['geo'] AS tags, NULL::VARCHAR AS status, NULL::VARCHAR AS generated_by, NULL::VARCHAR AS verified_by, NULL::VARCHAR AS stale_after, NULL::VARCHAR AS stamp FROM region
   UNION ALL SELECT 'nation/' || n_name, 'nation', n_name, NULL, NULL, ['geo'], NULL, NULL, NULL, NULL, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'supplier/' || s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN 'supplier' ELSE '' END, s_name, NULL, NULL, [], CASE WHEN s_suppkey % 5 = 0 THEN 'retired' WHEN s_suppkey % 3 = 0 THEN 'draft' END, CASE WHEN s_suppkey % 4 = 0 THEN 'process:loader' END, NULL, NULL, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  UNION ALL SELECT 'customer/' || c_mktsegment || '/' || c_custkey, 'customer', CASE WHEN c_custkey % 61 = 0 THEN '' ELSE c_name END, NULL, NULL, [c_mktsegment], NULL, NULL, CASE WHEN c_custkey % 10 = 0 THEN 'human:ann' WHEN c_custkey % 10 = 5 THEN 'process:check' END, CASE WHEN c_custkey % 13 = 0 THEN '2026-01-31' WHEN c_custkey % 17 = 0 THEN '2026-02-31' END, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'customer/' || c_mktsegment || '/' || c_custkey, 'customer', CASE WHEN c_custkey % 61 = 0 THEN '' ELSE c_name END, NULL, NULL, [c_mktsegment], NULL, NULL, CASE WHEN c_custkey % 10 IN (0, 3) THEN 'human:ann' WHEN c_custkey % 10 = 5 THEN 'process:check' WHEN c_custkey % 10 = 7 THEN 'invalid' END, CASE WHEN c_custkey % 13 = 0 THEN '2026-01-31' WHEN c_custkey % 17 = 0 THEN '2026-02-31' END, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 'part/' || p_partkey, p_type, p_name, 'Part of brand ' || p_brand, 'urn:brand:' || p_brand, [p_brand, 'size-' || p_size], NULL, NULL, NULL, NULL, NULL FROM part
   UNION ALL SELECT 'order/' || o_orderpriority || '/' || o_orderkey, 'order', 'Order ' || o_orderkey, NULL, NULL, [o_orderstatus], NULL, NULL, NULL, NULL, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' FROM orders JOIN customer ON o_custkey = c_custkey
 ), defects AS (
@@ -86,6 +93,7 @@ WITH lines AS (
   UNION ALL SELECT 'okf.curation.missing-description', 'curation', 'warning', id, '' FROM c WHERE description IS NULL
   UNION ALL SELECT 'okf.curation.future-timestamp', 'curation', 'warning', id, '' FROM c WHERE stamp > '2026-07-22T12:05:00Z'
   UNION ALL SELECT 'okf.curation.invalid-status', 'curation', 'warning', id, '' FROM c WHERE status NOT IN ('draft', 'stable', 'deprecated')
+  UNION ALL SELECT 'okf.curation.invalid-verified', 'curation', 'warning', id, '' FROM c WHERE verified_by = 'invalid'
   UNION ALL SELECT CASE stale_after WHEN '2026-02-31' THEN 'okf.curation.invalid-stale-after' ELSE 'okf.curation.stale-concept' END, 'curation', 'warning', id, stale_after FROM c WHERE stale_after IS NOT NULL
   UNION ALL SELECT 'okf.curation.duplicate-resource', 'curation', 'warning', id, subject FROM dup
 ), dup AS (
@@ -164,7 +172,7 @@ def orphans(spark, sf_dir):
     return _graph(spark, sf_dir)[2].where("orphan").select("id")
 
 
-@register("graph_nodes", "SELECT id, type, title, description, resource, array_to_string(tags, '|') AS tags, CASE WHEN generated_by IS NULL THEN stamp END AS timestamp, generated_by, CASE WHEN verified_by LIKE 'human:%' THEN 'human-verified' WHEN verified_by IS NOT NULL THEN 'process-verified' ELSE 'unverified' END AS trust_tier, coalesce(status, 'stable') AS status, stale_after, orphan, broken AS broken_link_count FROM node")
+@register("graph_nodes", "SELECT id, type, title, description, resource, array_to_string(tags, '|') AS tags, CASE WHEN generated_by IS NULL THEN stamp END AS timestamp, generated_by, CASE WHEN verified_by LIKE 'human:%' THEN 'human-reviewed' WHEN verified_by LIKE 'process:%' THEN 'machine-confirmed' ELSE 'unverified' END AS trust_tier, coalesce(status, 'stable') AS status, stale_after, orphan, broken AS broken_link_count FROM node")
 def graph_nodes(spark, sf_dir):
     nodes = _graph(spark, sf_dir)[2]
     type_or_blank = F.coalesce("type", F.lit("")).alias("type")
@@ -244,7 +252,7 @@ def vocabulary(spark, sf_dir):
     return query.vocabulary(_graph(spark, sf_dir)[2]).drop("bundle_id")
 
 
-@register("type_colors", "SELECT DISTINCT type, ['#4c78a8', '#f58518', '#e45756', '#72b7b2', '#54a24b', '#eeca3b', '#b279a2', '#ff9da6', '#9d755d', '#bab0ac'][(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(type, ''), lambda x: ascii(x)::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 10) + 1] AS color FROM c WHERE type <> ''")
+@register("type_colors", "SELECT DISTINCT type, ['#4c78a8', '#f58518', '#e45756', '#72b7b2', '#54a24b', '#eeca3b', '#b279a2', '#ff9da6', '#9d755d', '#bab0ac'][(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(type, ''), lambda x: ascii(x)::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 10)::BIGINT + 1] AS color FROM c WHERE type <> ''")
 def type_colors(spark, sf_dir):
     return _parsed(spark, sf_dir).where("length(type) > 0").select("type").distinct().select("type", text.color_for_type(F.col("type")).alias("color"))
 
@@ -330,7 +338,7 @@ _CHANGES = "chg AS (SELECT user_id::VARCHAR AS bundle_id, ts, epoch_ms(ts) AS ms
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("change")
-    return events.select(F.col("user_id").cast("string").alias("bundle_id"), "ts", kind.alias("kind"), F.concat(F.lit("doc-"), (F.col("event_id") % 7).cast("string"), F.lit(".md")).alias("uri"), F.lit(None).cast("string").alias("previous_uri"))
+    return events.select(F.col("user_id").cast("string").alias("bundle_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.concat(F.lit("doc-"), (F.col("event_id") % 7).cast("string"), F.lit(".md")).alias("uri"), F.lit(None).cast("string").alias("previous_uri"))
 
 
 @register("refresh_sessions", f"WITH {_CHANGES}, g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY bundle_id ORDER BY ms) < {_QUIET} THEN 0 ELSE 1 END AS fresh FROM chg), s AS (SELECT *, sum(fresh) OVER (PARTITION BY bundle_id ORDER BY ms) AS session FROM g) SELECT bundle_id, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS changes, count(DISTINCT uri) AS paths FROM s GROUP BY bundle_id, session", facts=False)

@@ -13,7 +13,7 @@ from wicker.functions import paths
 from wicker.functions.dates import explicit_zone_epoch
 from wicker.functions.text import actor_ok, let, one_line, wide_trim
 
-REGION = r"^(?s)\x{FEFF}?---[ \t]*\n((?:.*?\n)??)---[ \t]*(?:\n|$)"
+REGION = r"^(?s)\x{FEFF}?---\n((?:.*?\n)??)---(?:\n|\z)"
 FIELD = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*))?$"
 NOT_TEXT = r"^(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE|[-+]?(?:\d+|0x[0-9a-fA-F]+|0o[0-7]+)|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))?$"
 CODE = r"(?sm)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)"
@@ -59,6 +59,44 @@ def map_entry(name: str, key: str) -> Column:
     return scalar_text(F.trim(F.when(F.length(flow) > 0, flow).otherwise(F.nullif(block, F.lit("")))))
 
 
+def field_block(name: str) -> Column:
+    """What stands after the field's colon, its continuation lines included."""
+    return F.regexp_extract("front", rf"(?m)^{name}:([^\n]*(?:\n(?:[ \t]+[^\n]*|-[ \t][^\n]*|[ \t]*(?=\n)))*)", 1)
+
+
+def mappings(name: str) -> Column:
+    """The text of each mapping that a field holds, alone or in a list, flow or block; '' for an element that is none; null without the field."""
+
+    def read(raw: Column) -> Column:
+        one = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+        flow = F.regexp_extract_all(raw, F.lit(one), F.lit(0))
+        rest = F.regexp_replace(F.regexp_replace(raw, one, ""), r"(?m)[ \t]+#.*$", "")
+        listed = F.when(rest.rlike(r"[^\[\],\s]"), F.array_append(flow, "")).otherwise(flow)
+        items = F.transform(F.filter(F.split(raw, r"(?m)^[ \t]*-[ \t]+"), lambda x, i: i > 0), lambda x: F.when(x.rlike(r"^(?:\{|[A-Za-z_][\w-]*:(?:\s|$))"), x).otherwise(""))
+        return (
+            F.when(raw.startswith("{"), F.array(raw)).when(raw.startswith("["), listed).when(raw.rlike(r"(?s)^(?:#[^\n]*\n)?\s*-[ \t]"), items)
+            .when(raw.rlike(r"^[A-Za-z_][\w-]*:(?:\s|$)"), F.array(raw)).otherwise(F.array(F.lit("")))
+        )
+
+    return F.when(has_field(name), let(wide_trim(field_block(name)), read))
+
+
+def entry_raw(entry: Column, key: str) -> Column:
+    """The rest of a key's line in a mapping's text, '' without the key. A flow mapping ends values at commas."""
+    flow = F.regexp_extract(entry, rf"""[{{,]\s*{key}:[ \t]*(\{{[^{{}}]*\}}|\[[^\[\]]*\]|"(?:[^"\\]|\\.)*"|'[^']*'|[^,}}\n]*)""", 1)
+    block = F.regexp_extract(entry, rf"(?m)^[ \t]*{key}:[ \t]*(.*)$", 1)
+    return F.trim(F.when(entry.startswith("{"), flow).otherwise(block))
+
+
+def entry_has(entry: Column, key: str) -> Column:
+    return F.when(entry.startswith("{"), entry.rlike(rf"[{{,]\s*{key}:")).otherwise(entry.rlike(rf"(?m)^[ \t]*{key}:"))
+
+
+def entry_text(entry: Column, key: str) -> Column:
+    """The string under a key of a mapping's text; null where there is none."""
+    return scalar_text(F.nullif(entry_raw(entry, key), F.lit("")))
+
+
 def decode(docs: DataFrame) -> DataFrame:
     """Adds path (canonical), text, and failure (read or decode; null where sound). The second and later of one path fail as read."""
     path = paths.canonical_path(F.col("bundle_path"))
@@ -75,21 +113,26 @@ def parse(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", F.regexp_extract("text", REGION, 0)).withColumn("front", F.when(F.length("head") > 0, F.regexp_extract("text", REGION, 1)))
     rows = rows.withColumn("body", F.expr("substring(text, length(head) + 1)"))
     keys, values = (F.coalesce(F.regexp_extract_all("front", F.lit(FIELD), F.lit(k)), F.array().cast("array<string>")) for k in (1, 2))
-    rows = rows.withColumns({"id": paths.concept_id(F.col("path")), "reserved": paths.reserved_kind(F.col("path")), "keys": keys, "values": F.transform(values, F.trim)})
+    rows = rows.withColumns({"id": paths.concept_id(F.col("path")), "reserved": paths.reserved_kind(F.col("path")), "keys": keys, "values": F.transform(values, lambda v: F.trim(v))})
     twice = F.size(F.array_distinct("keys")) != F.size("keys")
-    open_region = F.col("front").isNull() & F.col("text").rlike(r"^\x{FEFF}?---[ \t]*\n")
+    open_region = F.col("front").isNull() & F.col("text").rlike(r"^\x{FEFF}?---(?:\n|\z)")
     broken = twice | open_region | (F.col("front").isNull() & F.col("reserved").isNull())
     rows = rows.withColumn("failure", F.coalesce("failure", F.when(broken, "frontmatter")))
     names = ("type", "title", "description", "resource", "timestamp", "status", "runtime", "computation", "stale_after", "okf_version")
     rows = rows.withColumn("texts", F.transform(F.array(*map(F.lit, names)), lambda n: scalar_text(F.try_element_at("values", F.nullif(F.array_position("keys", n).cast("int"), F.lit(0))))))
     fields = {("declared_version" if name == "okf_version" else name): F.col("texts")[k] for k, name in enumerate(names)}
-    verified = F.when(has_field("verified"), F.struct(map_entry("verified", "by").alias("by"), map_entry("verified", "at").alias("at")))
+    verified = F.transform(mappings("verified"), lambda e: F.struct(entry_text(e, "by").alias("by"), entry_text(e, "at").alias("at")))
     rows = rows.withColumns(fields | {"tags": list_field("tags"), "generated_by": map_entry("generated", "by"), "generated_at": map_entry("generated", "at"), "verified": verified})
-    sound = actor_ok(F.col("verified.by")) & (F.col("verified.at").isNull() | explicit_zone_epoch(F.col("verified.at")).isNotNull())
-    tier = F.when(sound & F.col("verified.by").startswith("human:"), "human-verified").when(sound, "process-verified").otherwise("unverified")
+    sound = F.filter(F.coalesce("verified", F.array().cast("array<struct<by:string,at:string>>")), event_ok)
+    tier = F.when(F.exists(sound, lambda e: e["by"].startswith("human:")), "human-reviewed").when(F.size(sound) > 0, "machine-confirmed").otherwise("unverified")
     return rows.withColumn("trust_tier", tier).drop("head", "content", "bundle_path", "texts")
 
 
+def event_ok(event: Column) -> Column:
+    """A verification counts with a sound actor and a date-time with an explicit zone."""
+    return actor_ok(event["by"]) & F.coalesce(explicit_zone_epoch(event["at"]).isNotNull(), F.lit(False))
+
+
 def concepts(parsed: DataFrame) -> DataFrame:
     """Documents that are concepts, failed ones (partial) included."""
     return parsed.where("path IS NOT NULL AND reserved IS NULL AND coalesce(failure, '') <> 'read'")

@@ -21,13 +21,12 @@ class View:
     folder: str | None = None
 
 
-def matches(text: str) -> Column:
-    """Every term of the text stands in the id, the title or a tag, after NFKC and lower case."""
+def matches(text: str, form: Column) -> Column:
+    """Every term of the text stands in one of the values that form (search_form of them, joined by NUL) holds."""
     import unicodedata
 
-    values = F.split(search_form(F.concat_ws("\x00", "id", "title", F.array_join("tags", "\x00"))), "\x00")
     terms = unicodedata.normalize("NFKC", text).lower().split()
-    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.exists(values, lambda v: F.contains(v, t))) if terms else F.lit(True)
+    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.exists(F.split(form, "\x00"), lambda v: F.contains(v, t))) if terms else F.lit(True)
 
 
 def visible(node_rows: DataFrame, view: View) -> DataFrame:
@@ -39,7 +38,10 @@ def visible(node_rows: DataFrame, view: View) -> DataFrame:
     if view.folder is not None:
         rows = rows.where(in_folder(F.col("id"), view.folder))
     # The search runs Python, so it comes after what the scan can do.
-    return rows.where(matches(view.text)) if view.text.split() else rows
+    if not view.text.split():
+        return rows
+    joined = F.concat_ws("\x00", "id", "title", F.array_join("tags", "\x00"))
+    return rows.withColumn("_form", search_form(joined)).where(matches(view.text, F.col("_form"))).drop("_form")
 
 
 def ordered(node_rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders that discovery passes over.
-SKIPPED_FOLDERS = (".git", "node_modules", ".agents")
+SKIPPED_FOLDERS = (".git", ".hg", ".svn", ".next", ".nuxt", ".pnpm-store", ".turbo", ".vscode-test", ".yarn", "bower_components", "coverage", "node_modules")
 
 
 def read_bundle(spark: SparkSession, root: str, bundle_id: str) -> DataFrame:

@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = regions.select(*_document(F.concat(F.lit("region/"), "r_name", F.lit(".md")), [("type", F.lit("region")), ("title", _quoted(F.col("r_name"))), ("tags", F.lit("[geo]")), ("description", F.lit("A region of the world."))], F.concat(F.lit("# "), "r_name")))
     nation = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(*_document(F.concat(F.lit("nation/"), "n_name", F.lit(".md")), [("type", F.lit("nation")), ("title", _quoted(F.col("n_name"))), ("tags", F.lit("[geo]"))], F.concat(F.lit("# "), "n_name", F.lit("\n\n"), _link("region", F.concat(F.lit("../region/"), encode_segment(F.col("r_name")), F.lit(".md#top"))))))
     supplier = table("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(*_document(F.concat(F.lit("supplier/"), text("s_suppkey"), F.lit(".md")), [("type", F.when(F.col("s_suppkey") % 7 != 0, "supplier")), ("title", _quoted(F.col("s_name"))), ("status", F.when(F.col("s_suppkey") % 5 == 0, "retired").when(F.col("s_suppkey") % 3 == 0, "draft")), ("generated", F.when(F.col("s_suppkey") % 4 == 0, "{by: process:loader, at: 2026-07-01T00:00:00Z}"))], F.concat(F.lit("Based in "), _link("nation", nation_at("/nation/")))))
-    customer = table("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(*_document(F.concat(F.lit("customer/"), "c_mktsegment", F.lit("/"), text("c_custkey"), F.lit(".md")), [("type", F.lit("customer")), ("title", F.when(F.col("c_custkey") % 61 == 0, '""').otherwise(_quoted(F.col("c_name")))), ("tags", F.concat(F.lit("["), "c_mktsegment", F.lit("]"))), ("verified", F.when(F.col("c_custkey") % 10 == 0, "{by: human:ann, at: 2026-07-01T00:00:00Z}").when(F.col("c_custkey") % 10 == 5, "{by: process:check, at: 2026-07-01T00:00:00Z}")), ("stale_after", F.when(F.col("c_custkey") % 13 == 0, "2026-01-31").when(F.col("c_custkey") % 17 == 0, "2026-02-31"))], F.concat(F.lit("Lives in "), _link("home nation", nation_at("../../nation/")))))
+    customer = table("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(*_document(F.concat(F.lit("customer/"), "c_mktsegment", F.lit("/"), text("c_custkey"), F.lit(".md")), [("type", F.lit("customer")), ("title", F.when(F.col("c_custkey") % 61 == 0, '""').otherwise(_quoted(F.col("c_name")))), ("tags", F.concat(F.lit("["), "c_mktsegment", F.lit("]"))), ("verified", F.when(F.col("c_custkey") % 10 == 0, "{by: human:ann, at: 2026-07-01T00:00:00Z}").when(F.col("c_custkey") % 10 == 5, "{by: process:check, at: 2026-07-01T00:00:00Z}").when(F.col("c_custkey") % 10 == 3, "\n  - by: process:check\n    at: 2026-07-01T00:00:00Z\n  - {by: human:ann, at: 2026-07-02T00:00:00Z}").when(F.col("c_custkey") % 10 == 7, "{by: process:check}")), ("stale_after", F.when(F.col("c_custkey") % 13 == 0, "2026-01-31").when(F.col("c_custkey") % 17 == 0, "2026-02-31"))], F.concat(F.lit("Lives in "), _link("home nation", nation_at("../../nation/")))))
     part = table("part").select(*_document(F.concat(F.lit("part/"), text("p_partkey"), F.lit(".md")), [("type", F.col("p_type")), ("title", _quoted(F.col("p_name"))), ("description", F.concat(F.lit("Part of brand "), "p_brand")), ("resource", F.concat(F.lit("urn:brand:"), "p_brand")), ("tags", F.concat(F.lit("["), "p_brand", F.lit(", size-"), text("p_size"), F.lit("]")))], F.concat(F.lit("## Size\n\n`"), text("p_size"), F.lit("` ![image](./none.png)"))))
     lines = table("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
     key = F.col("o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ CHANGES = "bundle_id string, ts timestamp, kind string, uri string, previous_uri
 
 
 def sessions(changes: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
-    """bundle_id, start, end (last change), changes, paths: a quiet gap closes a session."""
+    """bundle_id, start, end (last change), changes, paths: a quiet gap closes a session. ts may be with or without a zone."""
+    changes = changes.withColumn("ts", F.col("ts").cast("timestamp"))
     w = Window.partitionBy("bundle_id").orderBy("ts")
     gap = F.unix_millis("ts") - F.lag(F.unix_millis("ts")).over(w)
     numbered = changes.withColumn("_new", F.when(gap.isNull() | (gap >= quiet_ms), 1).otherwise(0)).withColumn("_session", F.sum("_new").over(w))
@@ -23,20 +25,36 @@ def sessions(changes: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
 
 
 def capped_batches(changes: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:
-    """changes with batch_start: as sessions, but a batch also ends longest_ms after its first change. A task holds one start and one last time per bundle."""
+    """changes with batch_start: as sessions, but a batch also ends longest_ms after its first change.
+
+    Where a batch starts depends on all before it, so a bundle's changes are walked in order, one step per batch: the
+    next batch begins at the first quiet gap or at the first change past the cap, whichever comes first, and both are
+    looked up. A task carries one start and one last time from frame to frame.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle, first, last = None, 0, 0
         for frame in frames:
-            starts = []
-            for b, t in zip(frame["bundle_id"], frame["_ms"], strict=True):
-                if b != bundle or t - last >= quiet_ms or t - first >= longest_ms:
-                    bundle, first = b, t
-                last = t
-                starts.append(first)
+            ms, starts = frame["_ms"].to_numpy(), np.empty(len(frame), dtype=np.int64)
+            cuts = np.flatnonzero((frame["bundle_id"] != frame["bundle_id"].shift()).to_numpy()).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(frame)], strict=True):
+                if frame["bundle_id"].iat[lo] != bundle or ms[lo] - last >= quiet_ms:
+                    bundle, first = frame["bundle_id"].iat[lo], ms[lo]
+                quiet = lo + 1 + np.flatnonzero(np.diff(ms[lo:hi]) >= quiet_ms)
+                at = lo
+                while at < hi:
+                    if ms[at] - first >= longest_ms:
+                        first = ms[at]
+                    gap = np.searchsorted(quiet, at, side="right")
+                    end = min(int(quiet[gap]) if gap < len(quiet) else hi, at + int(np.searchsorted(ms[at:hi], first + longest_ms)))
+                    starts[at:end] = first
+                    at = end
+                    if at < hi:
+                        first = ms[at]
+                last = ms[hi - 1]
             yield frame.assign(batch_start=starts).drop(columns="_ms")
 
-    rows = changes.withColumn("_ms", F.unix_millis("ts"))
+    rows = changes.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
     ordered = rows.repartition("bundle_id").sortWithinPartitions("bundle_id", "_ms")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema) + ", batch_start bigint"
     return ordered.mapInPandas(run, schema)
