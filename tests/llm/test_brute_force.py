@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wicker.llm import bpe, langid, line_dedup, ngram_join, quality, queries, sharding, winnowing
 
@@ -169,26 +170,51 @@ def test_ngram_join(spark, docs, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), expected[i]) for i, s in sets.items()}
 
 
-def test_long_index_lists_lose_no_pair(spark):
-    from wicker.llm.linking import index_lists
-
-    entries = spark.createDataFrame([(1, n, 10 + n % 3) for n in range(40)] + [(2, n, 5) for n in range(3)], "token bigint, node bigint, size bigint")
-    found = {p for r in index_lists(entries, block=7).collect() for p in combinations(r["nodes"], 2)}
-    assert found >= set(combinations(range(40), 2))
-
-
-def test_long_index_lists_keep_sizes_of_the_callers_ratio(spark):
-    from wicker.llm.linking import index_lists
-
-    entries = spark.createDataFrame([(1, n, 70 if n < 20 else 100) for n in range(40)], "token bigint, node bigint, size bigint")
-    found = {p for r in index_lists(entries, block=5, ratio=0.7).collect() for p in combinations(r["nodes"], 2)}
-    assert found >= set(combinations(range(40), 2))
+@pytest.mark.parametrize("block", [5, 20, 500])
+def test_linking_finds_all_groups(spark, block):
+    """Long lists of near copies beside lone nodes, by a distance on the maps alone."""
+    from wicker.llm import linking
+
+    rng = np.random.default_rng(block)
+    centre = rng.integers(0, 2, size=(6, 128))
+    bits = [np.where(rng.random(128) < 0.02, 1 - centre[k % 6], centre[k % 6]) if k < 240 else rng.integers(0, 2, size=128) for k in range(300)]
+    size = rng.integers(90, 110, size=300)
+    sig = [np.packbits(x).tobytes() for x in bits]
+    far = np.array([[int((x != y).sum()) for y in bits] for x in bits])
+    links = [(a, b) for a, b in combinations(range(300), 2) if far[a, b] <= 6 and min(size[a], size[b]) >= 0.9 * max(size[a], size[b])]
+    tokens = [(t, k) for k in range(300) for t in {0, 1 + k % 6, 10 + k % 2}]
+    entries = spark.createDataFrame([(t, k, int(linking.place_of(size[k : k + 1], np.array([50]))[0])) for t, k in tokens], "token bigint, node bigint, place bigint")
+    payload = spark.createDataFrame([(k, int(size[k]), bytearray(sig[k])) for k in range(300)], "node bigint, size bigint, sig binary")
+    limit = lambda n, m: np.where(np.minimum(n, m) >= 0.9 * np.maximum(n, m), 6, -1)
+    verify = lambda pairs: linking.stash(pairs)
+    lists = linking.index_lists(entries, lambda n, m: np.ones_like(n), 0.9, block)
+    firsts = linking.first_pairs(lists, payload, limit)
+    now = linking.components(firsts.where("NOT opened").select("a", "b"))
+    rows = linking.open_rows(lists, firsts.where("opened"), now, payload)
+    cells = linking.cells_of(rows.where("part > 0"), 0.9, block)
+    assert block == 500 or (cells.count() > 0 and cells.groupBy("list").agg(F.countDistinct("node").alias("n")).where(F.col("n") > 4 * block).count() == 0)
+    got = {r["node"]: r["component"] for r in linking.find_groups(entries, payload, limit, lambda n, m: np.ones_like(n), verify, 0.9, block).collect()}
+    expected = groups(range(300), links)
+    assert len(links) > 1000 and {k: got.get(k, k) for k in range(300)} == expected
+
+
+def test_cross_pairs_skip_no_pair():
+    from wicker.llm.linking import cross_pairs
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, size=(4, 64))
+    bits = np.array([np.where(rng.random(64) < 0.08, 1 - base[k % 4], base[k % 4]) for k in range(80)])
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    size, group = rng.integers(10, 14, size=80), np.array([k % 4 if k < 60 else 100 + k for k in range(80)])
+    limit = lambda n, m: np.where(np.abs(n - m) <= 2, 12, -1)
+    got = {(min(a, b), max(a, b)) for x, y in cross_pairs(size, sig, group, limit) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == {(a, b) for a, b in combinations(range(80), 2) if group[a] != group[b] and abs(size[a] - size[b]) <= 2 and (bits[a] != bits[b]).sum() <= 12}
 
 
 def test_line_dedup(spark, docs):
     rng = np.random.default_rng(5)
-    made = {i: r["text"] for i, r in docs.items()}
-    for i in range(60):
+    made = {i: r["text"] for i, r in list(docs.items())[:90]}
+    for i in sorted(made)[:60]:
         lines = made[i].split("\n")
         made[1000 + i] = "\n".join(" ".join(w for k, w in enumerate(line.split()) if k != rng.integers(0, 40)) for line in lines)
     occurrences = [(i, k, line) for i in sorted(made) for k, line in enumerate(line_dedup.normal_lines(made[i])) if line]
@@ -196,12 +222,7 @@ def test_line_dedup(spark, docs):
     for i, k, line in occurrences:
         first.setdefault(tuple(line), (i, k))
     nodes = list(first)
-    sigs = line_dedup.simhashes([list(n) for n in nodes])
-    links = []
-    for a in range(len(nodes)):
-        for b in (a + 1 + np.flatnonzero(np.bitwise_count(sigs[a + 1 :] ^ sigs[a]) <= 3)).tolist():
-            if line_dedup.edit_similarity(list(nodes[a]), list(nodes[b]), 0.8) >= 0.8:
-                links.append((a, b))
+    links = [(a, b) for a, b in combinations(range(len(nodes)), 2) if 0.8 * max(len(nodes[a]), len(nodes[b])) <= min(len(nodes[a]), len(nodes[b])) + 1e-9 and line_dedup.edit_similarity(list(nodes[a]), list(nodes[b]), 0.8) >= 0.8 - 1e-9]
     assert links
     group = groups(range(len(nodes)), links)
     number, stay = {n: k for k, n in enumerate(nodes)}, {}

@@ -22,10 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Unset, local sessions (tests) get one of their own; a cluster has no folder to fall back on."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="wicker-shared-")
@@ -88,13 +90,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def id_marks(wanted: DataFrame) -> tuple[Broadcast, Callable[[Column], Column]]:
-    """A bit map of the ids in wanted (id), about 16 bits each and 128 MB at most, and the column that gives an id's bit. It may pass other ids, never misses one."""
+    """A bit map of the ids in wanted (id), about 16 bits each and 128 MB at most, and the column that gives an id's bit. It may pass other ids, never misses one.
+
+    Executors set the bits, chunk by chunk; the driver only puts finished chunks of 8 kB together.
+    """
     bits = 1 << min(30, max(16, (16 * wanted.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = wanted.select(place(F.col("id")).alias("p")).selectExpr("p >> 5 AS word", "shiftleft(1L, cast(p & 31 AS int)) AS mark").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["mark"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return wanted.sparkSession.sparkContext.broadcast(table), place
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk, p = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for c in np.unique(chunk).tolist():
+                here = p[chunk == c] & 0xFFFF
+                np.bitwise_or.at(chunks.setdefault(c, np.zeros(1 << 11, dtype=np.uint32)), here >> 5, np.uint32(1) << (here & 31).astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], names=["chunk", "bits"])
+
+    marks = wanted.select(F.shiftright(place(F.col("id")), 16).alias("chunk"), place(F.col("id")).alias("p")).distinct()
+    table = np.zeros((bits >> 16, 1 << 11), dtype=np.uint32)
+    for row in marks.repartition("chunk").mapInArrow(fill, "chunk bigint, bits binary").toLocalIterator():
+        table[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint32)
+    return wanted.sparkSession.sparkContext.broadcast(table.ravel()), place
 
 
 def marked_rows(batch: pa.RecordBatch, table: np.ndarray, column: int) -> pa.RecordBatch:

@@ -1,15 +1,20 @@
 """Fuzzy line dedup.
 
-Lines are normalised (lower case, no ASCII punctuation, single spaces). Equal ones are one node. An edit of a word changes
-two of a line's word pairs at most, so lines within the edit distance share many pairs, and one at least of the rarest of
-each (prefixes under one order of all pairs): these are the index tokens. Candidates whose parity maps of words do not
-rule it out are verified by the edit similarity of their words, and of every connected group one occurrence stays: the
-first by document id, then by place in the document. Every pair of lines that reaches the similarity is found.
+Lines are normalised (lower case, no ASCII punctuation, single spaces). Equal ones, by 128 bits of hash, are one node. An
+edit of a word changes two of a line's word pairs at most, so lines within the edit distance share many pairs, and one at
+least of the rarest of each (prefixes under one order of all pairs): these are the index tokens. Candidates whose parity
+maps of words do not rule it out are verified by the edit similarity of their words, and of every connected group one
+occurrence stays: the first by document id, then by place in the document. Every pair of lines that reaches the
+similarity is found.
+
+SimHash with pigeonhole blocks cannot do this: at an edit similarity of 0.9 the 64 sign bits of ten words differ in nine,
+beyond any radius that blocks can join on. A parity map keeps the idea with a bound: an edit flips two bits at most.
 """
 
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
-from wicker.llm.linking import find_groups
-from wicker.llm.ngram_join import COUNTERS, frequency_classes
+from wicker.llm.linking import REST_BITS, find_groups
+from wicker.llm.ngram_join import CHUNK, COUNTERS, classes_of
 
 SIMILARITY = 0.8
-#: Bits of a line's parity map, and one document in so many is read for the order of the tokens (any order finds all pairs).
-MAP_BITS, ORDER_SAMPLE = 512, 8
+#: Bits of a line's parity map.
+MAP_BITS = 256
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -35,22 +40,11 @@ def normal_lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split(b"\n")]
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """64-bit SimHash of each line (none may be empty): words vote with their length, ten at most; a tie is a 0. Only tests read it."""
-    words = [w for line in lines for w in line]
-    out = np.zeros(len(lines), dtype=np.uint64)
-    if not words:
-        return out
-    starts = np.cumsum([0, *(len(line) for line in lines[:-1])])
-    weight = np.minimum(np.fromiter(map(len, words), dtype=np.int32, count=len(words)), 10)
-    bits = np.unpackbits(hash_words(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits * weight.astype(np.uint8)[:, None], starts, axis=0, dtype=np.int32)
-    total = np.add.reduceat(weight, starts)
-    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
 def edit_similarity(a: list[str], b: list[str], at_least: float) -> float:
-    """1 - edit distance of the words / longer length; 0 as soon as it is clear that at_least is out of reach."""
+    """1 - edit distance of the words / longer length; 0 as soon as it is clear that at_least is out of reach.
+
+    A column of the distance table is held as two integers, the places where it rises and where it falls.
+    """
     longer = max(len(a), len(b))
     limit = int((1 - at_least) * longer + 1e-9)
     if abs(len(a) - len(b)) > limit:
@@ -61,20 +55,26 @@ def edit_similarity(a: list[str], b: list[str], at_least: float) -> float:
     hi = 0
     while hi < short - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(w, len(number)) for w in side], dtype=np.int64) for side in (a, b))
-    if len(x) > len(y):
-        x, y = y, x
-    row = steps = np.arange(len(y) + 1)
-    for i, w in enumerate(x.tolist()):
-        nxt = np.empty_like(row)
-        nxt[0] = i + 1
-        np.minimum(row[1:] + 1, row[:-1] + (y != w), out=nxt[1:])
-        row = np.minimum.accumulate(nxt - steps) + steps
-        if row.min() > limit:
+    x, y = sorted((a[lo : len(a) - hi], b[lo : len(b) - hi]), key=len)
+    distance = len(x)
+    if not distance:
+        return 1 - len(y) / longer if longer else 1.0
+    where: dict[str, int] = {}
+    for i, w in enumerate(x):
+        where[w] = where.get(w, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down = full, 0
+    for left, w in zip(range(len(y) - 1, -1, -1), y, strict=True):
+        same = where.get(w, 0)
+        level = same | down
+        flat = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(flat | up)), up & flat
+        distance += 1 if rises & last else -1 if falls & last else 0
+        if distance - left > limit:
             return 0.0
-    return 1 - int(row[-1]) / longer if longer else 1.0
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = falls | (full & ~(level | rises)), rises & level
+    return 1 - distance / longer
 
 
 def edits(longer: np.ndarray | int, similarity: float) -> np.ndarray:
@@ -96,75 +96,97 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def line_tokens(lines: list[list[bytes]], each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """line, token of each run of `each` words (pairs reach over both ends of a line; a repeated run is numbered), and the parity map of each line's words."""
+    """line, token of each run of `each` words (pairs reach over both ends of a line), and the hash of each word."""
     counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     h = hash_words([w for line in lines for w in line])
-    line = np.repeat(np.arange(len(lines)), counts)
-    cells = np.bincount(line * MAP_BITS + (h >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=len(lines) * MAP_BITS)
-    maps = np.packbits((cells & 1).astype(np.uint8).reshape(-1, MAP_BITS), axis=1)
-    if each == 2:
-        ends = np.cumsum(counts)
-        # One more token than words: each word with the one before it, and the last with the end.
-        left, right = np.insert(h, ends - counts, 0), np.insert(h, ends, 0)
-        h, line = mix(left * np.uint64(0x9E3779B97F4A7C15) + right), np.repeat(np.arange(len(lines)), counts + 1)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    at = np.arange(len(h))
-    again = at - np.maximum.accumulate(np.where(np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])], at, 0)) if len(h) else at
-    return line, mix(h + again.astype(np.uint64)), maps
+    if each == 1:
+        return np.repeat(np.arange(len(lines)), counts), mix(h), h
+    ends = np.cumsum(counts)
+    # One more token than words: each word with the one before it, and the last with the end.
+    left, right = np.insert(h, ends - counts, 0), np.insert(h, ends, 0)
+    return np.repeat(np.arange(len(lines)), counts + 1), mix(left * np.uint64(0x9E3779B97F4A7C15) + right), h
 
 
-def order_of_tokens(docs: DataFrame, each: int) -> np.ndarray:
-    """Frequency class of each counter, from a sample of the documents."""
+def parity_maps(lines: list[list[bytes]], h: np.ndarray) -> np.ndarray:
+    """Bytes [line, MAP_BITS / 8]: which places an odd number of a line's words falls on."""
+    line = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
+    cells = np.bincount(line * MAP_BITS + (h >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=len(lines) * MAP_BITS)
+    return np.packbits((cells & 1).astype(np.uint8).reshape(-1, MAP_BITS), axis=1)
 
-    def sets(texts: list[str | None]) -> list[np.ndarray]:
-        lines = [line for t in texts for line in normal_lines(t) if line]
-        return [line_tokens(lines, each)[1]]
 
-    return frequency_classes(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0), sets)
+def prefixes(lines: list[list[bytes]], line: np.ndarray, token: np.ndarray, classes: np.ndarray, each: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index tokens of all lines, one after another, rarest first, and how many each line has.
 
+    The order is by frequency class, hash and which repeat of its token in the line it is; a repeat is a token of its own.
+    """
+    key = (classes[token % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(57)) | (token >> np.uint64(7))
+    order = np.argsort(key)
+    order = order[np.argsort(line[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]
+    key, line = key[order], line[order]
+    at = np.arange(len(key))
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])] if len(key) else np.empty(0, dtype=bool)
+    again = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    key = np.where(again > 0, mix(key + again.astype(np.uint64)), key)
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    lengths = {n: prefix_length(n, similarity) for n in np.unique(sizes).tolist()}
+    prefix, tokens = np.array([lengths[n] for n in sizes.tolist()], dtype=np.int64), sizes + each - 1
+    start = np.cumsum(tokens) - tokens
+    return key[at - np.repeat(start, tokens) < np.repeat(prefix, tokens)].astype(np.int64), prefix
+
+
+def scan(docs: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Two kinds of rows (stashed): every line with a word (doc_id, version, line, node and more: 128 bits of its hash, size, and from `least` words on its parity map sig), and counts of the tokens of these longer lines (chunk, counts). docs: doc_id, version, text."""
+    each = words_a_token(similarity)
+    kinds = {"doc_id": pa.int64(), "version": pa.int64(), "line": pa.int32(), "node": pa.int64(), "more": pa.int64(), "size": pa.int64(), "sig": pa.binary(), "chunk": pa.int64(), "counts": pa.binary()}
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, version, line, node, size (words) of every line with a word. docs: doc_id, version, text."""
+    def rows(n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                found = [(d, v, k, xxhash.xxh3_64_intdigest(b" ".join(line)), len(line)) for d, v, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for k, line in enumerate(normal_lines(t)) if line]
-                nodes = np.fromiter((f[3] for f in found), dtype=np.uint64, count=len(found)).astype(np.int64)
-                columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes), pa.array([f[4] for f in found], pa.int64())], names=["doc_id", "version", "line", "node", "size"])
-
-    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id bigint, version bigint, line bigint, node bigint, size bigint")
-
-
-def index_tokens(docs: DataFrame, similarity: float, least: int) -> DataFrame:
-    """node, size, sig (parity map), prefix (index tokens) of the lines of at least so many words; a line may come once from each slice of the texts."""
+                lines = [normal_lines(t) for t in texts_of(part)]
+                real = [np.array([k for k, line in enumerate(x) if line], dtype=np.int32) for x in lines]
+                own = [line for x in lines for line in x if line]
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(line)) for line in own), dtype=">u8").astype(np.uint64).astype(np.int64).reshape(-1, 2)
+                n = np.array([len(x) for x in real])
+                doc, version = (np.repeat(np.asarray(part.column(k), dtype=np.int64), n) for k in (0, 1))
+                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                long = [line for line in own if len(line) >= least]
+                _, token, h = line_tokens(long, each)
+                maps = iter(parity_maps(long, h))
+                sig = [next(maps).tobytes() if n >= least else None for n in sizes.tolist()]
+                yield rows(len(own), doc_id=doc, version=version, line=np.concatenate(real) if real else [], node=digest[:, 1].copy(), more=digest[:, 0].copy(), size=sizes, sig=sig)
+                np.add.at(table, token % np.uint64(COUNTERS), 1)
+        chunks = table.reshape(-1, CHUNK)
+        used = np.flatnonzero(chunks.any(axis=1))
+        yield rows(len(used), chunk=used, counts=[zlib.compress(chunks[i].tobytes(), 1) for i in used])
+
+    return stash(docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id bigint, version bigint, line int, node bigint, more bigint, size bigint, sig binary, chunk bigint, counts binary"))
+
+
+def node_of(line: list[bytes]) -> int:
+    return xxhash.xxh3_128_intdigest(b" ".join(line)) & (2**64 - 1)
+
+
+def index_tokens(docs: DataFrame, classes: np.ndarray, similarity: float, least: int) -> DataFrame:
+    """node, size, prefix (index tokens) of the lines of at least so many words; a line may come once from each slice of the texts."""
     each = words_a_token(similarity)
-    held = docs.sparkSession.sparkContext.broadcast(order_of_tokens(docs, each))
+    held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, lengths = held.value, {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                lines = {xxhash.xxh3_64_intdigest(b" ".join(line)): line for t in texts_of(part) for line in normal_lines(t) if len(line) >= least}
+                lines = {node_of(line): line for t in texts_of(part) for line in normal_lines(t) if len(line) >= least}
                 words = list(lines.values())
-                line, token, maps = line_tokens(words, each)
-                # Frequency class, then the hash without its low seven bits (a clash there is only one more candidate).
-                key = (classes[token % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(57)) | (token >> np.uint64(7))
-                key = key[np.lexsort((key, line))]
-                sizes = [len(w) for w in words]
-                for n in set(sizes) - set(lengths):
-                    lengths[n] = prefix_length(n, similarity)
-                prefix = np.array([lengths[n] for n in sizes], dtype=np.int64)
-                tokens = np.array(sizes, dtype=np.int64) + each - 1
-                start = np.cumsum(tokens) - tokens
-                inside = np.arange(len(key)) - np.repeat(start, tokens) < np.repeat(prefix, tokens)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(key[inside].astype(np.int64)))
+                line, token, _ = line_tokens(words, each)
+                keys, counts = prefixes(words, line, token, held.value, each, similarity)
                 nodes = np.fromiter(lines, dtype=np.uint64, count=len(lines)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes, pa.int64()), pa.array([m.tobytes() for m in maps], pa.binary()), lists], names=["node", "size", "sig", "prefix"])
+                found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(w) for w in words], pa.int64()), found], names=["node", "size", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, size bigint, sig binary, prefix array<bigint>")
+    return docs.select("text").mapInArrow(run, "node bigint, size bigint, prefix array<bigint>")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,7 +196,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(marked_rows(batch, held.value, 1), "text", 1 << 20):
-                lines = {xxhash.xxh3_64_intdigest(x): x for t in texts_of(part) for line in normal_lines(t) if line and (x := b" ".join(line)) is not None}
+                lines = {node_of(line): b" ".join(line) for t in texts_of(part) for line in normal_lines(t) if line}
                 nodes = np.fromiter(lines, dtype=np.uint64, count=len(lines)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.decode("utf-8", "replace") for x in lines.values()], pa.string())], names=["node", "words"])
 
@@ -183,22 +205,30 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, version, drop (line numbers to drop, from 0) of documents (doc_id, version, text) that lose a line."""
+    """doc_id, version, drop (line numbers to drop, from 0; stashed) of documents (doc_id, version, text) that lose a line."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     real = docs.where("doc_id IS NOT NULL")
-    seen = stash(occurrences(real))
-    nodes = stash(seen.groupBy("node").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
+    each = words_a_token(similarity)
     # The longer line of a pair has five words at least (at 0.8), or one edit already leaves less; shorter ones only match when equal.
     least = max(1, int(np.ceil(1 / (1 - similarity) - 1e-9)) - 1) if similarity < 1 else 1 << 62
-    fuzzy = index_tokens(real, similarity, least)
-    entries = fuzzy.select(F.explode("prefix").alias("token"), "node", "size")
-    payload = stash(fuzzy.select("node", "size", "sig").dropDuplicates(["node"]))
-
-    def compatible(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    scanned = scan(real, similarity, least)
+    seen = scanned.where("chunk IS NULL").select("doc_id", "version", "line", "node", "more")
+    lines = scanned.where("chunk IS NULL").groupBy("node", "more")
+    nodes = stash(lines.agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    fuzzy = index_tokens(real, classes_of(scanned.where("chunk IS NOT NULL").select("chunk", "counts")), similarity, least)
+    rest = F.least(F.col("size") + (each - 1) - F.col("nth"), F.lit((1 << REST_BITS) - 1))
+    entries = fuzzy.select("node", "size", F.posexplode("prefix").alias("nth", "token")).select("token", "node", F.shiftleft("size", REST_BITS).bitwiseOR(rest).alias("place"))
+    payload = nodes.where("sig IS NOT NULL").select("node", "size", "sig")
+
+    def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        longer = np.maximum(n, m)
+        return longer + each - 1 - each * edits(longer, similarity)
+
+    def limit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
         # A replaced word changes two bits at most, an added one a single bit.
         most, apart = edits(np.maximum(n, m), similarity), np.abs(n - m)
-        return (apart <= most) & (differ <= 2 * most - apart)
+        return np.where(apart <= most, 2 * most - apart, -1)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -216,12 +246,16 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         discard(words, wanted)
         return linked
 
-    groups = find_groups(entries, payload, compatible, verify, similarity)
-    grouped = nodes.join(groups, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("component"))
-    stays = grouped.groupBy("component").agg(F.min("first").alias("stay"))
-    stay = stash(grouped.select("node", "component").join(stays, "component").select(F.col("node").alias("of"), "stay"))
-    gone = seen.join(stay, F.col("node") == F.col("of")).where(F.struct("doc_id", "version", "line") != F.col("stay"))
-    return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    groups = find_groups(entries, payload, limit, need, verify, similarity)
+    grouped = nodes.join(groups, "node", "left").where("n > 1 OR component IS NOT NULL")
+    key = F.when(F.col("component").isNull(), F.struct("node", "more")).otherwise(F.struct(F.col("component").alias("node"), F.lit(0).cast("long").alias("more")))
+    grouped = grouped.select("node", "more", "first", key.alias("group"))
+    stays = grouped.groupBy("group").agg(F.min("first").alias("stay"))
+    stay = stash(grouped.select("node", "more", "group").join(stays, "group").select("node", "more", "stay"))
+    gone = seen.join(stay, ["node", "more"]).where(F.struct("doc_id", "version", "line") != F.col("stay"))
+    found = stash(gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("drop")))
+    discard(scanned, nodes, stay)
+    return found
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,12 @@
 """Exact linking over index lists, shared by line dedup and the n-gram join.
 
-Nodes that can link share an index token. A token's list is ordered by size and cut into blocks; a pair of blocks whose
-sizes cannot match is skipped. Inside a list two passes follow. The first compares every node with a few leaders only
-and verifies what may link. The second derives the rest from those answers: nodes already joined are not compared again,
-and only pairs across different groups are, all of them. So a group of m near copies costs about m verified pairs, while
-no link between different groups is lost.
+Nodes that can link share an index token. An entry says where in its node's order of tokens the token stands, and so how
+many tokens follow; entries of one token meet in order of size and position, and pairs that cannot reach the overlap they
+need from there are skipped before anything is written, in blocks of a list too. Two passes follow. The first compares
+the nodes of a list with a few leaders and verifies what may link. The second derives the rest from those answers: nodes
+already joined are not compared again, a group far from a node by its leader's distance and its own radius is skipped as
+a whole, and only pairs across groups are left, all of them. So m near copies cost about m verified pairs, while no link
+between different groups is lost.
 """
 
 from __future__ import annotations
@@ -13,20 +15,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, stash
 
-#: Nodes per block of a long index list, and leaders of a list in the first pass (the second compares what they miss).
-BLOCK, LEADERS = 500, 16
-Compatible = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one.
+BLOCK, LEADERS, SHORT = 500, 16, 16
+#: Bits of the count of following tokens in an entry's place; a count that fills them stands for any larger one.
+REST_BITS = 16
+#: Largest difference of two parity maps that nodes of two sizes may have if they link, -1 where the sizes rule it out.
+Limit = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Tokens that nodes of two sizes must share to link.
+Need = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def place_of(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """An entry's place: the node's size, then how many of its tokens stand from the entry's on."""
+    return (size.astype(np.int64) << REST_BITS) | np.minimum(rest, (1 << REST_BITS) - 1).astype(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) for the nodes of edges (a, b), by alternating large and small stars.
 
-    Every round is written to the shared folder; the driver only compares a count and a checksum.
+    Every round is written to the shared folder, and the one before is deleted; the driver only compares a count and a
+    checksum.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -41,83 +54,253 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stash(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct())
+        before, now = now, stash(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct())
+        discard(before)
+
+
+def _columns(batch: pa.RecordBatch, *numbers: int) -> list[np.ndarray]:
+    return [np.asarray(batch.column(k)) for k in numbers]
+
+
+def _lists(token: np.ndarray, node: np.ndarray, place: np.ndarray, need: Need, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """token, node, list number of the entries that some other entry of their token may match; entries are in order of token and place."""
+    fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+    token, node, place = token[fresh], node[fresh], place[fresh]
+    size, rest = place >> REST_BITS, place & ((1 << REST_BITS) - 1)
+    rest = np.where(rest == (1 << REST_BITS) - 1, np.int64(1) << 40, rest)
 
+    def numbers(token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(token):
+            return token, token
+        # A list also ends where the next size is out of reach of the one before.
+        at = np.cumsum(np.r_[True, (token[1:] != token[:-1]) | (size[1:] * ratio > size[:-1] + 1e-9)]) - 1
+        return at, np.bincount(at)[at]
 
-def index_lists(entries: DataFrame, block: int = BLOCK, ratio: float = 0.8) -> DataFrame:
-    """Distinct node arrays that between them hold every pair of nodes with a common token and matching sizes.
+    at, count = numbers(token, size)
+    keep = count > 1
+    token, node, size, rest, at, count = (x[keep] for x in (token, node, size, rest, at, count))
+    alive = count > SHORT
+    for step in range(1, SHORT):
+        i = np.flatnonzero((at[step:] == at[:-step]) & ~(count[step:] > SHORT))
+        if not len(i):
+            break
+        j = i + step
+        ok = (np.minimum(rest[i], rest[j]) >= need(size[i], size[j])) & (size[j] * ratio <= size[i] + 1e-9)
+        alive[i[ok]] = alive[j[ok]] = True
+    token, node, size = token[alive], node[alive], size[alive]
+    at, count = numbers(token, size)
+    keep = count > 1
+    token, node, size, at = token[keep], node[keep], size[keep], at[keep]
+    order = np.lexsort((node, size, at))
+    return token[order], node[order], at[order]
 
-    entries: token, node, size. Lists over two blocks long become one array per pair of blocks; block pairs whose sizes
-    differ too much are skipped (a size below ratio of the other's).
+
+def index_lists(entries: DataFrame, need: Need, ratio: float, block: int = BLOCK) -> DataFrame:
+    """list, part, nodes (stashed): node arrays for every token with nodes that may match, equal arrays once.
+
+    entries: token, node, place. ratio: nodes link only if the smaller size is at least so much of the other. A list over
+    two blocks long comes in parts from 1 on, blocks in order of size that overlap by LEADERS nodes; others are part 0.
+    Entries come sorted, so a task holds one Arrow batch and the last token's rows, and of a long list only the last block.
     """
-    counted = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
-    # Short lists carry the size too, so that both kinds read one and the same exchange of the entries.
-    nodes = F.transform(F.sort_array(F.collect_set(F.struct("node", "size"))), lambda x: x["node"])
-    short = counted.where(F.col("m") <= 2 * block).groupBy("token").agg(nodes.alias("nodes")).select("nodes")
-    long = counted.where(F.col("m") > 2 * block).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("size", "node")) - 1) / block))
-    spans = long.groupBy("token", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    later = spans.select(F.col("token").alias("t"), F.col("block").alias("with_block"), F.col("low").alias("with_low"))
-    cells = spans.join(later, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("with_block")) & (F.col("high") >= ratio * F.col("with_low") - 1e-9))
-    cells = cells.select(F.col("token").alias("t"), F.col("block").alias("i"), F.col("with_block").alias("j"), F.explode(F.array_distinct(F.array("block", "with_block"))).alias("b"))
-    dealt = long.join(cells, (F.col("token") == F.col("t")) & (F.col("block") == F.col("b"))).groupBy("t", "i", "j").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    return stash(short.unionByName(dealt.select("nodes")).where(F.size("nodes") > 1).distinct().withColumn("list", F.xxhash64("nodes")))
-
-
-def _leader_pairs(size: np.ndarray, sig: np.ndarray, compatible: Compatible) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    names, kinds = ["token", "part", "nodes"], [pa.int64(), pa.int32(), pa.list_(pa.int64())]
+
+    def made(token: list, part: list, nodes: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = pa.array(np.cumsum([0, *map(len, nodes)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(token, kinds[0]), pa.array(part, kinds[1]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)))], names=names)
+
+    def whole(token: np.ndarray, node: np.ndarray, place: np.ndarray, parts: dict[int, int]) -> pa.RecordBatch:
+        token, node, at = _lists(token, node, place, need, ratio)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
+        sizes = np.diff(np.r_[starts, len(at)])
+        long = (sizes > 2 * block) | np.isin(token[starts], list(parts))
+        if not long.any():
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(starts), dtype=np.int64)), pa.array(np.zeros(len(starts), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), pa.array(node))], names=names)
+        out: tuple[list, list, list] = ([], [], [])
+        for lo, n, cut in zip(starts.tolist(), sizes.tolist(), long.tolist(), strict=True):
+            t = int(token[lo])
+            for s in range(lo, max(lo + n - LEADERS, lo + 1), block) if cut else [lo]:
+                parts[t] = parts.get(t, 0) + 1 if cut else 0
+                out[0].append(t if cut else 0)
+                out[1].append(parts[t])
+                out[2].append(node[s : min(s + block + LEADERS, lo + n) if cut else lo + n])
+            if not cut:
+                del parts[t]
+        return made(*out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, dtype=np.int64)] * 3
+        parts: dict[int, int] = {}
+        for batch in batches:
+            rows = [np.concatenate([h, x]) for h, x in zip(held, _columns(batch, 0, 1, 2), strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[last:] for x in rows]
+            if last:
+                yield whole(*(x[:last] for x in rows), parts)
+                parts = {t: n for t, n in parts.items() if t == int(held[0][0])}
+            if len(held[0]) > 8 * block:
+                # A list without an end in sight: its blocks so far, and the last nodes again before the next.
+                t = int(held[0][0])
+                parts.setdefault(t, 0)
+                yield whole(*held, parts)
+                held = [x[-LEADERS:] for x in held]
+        if len(held[0]):
+            yield whole(*held, parts)
+
+    ordered = entries.select("token", "node", "place").repartition("token").sortWithinPartitions("token", "place", "node")
+    found = ordered.mapInArrow(run, "token bigint, part int, nodes array<bigint>").distinct()
+    return stash(found.select(F.when(F.col("part") == 0, F.xxhash64("nodes")).otherwise(F.col("token")).alias("list"), "part", "nodes"))
+
+
+def _by_list(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows (list, part, columns numbers, sig) sorted by list and part: whole lists at a time, as columns with the maps last, starts and lengths of the lists."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = batch.column(2 + columns)
+        offsets = np.frombuffer(sig.buffers()[1], dtype=np.int32)[sig.offset : sig.offset + len(sig) + 1]
+        maps = np.frombuffer(sig.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(len(sig), -1).view(np.uint64)
+        rows = [*_columns(batch, *range(2 + columns)), maps]
+        if held is not None:
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+        ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        held = [x[last:] for x in rows]
+        if last:
+            starts = np.r_[0, ends[:-1]]
+            yield [x[:last] for x in rows], starts, np.diff(np.r_[starts, last])
+    if held is not None:
+        yield held, np.zeros(1, dtype=np.int64), np.array([len(held[0])])
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def leader_pairs(size: np.ndarray, sig: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a leader and each later node within the limit of it; what a leader takes is not compared again."""
     rest = np.arange(len(size))
     for _ in range(LEADERS):
         if len(rest) < 2:
             return
         head, rest = rest[0], rest[1:]
-        ok = compatible(size[head], size[rest], np.bitwise_count(sig[rest] ^ sig[head]).sum(axis=1, dtype=np.int64))
+        ok = _differ(sig[rest], sig[head]) <= limit(size[rest], size[head])
         yield np.full(int(ok.sum()), head), rest[ok]
         rest = rest[~ok]
 
 
-def _cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, compatible: Compatible) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(len(size) - 1):
-        other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        if len(other):
-            ok = other[compatible(size[i], size[other], np.bitwise_count(sig[other] ^ sig[i]).sum(axis=1, dtype=np.int64))]
+def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the limit whose groups differ.
+
+    Maps obey the triangle inequality, so a node's distance to a group's first member, less the group's radius, bounds its
+    distance to all members: from that one answer it follows for most nodes that the group holds nothing for them.
+    """
+    order = np.argsort(group, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        members, others = order[lo:hi], order[hi:]
+        if not len(others):
+            return
+        if len(members) > 4:
+            far = _differ(sig[others], sig[members[0]]) - _differ(sig[members], sig[members[0]]).max()
+            allowed = np.max([limit(size[others], np.full(len(others), n)) for n in np.unique(size[members])], axis=0)
+            others = others[(far <= allowed) & (allowed >= 0)]
+        for i in members.tolist():
+            ok = others[_differ(sig[others], sig[i]) <= limit(size[others], np.full(len(others), size[i]))]
             yield np.full(len(ok), i), ok
 
 
-def candidate_pairs(lists: DataFrame, payload: DataFrame, groups: DataFrame | None, compatible: Compatible) -> DataFrame:
-    """Distinct pairs (a < b) to verify. payload: node, size, sig (binary, whole 64-bit words). groups: node, component, or None in the first pass."""
-    leading = groups is None
-    rows = lists.select("list", F.explode("nodes").alias("node"))
-    if leading:
-        rows = rows.withColumn("group", F.col("node"))
-    else:
-        # Lists inside one group are answered; only the others get their nodes' descriptions.
-        rows = rows.join(groups.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        open_lists = rows.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("list")
-        rows = stash(rows.join(stash(open_lists), "list", "left_semi"))
-    held = rows.join(payload, "node").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("node", "size", "group", "sig"))).alias("rows")).select("rows")
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]], opened: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (a, b, opened): pairs of nodes, the lesser first, once each; then lists and parts to open."""
+    none = np.empty(0, dtype=np.int64)
+    a, b = (np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    lists, parts = (np.concatenate([none, *(f[k] for f in opened)]) for k in (0, 1))
+    columns = [np.concatenate([pairs[:, 0], lists]), np.concatenate([pairs[:, 1], parts]), np.repeat([False, True], [len(pairs), len(lists)])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "opened"])
+
+
+def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame:
+    """a, b, opened (stashed): pairs to verify (opened false), and the lists (a) and parts (b) whose pairs are not all answered by that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[np.ndarray] = []
-            for nodes in batch.column(0):
-                values = nodes.values
-                node, size, group = (np.asarray(values.field(i)) for i in range(3))
-                sig = np.frombuffer(b"".join(values.field(3).to_pylist()), dtype=np.uint64).reshape(len(node), -1)
-                pairs = _leader_pairs(size, sig, compatible) if leading else _cross_pairs(size, sig, group, compatible)
-                found += [np.stack([node[i], node[j]], axis=1) for i, j in pairs if len(i)]
-            out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out.min(axis=1) if len(out) else out[:, 0]), pa.array(out.max(axis=1) if len(out) else out[:, 0])], names=["a", "b"])
-
-    return held.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
-
-
-def find_groups(entries: DataFrame, payload: DataFrame, compatible: Compatible, verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
-    """node, component for every node that has a verified link. verify: pairs (a, b) -> those of them that link, stashed. ratio: nodes link only if the smaller size is at least so much of the other."""
-    lists = index_lists(entries, ratio=ratio)
-    pairs = stash(candidate_pairs(lists, payload, None, compatible))
-    first = verify(pairs)
-    groups = components(first)
-    more = stash(candidate_pairs(lists, payload, groups, compatible))
-    second = verify(more)
-    found = components(first.unionByName(second))
-    discard(lists, pairs, more, first, second)
+        for (lists, parts, node, size, sig), starts, counts in _by_list(batches, 2):
+            i = starts[counts == 2]
+            two = _differ(sig[i], sig[i + 1]) <= limit(size[i], size[i + 1])
+            found, opened = [(node[i[two]], node[i[two] + 1])], [(lists[i[parts[i] > 0]], parts[i[parts[i] > 0]])]
+            for lo, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+                here = [(node[lo + x], node[lo + y]) for x, y in leader_pairs(size[lo : lo + n], sig[lo : lo + n], limit) if len(x)]
+                found += here
+                if here or n > LEADERS or parts[lo]:
+                    opened.append((lists[lo : lo + 1], parts[lo : lo + 1].astype(np.int64)))
+            yield _pairs(found, opened)
+
+    rows = lists.select("list", "part", F.explode("nodes").alias("node")).join(payload, "node").select("list", "part", "node", "size", "sig")
+    return stash(rows.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").distinct())
+
+
+def open_rows(lists: DataFrame, opened: DataFrame, groups: DataFrame, payload: DataFrame) -> DataFrame:
+    """list, part, node, size, group (stashed) of the opened lists that hold more than one group. All parts of a long list count as one list."""
+    picked = lists.join(opened.select(F.col("a").alias("list"), F.col("b").cast("int").alias("part")), ["list", "part"], "left_semi")
+    rows = picked.select("list", F.least("part", F.lit(1)).alias("part"), F.explode("nodes").alias("node")).distinct()
+    rows = rows.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    mixed = rows.groupBy("list", "part").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return stash(rows.join(mixed.select("list", "part"), ["list", "part"], "left_semi").join(payload.select("node", "size"), "node"))
+
+
+def cells_of(long: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
+    """list, part, node, group: pairs of blocks of the long lists, as lists of their own.
+
+    Blocks hold nodes of about one size, and of one group where the list holds over a block of that group. Two blocks of
+    the same such group answer nothing new, nor do blocks of sizes out of reach; all other pairs of blocks are kept.
+    """
+    bulk = long.groupBy("list", "group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("list", "group", F.col("group").alias("bulk"))
+    keyed = long.join(bulk, ["list", "group"], "left").withColumn("band", F.floor(F.log("size") * 20))
+    spread = keyed.groupBy("list", "bulk", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("salts")).withColumnsRenamed({"list": "s_list", "bulk": "s_bulk", "band": "s_band"})
+    keyed = keyed.join(spread, (F.col("list") == F.col("s_list")) & F.col("bulk").eqNullSafe(F.col("s_bulk")) & (F.col("band") == F.col("s_band")))
+    keyed = keyed.withColumn("block", F.xxhash64(F.coalesce("bulk", F.lit(0)), F.col("bulk").isNull(), "band", F.pmod(F.xxhash64("node"), "salts"))).select("list", "node", "size", "group", "bulk", "block")
+    spans = keyed.groupBy("list", "bulk", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = spans.select("list", *[F.col(c).alias(f"o_{c}") for c in ("bulk", "block", "low", "high")])
+    near = (F.col("high") >= ratio * F.col("o_low") - 1e-9) & (F.col("o_high") >= ratio * F.col("low") - 1e-9)
+    same = F.coalesce(F.col("bulk") == F.col("o_bulk"), F.lit(False))
+    cells = spans.join(other, "list").where((F.col("block") <= F.col("o_block")) & near & ~same)
+    cells = cells.select("list", F.xxhash64("list", "block", "o_block").alias("cell"), F.explode(F.array_distinct(F.array("block", "o_block"))).alias("block"))
+    return keyed.join(cells, ["list", "block"]).select(F.col("cell").alias("list"), F.lit(1).alias("part"), "node", "group")
+
+
+def second_pairs(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float, block: int = BLOCK) -> DataFrame:
+    """a, b (stashed): pairs to verify across the groups of the opened lists. rows: as open_rows gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, node, size, group, sig), starts, counts in _by_list(batches, 3):
+            found = []
+            for lo, n in zip(starts.tolist(), counts.tolist(), strict=True):
+                here = slice(lo, lo + n)
+                if n > 1 and (group[here] != group[lo]).any():
+                    found += [(node[lo + x], node[lo + y]) for x, y in cross_pairs(size[here], sig[here], group[here], limit) if len(x)]
+            yield _pairs(found, [])
+
+    every = rows.where("part = 0").select("list", "part", "node", "group").unionByName(cells_of(rows.where("part > 0"), ratio, block))
+    full = every.join(payload, "node").select("list", "part", "node", "size", "group", "sig")
+    return stash(full.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").select("a", "b").distinct())
+
+
+def find_groups(entries: DataFrame, payload: DataFrame, limit: Limit, need: Need, verify: Callable[[DataFrame], DataFrame], ratio: float, block: int = BLOCK) -> DataFrame:
+    """node, component for every node that has a verified link.
+
+    entries: token, node, place. payload: node, size, sig (binary parity map, whole 64-bit words). verify: pairs (a, b) to
+    those of them that link, stashed. ratio: nodes link only if the smaller size is at least so much of the other.
+    """
+    lists = index_lists(entries, need, ratio, block)
+    firsts = first_pairs(lists, payload, limit)
+    linked = verify(firsts.where("NOT opened").select("a", "b"))
+    groups = components(linked)
+    rows = open_rows(lists, firsts.where("opened"), groups, payload)
+    discard(lists, firsts)
+    more = second_pairs(rows, payload, limit, ratio, block)
+    linked_too = verify(more)
+    found = components(linked.unionByName(linked_too))
+    discard(rows, more, linked, linked_too)
     return found

@@ -2,9 +2,11 @@
 
 A document is its set of distinct word shingles. Shingles are ordered rarest first by a count over all documents (a
 fixed-size table of hashed counters, so the order needs no join), and only the leading ones of a set go into the index:
-two sets that are alike enough must share one of these. Index lists are cut into blocks and skipped by size (linking.py);
-a 512-bit parity map bounds the difference of two sets from below and drops most pairs; the others are verified on the
-whole sets. Answers of a set that is joined to a leader are taken from the leader's and only checked across groups.
+two sets that are alike enough must share one of these. An index entry holds its position in the set: entries from whose
+positions too few shingles follow for the overlap are skipped, alone or by blocks of a long list (linking.py). A 512-bit
+parity map bounds the difference of two sets from below and drops most pairs; the others are verified on the whole sets.
+A set's answers follow from those of the leader it is highly similar to: the leader's distances, less the group's radius,
+rule out most other sets at once, and only pairs across groups that this leaves open are compared.
 """
 
 from __future__ import annotations
@@ -18,13 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.llm.common import ascii_words, discard, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
-from wicker.llm.linking import find_groups
+from wicker.llm.linking import REST_BITS, find_groups
 
 #: Counters in the frequency table, in chunks; the driver and each worker hold one byte for each.
 COUNTERS, CHUNK = 1 << 22, 1 << 16
 MAP_BITS = 512
-#: Bytes of each shingle's hash that sets are verified by: two sets that differ in 500 shingles each count one wrong with a chance of 1e-9.
-VERIFIED_BYTES = 6
 
 
 def shingle_sets(texts: list[str | None], words_each: int) -> list[np.ndarray]:
@@ -59,6 +59,12 @@ def frequency_classes(docs: DataFrame, sets: Callable[[list[str | None]], list[n
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([zlib.compress(chunks[i].tobytes(), 1) for i in used], pa.binary())], names=["chunk", "counts"])
 
+    return classes_of(docs.select("text").mapInArrow(count, "chunk bigint, counts binary"))
+
+
+def classes_of(counted: DataFrame) -> np.ndarray:
+    """uint8 per counter: floor(log2(1 + count)), from rows (chunk, counts: packed 64-bit numbers) of any number of tasks."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -66,7 +72,6 @@ def frequency_classes(docs: DataFrame, sets: Callable[[list[str | None]], list[n
                 total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.log2(1 + t).astype(np.uint8).tobytes() for t in total.values()], pa.binary())], names=["chunk", "classes"])
 
-    counted = docs.select("text").mapInArrow(count, "chunk bigint, counts binary")
     classes = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint8)
     for row in counted.repartition("chunk").mapInArrow(add, "chunk bigint, classes binary").collect():
         classes[row["chunk"]] = np.frombuffer(row["classes"], dtype=np.uint8)
@@ -100,25 +105,22 @@ def described(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     return stash(docs.mapInArrow(run, "doc_id bigint, size bigint, k1 bigint, k2 bigint, prefix array<bigint>, sig binary"))
 
 
-def packed(s: np.ndarray) -> bytes:
-    return s.view(np.uint8).reshape(-1, 8)[:, :VERIFIED_BYTES].tobytes()
-
-
 def common(a: bytes, b: bytes) -> tuple[int, int]:
-    """Sizes of intersection and union of two packed sets."""
-    x, y = (np.unique(np.frombuffer(s, dtype=f"V{VERIFIED_BYTES}").astype("V8").view(np.uint64)) for s in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both, len(x) + len(y) - both
+    """Sizes of intersection and union of two sets of 64-bit hashes."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in (a, b))
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared, len(both) - shared
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """doc_id, shingles (packed) of the documents whose ids are in wanted (id); others are passed over by a bounded bit map, then by an exact semi-join."""
+    """doc_id, shingles (64-bit hashes) of the documents whose ids are in wanted (id); others are passed over by a bounded bit map, then by an exact semi-join."""
     held, place = id_marks(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(marked_rows(batch, held.value, 2), "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(s) for s in shingle_sets(texts_of(part), words_each)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(part), words_each)], pa.binary())], names=["doc_id", "shingles"])
 
     sets = docs.select("doc_id", "text", place(F.col("doc_id")).alias("place")).mapInArrow(run, "doc_id bigint, shingles binary")
     return sets.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
@@ -130,6 +132,7 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
     Two documents link when 100 * intersection >= percent * union of their shingle sets (percent at least 80). Null and
     empty texts have no shingles and link with nothing. A null id stays null and links with nothing. Rows that repeat an
     id are one document: what either text links with, both do. Other columns are not read; an empty table gives no rows.
+    Shingles and words count as equal when their 64-bit hashes are.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
@@ -139,10 +142,15 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
     classes = stash(real.groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("node")))
     leads = real.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     payload = stash(leads.select("node", "size", "sig"))
-    entries = leads.select(F.explode("prefix").alias("token"), "node", "size")
+    entries = leads.select("node", "size", F.posexplode("prefix").alias("nth", "token"))
+    rest = F.least(F.col("size") - F.col("nth"), F.lit((1 << REST_BITS) - 1))
+    entries = entries.select("token", "node", F.shiftleft("size", REST_BITS).bitwiseOR(rest).alias("place"))
+
+    def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return -(-percent * (n + m) // (100 + percent))
 
-    def compatible(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
-        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    def limit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), (100 - percent) * (n + m) // (100 + percent), -1)
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
@@ -159,7 +167,7 @@ def join_groups(docs: DataFrame, words_each: int = 4, percent: int = 85, id_col:
         discard(sets, wanted)
         return linked
 
-    groups = find_groups(entries, payload, compatible, verify, percent / 100)
+    groups = find_groups(entries, payload, limit, need, verify, percent / 100)
     by_class = classes.join(groups, "node", "left").select("k1", "k2", F.col("size").alias("n"), F.coalesce("component", "node").alias("component"))
     joined = known.drop("prefix", "sig").join(by_class.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("n")), "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
