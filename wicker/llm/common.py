@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+#: What Python workers keep from task to task: one operator's memory at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """What this worker keeps for owner, made on first use; what it kept for any other owner is given up, so that one stage's memory does not outlive it."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import discard, documents, hash_words, id_marks, marked_rows, mix, slices, stash, texts_of
+from wicker.llm.common import discard, documents, hash_words, id_marks, kept, marked_rows, mix, slices, stash, texts_of
 from wicker.llm.linking import REST_BITS, find_groups
 from wicker.llm.ngram_join import CHUNK, COUNTERS, classes_of
 
@@ -143,6 +143,7 @@ def scan(docs: DataFrame, similarity: float, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lines", dict)
         table = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, stash
@@ -35,27 +35,26 @@ def place_of(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return (size.astype(np.int64) << REST_BITS) | np.minimum(rest, (1 << REST_BITS) - 1).astype(np.int64)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour, and no node both a lesser and a greater one."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) for the nodes of edges (a, b), by alternating large and small stars.
 
-    Every round is written to the shared folder, and the one before is deleted; the driver only compares a count and a
-    checksum.
+    Every round is written to the shared folder, and the one before is deleted; the driver only sees whether stars are left.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
-    while True:
-        new_mark = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if new_mark == mark or new_mark[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark = new_mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, now = now, stash(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct())
+    least = F.min("b").over(Window.partitionBy("a"))
+    while not _are_stars(now):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("m", F.least("a", least))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).withColumn("m", least)
+        small = large.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        before, now = now, stash(small.where("a <> b").distinct())
         discard(before)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _columns(batch: pa.RecordBatch, *numbers: int) -> list[np.ndarray]:
@@ -63,8 +62,18 @@ def _columns(batch: pa.RecordBatch, *numbers: int) -> list[np.ndarray]:
 
 
 def _lists(token: np.ndarray, node: np.ndarray, place: np.ndarray, need: Need, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """token, node, list number of the entries that some other entry of their token may match; entries are in order of token and place."""
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+    """token, node, list number, by size in each list, of the entries that some other entry of their token may match. Entries are in order of token."""
+
+    def alone(*columns: np.ndarray) -> np.ndarray:
+        """Rows that equal no neighbour."""
+        same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+        return ~(np.r_[False, same] | np.r_[same, False])
+
+    keep = ~alone(token)
+    token, node, place = token[keep], node[keep], place[keep]
+    order = np.lexsort((node, place, token))
+    token, node, place = token[order], node[order], place[order]
+    fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
     token, node, place = token[fresh], node[fresh], place[fresh]
     size, rest = place >> REST_BITS, place & ((1 << REST_BITS) - 1)
     rest = np.where(rest == (1 << REST_BITS) - 1, np.int64(1) << 40, rest)
@@ -100,36 +109,46 @@ def index_lists(entries: DataFrame, need: Need, ratio: float, block: int = BLOCK
 
     entries: token, node, place. ratio: nodes link only if the smaller size is at least so much of the other. A list over
     two blocks long comes in parts from 1 on, blocks in order of size that overlap by LEADERS nodes; others are part 0.
-    Entries come sorted, so a task holds one Arrow batch and the last token's rows, and of a long list only the last block.
+    Entries come in order of token, so a task holds one Arrow batch and the last token's rows, and of a list without an end
+    in sight only some blocks: these go out as parts as they come, unfiltered.
     """
-    names, kinds = ["token", "part", "nodes"], [pa.int64(), pa.int32(), pa.list_(pa.int64())]
-
-    def made(token: list, part: list, nodes: list[np.ndarray]) -> pa.RecordBatch:
-        offsets = pa.array(np.cumsum([0, *map(len, nodes)]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(token, kinds[0]), pa.array(part, kinds[1]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)))], names=names)
-
-    def whole(token: np.ndarray, node: np.ndarray, place: np.ndarray, parts: dict[int, int]) -> pa.RecordBatch:
-        token, node, at = _lists(token, node, place, need, ratio)
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
-        sizes = np.diff(np.r_[starts, len(at)])
-        long = (sizes > 2 * block) | np.isin(token[starts], list(parts))
-        if not long.any():
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(starts), dtype=np.int64)), pa.array(np.zeros(len(starts), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), pa.array(node))], names=names)
-        out: tuple[list, list, list] = ([], [], [])
-        for lo, n, cut in zip(starts.tolist(), sizes.tolist(), long.tolist(), strict=True):
-            t = int(token[lo])
-            for s in range(lo, max(lo + n - LEADERS, lo + 1), block) if cut else [lo]:
-                parts[t] = parts.get(t, 0) + 1 if cut else 0
-                out[0].append(t if cut else 0)
-                out[1].append(parts[t])
-                out[2].append(node[s : min(s + block + LEADERS, lo + n) if cut else lo + n])
-            if not cut:
-                del parts[t]
-        return made(*out)
+    names = ["token", "part", "nodes"]
+
+    def made(token: np.ndarray, part: np.ndarray, starts: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.r_[starts, len(node)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(node))], names=names)
+
+    def blocks(token: int, node: np.ndarray, before: int) -> pa.RecordBatch:
+        """Parts before + 1 and so on of one long list."""
+        cuts = [node[s : s + block + LEADERS] for s in range(0, max(len(node) - LEADERS, 1), block)]
+        return made(np.full(len(cuts), token), before + 1 + np.arange(len(cuts)), np.cumsum([0, *map(len, cuts[:-1])]), np.concatenate(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, dtype=np.int64)] * 3
-        parts: dict[int, int] = {}
+        parts = 0  # of the list that held goes on with
+
+        def long(rows: list[np.ndarray]) -> np.ndarray:
+            order = np.lexsort((rows[1], rows[2]))
+            node = rows[1][order]
+            return node[np.r_[True, node[1:] != node[:-1]]]
+
+        def done(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token, node, at = _lists(*rows, need, ratio)
+            if not len(at):
+                return
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sizes = np.diff(np.r_[starts, len(at)])
+            short = np.repeat(sizes <= 2 * block, sizes)
+            if short.any():
+                some = at[short]
+                firsts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+                yield made(np.zeros(len(firsts)), np.zeros(len(firsts)), firsts, node[short])
+            numbered: dict[int, int] = {}
+            for lo, n in zip(starts[sizes > 2 * block].tolist(), sizes[sizes > 2 * block].tolist(), strict=True):
+                found = blocks(int(token[lo]), node[lo : lo + n], numbered.get(int(token[lo]), 0))
+                numbered[int(token[lo])] = numbered.get(int(token[lo]), 0) + found.num_rows
+                yield found
+
         for batch in batches:
             rows = [np.concatenate([h, x]) for h, x in zip(held, _columns(batch, 0, 1, 2), strict=True)]
             if not len(rows[0]):
@@ -137,18 +156,24 @@ def index_lists(entries: DataFrame, need: Need, ratio: float, block: int = BLOCK
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             held = [x[last:] for x in rows]
             if last:
-                yield whole(*(x[:last] for x in rows), parts)
-                parts = {t: n for t, n in parts.items() if t == int(held[0][0])}
+                begins = 0
+                if parts:
+                    begins = int(np.searchsorted(rows[0], rows[0][0], side="right"))
+                    yield blocks(int(rows[0][0]), long([x[:begins] for x in rows]), parts)
+                    parts = 0
+                yield from done([x[begins:last] for x in rows])
             if len(held[0]) > 8 * block:
-                # A list without an end in sight: its blocks so far, and the last nodes again before the next.
-                t = int(held[0][0])
-                parts.setdefault(t, 0)
-                yield whole(*held, parts)
+                found = blocks(int(held[0][0]), long(held), parts)
+                parts += found.num_rows
+                yield found
                 held = [x[-LEADERS:] for x in held]
-        if len(held[0]):
-            yield whole(*held, parts)
+        if parts:
+            yield blocks(int(held[0][0]), long(held), parts)
+        elif len(held[0]):
+            yield from done(held)
 
-    ordered = entries.select("token", "node", "place").repartition("token").sortWithinPartitions("token", "place", "node")
+    # One sort key only: Spark then sorts by radix.
+    ordered = entries.select("token", "node", "place").repartition("token").sortWithinPartitions("token")
     found = ordered.mapInArrow(run, "token bigint, part int, nodes array<bigint>").distinct()
     return stash(found.select(F.when(F.col("part") == 0, F.xxhash64("nodes")).otherwise(F.col("token")).alias("list"), "part", "nodes"))
 
@@ -179,16 +204,18 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def leader_pairs(size: np.ndarray, sig: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a leader and each later node within the limit of it; what a leader takes is not compared again."""
+def leader_pairs(lists: np.ndarray, size: np.ndarray, sig: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a leader and each later node of its list within the limit of it; what a leader takes is not compared again. All lists go on together, a leader each at a time."""
     rest = np.arange(len(size))
     for _ in range(LEADERS):
-        if len(rest) < 2:
+        if not len(rest):
             return
-        head, rest = rest[0], rest[1:]
-        ok = _differ(sig[rest], sig[head]) <= limit(size[rest], size[head])
-        yield np.full(int(ok.sum()), head), rest[ok]
-        rest = rest[~ok]
+        here = lists[rest]
+        heads = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+        head = rest[np.repeat(heads, np.diff(np.r_[heads, len(rest)]))]
+        ok = (_differ(sig[rest], sig[head]) <= limit(size[rest], size[head])) & (rest != head)
+        yield head[ok], rest[ok]
+        rest = rest[~ok & (rest != head)]
 
 
 def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -227,15 +254,11 @@ def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lists, parts, node, size, sig), starts, counts in _by_list(batches, 2):
-            i = starts[counts == 2]
-            two = _differ(sig[i], sig[i + 1]) <= limit(size[i], size[i + 1])
-            found, opened = [(node[i[two]], node[i[two] + 1])], [(lists[i[parts[i] > 0]], parts[i[parts[i] > 0]])]
-            for lo, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-                here = [(node[lo + x], node[lo + y]) for x, y in leader_pairs(size[lo : lo + n], sig[lo : lo + n], limit) if len(x)]
-                found += here
-                if here or n > LEADERS or parts[lo]:
-                    opened.append((lists[lo : lo + 1], parts[lo : lo + 1].astype(np.int64)))
-            yield _pairs(found, opened)
+            at = np.repeat(np.arange(len(starts)), counts)
+            found = list(leader_pairs(at, size, sig, limit))
+            hit = np.bincount(at[np.concatenate([x for x, _ in found])], minlength=len(starts)) > 0
+            open_ = starts[((counts > 2) & hit) | (counts > LEADERS) | (parts[starts] > 0)]
+            yield _pairs([(node[x], node[y]) for x, y in found], [(lists[open_], parts[open_].astype(np.int64))])
 
     rows = lists.select("list", "part", F.explode("nodes").alias("node")).join(payload, "node").select("list", "part", "node", "size", "sig")
     return stash(rows.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").distinct())
