@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import documents, slices, texts_of
+from wicker.llm.common import documents, kept, slices, texts_of
 
 #: Fixed value: the published byte-level pattern that cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words whose tokens a worker remembers before it starts afresh; a bound on memory only.
-REMEMBERED = 400_000
+#: Characters of distinct words whose tokens a worker remembers before it starts afresh, and judged pairs; bounds on memory only.
+REMEMBERED, JUDGED = 4_000_000, 1_600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,6 +57,7 @@ class Codec:
         self.judged = np.empty(0, dtype=np.uint64)
         self.verdict = np.empty(0, dtype=bool)
         self.known: dict[str, bytes] = {}
+        self.known_chars = 0
         self.repaired = 0
 
     def merge(self, word: bytes) -> list[int]:
@@ -128,10 +128,12 @@ class Codec:
         fresh = [w for w in words if w not in self.known]
         if not fresh:
             return
-        if len(self.known) > REMEMBERED:
+        if self.known_chars > REMEMBERED:
             self.known.clear()
+            self.known_chars = 0
             fresh = list(words)
-        if len(self.judged) > 4 * REMEMBERED:
+        self.known_chars += sum(map(len, fresh))
+        if len(self.judged) > JUDGED:
             self.judged, self.verdict = self.judged[:0], self.verdict[:0]
         raws = [w.encode("utf-8", "surrogatepass") for w in fresh]
         proposals = [self.propose(r) for r in raws]
@@ -164,9 +166,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(f"codec {path}", lambda: Codec(path))
 
 
 def vocabulary_path() -> str:

@@ -20,16 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicker.llm.common import documents, mix, slices, stash, texts_of
+from wicker.llm.common import documents, kept, mix, slices, stash, texts_of
 
 #: Documents per language that training reads, about; the documented bound on the labelled sample.
 TRAIN_DOCS = 1500
 ROUNDS = 3
-#: Longer runs without white space are scored in cuts of this many characters.
-LONGEST_WORD = 48
-#: Words whose scores a worker remembers, from task to task, before it starts afresh; a bound on memory only.
-REMEMBERED = 600_000
-_SCORES: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+#: Characters of words whose scores a worker remembers, from task to task, before it starts afresh; a bound on memory only.
+REMEMBERED = 6_000_000
+#: Table cells that the forward algorithm works on at a time, about; a longer word is a batch of its own.
+CELLS = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -107,8 +106,17 @@ def vocabulary_path() -> str:
 
 
 def units(text: str) -> list[str]:
-    """Lower-cased words with the vocabulary's word mark; very long ones in cuts."""
-    return [c for w in text.lower().split() for c in ([f"▁{w}"] if len(w) < LONGEST_WORD else [f"▁{w}"[i : i + LONGEST_WORD] for i in range(0, len(w) + 1, LONGEST_WORD)])]
+    """Lower-cased words with the vocabulary's word mark."""
+    return [f"▁{w}" for w in text.lower().split()]
+
+
+def batches_of(words: list[str], languages: int) -> Iterator[np.ndarray]:
+    """Places of words of about one length, so that a batch's table has about CELLS cells, or one row."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(lengths, kind="stable")
+    cells = np.cumsum((lengths[order] + 1) * max(languages, 1)) // CELLS
+    bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(words) else []
+    yield from (order[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
 
 
 def _sum_into(table: np.ndarray, word: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
@@ -138,19 +146,19 @@ def forward(m: np.ndarray, lengths: np.ndarray, logp: np.ndarray) -> tuple[np.nd
 
 def word_scores(p: Pieces, words: list[str], logp: np.ndarray) -> np.ndarray:
     """log P(word | language) for each word and language."""
-    out = [np.empty((0, logp.shape[1]))]
-    for lo in range(0, len(words), 8192):
-        some = words[lo : lo + 8192]
+    out = np.empty((len(words), logp.shape[1]))
+    for at in batches_of(words, logp.shape[1]):
+        some = [words[i] for i in at.tolist()]
         lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-        out.append(forward(p.matches(some), lengths, logp)[0][np.arange(len(some)), lengths])
-    return np.concatenate(out)
+        out[at] = forward(p.matches(some), lengths, logp)[0][np.arange(len(some)), lengths]
+    return out
 
 
 def expected_counts(p: Pieces, words: list[str], weight: np.ndarray, column: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, [piece, language], of words with a weight and a language each."""
     total = np.zeros_like(logp)
-    for lo in range(0, len(words), 8192):
-        some = words[lo : lo + 8192]
+    for at in batches_of(words, logp.shape[1]):
+        some = [words[i] for i in at.tolist()]
         lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         m = p.matches(some)
         ahead, own = forward(m, lengths, logp)
@@ -160,10 +168,10 @@ def expected_counts(p: Pieces, words: list[str], weight: np.ndarray, column: np.
         for s in _steps(m[order, 1]):
             rows = order[s]
             _sum_into(behind, m[rows, 0], m[rows, 1], behind[m[rows, 0], m[rows, 2]] + own[rows])
-        k = column[lo : lo + 8192][m[:, 0]]
+        k = column[at][m[:, 0]]
         pick = np.arange(len(m))
         share = ahead[m[:, 0], m[:, 1], k] + own[pick, k] + behind[m[:, 0], m[:, 2], k] - ahead[m[:, 0], lengths[m[:, 0]], k]
-        np.add.at(total, (m[:, 3], k), np.exp(share) * weight[lo : lo + 8192][m[:, 0]])
+        np.add.at(total, (m[:, 3], k), np.exp(share) * weight[at][m[:, 0]])
     return total
 
 
@@ -223,12 +231,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, now = pieces(path), held.value.astype(np.float64)
-        index, known = _SCORES.get(name_of_model) or ({}, np.empty((0, len(langs))))
+        memory = kept(name_of_model, lambda: [{}, np.empty((0, len(langs))), 0])
+        index, known, held_chars = memory
         for batch in batches:
             for part in slices(batch, text_name):
                 texts = [t if t and langs and LETTER.search(t) else None for t in texts_of(part, text_name)]
-                if len(index) > REMEMBERED:
-                    index, known = {}, known[:0]
+                if held_chars > REMEMBERED:
+                    index, known, held_chars = {}, known[:0], 0
                 ids: list[int] = []
                 ends = []
                 for text in texts:
@@ -237,8 +246,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
                 fresh = list(index)[len(known) :]
                 if fresh:
                     known = np.concatenate([known, word_scores(p, fresh, now)])
-                    _SCORES.clear()
-                    _SCORES[name_of_model] = index, known
+                    held_chars += sum(map(len, fresh))
+                    memory[:] = index, known, held_chars
                 sums = np.zeros((len(ids) + 1, len(langs)))
                 if langs:
                     np.cumsum(known[ids], axis=0, out=sums[1:])
