@@ -14,8 +14,8 @@ from wicker.llm.common import documents
 
 #: Fixed value of the published algorithm: the generator's multiplier.
 MULTIPLIER = 2862933555777941757
-#: Rows of one shard are numbered in runs of this many consecutive ids, so that no task numbers a whole shard.
-SLOT_RUN_BITS = 16
+#: Rows of one shard are numbered in runs of about this many, dealt by a hash of the row, so that no task numbers a whole shard.
+RUN_ROWS = 1 << 18
 
 
 def _step(state: Column) -> Column:
@@ -50,15 +50,16 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `key`: id and shard count alone decide. size is the text's UTF-8 bytes plus 16. slot numbers each shard's rows
-    from 0 without gaps, by id, then text_crc32, then size. Null or empty text: size 16, crc 0. Null id: treated as id
-    -1. Repeated rows land in one shard and take neighbouring slots. An empty table gives no rows; other columns of the
-    input are not read.
+    from 0 without gaps, in order of a hash of id, text_crc32 and size, so that ids may be dense, sparse or null. Null or
+    empty text: size 16, crc 0. Null id: treated as id -1. Repeated rows land in one shard and take neighbouring slots.
+    An empty table gives no rows; other columns of the input are not read.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("to", jump_shards(F.col("k"), shards)).select("*", "to.*", F.shiftright("k", SLOT_RUN_BITS).alias("run")).drop("to")
+    rows = rows.withColumn("to", jump_shards(F.col("k"), shards)).select("*", "to.*").drop("to")
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("k", "text_crc32", "size"), F.lit(docs.count() // (shards * RUN_ROWS) + 1)))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n")).select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "run").orderBy("k", "text_crc32", "size")
