@@ -39,7 +39,13 @@ def random_pivots(dim: int) -> np.ndarray:
     return np.random.default_rng(dim).normal(size=(PIVOTS, dim))
 
 
+def near_one(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
+    v = near_one(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -50,8 +56,8 @@ def describe(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def usable(vector: str, label: str) -> Column:
     x = F.col(vector)
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e150)))
-    return F.coalesce(F.col(label).isNotNull() & x.isNotNull() & sound & F.exists(x, lambda v: F.abs(v) > F.lit(1e-150)), F.lit(False))
+    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(F.col(label).isNotNull() & x.isNotNull() & sound & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
 def _labels(link: np.ndarray) -> np.ndarray:
@@ -112,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for trio, i, j, cell in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), (x.values for x in batch.column(3)), strict=True):
                 node, part, copies, marks = (np.asarray(cell.field(k)) for k in range(4))
-                v = np.asarray(cell.field(4).flatten(), dtype=np.float64).reshape(len(node), -1)
+                v = near_one(np.asarray(cell.field(4).flatten(), dtype=np.float64).reshape(len(node), -1))
                 size = np.linalg.norm(v, axis=1)
                 link = (v @ v.T) / np.outer(size, size) >= threshold
                 np.fill_diagonal(link, False)
