@@ -58,13 +58,16 @@ def test_forward_sums_all_segmentations():
     logp = np.log(np.random.default_rng(1).dirichlet(np.ones(p.size), size=2).T)
 
     def total(word, k):
-        table = [1.0] + [0.0] * len(word)
+        table, scale = [1.0] + [0.0] * len(word), []
         m = p.matches([word])
         for end in range(1, len(word) + 1):
             table[end] = sum(table[s] * math.exp(logp[piece, k]) / 256.0**extra for _, s, e, piece, extra in m.tolist() if e == end)
-        return math.log(table[-1])
+            scale.append(0.0 if table[end] > 1e-100 else math.log(table[end]))
+            if scale[-1]:
+                table = [t / math.exp(scale[-1]) for t in table]
+        return math.log(table[-1]) + sum(scale)
 
-    words = ["▁the", "▁straße", "▁\U0001f600x", "▁" + "ab" * 20]
+    words = ["▁the", "▁straße", "▁\U0001f600x", "▁" + "ab" * 20, "▁" + "the" * 60, "▁ein" * 400]
     got = langid.word_scores(p, words, logp)
     assert np.allclose(got, [[total(w, k) for k in range(2)] for w in words])
 
@@ -77,13 +80,18 @@ def test_quality_accuracy(spark, docs):
 
 def test_nonnegative_risk_with_overlap():
     rng = np.random.default_rng(0)
-    width = quality.CLASSES**2 + quality.WORD_STATS
-    x = rng.normal(size=(8000, width))
+    x = rng.normal(size=(8000, quality.WIDTH))
     y = rng.random(8000) < 0.6
     x[:, 0] += 3 * y
-    m = quality.fit(x[:3000][y[:3000]], x[3000:6000], 0.6)
-    p = 1 / (1 + np.exp(-((x[6000:] - m["mean"]) / m["scale"] @ m["weight"] + m["bias"])))
-    assert ((p > 0.5) == y[6000:]).mean() > 0.85
+    w, prior = quality.fit(x[:3000][y[:3000]], x[3000:6000])
+    p = quality.sigmoid(x[6000:] @ w[:-1] + w[-1])
+    assert ((p > 0.5) == y[6000:]).mean() > 0.85 and abs(prior - 0.6) < 0.12
+
+
+def test_prior_of_separated_scores():
+    rng = np.random.default_rng(1)
+    positive, unlabelled = rng.normal(4, 1, 1000), np.r_[rng.normal(4, 1, 1200), rng.normal(-4, 1, 2800)]
+    assert abs(quality.estimate_prior(positive, unlabelled) - 0.3) < 0.05
 
 
 def test_bpe_round_trip_and_library(spark, sf_dir, docs):
@@ -137,12 +145,19 @@ def test_lm_scores(spark, sf_dir, docs):
             two[b, c] += 1
             three[a, b, c] += 1
     total, texts = sum(one.values()), sum(map(bool, words.values()))
-    one[None] = two[None, None] = texts
+    repeated = 0
     for r in queries.queries()["op3_lm_scoring"](spark, sf_dir).collect():
-        x, s = [None, None, *words[r["doc_id"]]], 0.0
+        w = words[r["doc_id"]]
+        x, s = [None, None, *w], 0.0
+        own1, own2, own3 = Counter(w), Counter(zip(x[1:], x[2:], strict=False)), Counter(zip(x, x[1:], x[2:], strict=False))
+        f1 = lambda c: one[c] - own1[c] if c is not None else texts - 1  # noqa: B023, E731
+        f2 = lambda b, c: two[b, c] - own2[b, c] if (b, c) != (None, None) else texts - 1  # noqa: B023, E731
         for a, b, c in zip(x, x[1:], x[2:], strict=False):
-            s += math.log(three[a, b, c] / two[a, b] if three[a, b, c] >= 2 else 0.4 * two[b, c] / one[b] if two[b, c] >= 2 else 0.16 * one[c] / total)
-        assert math.isclose(r["log_score"], s, abs_tol=1e-6)
+            f3 = three[a, b, c] - own3[a, b, c]
+            repeated += f3 > 0
+            s += math.log(f3 / f2(a, b) if f3 else 0.4 * f2(b, c) / f1(b) if f2(b, c) else 0.16 * f1(c) / (total - len(w)) if f1(c) else 0.064 / (total - len(w)))
+        assert math.isclose(r["log_sum"], s, abs_tol=1e-6) and (r["n_words"], r["score"] is None) == (len(w), not w)
+    assert repeated > 100
 
 
 def shingles(text, k):

@@ -85,7 +85,7 @@ def test_winnowing(docs, none):
 def test_lm_scoring(docs, none):
     got = lm_scoring.score(docs).collect()
     assert len(got) == len(ROWS) and lm_scoring.score(none).count() == 0
-    assert {(r["n_words"], r["log_score"], r["mean_log_score"]) for r in got if r["doc_id"] in (3, 4, 6)} == {(0, 0.0, None)}
+    assert {(r["n_words"], r["log_sum"], r["score"]) for r in got if r["doc_id"] in (3, 4, 6)} == {(0, 0.0, None)}
 
 
 def test_ngram_join(docs, none):
@@ -104,10 +104,11 @@ def test_line_dedup(docs, none):
 
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(1, [1.0, 0.0], 1), (2, [2.0, 0.001], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], None), (5, [1.0, 0.0], 2), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
-    vectors = spark.createDataFrame([(*r, 9, "n") for r in data], "vec_id bigint, embedding array<float>, label int, node int, rows string")
+    data = [(1, [1.0, 0.0], 1), (2, [2.0, 0.001], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], None), (5, [1.0, 0.0], 2), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (13, [5e-324, 0.0], 3), (14, [1.7e308, 1e300], 3), (15, [0.0, 1e-200], 3)]
+    vectors = spark.createDataFrame([(*r, 9, "n") for r in data], "vec_id bigint, embedding array<double>, label int, node int, rows string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(vectors).collect()}
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False)
+    assert got[13] == (1, 13, True) and got[14] == (1, 13, False) and got[15] == (0, 15, True)
     assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10, 11, 12)) and got[None][:2] == (0, None)
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 

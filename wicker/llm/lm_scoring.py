@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of every document under n-gram counts of the whole corpus.
+"""Stupid-backoff scores of every document under n-gram counts of the rest of the corpus.
 
 Documents are dealt into blocks. A block sends its distinct trigrams with their counts to the partition of their last
 two words' hash (exploded n-grams, packed and counted before the shuffle); its distinct words go to the partition of
@@ -6,13 +6,13 @@ their own hash. Each partition sums its part of the count tables over all blocks
 it asked. A block then joins the answers to its documents' n-grams and sums log scores per document. A bigram's count is
 the sum over the trigrams that end in it, as text starts are padded, so a trigram's partition holds its bigram too.
 
-Score of word c after a b, with counts f, tables keeping n-grams of order two and three seen min_count times:
-f(abc) / f(ab) if abc is kept; else 0.4 * f(bc) / f(b) if bc is kept; else 0.16 * f(c) / N.
+Score of word c after a b, with counts f over all documents but the one that is scored (so that a text's own n-grams do
+not vouch for it, and no n-gram has to be dropped for being rare): f(abc) / f(ab) if abc occurs there; else
+0.4 * f(bc) / f(b) if bc does; else 0.16 * f(c) / N if c does; else 0.064 / N.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +24,9 @@ from pyspark.sql import functions as F
 
 from wicker.llm.common import ascii_words, documents, hash_words, mix, slices, stash, texts_of
 
-ALPHA, MIN_COUNT = 0.4, 2
+ALPHA = 0.4
 #: Text bytes per block, and words that one partition of the count tables sums, about.
-BLOCK_BYTES, PARTITION_WORDS = 12 << 20, 5_000_000
-#: A word is known by this many bits of its hash: among a billion words, some two thousand pairs would share a number.
-WORD_BITS = 48
+BLOCK_BYTES, PARTITION_WORDS = 12 << 20, 2_500_000
 #: Stands before each text's first word, twice.
 START = np.uint64(0x5EED0F57A27)
 
@@ -41,11 +39,12 @@ def planes(x: np.ndarray) -> bytes:
 def pack(*columns: np.ndarray, rising: bool = True) -> bytes:
     """Columns of one length, compressed; a rising first one by its differences."""
     first = np.diff(columns[0], prepend=columns[0][:1] * 0) if rising else columns[0]
-    return zlib.compress(b"".join(map(planes, (first, *columns[1:]))), 1)
+    raw = b"".join(map(planes, (first, *columns[1:])))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, *kinds: str, rising: bool = True) -> list[np.ndarray]:
-    raw = zlib.decompress(data)
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
     for k in kinds:
         size = np.dtype(k).itemsize
@@ -68,7 +67,7 @@ class Block:
         b, a = (np.where(at >= k, np.roll(number, k), 0) for k in (1, 2))
         self.pairs, self.pair_at = np.unique(b * n + number, return_inverse=True)
         self.triples, self.triple_at, self.uses = np.unique(self.pair_at * n + a, return_inverse=True, return_counts=True)
-        self.b, self.context, self.n = b, a * n + b, n
+        self.n, self.first = n, at == 0
 
     @classmethod
     def of_hashes(cls, h: np.ndarray, counts: np.ndarray) -> Block:
@@ -129,32 +128,38 @@ def answer(requests: list[bytes]) -> list[bytes]:
     return [join([pack(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x, rising=False) for x in answers]) for answers in zip(total(1, 2), total(0, 2), total(3, 4), strict=True)]
 
 
-def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, min_count: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: sum of log scores without the corpus totals, words that divide by the number of texts, words that divide by the number of words."""
+def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: sum of log scores without the corpus totals, words that divide by the number of other texts, words that divide by the number of words of other texts."""
     triple_part, word_part = block.parts(partitions)
-    f3, f2, f1 = np.zeros(len(block.triples)), np.zeros(len(block.pairs)), np.ones(len(block.words) + 1)
+    f3, f2, f1 = np.zeros(len(block.triples)), np.zeros(len(block.pairs)), np.zeros(len(block.words) + 1)
     for part, data in answers.items():
         mine = np.flatnonzero(triple_part == part)
         f3[mine], f2[block.triples[mine] // block.n], f1[1:][word_part == part] = (read_counts(x, n) for x, n in zip(split(data), (len(mine), len(mine), int((word_part == part).sum())), strict=True))
-    t, p = f3[block.triple_at], f2[block.pair_at]
-    at_start = block.context == 0
-    context = np.where(at_start, 1.0, f2[np.minimum(np.searchsorted(block.pairs, block.context), len(f2) - 1)])
-    whole, half = t >= min_count, (t < min_count) & (p >= min_count)
-    with np.errstate(divide="ignore"):
-        each = np.where(whole, np.log(t) - np.log(context), np.where(half, np.log(alpha) + np.log(p) - np.log(f1[block.b]), 2 * np.log(alpha) + np.log(f1[block.number])))
-    texts = (whole & at_start) | (half & (block.b == 0))
     of = np.repeat(np.arange(len(block.counts)), block.counts)
+
+    def elsewhere(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+        _, nth, own = np.unique(of * len(f) + at, return_inverse=True, return_counts=True)
+        return f[at] - own[nth]
+
+    t, p, w = elsewhere(f3, block.triple_at), elsewhere(f2, block.pair_at), elsewhere(f1, block.number)
+    # The pair and the word that come before a word are those of the place before it.
+    context, before = (np.where(block.first, 1.0, np.roll(x, 1)) for x in (p, w))
+    whole, half = t > 0, (t <= 0) & (p > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        last = np.where(w > 0, 2 * np.log(alpha) + np.log(w), 3 * np.log(alpha))
+        each = np.where(whole, np.log(t) - np.log(context), np.where(half, np.log(alpha) + np.log(p) - np.log(before), last))
     add = lambda x: np.bincount(of, weights=x, minlength=len(block.counts)).astype(np.float64)
-    return add(each), add(texts), add(~whole & ~half)
+    return add(each), add(block.first & (whole | half)), add(~whole & ~half)
 
 
-def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, partition_words: int = PARTITION_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, log_score (sum of natural logs), mean_log_score.
+def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, partition_words: int = PARTITION_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, score (mean natural log of the words' scores), n_words, log_sum (their sum).
 
-    Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts have no words, log_score 0 and a
-    null mean. Repeated rows count as often as they stand and get equal scores; ids and nulls pass through; other columns
-    are not read; an empty table gives no rows. Counts cover every row and whole texts. docs should read a table, so that
-    a task that runs again sees its rows in the same order.
+    Words are runs without ASCII white space, A-Z lower-cased, and equal when their 64-bit hashes are. Null and empty
+    texts have no words, log_sum 0 and a null score. Repeated rows count as often as they stand, each vouches for the
+    others, and they get equal scores; ids and nulls pass through; other columns are not read; an empty table gives no
+    rows. Counts cover every row and whole texts. docs should read a table, so that a task that runs again sees its rows
+    in the same order.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
@@ -185,7 +190,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
             for part in slices(batch, "text"):
                 texts = texts_of(part)
                 words, n = ascii_words(texts)
-                hashes.append(hash_words(words) >> np.uint64(64 - WORD_BITS))
+                hashes.append(hash_words(words))
                 counts.append(n)
                 ids += part.column(0).to_pylist()
                 held += sum(map(len, words)) + len(words)
@@ -227,7 +232,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
                     continue
                 words, number, counts = split(batch.column(4)[k].as_py())
                 block = Block(unpack(words, "<u8")[0], unpack(number, "<u4", rising=False)[0].astype(np.int64), unpack(counts, "<i8", rising=False)[0])
-                total, texts, singles = partial_scores(block, answers, partitions, min_count, alpha)
+                total, texts, singles = partial_scores(block, answers, partitions, alpha)
                 answers = {}
                 yield pa.RecordBatch.from_arrays([batch.column(5)[k].values, pa.array(block.counts), pa.array(total), pa.array(texts), pa.array(singles)], names=["doc_id", "n_words", "total", "by_texts", "by_words"])
 
@@ -235,8 +240,9 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, blo
     summed = asked.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(sum_up, schema)
     scored = stash(summed.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(finish, f"doc_id {kind}, n_words bigint, total double, by_texts double, by_words double"))
     all_words, all_texts = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.when(F.col("n_words") > 0, 1))).first()
-    log_score = F.col("total") - F.col("by_texts") * F.lit(float(np.log(max(all_texts, 1)))) - F.col("by_words") * F.lit(float(np.log(max(all_words, 1))))
-    return scored.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))
+    others = F.log(F.greatest(F.lit(all_words) - F.col("n_words"), F.lit(1)).cast("double"))
+    log_sum = F.col("total") - F.col("by_texts") * F.lit(float(np.log(max(all_texts - 1, 1)))) - F.col("by_words") * others
+    return scored.select("doc_id", F.when(F.col("n_words") > 0, log_sum / F.col("n_words")).alias("score"), "n_words", log_sum.alias("log_sum"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
