@@ -13,7 +13,7 @@ from wicker.llm import bpe, langid
 from wicker.llm.common import documents, stash
 from wicker.llm.line_dedup import dedup_lines
 from wicker.llm.mixing import mixture
-from wicker.llm.ngram_join import join_groups
+from wicker.llm.ngram_join import keep_first
 
 #: A document stays if its language is known with at least this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -37,18 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of every group of near duplicates; documents without words or id pass."""
-    gone = join_groups(docs, WORDS_EACH, PERCENT).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Keeps the row with the least id of every group of near duplicates, one of equal rows; rows without words or id pass."""
+    return keep_first(docs, WORDS_EACH, PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in order: documents as often as it takes them."""
+    """The mix in order: rows as often as it takes them. Null and empty texts are in no mix; equal rows are interchangeable."""
     return mixture(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (whether the ids decode to the text) of each row of the mix."""
+    """doc_id, n_tokens, ids and round_trip (whether the ids decode to the text) of each row of the mix, repeats included; a null text counts as empty."""
     found = bpe.encode(docs, bpe.vocabulary_path(), carry=True)
     return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
