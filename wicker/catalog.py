@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths, text
 from wicker.functions.dates import explicit_zone_epoch, is_iso_date
-from wicker.operators import graph, parse, query, rules
+from wicker.operators import graph, parse, query, reports, rules
 from wicker.plans import indexes, migration
 from wicker.sources import tables
 from wicker.streaming import changes as stream
@@ -319,6 +319,61 @@ def budget_cutoff(spark, sf_dir):
     return query.cut_off(rows, 1_000_000).select("path", "cost", "state")
 
 
+@register("vocabulary_growth", "SELECT id || '.md' AS path, sum(CASE WHEN type <> '' AND first THEN 1 ELSE 0 END) OVER (ORDER BY id || '.md')::BIGINT AS types FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id || '.md') = 1 AS first FROM c)")
+def vocabulary_growth(spark, sf_dir):
+    return reports.vocabulary_growth(_parsed(spark, sf_dir)).select("path", F.col("types").cast("long").alias("types"))
+
+
+@register("bundle_verdict", "SELECT count(*) AS findings, max(CASE category WHEN 'conformance' THEN 1 ELSE 0 END) AS exit_code FROM (SELECT DISTINCT code, category, id, subject FROM f)")
+def bundle_verdict(spark, sf_dir):
+    return reports.verdicts(rules.distinct_findings(_findings(spark, sf_dir))).drop("bundle_id")
+
+
+@register("diagnostics", "SELECT 'mem://tables/' || id || '.md' AS uri, string_agg(severity || ' ' || code || ' ' || subject, chr(10) ORDER BY CASE category WHEN 'conformance' THEN 0 ELSE 1 END, code, subject) AS lines FROM (SELECT DISTINCT * FROM f WHERE code <> 'okf.curation.orphan-concept') GROUP BY 1")
+def diagnostics(spark, sf_dir):
+    found = reports.diagnostics(rules.distinct_findings(_findings(spark, sf_dir)), f"{rules.PREFIX}.curation.orphan-concept")
+    return found.select("uri", F.array_join(F.transform("diagnostics", lambda d: F.concat_ws(" ", d["severity"], d["code"], d["subject"])), "\n").alias("lines"))
+
+
+@register("finding_lines", "SELECT 'mem://tables/' || id || '.md' AS uri, upper(severity) || ' ' || code || ' mem://tables/' || id || '.md' || CASE WHEN subject <> '' THEN ' (' || subject || ')' ELSE '' END AS line FROM (SELECT DISTINCT * FROM f)")
+def finding_lines(spark, sf_dir):
+    return reports.lines(rules.distinct_findings(_findings(spark, sf_dir))).drop("bundle_id")
+
+
+@register("graph_budgets", "SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM l WHERE class = 'broken') AS broken, (SELECT count(DISTINCT type) FROM c) AS types, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM c)) AS tags, (SELECT sum(len(tags)) FROM c)::BIGINT AS tag_uses")
+def graph_budgets(spark, sf_dir):
+    _, resolved, nodes = _graph(spark, sf_dir)
+    return reports.budgets(nodes, _edges(spark, sf_dir), graph.broken_links(resolved)).drop("bundle_id", "json_bytes")
+
+
+@register("refused_bundles", "SELECT lang AS bundle_id, count(*) AS documents FROM documents GROUP BY 1 HAVING count(*) > 100", facts=False)
+def refused_bundles(spark, sf_dir):
+    return reports.refused(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "bundle_id"), 100)
+
+
+@register("root_classification", "SELECT '0.2' AS version, 'supported' AS verdict, 'Tables' AS label", facts=False)
+def root_classification(spark, sf_dir):
+    return reports.root_class(_parsed(spark, sf_dir)).drop("bundle_id")
+
+
+@register("folder_children", f", {_FOLDERS} SELECT regexp_replace(folder, '/?[^/]+$', '') AS folder, 0 AS kind, regexp_extract(folder, '[^/]*$') AS label, folder AS path FROM (SELECT DISTINCT folder FROM up WHERE folder <> '') UNION ALL SELECT regexp_replace(id, '/?[^/]*$', ''), 1, coalesce(title, id), id FROM c")
+def folder_children(spark, sf_dir):
+    return query.children(_graph(spark, sf_dir)[2]).drop("bundle_id")
+
+
+@register("link_occurrences", "SELECT source, nth, target, coalesce(c.title, target) AS title, row_number() OVER (PARTITION BY source, target ORDER BY nth) - 1 AS again FROM e JOIN c ON c.id = target")
+def link_occurrences(spark, sf_dir):
+    found = query.occurrences(_edges(spark, sf_dir), _graph(spark, sf_dir)[2])
+    return found.select("source", F.col("nth").cast("long").alias("nth"), "target", "title", "again")
+
+
+@register("present_names", "SELECT DISTINCT p AS name, p IN (SELECT id FROM c) AS node_exists, p IN (SELECT regexp_replace(id, '/?[^/]*$', '') FROM c) OR p IN (SELECT DISTINCT split_part(id, '/', 1) FROM c WHERE contains(id, '/')) AS folder_exists FROM (SELECT 'region/' || r_name AS p FROM region UNION ALL SELECT 'order/' || o_orderpriority FROM orders UNION ALL SELECT 'none/' || n_name FROM nation)")
+def present_names(spark, sf_dir):
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    names = table("region").select(F.concat(F.lit("region/"), "r_name").alias("name")).unionByName(table("orders").select(F.concat(F.lit("order/"), "o_orderpriority").alias("name"))).unionByName(table("nation").select(F.concat(F.lit("none/"), "n_name").alias("name"))).distinct()
+    return query.present(_graph(spark, sf_dir)[2], names.withColumn("bundle_id", F.lit(tables.BUNDLE))).drop("bundle_id")
+
+
 @register("keyboard_neighbours", "SELECT conv_id, turn, coalesce(lead(turn) OVER w, min(turn) OVER (PARTITION BY conv_id)) AS next, coalesce(lag(turn) OVER w, max(turn) OVER (PARTITION BY conv_id)) AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", facts=False)
 def keyboard_neighbours(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -332,7 +387,7 @@ def sample_summary(spark, sf_dir):
 
 #: Events stand for workspace changes; their spacing makes hours of what a workspace has in milliseconds.
 _QUIET, _LONGEST = 6 * 3600_000, 24 * 3600_000
-_CHANGES = "chg AS (SELECT user_id::VARCHAR AS bundle_id, ts, epoch_ms(ts) AS ms, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'change' END AS kind, 'doc-' || (event_id % 7) || '.md' AS uri FROM events)"
+_CHANGES = "chg AS (SELECT user_id::VARCHAR AS bundle_id, ts, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'change' END AS kind, 'doc-' || (event_id % 7) || '.md' AS uri FROM events)"
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:

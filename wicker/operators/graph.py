@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wicker.functions import paths
 from wicker.functions.text import base36, utf16_key
 from wicker.operators.parse import concepts, has_field, links
+from wicker.operators.running import running
 
 
 def resolve(raw_links: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -25,9 +26,9 @@ def resolve(raw_links: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def dense_position(df: DataFrame, within: list[str], group: str, order: list) -> DataFrame:
-    """Adds position: 0, 1, ... over (group, order) in each `within`. Rows are numbered inside a group and groups by their counts, so no task holds all rows of a bundle."""
-    before = Window.partitionBy(*within).orderBy(utf16_key(F.col(group))).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*within, group).agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    """Adds position: 0, 1, ... over (group, order) in each `within`. Rows are numbered inside a group, and groups by running sums of their counts over runs, so no task holds all rows or all groups of a bundle."""
+    counts = df.groupBy(*within, group).agg(F.count(F.lit(1)).alias("n"))
+    starts = running(counts, within, utf16_key(F.col(group)), {"start": F.col("n")}).withColumn("start", F.col("start") - F.col("n")).drop("n")
     inside = Window.partitionBy(*within, group).orderBy(*order)
     return df.join(starts, [*within, group]).withColumn("position", F.col("start") + F.row_number().over(inside) - 1).drop("start")
 

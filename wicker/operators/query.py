@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions.paths import folder_of, in_folder
 from wicker.functions.text import search_form, utf16_key
+from wicker.operators.running import running
 
 
 @dataclass(frozen=True)
@@ -92,12 +93,46 @@ def neighbours(rows: DataFrame, within: list[str], order: str) -> DataFrame:
 
 
 def cut_off(rows: DataFrame, limit: int, within: str = "bundle_id", order: str = "path", cost: str = "cost") -> DataFrame:
-    """Adds state: kept, over (the first row whose cost does not fit) or skipped (all after it). Rows are small: ids and costs."""
-    w = Window.partitionBy(within).orderBy(utf16_key(F.col(order))).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("total", F.sum(cost).over(w))
+    """Adds total (running cost) and state: kept, over (the first row whose cost does not fit) or skipped (all after it). Groups are summed by runs, so none is held by one task."""
+    run = running(rows, [within], utf16_key(F.col(order)), {"total": F.col(cost)})
     over = F.col("total") > limit
-    first = F.min(F.when(over, F.struct(utf16_key(F.col(order)), F.col(order).alias("o")))).over(Window.partitionBy(within))["o"]
-    return run.withColumn("state", F.when(~over, "kept").when(F.col(order) == first, "over").otherwise("skipped"))
+    first = run.where(over).groupBy(F.col(within).alias("_within")).agg(F.min(F.struct(utf16_key(F.col(order)).alias("k"), F.col(order).alias("o")))["o"].alias("_first"))
+    joined = run.join(first, F.col(within) == F.col("_within"), "left")
+    return joined.select(*run.columns, F.when(~over, "kept").when(F.col(order) == F.col("_first"), "over").otherwise("skipped").alias("state"))
+
+
+def present(node_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (bundle_id, name) with node_exists (a node has this id) and folder_exists (a node stands below it; the root '' always)."""
+    ids = node_rows.select("bundle_id", F.col("id").alias("name")).distinct().withColumn("_node", F.lit(True))
+    held = folders(node_rows).select("bundle_id", F.col("folder").alias("name")).withColumn("_folder", F.lit(True))
+    joined = wanted.join(ids, ["bundle_id", "name"], "left").join(held, ["bundle_id", "name"], "left")
+    return joined.select("bundle_id", "name", F.col("_node").isNotNull().alias("node_exists"), (F.col("_folder").isNotNull() | (F.col("name") == "")).alias("folder_exists"))
+
+
+def children(node_rows: DataFrame) -> DataFrame:
+    """bundle_id, folder, kind (0 folder, 1 node), label, path: what each folder shows, folders first; ordered_children sorts it."""
+    below = folders(node_rows).where("folder <> ''").select("bundle_id", F.col("parent").alias("folder"), F.lit(0).alias("kind"), "label", F.col("folder").alias("path"))
+    own = node_rows.select("bundle_id", folder_of(F.col("id")).alias("folder"), F.lit(1).alias("kind"), F.coalesce("title", "id").alias("label"), F.col("id").alias("path"))
+    return below.unionByName(own)
+
+
+def ordered_children(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("bundle_id", utf16_key(F.col("folder")), "kind", utf16_key(F.col("label")), utf16_key(F.col("path")))
+
+
+def occurrences(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
+    """bundle_id, source, nth, target, title, again: each outgoing link with its target's title, and how many earlier links of the source go to the same target.
+
+    Rows are numbered within one source and target, which one document bounds.
+    """
+    titles = node_rows.select("bundle_id", F.col("id").alias("target"), F.coalesce("title", "id").alias("title"))
+    again = F.row_number().over(Window.partitionBy("bundle_id", "source", "target").orderBy("nth")) - 1
+    return edge_rows.join(titles, ["bundle_id", "target"], "left").select("bundle_id", "source", "nth", "target", "title", again.cast("long").alias("again"))
+
+
+def toggled(chosen: list[str], value: str) -> list[str]:
+    """A selection with one value put in or taken out."""
+    return [v for v in chosen if v != value] if value in chosen else [*chosen, value]
 
 
 def sample_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:

@@ -11,6 +11,8 @@ from wicker.operators.parse import concepts
 
 #: Lines around the managed region; a caller with documents that hold other markers names those.
 START, END = "<!-- index:start -->", "<!-- index:end -->"
+#: Entries that an index document may list; a larger directory gets none.
+MOST_ENTRIES = 500_000
 
 
 def directories(parsed: DataFrame) -> DataFrame:
@@ -33,17 +35,19 @@ def entries(parsed: DataFrame) -> DataFrame:
     return own.unionByName(below.select("bundle_id", directory_name(F.col("directory")).alias("directory"), F.lit(1).alias("kind"), "name", line.alias("line")))
 
 
-def regions(parsed: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """bundle_id, directory, region: the managed text of each directory. An index file is one text, so its lines meet in one row."""
-    gathered = entries(parsed).groupBy("bundle_id", "directory").agg(F.sort_array(F.collect_list(F.struct("kind", utf16_key(F.col("name")).alias("key"), "line"))).alias("all"))
+def regions(parsed: DataFrame, start: str = START, end: str = END, most: int = MOST_ENTRIES) -> DataFrame:
+    """bundle_id, directory, region: the managed text of each directory. An index file is one text, so its lines meet in one row; directories of more than `most` entries are left out, as plan() refuses them."""
+    each = entries(parsed)
+    big = each.groupBy("bundle_id", "directory").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bundle_id", "directory")
+    gathered = each.join(big, ["bundle_id", "directory"], "left_anti").groupBy("bundle_id", "directory").agg(F.sort_array(F.collect_list(F.struct("kind", utf16_key(F.col("name")).alias("key"), "line"))).alias("all"))
     text = F.concat(F.lit(f"{start}\n## Contents\n\n"), F.array_join(F.transform("all", lambda e: F.concat(e["line"], F.lit("\n"))), ""), F.lit(f"{end}\n"))
-    return directories(parsed).join(gathered.select("bundle_id", "directory", text.alias("region")), ["bundle_id", "directory"], "left").withColumn("region", F.coalesce("region", F.lit(f"{start}\n## Contents\n\n{end}\n")))
+    return directories(parsed).join(big, ["bundle_id", "directory"], "left_anti").join(gathered.select("bundle_id", "directory", text.alias("region")), ["bundle_id", "directory"], "left").withColumn("region", F.coalesce("region", F.lit(f"{start}\n## Contents\n\n{end}\n")))
 
 
-def plan(parsed: DataFrame, start: str = START, end: str = END, version: str = "0.2") -> DataFrame:
-    """bundle_id, path, operation (create, update, keep, refuse), text. Existing text changes only between its markers, which must be one pair of whole lines; without markers the region is appended."""
+def plan(parsed: DataFrame, start: str = START, end: str = END, version: str = "0.2", most: int = MOST_ENTRIES) -> DataFrame:
+    """bundle_id, path, operation (create, update, keep, refuse), text. Existing text changes only between its markers, which must be one pair of whole lines; without markers the region is appended. Refused are other markers, and directories of more than `most` entries."""
     existing = parsed.where("reserved = 'index' AND failure IS NULL").select("bundle_id", directory_name(F.col("path")).alias("directory"), F.col("text").alias("old"))
-    joined = regions(parsed, start, end).join(existing, ["bundle_id", "directory"], "left")
+    joined = directories(parsed).join(regions(parsed, start, end, most), ["bundle_id", "directory"], "left").join(existing, ["bundle_id", "directory"], "left")
     lines = lambda marker: F.size(F.filter(F.split("old", "\n", -1), lambda x: x == marker))
     pattern = "(?s)(^|\\n)" + F"\\Q{start}\\E\\n.*?\\Q{end}\\E(\\n|$)"
     paired = (lines(start) == 1) & (lines(end) == 1) & F.col("old").rlike(pattern)
