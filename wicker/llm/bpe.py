@@ -24,7 +24,7 @@ from wicker.llm.common import documents, kept, slices, texts_of
 #: Fixed value: the published byte-level pattern that cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of distinct words whose tokens a worker remembers before it starts afresh, and judged pairs; bounds on memory only.
-REMEMBERED, JUDGED = 4_000_000, 1_600_000
+REMEMBERED, JUDGED = 2_000_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 coded = c.encode_batch([t or "" for t in texts_of(part)])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int64)))
@@ -205,7 +205,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 coded = c.encode_batch([t or "" for t in texts_of(part)])
                 ids = [hashlib.sha256(x).hexdigest() for x in coded]
                 back = [hashlib.sha256(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in coded]

@@ -26,9 +26,9 @@ from wicker.llm.common import documents, kept, mix, slices, stash, texts_of
 TRAIN_DOCS = 1500
 ROUNDS = 3
 #: Characters of words whose scores a worker remembers, from task to task, before it starts afresh; a bound on memory only.
-REMEMBERED = 6_000_000
+REMEMBERED = 3_000_000
 #: Table cells that the forward algorithm works on at a time, about; a longer word is a batch of its own.
-CELLS = 1 << 20
+CELLS = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
         memory = kept(name_of_model, lambda: [{}, np.empty((0, len(langs))), 0])
         index, known, held_chars = memory
         for batch in batches:
-            for part in slices(batch, text_name):
+            for part in slices(batch, text_name, 1 << 20):
                 texts = [t if t and langs and LETTER.search(t) else None for t in texts_of(part, text_name)]
                 if held_chars > REMEMBERED:
                     index, known, held_chars = {}, known[:0], 0
