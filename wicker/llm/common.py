@@ -125,7 +125,18 @@ def id_marks(wanted: DataFrame) -> tuple[Broadcast, Callable[[Column], Column]]:
     return wanted.sparkSession.sparkContext.broadcast(table.ravel()), place
 
 
-def marked_rows(batch: pa.RecordBatch, table: np.ndarray, column: int) -> pa.RecordBatch:
-    """The rows whose place in the bit map, in the given column, is marked."""
+def marked_rows(batch: pa.RecordBatch, table: np.ndarray, column: int, marked: bool = True) -> pa.RecordBatch:
+    """The rows whose place in the bit map, in the given column, is marked, or the others; a null place is not."""
     p = np.asarray(pc.fill_null(batch.column(column), 0), dtype=np.int64)
-    return batch.filter(pa.array((table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+    hit = pc.and_(pa.array((table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1), pc.is_valid(batch.column(column)))
+    return batch.filter(hit if marked else pc.invert(hit))
+
+
+def by_marks(df: DataFrame, held: Broadcast, place: str) -> tuple[DataFrame, DataFrame]:
+    """df's rows that are marked by their place (a column), and the others."""
+    at = df.columns.index(place)
+
+    def part(marked: bool) -> DataFrame:
+        return df.mapInArrow(lambda batches: (marked_rows(batch, held.value, at, marked) for batch in batches), df.schema)
+
+    return part(True), part(False)

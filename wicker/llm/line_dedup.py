@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.common import discard, documents, hash_words, id_marks, kept, marked_rows, mix, slices, stash, texts_of
+from wicker.llm.common import by_marks, discard, documents, hash_words, id_marks, kept, marked_rows, mix, slices, stash, texts_of
 from wicker.llm.linking import REST_BITS, find_groups
 from wicker.llm.ngram_join import CHUNK, COUNTERS, classes_of
 
@@ -268,8 +268,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     """
     rows = docs.withColumns({"_line_id": F.col(id_col).cast("long"), "_line_version": F.xxhash64(text_col)})
     gone = duplicate_lines(rows.select(F.col("_line_id").alias("doc_id"), F.col("_line_version").alias("version"), F.col(text_col).alias("text")), similarity)
+    held, place = id_marks(gone.select(F.col("doc_id").alias("id")))
     gone = gone.select(F.col("doc_id").alias("_drop_id"), F.col("version").alias("_drop_version"), F.col("drop").alias("_line_drop"))
-    joined = rows.join(gone, (F.col("_line_id") == F.col("_drop_id")) & (F.col("_line_version") == F.col("_drop_version")), "left")
+    # Only documents that may lose a line meet the answers in a shuffle of their texts.
+    touched, others = by_marks(rows.withColumn("_line_place", F.when(F.col("_line_id").isNotNull(), place(F.col("_line_id")))), held, "_line_place")
+    joined = touched.join(gone, (F.col("_line_id") == F.col("_drop_id")) & (F.col("_line_version") == F.col("_drop_version")), "left")
+    joined = joined.drop("_drop_id", "_drop_version").unionByName(others.withColumn("_line_drop", F.lit(None).cast("array<bigint>")))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_line_drop", i.cast("long"))), "\n")
     text = F.when(F.col("_line_drop").isNull(), F.col(text_col)).otherwise(kept)
