@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -43,6 +44,12 @@ def jump(key, shards):
 def test_sharding(spark, sf_dir, docs):
     got = queries.queries()["op2_sharding"](spark, sf_dir).collect()
     assert all(r["shard"] == jump(r["doc_id"], 40) and r["grown_shard"] == jump(r["doc_id"], 41) for r in got) and len(got) == len(docs)
+    for r in got:
+        text = (docs[r["doc_id"]]["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(text) + 16, zlib.crc32(text), "key")
+    for k in range(40):
+        slots = [r["slot"] for r in got if r["shard"] == k]
+        assert sorted(slots) == list(range(len(slots)))
     keys = spark.createDataFrame([(k, "t") for k in (-1, -(2**63), 2**63 - 1, 2**40)], "doc_id bigint, text string")
     assert all(r["shard"] == jump(r["doc_id"], 7) for r in sharding.shard(keys, 7).collect())
 
@@ -72,6 +79,41 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[total(w, k) for k in range(2)] for w in words])
 
 
+def test_identify_against_plain_sums(spark, docs):
+    path = langid.vocabulary_path()
+    p, rng = langid.pieces(path), np.random.default_rng(2)
+    logp = np.log(rng.dirichlet(np.full(p.size, 0.3), size=3).T + 1e-9)
+    some = {i: r["text"][:300] for i, r in list(docs.items())[:12]} | {-1: "", -2: "1 2", -3: "a"}
+    df = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in langid.identify(df, (["a", "b", "c"], logp), path).collect()}
+    low = logp.astype(np.float32).astype(float)
+    for i, t in some.items():
+        if not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        sums = np.zeros(3)
+        for word in t.lower().split():
+            table = np.zeros((len(word) + 2, 3))
+            table[0] = 1
+            m = p.matches(["▁" + word])
+            for _, s, e, piece, extra in sorted(m.tolist(), key=lambda x: x[2]):
+                table[e] += table[s] * np.exp(low[piece]) / 256.0**extra
+            sums += np.log(table[-1])
+        post = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+        assert got[i]["lang_pred"] == "abc"[int(sums.argmax())] and math.isclose(got[i]["score"], post.max(), rel_tol=1e-6)
+
+
+def test_quality_scores_are_the_models(spark, docs):
+    some = list(docs.items())[:20]
+    df = spark.createDataFrame([(i, r["text"]) for i, r in some], "doc_id bigint, text string")
+    rng = np.random.default_rng(3)
+    model = {"weight": rng.normal(size=quality.WIDTH), "bias": np.array(0.1), "prior": np.array(0.5)}
+    for r in quality.score(df, model).collect():
+        x = quality.features([docs[r["doc_id"]]["text"]])[0].astype(float)
+        expected = 1 / (1 + math.exp(-min(max(float(x @ model["weight"]) + 0.1, -30), 30)))
+        assert math.isclose(r["score"], expected, rel_tol=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_quality_accuracy(spark, docs):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [r for r in queries.queries()["op4_quality"](spark, "/root/testdata/sf0.01").collect() if r["held_out"] and r["doc_id"] in labels]
@@ -132,7 +174,9 @@ def test_winnowing(spark, sf_dir, docs):
         text, n = docs[i]["text"], len(docs[i]["text"])
         edited = text[: n - n // 4] + docs[nxt]["text"][: n // 4]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == n
-        assert got[i]["near_next"] == winnowing.likeness(*(winnowing.winnow([t])[0][0] for t in (text, docs[nxt]["text"])))
+        own, changed, after = ({h for h, _ in plain(t)} for t in (text, edited, docs[nxt]["text"])) if i in ids[:40] else ({int(x) for x in winnowing.winnow([t])[0][0]} for t in (text, edited, docs[nxt]["text"]))
+        assert math.isclose(got[i]["near_edited"], len(own & changed) / len(own | changed)) and math.isclose(got[i]["near_next"], len(own & after) / len(own | after))
+        assert {int(got[i]["fingerprint"][k : k + 16], 16) for k in range(0, len(got[i]["fingerprint"]), 24)} == own
 
 
 def test_lm_scores(spark, sf_dir, docs):
@@ -226,19 +270,13 @@ def test_cross_pairs_skip_no_pair():
     assert got == {(a, b) for a, b in combinations(range(80), 2) if group[a] != group[b] and abs(size[a] - size[b]) <= 2 and (bits[a] != bits[b]).sum() <= 12}
 
 
-def test_line_dedup(spark, docs):
-    rng = np.random.default_rng(5)
-    made = {i: r["text"] for i, r in list(docs.items())[:90]}
-    for i in sorted(made)[:60]:
-        lines = made[i].split("\n")
-        made[1000 + i] = "\n".join(" ".join(w for k, w in enumerate(line.split()) if k != rng.integers(0, 40)) for line in lines)
+def plain_line_dedup(made):
     occurrences = [(i, k, line) for i in sorted(made) for k, line in enumerate(line_dedup.normal_lines(made[i])) if line]
     first = {}
     for i, k, line in occurrences:
         first.setdefault(tuple(line), (i, k))
     nodes = list(first)
     links = [(a, b) for a, b in combinations(range(len(nodes)), 2) if 0.8 * max(len(nodes[a]), len(nodes[b])) <= min(len(nodes[a]), len(nodes[b])) + 1e-9 and line_dedup.edit_similarity(list(nodes[a]), list(nodes[b]), 0.8) >= 0.8 - 1e-9]
-    assert links
     group = groups(range(len(nodes)), links)
     number, stay = {n: k for k, n in enumerate(nodes)}, {}
     for n in nodes:
@@ -247,8 +285,62 @@ def test_line_dedup(spark, docs):
     for i, k, line in occurrences:
         if stay[group[number[tuple(line)]]] != (i, k):
             drop[i].add(k)
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i]) for i, t in made.items()}, drop, links
+
+
+def test_line_dedup(spark, docs):
+    rng = np.random.default_rng(5)
+    made = {i: r["text"] for i, r in list(docs.items())[:90]}
+    for i in sorted(made)[:60]:
+        lines = made[i].split("\n")
+        made[1000 + i] = "\n".join(" ".join(w for k, w in enumerate(line.split()) if k != rng.integers(0, 40)) for line in lines)
+    expected, _, links = plain_line_dedup(made)
+    assert links
     got = line_dedup.dedup_lines(spark.createDataFrame(list(made.items()), "doc_id bigint, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i]) for i, t in made.items()}
+    assert {r["doc_id"]: r["text"] for r in got} == expected
+
+
+def test_pipeline_against_plain_stages(spark, docs, tmp_path):
+    """run() against plain versions of line dedup, n-gram join, mixing and encoding; which documents language ID keeps comes from the operator, which its own tests hold."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in list(docs.values())[:50]]
+    names = next(iter(docs.values())).__fields__
+    text, id_, length = names.index("text"), names.index("doc_id"), names.index("n_chars")
+    for k in range(8):
+        row = list(rows[k])
+        words = row[text].split(" ")
+        row[text], row[id_] = " ".join(words[:3] + ["changed"] + words[4:]), 10_000 + k
+        rows.append(tuple(row))
+    odd = list(rows[0])
+    odd[text], odd[id_] = "12 34 ...", 20_000
+    rows.append(tuple(odd))
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    frame = spark.createDataFrame([tuple(r) for r in rows], schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    now = {r["doc_id"]: list(r) for r in corpus_pipeline.language_id(spark, frame, "").collect()}
+    assert 20_000 not in now and len(now) >= 50
+    texts, drop, _ = plain_line_dedup({i: r[text] for i, r in now.items()})
+    texts = {i: t for i, t in texts.items() if not (drop[i] and not t.strip())}
+    assert any(drop.values())
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations([i for i in sets if sets[i]], 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = groups(sets, links)
+    kept = [now[i][:text] + [texts[i]] + now[i][text + 1 :] for i in texts if group[i] == i]
+    mixed = spark.createDataFrame([tuple(r) for r in kept], schema).toPandas()
+    con = duckdb.connect()
+    con.register("documents", mixed)
+    taken = {i: (size, n) for i, size, n in con.sql(f"SELECT doc_id, size, taken FROM ({queries.oracle_sql()['op7_mixing']})").fetchall()}
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    expected = Counter()
+    for i, (size, n) in taken.items():
+        if n:
+            expected[i, tuple(library.encode(texts[i], add_special_tokens=False).ids), True] += n // size
+    got = Counter((r["doc_id"], tuple(r["ids"]), r["round_trip"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == expected and sum(got.values()) > 50
 
 
 @pytest.mark.parametrize("similarity", [0.6, 0.8])
