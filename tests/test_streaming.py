@@ -61,6 +61,37 @@ def test_stream_matches_batch(spark, tmp_path):
     assert got == {("b", at(0)): (False, 2), ("b", at(900)): (False, 1), ("c", at(0)): (True, 0)}
 
 
+def test_capped_stream_matches_batches(spark, tmp_path):
+    rows = [("b", ms, "change", f"{ms % 3}.md") for ms in range(0, 2600, 200)] + [("b", 9000, "change", "x"), ("c", 0, "change", "y"), ("c", 100, "context", "y"), ("c", 150, "change", "z"), ("b", 600_000, "change", "late"), ("c", 600_000, "change", "late")]
+    df = changes(spark, rows)
+    plain = stream.coalesced(stream.capped_batches(df.where("bundle_id = 'b'")), "bundle_id", "batch_start")
+    expected = {(r["batch_start"], r["changes"], r["paths"], r["rescan"]) for r in plain.collect()}
+    df.where("ts < timestamp'2026-07-22 12:05:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = stream.capped_stream(source).writeStream.format("memory").queryName("capped").outputMode("append").start()
+    query.processAllAvailable()
+    df.where("ts > timestamp'2026-07-22 12:05:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query.processAllAvailable()
+    query.processAllAvailable()
+    query.stop()
+    got = [tuple(r) for r in spark.table("capped").collect()]
+    late = max(e[0] for e in expected)
+    assert {g[1:] for g in got if g[0] == "b"} == {e for e in expected if e[0] != late} and len(expected) == 5
+    assert sorted(g[2:] for g in got if g[0] == "c") == [(1, 1, False), (1, 2, True)]
+
+
+def test_publish_clears_views_of_failed_roots(spark, tmp_path):
+    df = changes(spark, [("b", 0, "change", "x"), ("c", 0, "change", "z")])
+    df.write.parquet(str(tmp_path / "in"))
+    seen = {}
+    views = {"ids": lambda touched, k: touched.withColumn("id", F.concat("bundle_id", F.lit("/1")))}
+    write = lambda name, rows, k: seen.update({(name, k): sorted(r["id"] for r in rows.collect())})
+    query = stream.publish(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), views, write, str(tmp_path / "cp"), lambda touched: touched.where("bundle_id = 'c'"))
+    query.processAllAvailable()
+    query.stop()
+    assert seen == {("ids", 0): ["b/1"]}
+
+
 def test_refresh_runs_per_batch(spark, tmp_path):
     df = changes(spark, [("b", 0, "change", "x"), ("b", 1, "change", "y"), ("c", 0, "change", "z")])
     df.write.parquet(str(tmp_path / "in"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A batch closes after this quiet time, or this long after its first change; more distinct paths than this become one rescan.
 QUIET_MS, LONGEST_MS, MOST_PATHS = 250, 1000, 512
@@ -86,6 +88,68 @@ def coalesce_stream(changes: DataFrame, late: str = "10 seconds", quiet_ms: int
     return found.select("bundle_id", F.col("session.start").alias("start"), rescan.alias("rescan"), F.when(rescan, none).otherwise(F.col("all")).alias("changes"))
 
 
+def capped_stream(changes: DataFrame, late: str = "10 seconds", quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS, most_paths: int = MOST_PATHS) -> DataFrame:
+    """Streaming twin of capped_batches and coalesced: bundle_id, batch_start (ms), changes, paths, rescan, one row per closed batch.
+
+    The state of a bundle is one open batch: its start, its last change and the distinct changes, of which no more are
+    kept than it takes to become a rescan. A change of kind `context` closes what is open and begins with a rescan, as
+    nothing known before it holds. A batch closes by a later change or once the watermark passes its deadline; changes
+    should come in order of time within what `late` allows.
+    """
+    names = ["bundle_id", "batch_start", "changes", "paths", "rescan"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, all_, context = (*state.get[:2], json.loads(state.get[2]), state.get[3]) if state.exists else (None, 0, [], False)
+        known, closed = {tuple(c) for c in all_}, []
+
+        def close() -> None:
+            paths = len({c[2] for c in known})
+            rescan = context or paths > most_paths or len(known) > most_paths + 1 or any(c[0] == "rescan" for c in known)
+            closed.append((key[0], start, 1 if rescan else len(known), paths, rescan))
+
+        if state.hasTimedOut:
+            close()
+            start, known = None, set()
+        else:
+            rows = pd.concat(list(frames))
+            rows = rows.sort_values("_ms", kind="stable")
+            for ms, kind, before, uri in zip(rows["_ms"].tolist(), rows["kind"], rows["previous_uri"], rows["uri"], strict=True):
+                if start is not None and (ms - last >= quiet_ms or ms - start >= longest_ms or kind == "context"):
+                    close()
+                    start = None
+                if start is None:
+                    start, known, context = ms, set(), kind == "context"
+                last = ms
+                if len(known) <= most_paths + 1:
+                    known.add((kind, before, uri))
+        if start is None:
+            state.remove()
+        else:
+            state.update((start, last, json.dumps(sorted(known, key=repr)), context))
+            state.setTimeoutTimestamp(max(min(last + quiet_ms, start + longest_ms), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(closed, columns=names)
+
+    grouped = changes.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp"))).withWatermark("ts", late).groupBy("bundle_id")
+    return grouped.applyInPandasWithState(step, "bundle_id string, batch_start bigint, changes bigint, paths bigint, rescan boolean", "start bigint, last bigint, pending string, context boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def publish(batches: DataFrame, views: dict[str, Callable[[DataFrame, int], DataFrame]], write: Callable[[str, DataFrame, int], None], checkpoint: str, failed: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Recomputes every view of the bundles that a micro-batch touches and hands each to write(name, rows, revision).
+
+    failed(touched) gives the touched bundles whose root cannot be read: their views are written empty, while documents
+    that fail alone leave theirs as they are. The revision is the micro-batch's number, so a batch that runs again
+    overwrites itself.
+    """
+
+    def run(df: DataFrame, revision: int) -> None:
+        touched = df.select("bundle_id").distinct()
+        sound = touched.join(failed(touched).select("bundle_id"), "bundle_id", "left_anti")
+        for name, view in views.items():
+            write(name, view(touched, revision).join(sound, "bundle_id", "left_semi"), revision)
+
+    return batches.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(run).start()
+
+
 def refresh(batches: DataFrame, recompute, checkpoint: str) -> StreamingQuery:
     """Runs recompute(touched bundles, batch id) for each micro-batch; the batch id is the revision, so a repeated batch overwrites itself."""
     return batches.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(lambda df, k: recompute(df.select("bundle_id").distinct(), k)).start()
