@@ -257,6 +257,28 @@ def test_linking_finds_all_groups(spark, block):
     assert len(links) > 1000 and {k: got.get(k, k) for k in range(300)} == expected
 
 
+def test_chained_near_copies_cost_few_pairs(spark):
+    """Copies that drift from one to the next are one group, though leaders reach few of them; pairs grow with the copies, not with their square."""
+    from wicker.llm import linking
+
+    rng = np.random.default_rng(1)
+    bits = [rng.integers(0, 2, size=512)]
+    for _ in range(399):
+        now = bits[-1].copy()
+        now[rng.choice(512, size=3, replace=False)] ^= 1
+        bits.append(now)
+    entries = spark.createDataFrame([(1, k, int(linking.place_of(np.array([100]), np.array([50]))[0])) for k in range(400)], "token bigint, node bigint, place bigint")
+    payload = spark.createDataFrame([(k, 100, bytearray(np.packbits(x).tobytes())) for k, x in enumerate(bits)], "node bigint, size bigint, sig binary")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return linking.stash(pairs)
+
+    got = linking.find_groups(entries, payload, lambda n, m: np.full(len(n), 40), lambda n, m: np.ones_like(n), verify, 0.9)
+    assert {r["component"] for r in got.collect()} == {0} and got.count() == 400 and sum(asked) < 4000 and len(asked) == 3
+
+
 def test_cross_pairs_skip_no_pair():
     from wicker.llm.linking import cross_pairs
 

@@ -2,11 +2,12 @@
 
 Nodes that can link share an index token. An entry says where in its node's order of tokens the token stands, and so how
 many tokens follow; entries of one token meet in order of size and position, and pairs that cannot reach the overlap they
-need from there are skipped before anything is written, in blocks of a list too. Two passes follow. The first compares
-the nodes of a list with a few leaders and verifies what may link. The second derives the rest from those answers: nodes
-already joined are not compared again, a group far from a node by its leader's distance and its own radius is skipped as
-a whole, and only pairs across groups are left, all of them. So m near copies cost about m verified pairs, while no link
-between different groups is lost.
+need from there are skipped before anything is written, in blocks of a list too. Three passes follow. The first compares
+the nodes of a list with a few leaders and verifies what may link. The second takes each node's nearest few outside its
+group, which is where a link is if there is one. The third derives the rest from those answers: nodes already joined are
+not compared again, a group far from a node by its leader's distance and its own radius is skipped as a whole, and only
+pairs across groups are left, all of them. So m near copies cost some m verified pairs, while no link between different
+groups is lost.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, stash
 
-#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one.
-BLOCK, LEADERS, SHORT = 500, 16, 16
+#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one; neighbours of a node in the second pass.
+BLOCK, LEADERS, SHORT, NEAREST = 500, 16, 16, 4
 #: Bits of the count of following tokens in an entry's place; a count that fills them stands for any larger one.
 REST_BITS = 16
 #: Largest difference of two parity maps that nodes of two sizes may have if they link, -1 where the sizes rule it out.
@@ -239,6 +240,17 @@ def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Lim
             yield np.full(len(ok), i), ok
 
 
+def nearest_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each node, the NEAREST nodes of other groups within the limit."""
+    for i in range(len(size)):
+        others = np.flatnonzero(group != group[i])
+        differ = _differ(sig[others], sig[i])
+        ok = differ <= limit(size[others], np.full(len(others), size[i]))
+        others, differ = others[ok], differ[ok]
+        others = others[np.argsort(differ, kind="stable")[:NEAREST]]
+        yield np.full(len(others), i), others
+
+
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]], opened: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Rows (a, b, opened): pairs of nodes, the lesser first, once each; then lists and parts to open."""
     none = np.empty(0, dtype=np.int64)
@@ -293,8 +305,8 @@ def cells_of(long: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
     return keyed.join(cells, ["list", "block"]).select(F.col("cell").alias("list"), F.lit(1).alias("part"), "node", "group")
 
 
-def second_pairs(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float, block: int = BLOCK) -> DataFrame:
-    """a, b (stashed): pairs to verify across the groups of the opened lists. rows: as open_rows gives them."""
+def pairs_across(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float, block: int, choose: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """a, b (stashed): pairs to verify across the groups of the opened lists, those that nearest_pairs or cross_pairs choose. rows: as open_rows gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, node, size, group, sig), starts, counts in _by_list(batches, 3):
@@ -302,7 +314,7 @@ def second_pairs(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float
             for lo, n in zip(starts.tolist(), counts.tolist(), strict=True):
                 here = slice(lo, lo + n)
                 if n > 1 and (group[here] != group[lo]).any():
-                    found += [(node[lo + x], node[lo + y]) for x, y in cross_pairs(size[here], sig[here], group[here], limit) if len(x)]
+                    found += [(node[lo + x], node[lo + y]) for x, y in choose(size[here], sig[here], group[here], limit) if len(x)]
             yield _pairs(found, [])
 
     every = rows.where("part = 0").select("list", "part", "node", "group").unionByName(cells_of(rows.where("part > 0"), ratio, block))
@@ -318,12 +330,15 @@ def find_groups(entries: DataFrame, payload: DataFrame, limit: Limit, need: Need
     """
     lists = index_lists(entries, need, ratio, block)
     firsts = first_pairs(lists, payload, limit)
-    linked = verify(firsts.where("NOT opened").select("a", "b"))
-    groups = components(linked)
-    rows = open_rows(lists, firsts.where("opened"), groups, payload)
-    discard(lists, firsts)
-    more = second_pairs(rows, payload, limit, ratio, block)
-    linked_too = verify(more)
-    found = components(linked.unionByName(linked_too))
-    discard(rows, more, linked, linked_too)
-    return found
+    links = verify(firsts.where("NOT opened").select("a", "b"))
+    tried = None
+    for choose in (nearest_pairs, cross_pairs):
+        rows = open_rows(lists, firsts.where("opened"), components(links), payload)
+        more = pairs_across(rows, payload, limit, ratio, block, choose)
+        found = verify(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        before, links = links, stash(links.unionByName(found))
+        discard(rows, before, found, *([] if tried is None else [tried]))
+        tried = more
+    groups = components(links)
+    discard(lists, firsts, tried, links)
+    return groups
