@@ -26,7 +26,7 @@ from wicker.llm.common import ascii_words, documents, hash_words, mix, slices, s
 
 ALPHA = 0.4
 #: Text bytes per block, and words that one partition of the count tables sums, about.
-BLOCK_BYTES, PARTITION_WORDS = 12 << 20, 2_500_000
+BLOCK_BYTES, PARTITION_WORDS = 16 << 20, 5_000_000
 #: Stands before each text's first word, twice.
 START = np.uint64(0x5EED0F57A27)
 
