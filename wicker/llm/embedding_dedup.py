@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.common import stash
+from wicker.llm.common import discard, stash
 from wicker.llm.linking import components
 
 #: Pivots per dimension count, nearest ones kept, shared ones asked for; the sample that pivots are drawn from.
@@ -138,6 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(to)], names=["node", "n", "to"])
 
     found = stash(held_rows.select("trio", "i", "j", "rows").mapInArrow(verify, "node bigint, n bigint, to bigint"))
+    discard(known)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     by_class = classes.join(counts, "node", "left").join(groups, "node", "left")

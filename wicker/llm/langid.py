@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wicker.llm.common import documents, kept, mix, slices, stash, texts_of
+from wicker.llm.common import discard, documents, kept, mix, slices, stash, texts_of
 
 #: Documents per language that training reads, about; the documented bound on the labelled sample.
 TRAIN_DOCS = 1500
@@ -216,6 +216,7 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         total[uses["piece"], uses["lang"]] = uses["uses"]
         total += 0.05
         logp = np.log(total / total.sum(axis=0))
+    discard(counted)
     return langs, logp
 
 

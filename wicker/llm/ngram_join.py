@@ -178,6 +178,7 @@ def row_groups(docs: DataFrame, words_each: int, percent: int, id_col: str, text
 
     groups = find_groups(entries, payload, limit, need, verify, percent / 100)
     grouped = stash(classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    discard(classes, payload)
     least = grouped.groupBy("component").agg(F.min("lead").alias("component_id"))
     by_class = grouped.select(F.col("node").alias("of"), "component").join(least, "component").select("of", "component_id")
     linked = F.col("doc_id").isNotNull() & (F.col("size") > 0)
