@@ -59,7 +59,7 @@ def plan(parsed: DataFrame, start: str = START, end: str = END, version: str = "
         .when(paired, F.call_function("regexp_replace", F.col("old"), F.lit(pattern), F.concat(F.lit("$1"), quoted)))
         .when(none, F.concat("old", F.when(F.col("old").endswith("\n") | (F.col("old") == ""), "").otherwise("\n"), F.when(F.col("old") == "", "").otherwise("\n"), F.col("region")))
     )
-    operation = F.when(F.col("old").isNull(), "create").when(new.isNull(), "refuse").when(new == F.col("old"), "keep").otherwise("update")
+    operation = F.when(new.isNull(), "refuse").when(F.col("old").isNull(), "create").when(new == F.col("old"), "keep").otherwise("update")
     path = F.when(F.col("directory") == "", "index.md").otherwise(F.concat("directory", F.lit("/index.md")))
     return joined.select("bundle_id", path.alias("path"), operation.alias("operation"), new.alias("text"))
 
