@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Spark's setting that removes a query's shuffle files when the query ends: what a written table came from is not needed again.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: What Python workers keep from task to task: one operator's memory at a time.
@@ -49,7 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/wicker-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, None)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(DROP_SHUFFLES) if before is None else conf.set(DROP_SHUFFLES, before)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.stashed_at = path
     return kept
