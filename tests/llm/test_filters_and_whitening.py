@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wicker.llm import filter_audit, queries, url_filter, whitening
+from wicker.llm import filter_audit, quality, queries, url_filter, whitening
 
 
 def cut(url):
@@ -191,3 +191,20 @@ def test_inertia_of_indefinite_matrices():
             values = np.linalg.eigvalsh(a)
             if np.abs(values).min() > 1e-9:
                 assert whitening.inertia(a) == int((values > 0).sum())
+
+
+def test_quality_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    truth = {r["doc_id"]: r["quality"] for r in labels.where(quality.held_out()).collect()}
+    first = None
+    for parts in (1, 2, 8, 64):
+        dealt = docs.where(~quality.held_out()).repartition(parts, "doc_id")
+        got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(docs, quality.train(dealt, labels.where(~quality.held_out()))).collect()}
+        first = first or got
+        assert all(abs(got[i][0] - first[i][0]) < 1e-6 for i in first)
+        assert sum(got[i][1] == q for i, q in truth.items()) >= 0.95 * len(truth) > 0
+    # Several chunks: each is a fair draw, so the mean model still tells the classes apart.
+    model = quality.train(docs.where(~quality.held_out()), labels.where(~quality.held_out()), chunk=250)
+    got = {r["doc_id"]: r["predicted"] for r in quality.score(docs, model).collect()}
+    assert sum(got[i] == q for i, q in truth.items()) >= 0.9 * len(truth)

@@ -6,8 +6,9 @@ loss(positives as 0)). Where the second part falls below zero, a step goes up it
 overfitting. Documents labelled 0 are no training examples, and labels say nothing about the class prior: it is estimated
 from where held-back positives and unlabelled text score highest.
 
-The trusted positives are a bounded sample; the unlabelled text is all of it. It is read once, in chunks: each chunk gets
-a fit of its own against the positives, on the executors, and the model is the mean of these fits by their documents.
+The trusted positives are a bounded sample; the unlabelled text is all of it. Its features are dealt to chunks by a hash
+of id and text, as many as the number of documents asks for, whatever files and partitions the rows lie in. Each chunk
+gets a fit of its own against the positives, on the executors, and the model is the mean of these fits by their documents.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wicker.llm.common import ascii_words, documents, hash_words, kept, mix, slices, texts_of
 
-#: Bound on the labelled sample, and unlabelled documents per chunk (all chunks are used).
+#: Bound on the labelled sample, and unlabelled documents per chunk: so many at least on average, and below twice as many (all chunks are used).
 MAX_POSITIVES, CHUNK = 4000, 8000
 CLASSES, HASHED, WORD_STATS = 10, 64, 6
 WIDTH = CLASSES**2 + 3 * HASHED + WORD_STATS
@@ -135,16 +136,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> tuple
     return np.r_[w[:-1] / scale, w[-1] - w[:-1] @ (mean / scale)], prior
 
 
-def _features_of(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of at most so many rows, drawn by a hash of id and text, on the driver."""
+def _features(rows: DataFrame) -> DataFrame:
+    """drawn (a hash of id and text) and f, the features, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in features(texts_of(part))], pa.binary())], names=["drawn", "f"])
 
-    drawn = rows.select(F.xxhash64("doc_id", "text").alias("drawn"), "text").mapInArrow(run, "drawn bigint, f binary").orderBy("drawn", "f").limit(most)
-    found = drawn.select("f").toPandas()["f"]
+    return rows.select(F.xxhash64("doc_id", "text").alias("drawn"), "text").mapInArrow(run, "drawn bigint, f binary")
+
+
+def _matrix(found) -> np.ndarray:
     return np.array([np.frombuffer(x, dtype=np.float32) for x in found], dtype=np.float32).reshape(len(found), WIDTH)
 
 
@@ -152,35 +155,26 @@ def train(unlabelled: DataFrame, labels: DataFrame, max_positives: int = MAX_POS
     """Fit on documents (doc_id, text) and labels (doc_id, quality): weight [WIDTH], bias, prior.
 
     An id labelled more than once counts as 1 only if all its labels are; null ids and labels are not used, though the
-    texts of null ids are unlabelled text like any other. Without positives or texts, all scores are one half.
+    texts of null ids are unlabelled text like any other. Without positives or texts, all scores are one half. The
+    result depends on the rows only, not on where they lie: chunks are dealt by hash and sorted before they are fitted.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    positive = _features_of(unlabelled.select("doc_id", "text").join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), max_positives)
-    held = unlabelled.sparkSession.sparkContext.broadcast(positive)
+    rows = unlabelled.select("doc_id", "text")
+    drawn = _features(rows.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi")).orderBy("drawn", "f").limit(max_positives)
+    positive = _matrix(drawn.select("f").toPandas()["f"])
+    if not len(positive):
+        return {"weight": np.zeros(WIDTH), "bias": np.array(0.0), "prior": np.array(0.5)}
+    held, chunks = unlabelled.sparkSession.sparkContext.broadcast(positive), max(1, rows.count() // chunk)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         kept("quality", dict)
-        waiting: list[np.ndarray] = []
+        every = table.sort_by([("drawn", "ascending"), ("f", "ascending")])
+        weights, prior = fit(held.value, _matrix(every.column("f").to_pylist()))
+        values = np.r_[weights, prior] * every.num_rows
+        return pa.table({"k": pa.array(np.arange(len(values))), "value": pa.array(values), "n": pa.array(np.full(len(values), every.num_rows))})
 
-        def done() -> pa.RecordBatch:
-            rows = np.concatenate(waiting)
-            weights, prior = fit(held.value, rows)
-            values = np.r_[weights, prior] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), len(rows)))], names=["k", "value", "n"])
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                waiting.append(features(texts_of(part)))
-                if sum(map(len, waiting)) >= chunk:
-                    yield done()
-                    waiting = []
-        if waiting:
-            yield done()
-
-    fits = unlabelled.select("text").mapInArrow(run, "k bigint, value double, n bigint") if len(positive) else None
-    found = fits.groupBy("k").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas() if fits else None
-    if found is None or found.empty:
-        return {"weight": np.zeros(WIDTH), "bias": np.array(0.0), "prior": np.array(0.5)}
+    fits = _features(rows).withColumn("chunk", F.pmod("drawn", F.lit(chunks))).groupBy("chunk").applyInArrow(run, "k bigint, value double, n bigint")
+    found = fits.groupBy("k").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
     mean = found.sort_values("k")["value"].to_numpy()
     return {"weight": mean[:WIDTH], "bias": np.array(mean[WIDTH]), "prior": np.array(mean[WIDTH + 1])}
 
