@@ -17,6 +17,6 @@ def test_large_directories_are_refused(spark):
 
 def test_root_verdicts(spark):
     for version, verdict in (('"0.1"', "supported"), ('"0.2"', "supported"), ('"0.10"', "future-minor"), ('"1.0"', "unsupported")):
-        row = reports.root_class(parsed_of(spark, {"index.md": f"---\nokf_version: {version}\n---\n# My bundle #\n"})).first()
+        row = reports.root_class(parsed_of(spark, {"index.md": f"---\nokf_version: {version}\ntitle: '  My bundle '\n---\n# Head\n"})).first()
         assert (row["verdict"], row["label"]) == (verdict, "My bundle")
     assert reports.root_class(parsed_of(spark, {"index.md": "no heading"})).first()["verdict"] == "undeclared"

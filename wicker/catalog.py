@@ -14,7 +14,7 @@ from wicker.functions import paths, text
 from wicker.functions.dates import explicit_zone_epoch, is_iso_date
 from wicker.operators import graph, parse, query, reports, rules
 from wicker.plans import indexes, migration
-from wicker.sources import tables
+from wicker.sources import store, tables
 from wicker.streaming import changes as stream
 
 #: The reference time of all rules: 2026-07-22T12:00:00Z.
@@ -22,21 +22,22 @@ NOW, TODAY = 1784721600, "2026-07-22"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_HELD: dict[tuple[str, str, str], DataFrame] = {}
+_HELD: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
 def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Parsed documents, resolved links and nodes are made once per input and kept on the executors; what is lost there is made again."""
+    """Parsed documents, resolved links, nodes and edges are written once per input, as tables in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _HELD:
-        _HELD[key] = make().persist()
-    return _HELD[key]
+        _HELD[key] = store.written(make())
+    return _HELD[key][0]
 
 
 def release() -> None:
-    """Give up what queries keep on the executors; needed when a table's files change under its path."""
-    for df in _HELD.values():
-        df.unpersist()
+    """Delete what queries keep; needed when a table's files change under its path."""
+    for df, path in _HELD.values():
+        if not df.sparkSession.sparkContext._jsc.sc().isStopped():
+            store.delete(df.sparkSession, path)
     _HELD.clear()
 
 
@@ -56,8 +57,25 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, resolved, nodes = _graph(spark, sf_dir)
-    return rules.all_findings(parsed, resolved, nodes, NOW, TODAY)
+    def make() -> DataFrame:
+        parsed, resolved, nodes = _graph(spark, sf_dir)
+        return rules.all_findings(parsed, resolved, nodes, NOW, TODAY)
+
+    return _held(spark, sf_dir, "findings", make)
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all that the queries keep."""
+    _edges(spark, sf_dir)
+    return _findings(spark, sf_dir)
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, "nations", lambda: parse.parse(tables.nation_bundles(spark, sf_dir)))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, "notes", lambda: parse.parse(tables.notes(spark, sf_dir)))
 
 
 FACTS = r"""
@@ -167,9 +185,10 @@ def broken_links(spark, sf_dir):
     return graph.broken_links(_graph(spark, sf_dir)[1]).select("source_id", "label", "raw_target")
 
 
-@register("orphans", "SELECT id FROM node WHERE orphan")
+@register("orphans", "SELECT 'nation-' || n_nationkey AS bundle_id, s_suppkey::VARCHAR AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'nation-' || n_nationkey, 'hub' FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0)", facts=False)
 def orphans(spark, sf_dir):
-    return _graph(spark, sf_dir)[2].where("orphan").select("id")
+    parsed = _nations(spark, sf_dir)
+    return graph.nodes(parsed, graph.all_links(parsed)).where("orphan").select("bundle_id", "id")
 
 
 @register("graph_nodes", "SELECT id, type, title, description, resource, array_to_string(tags, '|') AS tags, CASE WHEN generated_by IS NULL THEN stamp END AS timestamp, generated_by, CASE WHEN verified_by LIKE 'human:%' THEN 'human-reviewed' WHEN verified_by LIKE 'process:%' THEN 'machine-confirmed' ELSE 'unverified' END AS trust_tier, coalesce(status, 'stable') AS status, stale_after, orphan, broken AS broken_link_count FROM node")
@@ -179,10 +198,19 @@ def graph_nodes(spark, sf_dir):
     return nodes.select("id", type_or_blank, "title", "description", "resource", F.array_join("tags", "|").alias("tags"), "timestamp", "generated_by", "trust_tier", "status", "stale_after", "orphan", "broken_link_count")
 
 
-@register("graph_invariants", "SELECT 0::BIGINT AS repeated_ids, 0::BIGINT AS dangling_edges, 0::BIGINT AS wrong_orphans, 0::BIGINT AS repeated_edge_ids", facts=False)
+@register("graph_invariants", """WITH n AS (SELECT c_mktsegment AS bundle_id, 'n' || (c_custkey % 997) AS id, c_custkey % 5 = 0 AS orphan FROM customer
+), g AS (SELECT c_mktsegment AS bundle_id, 'e' || (o_orderkey % 4093) AS edge_id, 'n' || (o_custkey % 997) AS source, 'n' || (o_orderkey % 1009) AS target FROM orders JOIN customer ON o_custkey = c_custkey
+), ends AS (SELECT bundle_id, source AS id FROM g UNION SELECT bundle_id, target FROM g)
+SELECT (SELECT count(*) FROM (SELECT 1 FROM n GROUP BY bundle_id, id HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM ends WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.bundle_id = ends.bundle_id AND n.id = ends.id)) AS dangling_edges,
+  (SELECT count(*) FROM n WHERE orphan AND EXISTS (SELECT 1 FROM ends WHERE n.bundle_id = ends.bundle_id AND n.id = ends.id)) AS wrong_orphans, (SELECT count(*) FROM (SELECT 1 FROM g GROUP BY bundle_id, edge_id HAVING count(*) > 1)) AS repeated_edge_ids""", facts=False)
 def graph_invariants(spark, sf_dir):
-    _, resolved, nodes = _graph(spark, sf_dir)
-    return graph.invariants(nodes, _edges(spark, sf_dir))
+    """Customers and orders as a graph that breaks every one of these."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = lambda c, by: F.concat(F.lit("n"), (F.col(c) % by).cast("string"))
+    node_rows = table("customer").select(F.col("c_mktsegment").alias("bundle_id"), n("c_custkey", 997).alias("id"), (F.col("c_custkey") % 5 == 0).alias("orphan"))
+    placed = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    edge_rows = placed.select(F.col("c_mktsegment").alias("bundle_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 4093).cast("string")).alias("edge_id"), n("o_custkey", 997).alias("source"), n("o_orderkey", 1009).alias("target"))
+    return graph.invariants(node_rows, edge_rows)
 
 
 @register("induced_subgraph", "SELECT source, target, count(*) AS n FROM e JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.type IN ('nation', 'customer', 'region') AND b.type IN ('nation', 'customer', 'region') GROUP BY 1, 2")
@@ -200,7 +228,7 @@ def node_details(spark, sf_dir):
 
 @register("findings_all", "SELECT DISTINCT code, category, severity, 'mem://tables/' || id || '.md' AS uri, subject FROM f")
 def findings_all(spark, sf_dir):
-    return rules.distinct_findings(_findings(spark, sf_dir)).drop("bundle_id")
+    return rules.distinct_findings(_findings(spark, sf_dir)).drop("bundle_id", "range")
 
 
 @register("findings_by_uri", "SELECT 'mem://tables/' || id || '.md' AS uri, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'information') AS infos FROM f WHERE code <> 'okf.curation.orphan-concept' GROUP BY 1")
@@ -243,8 +271,7 @@ def folder_hierarchy(spark, sf_dir):
 
 @register("sidebar_rollup", f", {_FOLDERS}, per AS (SELECT id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM f WHERE code <> 'okf.curation.orphan-concept' GROUP BY 1) SELECT folder, count(*) AS concepts, coalesce(sum(errors), 0)::BIGINT AS errors, coalesce(sum(warnings), 0)::BIGINT AS warnings FROM up LEFT JOIN per USING (id) GROUP BY 1")
 def sidebar_rollup(spark, sf_dir):
-    parsed, resolved, nodes = _graph(spark, sf_dir)
-    return query.sidebar(nodes, rules.by_uri(rules.all_findings(parsed, resolved, nodes, NOW, TODAY))).drop("bundle_id")
+    return query.sidebar(_graph(spark, sf_dir)[2], rules.by_uri(_findings(spark, sf_dir))).drop("bundle_id")
 
 
 @register("vocabulary", "SELECT DISTINCT 'type' AS kind, type AS value FROM c UNION SELECT DISTINCT 'tag', unnest(tags) FROM c")
@@ -351,9 +378,53 @@ def refused_bundles(spark, sf_dir):
     return reports.refused(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "bundle_id"), 100)
 
 
-@register("root_classification", "SELECT '0.2' AS version, 'supported' AS verdict, 'Tables' AS label", facts=False)
+@register("root_classification", """SELECT 'nation-' || n_nationkey AS bundle_id, CASE WHEN n_nationkey % 7 = 6 OR n_nationkey % 15 = 14 THEN NULL ELSE ['0.1', '0.2', '0.7', NULL, NULL][n_nationkey % 5 + 1] END AS version,
+  CASE WHEN n_nationkey % 7 = 6 OR n_nationkey % 15 = 14 THEN 'failed' ELSE ['supported', 'supported', 'future-minor', 'undeclared', 'undeclared'][n_nationkey % 5 + 1] END AS verdict, CASE WHEN n_nationkey % 7 <> 6 AND n_nationkey % 3 < 2 THEN 'Suppliers of ' || n_name END AS label FROM nation""", facts=False)
 def root_classification(spark, sf_dir):
-    return reports.root_class(_parsed(spark, sf_dir)).drop("bundle_id")
+    return reports.root_class(_nations(spark, sf_dir))
+
+
+_NOTE = r"""WITH t AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS id, p_size % 10 AS form, 'p' || p_size AS name, p_brand AS brand,
+  ['tags: ["' || p_brand || ', first", second, ''it''''s'']', 'description: >' || chr(10) || '  Part' || chr(10) || '  of' || chr(10) || chr(10) || '  ' || p_brand, '"status": draft', 'title: "Caf\u00e9\tp' || p_size || '"', 'seed: &b ' || p_brand || chr(10) || 'resource: *b', '', '', 'description: |-' || chr(10) || '  p' || p_size || chr(10) || '    more' || chr(10) || '  # no comment'][p_partkey % 8 + 1] AS front FROM part)"""
+
+
+@register("note_fields", _NOTE + """ SELECT id, CASE WHEN k % 8 = 0 THEN brand || ', first|second|it''s' ELSE '' END AS tags, CASE k % 8 WHEN 1 THEN 'Part of' || chr(10) || brand || chr(10) WHEN 7 THEN name || chr(10) || '  more' || chr(10) || '# no comment' END AS description,
+  CASE WHEN k % 8 = 2 THEN 'draft' END AS status, CASE WHEN k % 8 = 3 THEN 'Café' || chr(9) || name END AS title, CASE WHEN k % 8 = 4 THEN brand END AS resource, CASE WHEN k % 8 IN (5, 6) THEN 'frontmatter' END AS failure FROM t""", facts=False)
+def note_fields(spark, sf_dir):
+    return _notes(spark, sf_dir).select("id", F.array_join("tags", "|").alias("tags"), "description", "status", "title", "resource", "failure")
+
+
+@register("note_failures", """SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 8 = 5 THEN 3 ELSE 4 END::BIGINT AS line, 0::BIGINT AS character,
+  (CASE WHEN p_partkey % 8 = 5 THEN 4 + 11 + 6 + length(p_brand) + 1 ELSE 4 + 11 + 6 + 3 + length(p_brand) END + CASE WHEN p_partkey % 13 <> 0 THEN 0 WHEN p_partkey % 8 = 5 THEN 3 ELSE 4 END)::BIGINT AS start FROM part WHERE p_partkey % 8 IN (5, 6)""", facts=False)
+def note_failures(spark, sf_dir):
+    """Where each broken frontmatter breaks, as line and character from 0 and in UTF-16 units."""
+    found = parse.failures(_notes(spark, sf_dir))
+    return found.select(F.regexp_replace("path", r"\.md$", "").alias("id"), *[F.col(f"range.{n}").cast("long").alias(n) for n in ("line", "character", "start")])
+
+
+@register("note_links", _NOTE + r""", d AS (
+  SELECT id, k, '---' || chr(10) || 'type: note' || chr(10) || front || chr(10) || '---' || chr(10) || chr(10) AS head,
+    CASE form WHEN 0 THEN {'label': 'yes', 'target': './' || name || '.md', 'before': '\[no](./x.md) ', 'length': 7 + length('./' || name || '.md'), 'nl': 0} WHEN 1 THEN {'label': 'one [two] three', 'target': './a.md', 'before': '', 'length': 25, 'nl': 0}
+      WHEN 2 THEN {'label': 'p', 'target': './x(1).md', 'before': '', 'length': 14, 'nl': 0} WHEN 4 THEN {'label': 'after', 'target': './b.md', 'before': '<div>' || chr(10) || '[raw](./a.md)' || chr(10) || '</div>' || chr(10) || chr(10), 'length': 15, 'nl': 0}
+      WHEN 5 THEN {'label': 'e', 'target': './a&b.md', 'before': '', 'length': 17, 'nl': 0} WHEN 6 THEN {'label': 'out', 'target': './c.md', 'before': '```' || chr(10) || '[in](./a.md)' || chr(10) || '```' || chr(10), 'length': 8, 'nl': 0}
+      WHEN 8 THEN {'label': 'wide label', 'target': './w.md', 'before': 'xx ', 'length': 28, 'nl': 0} WHEN 9 THEN {'label': 'in' || chr(10) || 'list', 'target': './m.md', 'before': '- > ', 'length': 21, 'nl': 1} END AS l
+  FROM t WHERE k % 8 NOT IN (5, 6)
+), p AS (SELECT id, l, CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS cr, head || l.before AS before FROM d WHERE l IS NOT NULL
+), q AS (SELECT *, length(before) - length(replace(before, chr(10), '')) AS rows FROM p)
+SELECT id, l.label AS label, l.target AS raw_target, (length(before) + cr * rows)::BIGINT AS start, rows::BIGINT AS line, length(string_split(before, chr(10))[-1])::BIGINT AS character, (length(before) + l.length + cr * (rows + l.nl))::BIGINT AS "end" FROM q""", facts=False)
+def note_links(spark, sf_dir):
+    """Links of the notes with their places: a sign beyond U+FFFF counts as two."""
+    found = parse.links(_notes(spark, sf_dir))
+    return found.select(F.col("source_id").alias("id"), "label", "raw_target", *[F.col(f"range.{n}").cast("long").alias(n) for n in ("start", "line", "character", "end")])
+
+
+@register("finding_places", """WITH s AS (SELECT *, '---' || chr(10) || CASE WHEN s_suppkey % 7 <> 0 THEN 'type: supplier' || chr(10) ELSE '' END || 'title: "' || s_name || '"' || chr(10) AS before FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'mem://tables/supplier/' || s_suppkey || '.md' AS uri, 'okf.curation.invalid-status' AS code, length(before)::BIGINT AS start, (3 - CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS line, (length(before) + 15)::BIGINT AS "end" FROM s WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'mem://tables/supplier/' || s_suppkey || '.md', 'okf.conformance.concept-type', 4, 1, length(before) + CASE WHEN s_suppkey % 5 = 0 THEN 16 WHEN s_suppkey % 3 = 0 THEN 14 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 58 ELSE 0 END FROM s WHERE s_suppkey % 7 = 0""", facts=False)
+def finding_places(spark, sf_dir):
+    """Where suppliers' faults stand: at their field, or at the frontmatter for want of one."""
+    found = _findings(spark, sf_dir).where(F.col("uri").startswith("mem://tables/supplier/") & F.col("code").isin(f"{rules.PREFIX}.curation.invalid-status", f"{rules.PREFIX}.conformance.concept-type"))
+    return found.select("uri", "code", *[F.col(f"range.{n}").cast("long").alias(n) for n in ("start", "line", "end")])
 
 
 @register("folder_children", f", {_FOLDERS} SELECT regexp_replace(folder, '/?[^/]+$', '') AS folder, 0 AS kind, regexp_extract(folder, '[^/]*$') AS label, folder AS path FROM (SELECT DISTINCT folder FROM up WHERE folder <> '') UNION ALL SELECT regexp_replace(id, '/?[^/]*$', ''), 1, coalesce(title, id), id FROM c")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths
 from wicker.functions.text import base36, utf16_key
-from wicker.operators.parse import concepts, has_field, links
+from wicker.operators.parse import at, concepts, has_field, links
 from wicker.operators.running import running
 
 
@@ -34,10 +34,10 @@ def dense_position(df: DataFrame, within: list[str], group: str, order: list) ->
 
 
 def edges(resolved: DataFrame) -> DataFrame:
-    """bundle_id, edge_id, source, target, nth: one per internal link occurrence, in order of source, place, target."""
-    rows = resolved.where("classification = 'internal'").select("bundle_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "nth")
+    """bundle_id, edge_id, source, target, nth, range: one per internal link occurrence, in order of source, place, target."""
+    rows = resolved.where("classification = 'internal'").select("bundle_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "nth", "range")
     placed = dense_position(rows, ["bundle_id"], "source", [F.col("nth"), utf16_key(F.col("target"))])
-    return placed.select("bundle_id", F.concat(F.lit("edge:"), base36(F.col("position"))).alias("edge_id"), "source", "target", "nth")
+    return placed.select("bundle_id", F.concat(F.lit("edge:"), base36(F.col("position"))).alias("edge_id"), "source", "target", "nth", "range")
 
 
 def broken_links(resolved: DataFrame) -> DataFrame:
@@ -63,6 +63,7 @@ def nodes(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
         "bundle_id", "id", "uri", failed.alias("source_failed"), F.when(failed, "").otherwise(F.coalesce("type", F.lit(""))).alias("type"), own(F.col("title")).alias("title"), own(F.col("description")).alias("description"), own(F.col("resource")).alias("resource"),
         F.when(failed, F.array().cast("array<string>")).otherwise(F.col("tags")).alias("tags"), own(F.when(~has_field("generated"), F.col("timestamp"))).alias("timestamp"), own(F.col("generated_by")).alias("generated_by"), own(F.col("trust_tier")).alias("trust_tier"),
         own(F.coalesce("status", F.when(~has_field("status"), "stable"))).alias("status"), own(F.col("stale_after")).alias("stale_after"), (~failed & F.col("linked").isNull()).alias("orphan"), F.coalesce("broken_link_count", F.lit(0)).alias("broken_link_count"),
+        F.coalesce(at("/type")["range"], F.col("front_range")).alias("place"),
     )
 
 

@@ -1,8 +1,4 @@
-"""Documents to parsed rows, in Column expressions only: decoding, frontmatter, headings, links, failures.
-
-Frontmatter is read line by line: scalars (plain, single and double quoted), flow and block lists of scalars, and one
-level of flow or block mappings. Links are inline, reference and autolinks outside code; images do not count.
-"""
+"""Documents to parsed rows: decoding, structure (structure.py), and what the fields of the frontmatter say, as Column expressions over its entries."""
 
 from __future__ import annotations
 
@@ -11,126 +7,93 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths
 from wicker.functions.dates import explicit_zone_epoch
-from wicker.functions.text import actor_ok, let, one_line, wide_trim
-
-REGION = r"^(?s)\x{FEFF}?---\n((?:.*?\n)??)---(?:\n|\z)"
-FIELD = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*))?$"
-NOT_TEXT = r"^(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE|[-+]?(?:\d+|0x[0-9a-fA-F]+|0o[0-7]+)|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))?$"
-CODE = r"(?sm)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)"
-
-
-def raw_field(name: str) -> Column:
-    """The rest of the field's line, or null without the field; needs the columns keys and values."""
-    return F.try_element_at("values", F.nullif(F.array_position("keys", name).cast("int"), F.lit(0)))
-
-
-def has_field(name: str) -> Column:
-    return F.array_contains("keys", name)
-
-
-def scalar_text(raw: Column) -> Column:
-    """The string a scalar stands for; null for other kinds (numbers, booleans, null, lists, mappings)."""
-    def read(raw: Column) -> Column:
-        double = F.regexp_replace(F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\/])', "$1")
-        single = F.regexp_replace(F.regexp_extract(raw, r"^'((?:[^']|'')*)'", 1), "''", "'")
-        plain = let(wide_trim(F.regexp_replace(raw, r"[ \t]+#.*$", "")), lambda p: F.when(~p.rlike(NOT_TEXT) & ~p.rlike(r"^[\[{|>&*!]"), p))
-        return F.when(raw.startswith('"'), double).when(raw.startswith("'"), single).otherwise(plain)
+from wicker.functions.text import actor_ok
+from wicker.operators.structure import with_structure
 
-    return let(raw, read)
+#: Concept fields that are texts, and the columns they become.
+TEXTS = {"type": "type", "title": "title", "description": "description", "resource": "resource", "timestamp": "timestamp", "status": "status", "runtime": "runtime", "computation": "computation", "stale_after": "stale_after", "okf_version": "declared_version"}
 
 
-def text_field(name: str) -> Column:
-    return scalar_text(raw_field(name))
+def at(pointer: Column | str) -> Column:
+    """The entry (kind, value, tag, size, range) under a pointer like /sources/0/id, or null; needs the column fields."""
+    return F.try_element_at("fields", F.lit(pointer) if isinstance(pointer, str) else pointer)
 
 
-def list_field(name: str) -> Column:
-    """A list of strings, flow or block; empty where any element is no string."""
-    flow = F.regexp_extract(raw_field(name), r"^\[(.*)\]", 1)
-    block = F.regexp_extract("front", rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- .*\n?)+)", 1)
-    parts = F.when(F.length(flow) > 0, F.split(flow, r"\s*,\s*")).when(F.length(block) > 0, F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- +(.*)$")))
-    found = F.transform(parts, lambda x: scalar_text(F.trim(x)))
-    return F.when(F.coalesce(F.forall(found, lambda x: x.isNotNull()), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
+def entry_has(entry: Column, key: str) -> Column:
+    """The mapping under a pointer has this key."""
+    return at(F.concat(entry, F.lit(f"/{key}"))).isNotNull()
 
 
-def map_entry(name: str, key: str) -> Column:
-    """A string in a one-level mapping, flow or block."""
-    flow = F.regexp_extract(raw_field(name), rf"[{{,]\s*{key}:\s*([^,}}]*)", 1)
-    block = F.regexp_extract("front", rf"(?m)^{name}:[ \t]*\n(?:[ \t]+.*\n)*?[ \t]+(?:- )?{key}: *(.*)$", 1)
-    return scalar_text(F.trim(F.when(F.length(flow) > 0, flow).otherwise(F.nullif(block, F.lit("")))))
+def entry_text(entry: Column, key: str) -> Column:
+    """The text under a key of the mapping under a pointer; null where there is none or it is no text."""
+    return text_of(at(F.concat(entry, F.lit(f"/{key}"))))
 
 
-def field_block(name: str) -> Column:
-    """What stands after the field's colon, its continuation lines included."""
-    return F.regexp_extract("front", rf"(?m)^{name}:([^\n]*(?:\n(?:[ \t]+[^\n]*|-[ \t][^\n]*|[ \t]*(?=\n)))*)", 1)
+def text_of(entry: Column) -> Column:
+    return F.when(entry["kind"] == "str", entry["value"])
 
 
-def mappings(name: str) -> Column:
-    """The text of each mapping that a field holds, alone or in a list, flow or block; '' for an element that is none; null without the field."""
+def has_field(name: str) -> Column:
+    return at(f"/{name}").isNotNull()
 
-    def read(raw: Column) -> Column:
-        one = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-        flow = F.regexp_extract_all(raw, F.lit(one), F.lit(0))
-        rest = F.regexp_replace(F.regexp_replace(raw, one, ""), r"(?m)[ \t]+#.*$", "")
-        listed = F.when(rest.rlike(r"[^\[\],\s]"), F.array_append(flow, "")).otherwise(flow)
-        items = F.transform(F.filter(F.split(raw, r"(?m)^[ \t]*-[ \t]+"), lambda x, i: i > 0), lambda x: F.when(x.rlike(r"^(?:\{|[A-Za-z_][\w-]*:(?:\s|$))"), x).otherwise(""))
-        return (
-            F.when(raw.startswith("{"), F.array(raw)).when(raw.startswith("["), listed).when(raw.rlike(r"(?s)^(?:#[^\n]*\n)?\s*-[ \t]"), items)
-            .when(raw.rlike(r"^[A-Za-z_][\w-]*:(?:\s|$)"), F.array(raw)).otherwise(F.array(F.lit("")))
-        )
 
-    return F.when(has_field(name), let(wide_trim(field_block(name)), read))
+def text_field(name: str) -> Column:
+    return text_of(at(f"/{name}"))
 
 
-def entry_raw(entry: Column, key: str) -> Column:
-    """The rest of a key's line in a mapping's text, '' without the key. A flow mapping ends values at commas."""
-    flow = F.regexp_extract(entry, rf"""[{{,]\s*{key}:[ \t]*(\{{[^{{}}]*\}}|\[[^\[\]]*\]|"(?:[^"\\]|\\.)*"|'[^']*'|[^,}}\n]*)""", 1)
-    block = F.regexp_extract(entry, rf"(?m)^[ \t]*{key}:[ \t]*(.*)$", 1)
-    return F.trim(F.when(entry.startswith("{"), flow).otherwise(block))
+def items(entry: Column) -> Column:
+    """Pointers of a list's items, in order; empty for anything else."""
+    found = at(entry)
+    numbers = F.when((found["kind"] == "seq") & (found["size"] > 0), F.sequence(F.lit(0), found["size"] - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.concat(entry, F.lit("/"), k.cast("string")))
 
 
-def entry_has(entry: Column, key: str) -> Column:
-    return F.when(entry.startswith("{"), entry.rlike(rf"[{{,]\s*{key}:")).otherwise(entry.rlike(rf"(?m)^[ \t]*{key}:"))
+def list_field(name: str) -> Column:
+    """A list of texts; empty where any element is none."""
+    found = F.transform(items(F.lit(f"/{name}")), lambda p: text_of(at(p)))
+    return F.when(F.forall(found, lambda x: x.isNotNull()), found).otherwise(F.array().cast("array<string>"))
 
 
-def entry_text(entry: Column, key: str) -> Column:
-    """The string under a key of a mapping's text; null where there is none."""
-    return scalar_text(F.nullif(entry_raw(entry, key), F.lit("")))
+def mappings(name: str) -> Column:
+    """Pointers of the mappings that a field holds, alone or in a list; null for an element that is none, or for a field that is neither."""
+    own = F.lit(f"/{name}")
+    kind = at(own)["kind"]
+    listed = F.transform(items(own), lambda p: F.when(at(p)["kind"] == "map", p))
+    return F.when(kind == "seq", listed).when(kind == "map", F.array(own)).otherwise(F.array(F.lit(None).cast("string")))
 
 
 def decode(docs: DataFrame) -> DataFrame:
-    """Adds path (canonical), text, and failure (read or decode; null where sound). The second and later of one path fail as read."""
+    """Adds path (canonical), raw (text without its byte-order mark), and failure (read or decode; null where sound). The second and later of one path fail as read, and so do names that are only an ending."""
     path = paths.canonical_path(F.col("bundle_path"))
     rows = docs.withColumn("path", path).withColumn("sound", F.is_valid_utf8(F.col("content").cast("string")))
-    text = F.regexp_replace(F.when(F.col("sound"), F.col("content").cast("string")), "\r\n?", "\n")
+    raw = F.regexp_replace(F.when(F.col("sound"), F.col("content").cast("string")), r"^\x{FEFF}", "")
     nth = F.row_number().over(Window.partitionBy("bundle_id", "path").orderBy("uri"))
-    rows = rows.where("bundle_path LIKE '%.md'").withColumn("nth", nth)
-    return rows.withColumn("text", text).withColumn("failure", F.when(F.col("path").isNull() | (F.col("nth") > 1), "read").when(~F.col("sound"), "decode")).drop("sound", "nth")
+    rows = rows.where("bundle_path LIKE '%.md'").withColumn("nth", nth).withColumn("raw", raw)
+    unread = F.col("path").isNull() | (F.col("nth") > 1) | (paths.base_name(F.col("path")) == ".md")
+    failure = F.when(unread, "read").when(~F.col("sound") | F.col("raw").startswith("﻿"), "decode")
+    return rows.withColumn("failure", failure).withColumn("raw", F.when(F.col("failure").isNull(), F.col("raw"))).drop("sound", "nth", "content")
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """One row per document: bundle_id, uri, path, id, reserved (index, log or null), front, body, keys, values, failure, and the normalised fields."""
-    rows = decode(docs)
-    rows = rows.withColumn("head", F.regexp_extract("text", REGION, 0)).withColumn("front", F.when(F.length("head") > 0, F.regexp_extract("text", REGION, 1)))
-    rows = rows.withColumn("body", F.expr("substring(text, length(head) + 1)"))
-    keys, values = (F.coalesce(F.regexp_extract_all("front", F.lit(FIELD), F.lit(k)), F.array().cast("array<string>")) for k in (1, 2))
-    rows = rows.withColumns({"id": paths.concept_id(F.col("path")), "reserved": paths.reserved_kind(F.col("path")), "keys": keys, "values": F.transform(values, lambda v: F.trim(v))})
-    twice = F.size(F.array_distinct("keys")) != F.size("keys")
-    open_region = F.col("front").isNull() & F.col("text").rlike(r"^\x{FEFF}?---(?:\n|\z)")
-    broken = twice | open_region | (F.col("front").isNull() & F.col("reserved").isNull())
-    rows = rows.withColumn("failure", F.coalesce("failure", F.when(broken, "frontmatter")))
-    names = ("type", "title", "description", "resource", "timestamp", "status", "runtime", "computation", "stale_after", "okf_version")
-    rows = rows.withColumn("texts", F.transform(F.array(*map(F.lit, names)), lambda n: scalar_text(F.try_element_at("values", F.nullif(F.array_position("keys", n).cast("int"), F.lit(0))))))
-    fields = {("declared_version" if name == "okf_version" else name): F.col("texts")[k] for k, name in enumerate(names)}
-    verified = F.transform(mappings("verified"), lambda e: F.struct(entry_text(e, "by").alias("by"), entry_text(e, "at").alias("at")))
-    rows = rows.withColumns(fields | {"tags": list_field("tags"), "generated_by": map_entry("generated", "by"), "generated_at": map_entry("generated", "at"), "verified": verified})
+    """One row per document: bundle_id, uri, path, id, reserved (index, log or null), failure, structure's columns, and the normalised fields.
+
+    failure is read, decode, frontmatter or resource-limit, with fault_message and fault_range; the document's structure
+    is empty then.
+    """
+    rows = decode(docs).withColumns({"id": paths.concept_id(F.col("path")), "reserved": paths.reserved_kind(F.col("path"))})
+    rows = with_structure(rows.select(*[c for c in rows.columns if c != "bundle_path"]))
+    rows = rows.withColumn("failure", F.coalesce("failure", "fault")).drop("fault")
+    rows = rows.withColumns({column: text_field(name) for name, column in TEXTS.items()})
+    verified = F.when(has_field("verified"), F.transform(mappings("verified"), lambda e: F.struct(entry_text(e, "by").alias("by"), entry_text(e, "at").alias("at"))))
+    rows = rows.withColumns({"tags": list_field("tags"), "generated_by": entry_text(F.lit("/generated"), "by"), "generated_at": entry_text(F.lit("/generated"), "at"), "verified": verified})
     sound = F.filter(F.coalesce("verified", F.array().cast("array<struct<by:string,at:string>>")), event_ok)
     tier = F.when(F.exists(sound, lambda e: e["by"].startswith("human:")), "human-reviewed").when(F.size(sound) > 0, "machine-confirmed").otherwise("unverified")
-    return rows.withColumn("trust_tier", tier).drop("head", "content", "bundle_path", "texts")
+    return rows.withColumn("trust_tier", tier)
 
 
 def event_ok(event: Column) -> Column:
     """A verification counts with a sound actor and a date-time with an explicit zone."""
-    return actor_ok(event["by"]) & F.coalesce(explicit_zone_epoch(event["at"]).isNotNull(), F.lit(False))
+    return F.coalesce(actor_ok(event["by"]) & explicit_zone_epoch(event["at"]).isNotNull(), F.lit(False))
 
 
 def concepts(parsed: DataFrame) -> DataFrame:
@@ -138,54 +101,25 @@ def concepts(parsed: DataFrame) -> DataFrame:
     return parsed.where("path IS NOT NULL AND reserved IS NULL AND coalesce(failure, '') <> 'read'")
 
 
-def _without_code(body: Column) -> Column:
-    blank = F.regexp_replace(F.regexp_replace(body, CODE, ""), r"<!--(?s:.*?)-->", "")
-    return F.regexp_replace(blank, r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)", "")
-
-
 def headings(parsed: DataFrame) -> DataFrame:
-    """bundle_id, path, nth, level, heading: ATX and Setext headings outside code."""
-    one = r"(?m)^(?: {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$|(?! {0,3}(?:#|[-*+>]|$))(.+)\n {0,3}(=+|-+)[ \t]*$)"
-    plain = F.regexp_replace("body", CODE, "")
-    found = parsed.select("bundle_id", "path", F.arrays_zip(*[F.regexp_extract_all(plain, F.lit(one), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4)]).alias("all"))
-    each = found.select("bundle_id", "path", F.posexplode("all").alias("nth", "h"))
-    level = F.when(F.length("h.g1") > 0, F.length("h.g1")).otherwise(F.when(F.col("h.g4").startswith("="), 1).otherwise(2))
-    return each.select("bundle_id", "path", "nth", level.alias("level"), F.trim(F.when(F.length("h.g1") > 0, F.col("h.g2")).otherwise(F.col("h.g3"))).alias("heading"))
-
-
-def fence_count(body: Column, heading: str) -> Column:
-    """Fenced code blocks in the section of the first-level heading with this text."""
-    section = F.regexp_extract(body, rf"(?sm)^# +{heading} *$(.*?)(?:^# |\z)", 1)
-    return F.size(F.regexp_extract_all(section, F.lit(CODE), F.lit(0)))
+    """bundle_id, path, nth, level, heading, range: headings outside code, in quotes and lists too."""
+    each = parsed.select("bundle_id", "path", F.posexplode("heads").alias("nth", "h"))
+    return each.select("bundle_id", "path", "nth", F.col("h.level").alias("level"), F.col("h.text").alias("heading"), F.col("h.range").alias("range"))
 
 
-INLINE = r"(?<!!)\[((?:[^\[\]\\]|\\.|!\[[^\]]*\]\([^)]*\))*)\]\(\s*(?:<([^<>\n]*)>|([^\s()<>]*))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"
-REFERENCE = r"(?<![!\]])\[((?:[^\[\]\\]|\\.)+)\](?:\[((?:[^\[\]\\]|\\.)*)\])?(?![:(\[])"
-DEFINITION = r"(?m)^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*<?([^\s<>]+)>?(?:[ \t]+[\"'(].*)?$"
-AUTOLINK = r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>"
+def fence_count(heading: str) -> Column:
+    """Fenced code blocks in the sections of first-level headings with this text; needs the columns heads and code."""
+    tops = F.filter("heads", lambda h: h["level"] == 1)
+    above = lambda c: F.try_element_at(F.filter(tops, lambda h: h["range"]["start"] < c["start"]), F.lit(-1))
+    return F.size(F.filter("code", lambda c: c["fenced"] & F.coalesce(above(c)["text"] == heading, F.lit(False))))
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """bundle_id, source_id, path, nth (order in the document), label, raw_target; every occurrence counts, the first definition of a label wins."""
-    sound = parsed.where("failure IS NULL AND reserved IS NULL").withColumn("plain", _without_code(F.col("body")))
-    group = lambda pattern, k: F.regexp_extract_all("plain", F.lit(pattern), F.lit(k))
-    name = lambda c: F.lower(one_line(c))
-    # The place of the k-th match: matches come in order, so each is looked for after the one before.
-    def places(full: Column) -> Column:
-        step = lambda done, m: F.array_append(done, F.call_function("locate", m, F.col("plain"), F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + 1))
-        return F.aggregate(full, F.array().cast("array<int>"), step)
-
-    inline = F.arrays_zip(places(group(INLINE, 0)).alias("at"), group(INLINE, 1).alias("label"), F.zip_with(group(INLINE, 2), group(INLINE, 3), lambda a, b: F.concat(a, b)).alias("target"))
-    auto = F.arrays_zip(places(group(AUTOLINK, 0)).alias("at"), group(AUTOLINK, 1).alias("label"), group(AUTOLINK, 1).alias("target"))
-    defined = F.arrays_zip(F.transform(group(DEFINITION, 1), name).alias("name"), group(DEFINITION, 2).alias("target"))
-    uses = F.arrays_zip(places(group(REFERENCE, 0)).alias("at"), group(REFERENCE, 1).alias("label"), group(REFERENCE, 2).alias("by"))
-    rows = sound.select("bundle_id", F.col("id").alias("source_id"), "path", "uri", inline.alias("inline"), auto.alias("auto"), defined.alias("defined"), uses.alias("uses"))
-    looked_up = F.transform("uses", lambda u: F.struct(u["at"].alias("at"), u["label"].alias("label"), F.try_element_at(F.filter("defined", lambda d: d["name"] == name(F.when(F.length(u["by"]) > 0, u["by"]).otherwise(u["label"]))), F.lit(1))["target"].alias("target")))
-    every = F.array_sort(F.concat("inline", "auto", F.filter(looked_up, lambda u: u["target"].isNotNull())))
-    each = rows.select("bundle_id", "source_id", "path", "uri", F.posexplode(every).alias("nth", "l"))
-    label = F.regexp_replace(F.regexp_replace("l.label", r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]+", "")
-    return each.select("bundle_id", "source_id", "path", "uri", "nth", F.col("l.at").alias("place"), label.alias("label"), F.col("l.target").alias("raw_target"))
+    """bundle_id, source_id, path, uri, nth (order in the document), label, raw_target, range; every occurrence counts."""
+    sound = parsed.where("failure IS NULL AND reserved IS NULL")
+    each = sound.select("bundle_id", F.col("id").alias("source_id"), "path", "uri", F.posexplode("marks").alias("nth", "l"))
+    return each.select("bundle_id", "source_id", "path", "uri", "nth", F.col("l.label").alias("label"), F.col("l.target").alias("raw_target"), F.col("l.range").alias("range"))
 
 
 def failures(parsed: DataFrame) -> DataFrame:
-    return parsed.where("failure IS NOT NULL").select("bundle_id", "uri", "path", F.col("failure").alias("reason"))
+    return parsed.where("failure IS NOT NULL").select("bundle_id", "uri", "path", F.col("failure").alias("reason"), F.col("fault_message").alias("message"), F.col("fault_range").alias("range"))

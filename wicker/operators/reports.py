@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.functions.text import utf16_key
+from wicker.functions.text import utf16_key, wide_trim
 from wicker.operators.parse import concepts
 from wicker.operators.running import running, running_distinct
 
@@ -20,8 +20,10 @@ def category_rank(category: Column) -> Column:
 
 
 def ordered(found: DataFrame) -> DataFrame:
-    """Findings by uri, category, code and subject, as UTF-16 orders text."""
-    return found.orderBy("bundle_id", utf16_key(F.col("uri")), category_rank(F.col("category")), utf16_key(F.col("code")), utf16_key(F.col("subject")))
+    """Findings by uri, place (those without one last), category, code and subject, as UTF-16 orders text."""
+    place = lambda end: F.coalesce(F.col(f"range.{end}"), F.lit((1 << 31) - 1))
+    places = [place("start"), place("end")] if "range" in found.columns else []
+    return found.orderBy("bundle_id", utf16_key(F.col("uri")), *places, category_rank(F.col("category")), utf16_key(F.col("code")), utf16_key(F.col("subject")))
 
 
 def envelope(result: Column, command: str, version: int = 1) -> Column:
@@ -54,14 +56,14 @@ def refused(docs: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
 
 
 def root_class(parsed: DataFrame, known: tuple[str, ...] = ("0.1", "0.2")) -> DataFrame:
-    """bundle_id, version, verdict (supported, future-minor, unsupported, undeclared, failed), label (the root's first heading) of each bundle with a root index."""
+    """bundle_id, version, verdict (supported, future-minor, unsupported, undeclared, failed), label (the title in the root's frontmatter) of each bundle with a root index."""
     roots = parsed.where("path = 'index.md'")
     version = F.coalesce("declared_version", F.lit(""))
     minor = F.ltrim(F.regexp_extract(version, r"^0+\.(\d+)$", 1), F.lit("0"))
     newest = max(int(v.split(".")[1]) for v in known)
     future = version.rlike(r"^0+\.\d+$") & ((F.length(minor) > len(str(newest))) | ((F.length(minor) == len(str(newest))) & (minor > str(newest))))
     verdict = F.when(F.col("failure").isNotNull(), "failed").when(version == "", "undeclared").when(version.isin(*known), "supported").when(future, "future-minor").otherwise("unsupported")
-    label = F.nullif(F.trim(F.regexp_extract("body", r"(?m)^ {0,3}#[ \t]+(.*?)[ \t]*#*[ \t]*$", 1)), F.lit(""))
+    label = F.nullif(wide_trim(F.col("title")), F.lit(""))
     return roots.select("bundle_id", F.col("declared_version").alias("version"), verdict.alias("verdict"), label.alias("label"))
 
 

@@ -51,3 +51,39 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = orders.select(*_document(F.concat(F.lit("order/"), "o_orderpriority", F.lit("/"), text("o_orderkey"), F.lit(".md")), [("type", F.lit("order")), ("title", F.concat(F.lit('"Order '), text("o_orderkey"), F.lit('"'))), ("tags", F.concat(F.lit("["), "o_orderstatus", F.lit("]"))), ("timestamp", stamp)], F.concat(_link("customer", to), F.lit("\n\n"), F.array_join(parts, ""), defect)))
     index = spark.range(1).select(*_document(F.lit("index.md"), [("okf_version", F.lit('"0.2"'))], F.lit("# Tables")))
     return reduce(DataFrame.unionByName, [region, nation, supplier, customer, part, order, index])
+
+
+def nation_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bundle per nation: a root index that declares a version by the nation's key (or none, or is broken), a hub, and a document per supplier, every third of which links to nothing."""
+    nations, suppliers = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    key = F.col("n_nationkey")
+    of, number = F.concat(F.lit("nation-"), key.cast("string")), F.col("s_suppkey").cast("string")
+
+    def rows(df: DataFrame, name: Column, fields: list[tuple[str, Column]], body: Column) -> DataFrame:
+        return df.select(of.alias("bundle_id"), F.concat(F.lit("mem://"), of, F.lit("/"), name).alias("uri"), F.concat(name, F.lit(".md")).alias("bundle_path"), *_document(name, fields, body)[3:])
+
+    version = F.when(key % 5 == 0, "'0.1'").when(key % 5 == 1, "!!str 0.2").when(key % 5 == 2, '&v "0.7"').when(key % 5 == 3, "1.0")
+    title = F.when(key % 3 == 0, F.concat(F.lit(">-\n  Suppliers\n  of "), "n_name")).when(key % 3 == 1, F.concat(F.lit('"\\u0053uppliers of '), "n_name", F.lit('"')))
+    index = rows(nations, F.lit("index"), [("okf_version", version), ("title", title), ("note", F.when(key % 7 == 6, "[open"))], F.lit("# A heading, which is no title"))
+    body = F.when(F.col("s_suppkey") % 3 != 0, "> - [self *and* hub](<./hub.md>)\n\n      [code](./hub.md)").otherwise("\\[not a link](./hub.md) `[nor](./hub.md)`")
+    held = rows(suppliers.join(nations, F.col("s_nationkey") == key), number, [("type", F.lit("supplier"))], body)
+    return index.unionByName(held).unionByName(rows(nations, F.lit("hub"), [("type", F.lit("hub"))], F.lit("A hub")))
+
+
+#: What notes() writes: the frontmatter by key modulo 8, and the body by size modulo 10. NAME and BRAND stand for the part's own.
+NOTE_FRONTS = (
+    "tags: [\"BRAND, first\", second, 'it''s']", "description: >\n  Part\n  of\n\n  BRAND", '"status": draft', 'title: "Caf\\u00e9\\tNAME"', "seed: &b BRAND\nresource: *b", "bad: [BRAND", "? bad\n: BRAND\nbad: again", "description: |-\n  NAME\n    more\n  # no comment",
+)
+NOTE_BODIES = (
+    "\\[no](./x.md) [yes](./NAME.md)", "[one [two] three](./a.md)", "[p](./x(1).md)", "    [code](./a.md)", "<div>\n[raw](./a.md)\n</div>\n\n[after](./b.md)", "[e](./a&amp;b.md)", "```\n[in](./a.md)\n```\n[out][r]\n\n[R]: ./c.md 'title'", "`[x](./a.md)` ![i [j](./k.md)](./l.md)", "😀 [wide **label**](./w.md \"t\")", "- > [in\n  > list](./m.md)",
+)
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part, in forms of YAML and Markdown that simple readers get wrong; every thirteenth has CRLF line ends."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name, key = F.concat(F.lit("p"), F.col("p_size").cast("string")), F.col("p_partkey").cast("string")
+    said = lambda forms, by: F.replace(F.replace(F.array(*map(F.lit, forms))[by.cast("int")], F.lit("NAME"), name), F.lit("BRAND"), F.col("p_brand"))
+    text = F.concat(F.lit("---\ntype: note\n"), said(NOTE_FRONTS, F.col("p_partkey") % 8), F.lit("\n---\n\n"), said(NOTE_BODIES, F.col("p_size") % 10), F.lit("\n"))
+    text = F.when(F.col("p_partkey") % 13 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return parts.select(F.lit("notes").alias("bundle_id"), F.concat(F.lit("mem://notes/"), key).alias("uri"), F.concat(key, F.lit(".md")).alias("bundle_path"), F.encode(text, "UTF-8").alias("content"))
