@@ -1,11 +1,9 @@
 """Small bundles written out as text: parsing, link classes, rules, plans."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from wicker.functions import dates, paths, text
 from wicker.operators import graph, parse, query, rules
-from wicker.plans import indexes, migration
 from wicker.sources import bundles
 
 NOW, TODAY = 1784721600, "2026-07-22"
@@ -164,27 +162,6 @@ def test_dates(spark):
     assert df.where(~dates.explicit_zone_epoch(F.col("s")).eqNullSafe(F.col("e"))).count() == 0
 
 
-@pytest.mark.parametrize("eol", ["\n", "\r\n"])
-def test_index_plan_is_idempotent(spark, eol):
-    files = {"a.md": CONCEPT, "d/b.md": CONCEPT.replace("title: T", "title: 'x [y]'"), "d/index.md": f"# D{eol}"}
-    first = {r["path"]: r for r in indexes.plan(bundle(spark, files)).collect()}
-    assert {p: r["operation"] for p, r in first.items()} == {"index.md": "create", "d/index.md": "update"}
-    assert "- [x \\[y\\]](./b.md) - D\n" in first["d/index.md"]["text"] and first["index.md"]["text"].startswith('---\nokf_version: "0.2"\n---\n')
-    again = indexes.plan(bundle(spark, files | {p: r["text"] for p, r in first.items()}))
-    assert {r["operation"] for r in again.collect()} == {"keep"}
-    odd = indexes.plan(bundle(spark, files | {"d/index.md": f"{indexes.START}\n"})).where("path = 'd/index.md'").first()
-    assert odd["operation"] == "refuse"
-
-
-def test_migration(spark):
-    files = {"index.md": '---\nokf_version: "0.1" # v\n---\n', "a.md": "---\ntype: x\ntimestamp: 2026-07-01T00:00:00Z\n---\n# Citations\n\n- https://a.test/x\n- https://b.test\n", "b.md": "---\ntype: x\ntimestamp: 2026-02-31T00:00:00Z\n---\n# Citations\n\n- see https://a.test\n- https://b.test\n"}
-    got = {r["path"]: r for r in migration.plan(bundle(spark, files), "process:migrate").collect()}
-    assert got["index.md"]["text"] == '---\nokf_version: "0.2" # v\n---\n'
-    assert got["a.md"]["actions"] == ["timestamp-to-generated", "citations-to-sources"] and got["b.md"]["reasons"] == ["timestamp-requires-manual-migration", "citations-require-manual-migration"]
-    moved = bundle(spark, {p: r["text"] for p, r in got.items()})
-    assert codes_of(moved, "a.md") == [] and migration.plan(moved, "process:migrate").where("changed").count() == 0
-
-
 def codes_of(parsed, path):
     return [r["code"] for r in rules.generated(parsed, NOW).unionByName(rules.provenance(parsed)).where(F.col("uri").endswith("/" + path)).collect()]
 

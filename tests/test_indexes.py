@@ -1,7 +1,6 @@
-"""Index plans of directories beyond the stated size, and root verdicts."""
+"""Root verdicts."""
 
 from wicker.operators import parse, reports
-from wicker.plans import indexes
 
 
 def parsed_of(spark, files):
@@ -9,12 +8,6 @@ def parsed_of(spark, files):
     return parse.parse(spark.createDataFrame(rows, "bundle_id string, uri string, bundle_path string, content binary"))
 
 
-def test_large_directories_are_refused(spark):
-    files = {f"d/{k}.md": "---\ntype: x\n---\n" for k in range(4)} | {"e/1.md": "---\ntype: x\n---\n"}
-    got = {r["path"]: (r["operation"], r["text"] is None) for r in indexes.plan(parsed_of(spark, files), most=3).collect()}
-    assert got == {"index.md": ("create", False), "d/index.md": ("refuse", True), "e/index.md": ("create", False)}
-
-
 def test_root_verdicts(spark):
     for version, verdict in (('"0.1"', "supported"), ('"0.2"', "supported"), ('"0.10"', "future-minor"), ('"1.0"', "unsupported")):
         row = reports.root_class(parsed_of(spark, {"index.md": f"---\nokf_version: {version}\ntitle: '  My bundle '\n---\n# Head\n"})).first()

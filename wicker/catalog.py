@@ -326,10 +326,16 @@ def index_entries(spark, sf_dir):
 _REGIONS = REGISTRY["index_entries"][1] or ""
 
 
-@register("index_plan", _REGIONS.replace("SELECT directory, kind, name, line FROM ent", """, reg AS (SELECT directory, '<!-- index:start -->' || chr(10) || '## Contents' || chr(10) || chr(10) || string_agg(line || chr(10), '' ORDER BY kind, name) || '<!-- index:end -->' || chr(10) AS region FROM ent GROUP BY 1)
-SELECT CASE WHEN directory = '' THEN 'index.md' ELSE directory || '/index.md' END AS path, CASE WHEN directory = '' THEN 'update' ELSE 'create' END AS operation, CASE WHEN directory = '' THEN '---' || chr(10) || 'okf_version: "0.2"' || chr(10) || '---' || chr(10) || chr(10) || '# Tables' || chr(10) || chr(10) ELSE '' END || region AS text FROM reg"""), facts=False)
+@register("index_plan", _REGIONS.replace("SELECT directory, kind, name, line FROM ent", """, reg AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY kind, name) - 1 AS rn FROM ent
+), pieces AS (
+  SELECT directory, 0 AS piece, CASE WHEN directory = '' THEN '---' || chr(10) || 'okf_version: "0.2"' || chr(10) || '---' || chr(10) || chr(10) || '# Tables' || chr(10) || chr(10) ELSE '' END || '<!-- index:start -->' || chr(10) || '## Contents' || chr(10) || chr(10) AS text FROM reg WHERE rn = 0
+  UNION ALL SELECT directory, rn // 1000 + 1, string_agg(line || chr(10), '' ORDER BY rn) FROM reg GROUP BY 1, 2
+  UNION ALL SELECT directory, max(rn) // 1000 + 2, '<!-- index:end -->' || chr(10) FROM reg GROUP BY 1
+) SELECT CASE WHEN directory = '' THEN 'index.md' ELSE directory || '/index.md' END AS path, CASE WHEN directory = '' THEN 'update' ELSE 'create' END AS operation, piece::INTEGER AS piece, text FROM pieces"""), facts=False)
 def index_plan(spark, sf_dir):
-    return indexes.plan(_parsed(spark, sf_dir)).select("path", "operation", "text")
+    parsed = _parsed(spark, sf_dir)
+    chunks = _held(spark, sf_dir, "index chunks", lambda: indexes.chunked(parsed, 1000))
+    return indexes.pieces(indexes.plan(parsed, chunks=chunks), chunks).select("path", "operation", "piece", "text")
 
 
 @register("migration_actions", "SELECT id || '.md' AS path, stamp IS NOT NULL AS changed, CASE WHEN stamp IS NOT NULL THEN 'timestamp-to-generated' ELSE '' END AS actions FROM c UNION ALL SELECT 'index.md', true, 'root-version-to-0.2'")

@@ -55,6 +55,12 @@ def json_quote(c: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
+def utf16_cut(c: Column, at: Column) -> tuple[Column, Column]:
+    """What stands before a place in UTF-16 units, and what stands from there on."""
+    raw = F.encode(c, "UTF-16BE")
+    return F.decode(F.substring(raw, F.lit(1), at * 2), "UTF-16BE"), F.decode(F.substring(raw, at * 2 + 1, F.octet_length(raw)), "UTF-16BE")
+
+
 def bounded(c: Column, units: int = 160) -> Column:
     """At most `units` UTF-16 units, the last an ellipsis where text was cut; never half a surrogate pair."""
     raw = F.encode(c, "UTF-16BE")

@@ -63,15 +63,14 @@ def mappings(name: str) -> Column:
 
 
 def decode(docs: DataFrame) -> DataFrame:
-    """Adds path (canonical), raw (text without its byte-order mark), and failure (read or decode; null where sound). The second and later of one path fail as read, and so do names that are only an ending."""
+    """Adds path (canonical), source (the text as it is), and failure (read or decode; null where sound). The second and later of one path fail as read, and so do names that are only an ending."""
     path = paths.canonical_path(F.col("bundle_path"))
     rows = docs.withColumn("path", path).withColumn("sound", F.is_valid_utf8(F.col("content").cast("string")))
-    raw = F.regexp_replace(F.when(F.col("sound"), F.col("content").cast("string")), r"^\x{FEFF}", "")
     nth = F.row_number().over(Window.partitionBy("bundle_id", "path").orderBy("uri"))
-    rows = rows.where("bundle_path LIKE '%.md'").withColumn("nth", nth).withColumn("raw", raw)
+    rows = rows.where("bundle_path LIKE '%.md'").withColumn("nth", nth).withColumn("source", F.when(F.col("sound"), F.col("content").cast("string")))
     unread = F.col("path").isNull() | (F.col("nth") > 1) | (paths.base_name(F.col("path")) == ".md")
-    failure = F.when(unread, "read").when(~F.col("sound") | F.col("raw").startswith("﻿"), "decode")
-    return rows.withColumn("failure", failure).withColumn("raw", F.when(F.col("failure").isNull(), F.col("raw"))).drop("sound", "nth", "content")
+    failure = F.when(unread, "read").when(~F.col("sound") | F.col("source").startswith("\ufeff\ufeff"), "decode")
+    return rows.withColumn("failure", failure).withColumn("source", F.when(F.col("failure").isNull(), F.col("source"))).drop("sound", "nth", "content")
 
 
 def parse(docs: DataFrame) -> DataFrame:

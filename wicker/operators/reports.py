@@ -81,6 +81,6 @@ def budgets(nodes: DataFrame, edges: DataFrame, broken: DataFrame) -> DataFrame:
 
 def vocabulary_growth(parsed: DataFrame) -> DataFrame:
     """bundle_id, path, types, bytes: the different types and the bytes of text up to and with each concept, in order of path."""
-    rows = concepts(parsed).where("failure IS NULL").select("bundle_id", "path", F.nullif("type", F.lit("")).alias("type"), F.octet_length("text").cast("long").alias("size"))
+    rows = concepts(parsed).where("failure IS NULL").select("bundle_id", "path", F.nullif("type", F.lit("")).alias("type"), F.octet_length("source").cast("long").alias("size"))
     key = utf16_key(F.col("path"))
     return running(running_distinct(rows, ["bundle_id"], key, "type", "types"), ["bundle_id"], key, {"bytes": F.col("size")}).select("bundle_id", "path", "types", "bytes")

@@ -19,9 +19,9 @@ PLACES = ("start", "line", "character", "end", "end_line", "end_character")
 #: Offsets are UTF-16 units of the text as it was read; lines and characters count from 0.
 RANGE = "struct<" + ",".join(f"{n}:int" for n in PLACES) + ">"
 COLUMNS = {
-    "text": "string", "newline": "string", "front": "string", "body": "string", "front_range": RANGE, "keys": "array<string>", "fields": f"map<string,struct<kind:string,value:string,tag:string,size:int,range:{RANGE}>>",
+    "front": "string", "body": "string", "front_range": RANGE, "keys": "array<string>", "fields": f"map<string,struct<kind:string,value:string,tag:string,size:int,range:{RANGE}>>",
     "marks": f"array<struct<label:string,target:string,range:{RANGE}>>", "heads": f"array<struct<level:int,text:string,range:{RANGE}>>", "code": "array<struct<start:int,fenced:boolean>>",
-    "fault": "string", "fault_message": "string", "fault_range": RANGE,
+    "newline": "string", "fault": "string", "fault_message": "string", "fault_range": RANGE,
 }
 
 
@@ -70,9 +70,10 @@ def region(text: str) -> tuple[int, int] | None:
 
 def structure(raw: str, reserved: bool) -> dict:
     """One document's columns."""
-    text, places = raw.replace("\r\n", "\n").replace("\r", "\n"), None
+    raw = raw.removeprefix("\ufeff")
+    text = raw.replace("\r\n", "\n").replace("\r", "\n")
     first = min((k for k in (raw.find("\n"), raw.find("\r")) if k >= 0), default=-1)
-    out = {"text": text, "newline": "\n" if first < 0 or raw[first] == "\n" else "\r\n" if raw[first : first + 2] == "\r\n" else "\r", "entries": [], "marks": [], "heads": [], "code": []}
+    out = {"newline": "\n" if first < 0 or raw[first] == "\n" else "\r\n" if raw[first : first + 2] == "\r\n" else "\r", "entries": [], "marks": [], "heads": [], "code": []}
 
     def fault(reason: str, message: str, start: int, end: int) -> dict:
         return out | {"entries": [], "marks": [], "heads": [], "code": [], "fault": reason, "fault_message": message, "fault_range": places.range(start, end)}
@@ -139,21 +140,20 @@ def batch_of(rows: list[dict]) -> list[pa.Array]:
     heads = lists(lists_of("heads"), lambda hs: structs(level=pa.array([h[0] for h in hs], pa.int32()), text=text([h[1] for h in hs]), range=ranges([h[2] for h in hs])))
     code = lists(lists_of("code"), lambda cs: structs(start=pa.array([c[0] for c in cs], pa.int32()), fenced=pa.array([c[1] for c in cs], pa.bool_())))
     fields = pa.MapArray.from_arrays(keyed.offsets, text([e[0] for es in entries for e in es]), keyed.values)
-    return [text(pick("text")), text(pick("newline")), text(pick("front")), text(pick("body")), ranges(pick("front_range")), pa.array(keys, pa.list_(pa.string())), fields, marks, heads, code, text(pick("fault")), text(pick("fault_message")), ranges(pick("fault_range"))]
+    return [text(pick("front")), text(pick("body")), ranges(pick("front_range")), pa.array(keys, pa.list_(pa.string())), fields, marks, heads, code, text(pick("newline")), text(pick("fault")), text(pick("fault_message")), ranges(pick("fault_range"))]
 
 
 def with_structure(docs: DataFrame, rows_at_once: int = 512) -> DataFrame:
-    """docs (with raw, a text or null, and reserved) with the columns of COLUMNS instead of raw."""
-    at, kind = docs.columns.index("raw"), docs.columns.index("reserved")
-    kept = [k for k in range(len(docs.columns)) if k != at]
-    names = [docs.columns[k] for k in kept] + list(COLUMNS)
+    """docs (with source, a text or null, and reserved) with the columns of COLUMNS. Offsets do not count a byte-order mark."""
+    at, kind = docs.columns.index("source"), docs.columns.index("reserved")
+    names = docs.columns + list(COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(lo, rows_at_once)
                 made = [{} if raw is None else structure(raw, reserved is not None) for raw, reserved in zip(batch.column(at).to_pylist(), batch.column(kind).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *batch_of(made)], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *batch_of(made)], names=names)
 
-    schema = ", ".join([f"`{docs.columns[k]}` {docs.schema[k].dataType.simpleString()}" for k in kept] + [f"{n} {t}" for n, t in COLUMNS.items()])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} {t}" for n, t in COLUMNS.items()])
     return docs.mapInArrow(run, schema)
