@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths, text
 from wicker.functions.dates import explicit_zone_epoch, is_iso_date
-from wicker.operators import graph, parse, query, reports, rules
+from wicker.operators import graph, limits, parse, query, reports, rules
 from wicker.plans import indexes, migration
 from wicker.sources import store, tables
 from wicker.streaming import changes as stream
@@ -342,7 +342,7 @@ def index_plan(spark, sf_dir):
 def migration_actions(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     old = docs.withColumn("content", F.when(F.col("bundle_path") == "index.md", F.encode(F.lit('---\nokf_version: "0.1" # old\n---\n\n# Tables\n'), "UTF-8")).otherwise(F.col("content")))
-    return migration.plan(parse.parse(old), "process:migrate").select("path", "changed", F.array_join("actions", "|").alias("actions"))
+    return migration.plan(_held(spark, sf_dir, "before migration", lambda: parse.parse(old)), "process:migrate").select("path", "changed", F.array_join("actions", "|").alias("actions"))
 
 
 @register("budget_cutoff", "SELECT path, cost, CASE WHEN total <= lim THEN 'kept' WHEN path = min(path) FILTER (WHERE total > lim) OVER () THEN 'over' ELSE 'skipped' END AS state FROM (SELECT lang || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path, n_chars AS cost, sum(n_chars) OVER (ORDER BY lang || '/' || lpad(doc_id::VARCHAR, 9, '0') ROWS UNBOUNDED PRECEDING) AS total, 1000000 AS lim FROM documents)", facts=False)
@@ -494,10 +494,33 @@ def refresh_coalesced(spark, sf_dir):
     return stream.coalesced(stream.capped_batches(_changes(spark, sf_dir), _QUIET, _LONGEST), "bundle_id", "batch_start", most_paths=3)
 
 
-@register("stale_revision_filter", "SELECT event_id, user_id, revision FROM (SELECT event_id, user_id, revision, max(revision) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT *, event_id % 101 AS revision FROM events)) WHERE top IS NULL OR revision >= top", facts=False)
+@register("stale_revision_filter", """WITH m AS (SELECT *, event_id % 11 AS revision, event_id % 5 + 1 AS delivery_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+SELECT event_id, user_id, revision, delivery_id FROM m WHERE NOT EXISTS (SELECT 1 FROM m p WHERE p.user_id = m.user_id AND p.rn < m.rn AND (p.revision > m.revision OR p.revision = m.revision AND p.delivery_id >= m.delivery_id))""", facts=False)
 def stale_revision_filter(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("revision", F.col("event_id") % 101)
-    return stream.newest(events, "user_id", "ts", "event_id").select("event_id", "user_id", "revision")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"revision": F.col("event_id") % 11, "delivery_id": F.col("event_id") % 5 + 1})
+    return stream.newest(events, "user_id", "ts", "event_id").select("event_id", "user_id", "revision", "delivery_id")
+
+
+_LIMITS = {"body_units": 1_500_000, "body_lines": 3_000, "body_signs": 40_000}
+
+
+@register("bundle_budgets", r"""WITH d AS (SELECT coalesce(lang, 'none') AS bundle_id, lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM documents
+), w AS (SELECT *, length(body) + length(regexp_replace(body, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units, length(regexp_replace(body, '[^\x01-\x08\x0B\x0C\x0E-\x1F!-/:-@\[-`{-~]', '', 'g')) AS signs,
+    length(body) - length(replace(body, chr(10), '')) + CASE WHEN body <> '' AND NOT ends_with(body, chr(10)) THEN 1 ELSE 0 END AS lines FROM d
+), t AS (SELECT bundle_id, path, sum(units) OVER o AS u, sum(lines) OVER o AS l, sum(signs) OVER o AS s FROM w WINDOW o AS (PARTITION BY bundle_id ORDER BY path)
+), b AS (SELECT *, CASE WHEN u > 1500000 THEN 'body_units' WHEN l > 3000 THEN 'body_lines' WHEN s > 40000 THEN 'body_signs' END AS broken FROM t
+), f AS (SELECT bundle_id, min(path) AS first FROM b WHERE broken IS NOT NULL GROUP BY 1)
+SELECT bundle_id, path, CASE WHEN first IS NULL OR path < first THEN 'kept' WHEN path = first THEN 'over' ELSE 'skipped' END AS state, CASE WHEN path = first THEN broken END AS budget, u::BIGINT AS body_units, l::BIGINT AS body_lines, s::BIGINT AS body_signs FROM b LEFT JOIN f USING (bundle_id)""", facts=False)
+def bundle_budgets(spark, sf_dir):
+    """Documents as concepts of a bundle per language: what each bundle has spent, and where its budgets end."""
+
+    def make() -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        path = F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md"))
+        return parse.parse(docs.select(F.coalesce("lang", F.lit("none")).alias("bundle_id"), F.concat(F.lit("mem://"), path).alias("uri"), path.alias("bundle_path"), F.encode(F.concat(F.lit("---\ntype: note\n---\n"), F.coalesce("text", F.lit(""))), "UTF-8").alias("content")))
+
+    budgets = [b for b in limits.parser_budgets(**_LIMITS) if b.name in _LIMITS]
+    return limits.spent(_held(spark, sf_dir, "document bundles", make).select("bundle_id", "path", "work"), budgets).select("bundle_id", "path", "state", "budget", *[f"spent.{n}" for n in _LIMITS])
 
 
 @register("timestamps_checked", "SELECT event_id, epoch(date_trunc('second', ts))::BIGINT - 9000 AS at, true AS is_date FROM events", facts=False)

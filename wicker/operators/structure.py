@@ -9,7 +9,8 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from wicker.functions import commonmark, yaml
 
@@ -21,7 +22,7 @@ RANGE = "struct<" + ",".join(f"{n}:int" for n in PLACES) + ">"
 COLUMNS = {
     "front": "string", "body": "string", "front_range": RANGE, "keys": "array<string>", "fields": f"map<string,struct<kind:string,value:string,tag:string,size:int,range:{RANGE}>>",
     "marks": f"array<struct<label:string,target:string,range:{RANGE}>>", "heads": f"array<struct<level:int,text:string,range:{RANGE}>>", "code": "array<struct<start:int,fenced:boolean>>",
-    "newline": "string", "fault": "string", "fault_message": "string", "fault_range": RANGE,
+    "work": "struct<front_units:int,front_signs:int,body_units:int,body_lines:int,body_signs:int>", "newline": "string", "fault": "string", "fault_message": "string", "fault_range": RANGE,
 }
 
 
@@ -91,6 +92,9 @@ def structure(raw: str, reserved: bool) -> dict:
         begin, end = found
         body_at = min(end + 4, len(text))
         out |= {"front": text[begin:end], "front_range": places.range(begin, end)}
+    body = text[body_at:]
+    out["work"] = (*work(out.get("front", ""))[::2], *work(body))
+    if found is not None:
         try:
             entries = yaml.read(text[begin:end])
         except yaml.Failure as problem:
@@ -101,7 +105,7 @@ def structure(raw: str, reserved: bool) -> dict:
             above = pointer[: pointer.rindex("/")]
             sizes[above] = sizes.get(above, 0) + 1
         out["entries"] = [(p, kind, value, tag, sizes.get(p, 0), places.range(begin + s, begin + e)) for p, kind, value, tag, s, e in entries]
-    body = out["body"] = text[body_at:]
+    out["body"] = body
     try:
         links, heads, code = commonmark.read(body)
     except yaml.Failure as problem:
@@ -112,11 +116,28 @@ def structure(raw: str, reserved: bool) -> dict:
     return out
 
 
+def work(text: str) -> tuple[int, int, int]:
+    """Units, lines and signs of a part of a document: what reading it may cost."""
+    units = len(text) + (0 if text.isascii() else sum(c > "\uffff" for c in text))
+    return units, text.count("\n") + (bool(text) and not text.endswith("\n")), len(yaml.SIGNS.findall(text))
+
+
+def emptied(when: Column) -> dict[str, Column]:
+    """The structure's columns, empty where the condition holds: what a document has that was not read."""
+    none = {"keys": "array()", "fields": "map()", "marks": "array()", "heads": "array()", "code": "array()"}
+    return {c: F.when(when, F.expr(none[c]).cast(t) if c in none else F.lit(None).cast(t)).otherwise(F.col(c)) for c, t in COLUMNS.items() if c in ("front", "body", *none)}
+
+
 def ranges(rows: list[tuple | None]) -> pa.StructArray:
     mask = pa.array([r is None for r in rows], pa.bool_())
     return pa.StructArray.from_arrays([pa.array([0 if r is None else r[k] for r in rows], pa.int32()) for k in range(6)], names=list(PLACES), mask=mask)
 
 
+def works(rows: list[tuple | None]) -> pa.StructArray:
+    names = ["front_units", "front_signs", "body_units", "body_lines", "body_signs"]
+    return pa.StructArray.from_arrays([pa.array([0 if r is None else r[k] for r in rows], pa.int32()) for k in range(5)], names=names, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def lists(per_row: list[list], make) -> pa.ListArray:
     offsets = [0]
     for items in per_row:
@@ -140,7 +161,7 @@ def batch_of(rows: list[dict]) -> list[pa.Array]:
     heads = lists(lists_of("heads"), lambda hs: structs(level=pa.array([h[0] for h in hs], pa.int32()), text=text([h[1] for h in hs]), range=ranges([h[2] for h in hs])))
     code = lists(lists_of("code"), lambda cs: structs(start=pa.array([c[0] for c in cs], pa.int32()), fenced=pa.array([c[1] for c in cs], pa.bool_())))
     fields = pa.MapArray.from_arrays(keyed.offsets, text([e[0] for es in entries for e in es]), keyed.values)
-    return [text(pick("front")), text(pick("body")), ranges(pick("front_range")), pa.array(keys, pa.list_(pa.string())), fields, marks, heads, code, text(pick("newline")), text(pick("fault")), text(pick("fault_message")), ranges(pick("fault_range"))]
+    return [text(pick("front")), text(pick("body")), ranges(pick("front_range")), pa.array(keys, pa.list_(pa.string())), fields, marks, heads, code, works(pick("work")), text(pick("newline")), text(pick("fault")), text(pick("fault_message")), ranges(pick("fault_range"))]
 
 
 def with_structure(docs: DataFrame, rows_at_once: int = 512) -> DataFrame:

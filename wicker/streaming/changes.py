@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A batch closes after this quiet time, or this long after its first change; more distinct paths than this become one rescan.
@@ -71,10 +72,39 @@ def coalesced(batches: DataFrame, *by: str, most_paths: int = MOST_PATHS) -> Dat
 
 
 def newest(messages: DataFrame, key: str, *order: str) -> DataFrame:
-    """Messages that are accepted in arrival order: a revision (and delivery) not below what came before."""
+    """Messages (revision, delivery_id) that are accepted in arrival order: a later revision, or a later delivery of the same one. The window reads a key's rows in order and holds one maximum."""
     w = Window.partitionBy(key).orderBy(*order)
-    before = F.max("revision").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return messages.withColumn("_top", before).where(F.col("_top").isNull() | (F.col("revision") >= F.col("_top"))).drop("_top")
+    now = F.struct("revision", "delivery_id")
+    before = F.max(now).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return messages.withColumn("_top", before).where(F.col("_top").isNull() | (now > F.col("_top"))).drop("_top")
+
+
+def newest_stream(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """Streaming twin of newest: each key keeps the last accepted revision and delivery as a value state, and nothing else.
+
+    Rows of a micro-batch are taken in order of `order`; across batches, as they arrive.
+    """
+    schema, names = messages.schema, messages.columns
+
+    class Latest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.top = handle.getValueState("top", "revision bigint, delivery_id bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            top = tuple(self.top.get()) if self.top.exists() else (-1, 0)
+            batch = pd.concat(list(rows)).sort_values([order, "revision", "delivery_id"], kind="stable")
+            said = list(zip(batch["revision"].tolist(), batch["delivery_id"].tolist(), strict=True))
+            taken = []
+            for pair in said:
+                taken.append(pair > top)
+                top = max(top, pair)
+            self.top.update(top)
+            yield batch[np.array(taken, dtype=bool)][names]
+
+        def close(self) -> None:
+            pass
+
+    return messages.groupBy(key).transformWithStateInPandas(Latest(), schema, "Append", "None")
 
 
 def coalesce_stream(changes: DataFrame, late: str = "10 seconds", quiet_ms: int = QUIET_MS, most_paths: int = MOST_PATHS) -> DataFrame:
