@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.functions import paths, text
 from wicker.functions.dates import explicit_zone_epoch, is_iso_date
-from wicker.operators import graph, limits, parse, query, reports, rules
+from wicker.operators import graph, limits, parse, payload, query, reports, rules
 from wicker.plans import indexes, migration
-from wicker.sources import store, tables
+from wicker.sources import guarded, store, tables
 from wicker.streaming import changes as stream
 
 #: The reference time of all rules: 2026-07-22T12:00:00Z.
@@ -379,6 +379,45 @@ def graph_budgets(spark, sf_dir):
     return reports.budgets(nodes, _edges(spark, sf_dir), graph.broken_links(resolved)).drop("bundle_id", "json_bytes")
 
 
+@register("payload_sizes", """WITH s AS (SELECT s_suppkey AS k, n_nationkey AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), linked AS (SELECT * FROM s WHERE k % 3 <> 0
+), n AS (
+  SELECT b, '{"id":"' || k || '","type":"supplier","tags":[],"trustTier":"unverified","status":"stable","sourceCount":0,"orphan":' || CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END || ',"brokenLinkCount":0}' AS j, '"' || k || '":[]' AS back FROM s
+  UNION ALL SELECT n_nationkey, '{"id":"hub","type":"hub","tags":[],"trustTier":"unverified","status":"stable","sourceCount":0,"orphan":' || CASE WHEN n_nationkey IN (SELECT b FROM linked) THEN 'false' ELSE 'true' END || ',"brokenLinkCount":0}',
+    '"hub":[' || coalesce((SELECT string_agg('"' || k || '"', ',' ORDER BY k) FROM linked WHERE b = n_nationkey), '') || ']' FROM nation
+), e AS (SELECT b, '{"id":"edge:' || lower(to_base(row_number() OVER (PARTITION BY b ORDER BY k::VARCHAR) - 1, 36)) || '","source":"' || k || '","target":"hub","sourceRange":{"start":{"offset":28,"line":4,"character":4},"end":{"offset":54,"line":4,"character":30}}}' AS j FROM linked
+), np AS (SELECT b, string_agg(j, ',') AS j, string_agg(back, ',') AS back, count(*) AS n, count(*) FILTER (WHERE contains(j, '"orphan":true')) AS o FROM n GROUP BY 1), ep AS (SELECT b, string_agg(j, ',') AS j, count(*) AS n FROM e GROUP BY 1)
+SELECT 'nation-' || np.b AS bundle_id, strlen('{"protocolVersion":1,"revision":7,"nodes":[' || np.j || '],"edges":[' || coalesce(ep.j, '') || '],"backlinks":{' || np.back || '},"brokenLinks":[],"statistics":{"conceptCount":' || np.n || ',"edgeCount":' || coalesce(ep.n, 0) || ',"orphanCount":' || np.o
+  || ',"brokenLinkCount":0,"typeCounts":{"hub":1' || CASE WHEN np.n > 1 THEN ',"supplier":' || (np.n - 1) ELSE '' END || '},"tagCounts":{}}}')::BIGINT AS octets FROM np LEFT JOIN ep ON ep.b = np.b""", facts=False)
+def payload_sizes(spark, sf_dir):
+    """Octets of each nation's graph as one message."""
+    parsed = _nations(spark, sf_dir)
+    resolved = graph.all_links(parsed)
+    return payload.sizes(graph.nodes(parsed, resolved), graph.edges(resolved), graph.broken_links(resolved), 7)
+
+
+@register("preserved_focus", """WITH b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations), a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE (turn + conv_id) % 3 <> 0)
+SELECT b.conv_id, b.turn, b.place, x.place AS kept, x.turn AS focus FROM b LEFT JOIN a x ON x.conv_id = b.conv_id AND x.place = coalesce((SELECT a.place FROM a WHERE a.conv_id = b.conv_id AND a.turn = b.turn), (SELECT least(b.place, max(a.n) - 1) FROM a WHERE a.conv_id = b.conv_id))""", facts=False)
+def preserved_focus(spark, sf_dir):
+    """Where each turn's focus goes once every third turn is gone."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    numbered = lambda df: df.withColumn("place", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long"))
+    return query.preserved(numbered(turns), numbered(turns.where((F.col("turn") + F.col("conv_id")) % 3 != 0)), ["conv_id"], "turn", "place")
+
+
+@register("write_preflight", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, text, doc_id % 7 AS k FROM d)
+SELECT doc_id::VARCHAR || CASE WHEN k = 3 THEN '-gone' WHEN k = 4 THEN '-new' ELSE '' END AS path, CASE k WHEN 1 THEN 'changed' WHEN 2 THEN 'appeared' WHEN 3 THEN 'missing' WHEN 5 THEN 'changed' ELSE 'ready' END AS outcome FROM p""", facts=False)
+def write_preflight(spark, sf_dir):
+    """Proposals on the documents as they are: most expect what is there, some another text, another length, none, or one that is gone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("docs").alias("bundle_id"), "doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    k, name = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    path = F.when(k == 3, F.concat(name, F.lit("-gone"))).when(k == 4, F.concat(name, F.lit("-new"))).otherwise(name)
+    sha = F.when(k == 1, F.sha2(F.concat("content", F.lit("!")), 256)).when(~k.isin(2, 4), F.upper(F.sha2("content", 256)))
+    size = F.octet_length("content").cast("long") + F.when(k == 5, 1).otherwise(0)
+    proposed = docs.select("bundle_id", path.alias("path"), sha.alias("expected_sha256"), size.alias("expected_bytes"), F.concat("content", F.lit("\n")).alias("proposed"))
+    return guarded.preflight(docs.select("bundle_id", name.alias("path"), "content"), proposed).select("path", "outcome")
+
+
 @register("refused_bundles", "SELECT lang AS bundle_id, count(*) AS documents FROM documents GROUP BY 1 HAVING count(*) > 100", facts=False)
 def refused_bundles(spark, sf_dir):
     return reports.refused(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "bundle_id"), 100)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions import paths
 from wicker.functions.text import base36, utf16_key
-from wicker.operators.parse import at, concepts, has_field, links
+from wicker.operators.parse import at, concepts, has_field, links, mappings
 from wicker.operators.running import running
 
 
@@ -41,7 +41,7 @@ def edges(resolved: DataFrame) -> DataFrame:
 
 
 def broken_links(resolved: DataFrame) -> DataFrame:
-    return resolved.where("classification = 'broken'").select("bundle_id", "source_id", "label", "raw_target", "nth")
+    return resolved.where("classification = 'broken'").select("bundle_id", "source_id", "label", "raw_target", "nth", "range")
 
 
 def connected(internal: DataFrame) -> DataFrame:
@@ -64,6 +64,7 @@ def nodes(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
         F.when(failed, F.array().cast("array<string>")).otherwise(F.col("tags")).alias("tags"), own(F.when(~has_field("generated"), F.col("timestamp"))).alias("timestamp"), own(F.col("generated_by")).alias("generated_by"), own(F.col("trust_tier")).alias("trust_tier"),
         own(F.coalesce("status", F.when(~has_field("status"), "stable"))).alias("status"), own(F.col("stale_after")).alias("stale_after"), (~failed & F.col("linked").isNull()).alias("orphan"), F.coalesce("broken_link_count", F.lit(0)).alias("broken_link_count"),
         F.coalesce(at("/type")["range"], F.col("front_range")).alias("place"),
+        own(F.col("generated_at")).alias("generated_at"), own(F.col("runtime")).alias("runtime"), own(F.col("computation")).alias("computation"), own(F.when(at("/sources")["kind"] == "seq", F.size(F.filter(mappings("sources"), lambda m: m.isNotNull()))).otherwise(0)).alias("source_count"),
     )
 
 

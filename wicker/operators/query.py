@@ -92,6 +92,16 @@ def neighbours(rows: DataFrame, within: list[str], order: str) -> DataFrame:
     return rows.withColumn("next", F.coalesce(F.lead(order).over(w), F.first(order).over(whole))).withColumn("previous", F.coalesce(F.lag(order).over(w), F.last(order).over(whole)))
 
 
+def preserved(before: DataFrame, after: DataFrame, within: list[str], value: str, place: str) -> DataFrame:
+    """before (within, value, place) with kept and focus: where an item stands now and what it is; one that is gone gives way to what has its old place, or to the last one. Null where nothing is left. Places count from 0."""
+    now = after.select(*within, F.col(value).alias("_value"), F.col(place).alias("_place"))
+    same = before.join(now.withColumnRenamed("_value", value), [*within, value], "left")
+    ends = after.groupBy(*within).agg((F.count(F.lit(1)) - 1).alias("_last"))
+    aimed = same.join(ends, within, "left").withColumn("kept", F.coalesce("_place", F.when(F.col("_last").isNotNull(), F.greatest(F.least(F.col(place), F.col("_last")), F.lit(0)))))
+    focused = now.select(*within, F.col("_value").alias("focus"), F.col("_place").alias("kept"))
+    return aimed.join(focused, [*within, "kept"], "left").select(*before.columns, "kept", "focus")
+
+
 def cut_off(rows: DataFrame, limit: int, within: str = "bundle_id", order: str = "path", cost: str = "cost") -> DataFrame:
     """Adds total (running cost) and state: kept, over (the first row whose cost does not fit) or skipped (all after it). Groups are summed by runs, so none is held by one task."""
     run = running(rows, [within], utf16_key(F.col(order)), {"total": F.col(cost)})
