@@ -24,6 +24,8 @@ from wicker.llm.common import ascii_words, documents, hash_words, kept, mix, sli
 
 #: Bound on the labelled sample, and unlabelled documents per chunk: so many at least on average, and below twice as many (all chunks are used).
 MAX_POSITIVES, CHUNK = 4000, 8000
+#: Steps that ids are drawn in: of many positives, about twice as many ids as are wanted are sorted.
+DRAWS = 1 << 30
 CLASSES, HASHED, WORD_STATS = 10, 64, 6
 WIDTH = CLASSES**2 + 3 * HASHED + WORD_STATS
 
@@ -160,7 +162,11 @@ def train(unlabelled: DataFrame, labels: DataFrame, max_positives: int = MAX_POS
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = unlabelled.select("doc_id", "text")
-    drawn = _features(rows.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi")).orderBy("drawn", "f").limit(max_positives)
+    # Ids are drawn before texts are read: at most max_positives of them are broadcast, so no text is shuffled for its label.
+    found = known.where("quality = 1").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)).alias("at"))
+    share = min(1.0, 2 * max_positives / max(1, found.count()))
+    ids = found.where(F.col("at") < int(share * DRAWS)).orderBy("at", "doc_id").limit(max_positives).select("doc_id")
+    drawn = _features(rows.join(F.broadcast(ids), "doc_id", "left_semi")).orderBy("drawn", "f").limit(max_positives)
     positive = _matrix(drawn.select("f").toPandas()["f"])
     if not len(positive):
         return {"weight": np.zeros(WIDTH), "bias": np.array(0.0), "prior": np.array(0.5)}
