@@ -72,11 +72,17 @@ def coalesced(batches: DataFrame, *by: str, most_paths: int = MOST_PATHS) -> Dat
 
 
 def newest(messages: DataFrame, key: str, *order: str) -> DataFrame:
-    """Messages (revision, delivery_id) that are accepted in arrival order: a later revision, or a later delivery of the same one. The window reads a key's rows in order and holds one maximum."""
+    """Messages that are accepted in arrival order: a later revision, or a later delivery (delivery_id) of the same one.
+
+    Messages without a column delivery_id cannot be told apart within a revision, so those of the current one pass. The
+    window reads a key's rows in order and holds one maximum.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    now = F.struct("revision", "delivery_id")
+    told = "delivery_id" in messages.columns
+    now = F.struct("revision", "delivery_id") if told else F.struct("revision")
     before = F.max(now).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return messages.withColumn("_top", before).where(F.col("_top").isNull() | (now > F.col("_top"))).drop("_top")
+    later = now > F.col("_top") if told else now >= F.col("_top")
+    return messages.withColumn("_top", before).where(F.col("_top").isNull() | later).drop("_top")
 
 
 def newest_stream(messages: DataFrame, key: str, order: str) -> DataFrame:
