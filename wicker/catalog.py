@@ -36,7 +36,7 @@ def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
 def release() -> None:
     """Delete what queries keep; needed when a table's files change under its path."""
     for df, path in _HELD.values():
-        if not df.sparkSession.sparkContext._jsc.sc().isStopped():
+        if df.sparkSession.sparkContext._jsc is not None:
             store.delete(df.sparkSession, path)
     _HELD.clear()
 
@@ -213,6 +213,38 @@ def graph_invariants(spark, sf_dir):
     return graph.invariants(node_rows, edge_rows)
 
 
+@register("graph_faults", """WITH n AS (SELECT c_mktsegment AS bundle_id, 'n' || (c_custkey % 997) AS id, 't' AS type, c_custkey % 5 = 0 AS orphan, c_custkey % 11 = 0 AS failed, c_custkey % 2 AS broken FROM customer
+), g AS (SELECT c_mktsegment AS bundle_id, o_orderkey % 4093 AS k, 'edge:' || CASE WHEN o_orderkey % 13 = 0 THEN '0' ELSE '' END || lower(to_base(o_orderkey % 4093, 36)) AS edge_id, 'n' || (o_custkey % 997) AS source, 'n' || (o_orderkey % 1009) AS target, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+), t AS (SELECT bundle_id, count(*) AS n FROM g GROUP BY 1), ends AS (SELECT bundle_id, source AS id FROM g UNION SELECT bundle_id, target FROM g
+), pairs AS (SELECT DISTINCT bundle_id, target, source FROM g), said AS (SELECT DISTINCT bundle_id, target, source FROM g WHERE o_orderkey % 3 <> 0 UNION SELECT c_mktsegment, 'n' || (c_custkey % 997), 'q' FROM customer WHERE c_custkey % 50 = 0
+), f AS (
+  SELECT bundle_id, 'repeated-id' AS fault, count(*) AS n FROM (SELECT bundle_id, id FROM n GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT bundle_id, 'repeated-edge', count(*) FROM (SELECT bundle_id, edge_id FROM g GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT g.bundle_id, 'edge-number', count(*) FROM g JOIN t USING (bundle_id) WHERE k >= t.n OR o_orderkey % 13 = 0 GROUP BY 1
+  UNION ALL SELECT bundle_id, 'dangling-end', count(*) FROM ends WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.bundle_id = ends.bundle_id AND n.id = ends.id) GROUP BY 1
+  UNION ALL SELECT bundle_id, 'backlink-missing', count(*) FROM (SELECT * FROM pairs EXCEPT SELECT * FROM said) GROUP BY 1
+  UNION ALL SELECT bundle_id, 'backlink-unfounded', count(*) FROM (SELECT * FROM said EXCEPT SELECT * FROM pairs) GROUP BY 1
+  UNION ALL SELECT bundle_id, 'orphan-mark', count(*) FROM n WHERE NOT failed AND orphan = EXISTS (SELECT 1 FROM ends WHERE ends.bundle_id = n.bundle_id AND ends.id = n.id) GROUP BY 1
+  UNION ALL SELECT bundle_id, 'failed-source', count(*) FROM n WHERE failed GROUP BY 1
+  UNION ALL SELECT DISTINCT bundle_id, 'counts', 1 FROM n WHERE bundle_id < 'C'
+) SELECT bundle_id, fault, n::BIGINT AS n FROM f""", facts=False)
+def graph_faults(spark, sf_dir):
+    """Customers and orders as a message whose parts disagree in every way."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    name = lambda c, by: F.concat(F.lit("n"), (c % by).cast("string"))
+    bundle = F.col("c_mktsegment").alias("bundle_id")
+    node_rows = table("customer").select(bundle, name(key, 997).alias("id"), F.lit("t").alias("type"), F.array().cast("array<string>").alias("tags"), (key % 5 == 0).alias("orphan"), (key % 11 == 0).alias("source_failed"), (key % 2).alias("broken_link_count"))
+    placed = table("orders").join(table("customer"), F.col("o_custkey") == key)
+    edge_id = F.concat(F.lit("edge:"), F.when(order % 13 == 0, "0").otherwise(""), text.base36(order % 4093))
+    edge_rows = placed.select(bundle, edge_id.alias("edge_id"), name(F.col("o_custkey"), 997).alias("source"), name(order, 1009).alias("target"), "o_orderkey")
+    back = edge_rows.where("o_orderkey % 3 <> 0").select("bundle_id", "target", "source").unionByName(table("customer").where("c_custkey % 50 = 0").select(bundle, name(key, 997).alias("target"), F.lit("q").alias("source"))).distinct()
+    counted = node_rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("concept_count"), F.count_if("orphan").alias("orphan_count"), F.sum("broken_link_count").alias("broken_link_count"))
+    edge_count = F.col("edge_count") + F.when(F.col("bundle_id") < "C", 1).otherwise(0)
+    stated = counted.join(edge_rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("edge_count")), "bundle_id").withColumn("edge_count", edge_count)
+    return graph.message_faults(node_rows, edge_rows, back, stated)
+
+
 @register("induced_subgraph", "SELECT source, target, count(*) AS n FROM e JOIN c a ON a.id = source JOIN c b ON b.id = target WHERE a.type IN ('nation', 'customer', 'region') AND b.type IN ('nation', 'customer', 'region') GROUP BY 1, 2")
 def induced_subgraph(spark, sf_dir):
     _, resolved, nodes = _graph(spark, sf_dir)

@@ -110,3 +110,48 @@ def in_folder(node_id: Column, folder: str) -> Column:
 def portable_segment(c: Column) -> Column:
     """Not empty, no reserved sign, no trailing dot or space, no device name."""
     return ~(c.rlike(r'[<>:"/\\|?*\x00-\x1f]') | c.rlike(r"[. ]$") | (c == "") | c.rlike(r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\.|$)"))
+
+
+#: Fixed value: rounds in which a path may still change when its escapes are decoded.
+DECODE_ROUNDS = 16
+
+
+def stable_decoded(path: Column) -> Column:
+    """Percent-decoded until nothing changes; null where an escape is malformed, a control character turns up, or there are too many layers."""
+    once = lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
+    broken = lambda p, q: p.rlike("%(?![0-9A-Fa-f]{2})") | has_control(p) | (q.contains("\ufffd") & ~p.rlike("(?i)\ufffd|%ef%bf%bd"))
+    start = F.struct(path.alias("now"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        now = state["now"]
+        return let(once(now), lambda q: F.when(state["done"] | now.isNull(), state).when(F.coalesce(broken(now, q), F.lit(True)), F.struct(F.lit(None).cast("string").alias("now"), F.lit(True).alias("done"))).otherwise(F.struct(q.alias("now"), (q == now).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DECODE_ROUNDS)), start, step, lambda s: F.when(s["done"], s["now"]))
+
+
+def uri_parts(uri: Column) -> Column:
+    """struct(scheme, authority, path, query, fragment) of a URI; scheme and authority in lower case, path without a trailing slash (the root is /)."""
+    pick = lambda k: F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$", k)
+    path = let(F.regexp_replace(pick(3), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    return F.struct(F.lower(pick(1)).alias("scheme"), F.lower(pick(2)).alias("authority"), path.alias("path"), pick(4).alias("query"), pick(5).alias("fragment"))
+
+
+def contained(root: Column, uri: Column) -> Column:
+    """The URI is the root or lies below it: same scheme, authority, query and fragment, and a path of whole segments below the root's."""
+
+    def below(r: Column, u: Column) -> Column:
+        same = (r["scheme"] != "") & (r["scheme"] == u["scheme"]) & (r["authority"] == u["authority"]) & (r["query"] == u["query"]) & (r["fragment"] == u["fragment"])
+        return same & ((r["path"] == "/") | (u["path"] == r["path"]) | F.startswith(u["path"], F.concat(r["path"], F.lit("/"))))
+
+    return let(uri_parts(root), lambda r: let(uri_parts(uri), lambda u: below(r, u)))
+
+
+def within(root: Column, uri: Column) -> Column:
+    """The URI's path relative to a root that contains it, '.' for the root itself; null outside, and for paths that are not canonical."""
+
+    def relative(r: Column, u: Column) -> Column:
+        skip = F.when(r["path"] == "/", 2).otherwise(F.length(r["path"]) + 2)
+        return F.when(u["path"] == r["path"], F.lit(".")).otherwise(F.substring(u["path"], skip, F.length(u["path"])))
+
+    inner = let(uri_parts(root), lambda r: let(uri_parts(uri), lambda u: relative(r, u)))
+    return F.when(contained(root, uri), let(inner, lambda p: F.when((p == ".") | (canonical_path(p) == p), p)))

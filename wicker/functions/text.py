@@ -141,3 +141,28 @@ def actor_ok(c: Column) -> Column:
 
 def source_author_ok(c: Column) -> Column:
     return actor_ok(c) | F.coalesce((F.length(c) <= 256) & c.rlike("^team:[A-Za-z0-9._/@:-]+$"), F.lit(False))
+
+
+def failure_detail(c: Column) -> Column:
+    """A failure's message at the length that is kept of it."""
+    return bounded(c, 4096)
+
+
+def title_input(c: Column) -> Column:
+    """A title as it was typed: one line, white space collapsed."""
+    return one_line(c)
+
+
+def description_input(c: Column) -> Column:
+    """A description as it was typed, its line ends LF."""
+    return F.regexp_replace(c, "\r\n?", "\n")
+
+
+def tags_input(c: Column) -> Column:
+    """Tags typed with commas between: each trimmed, empty ones left out, repeated ones kept."""
+    return F.filter(F.transform(F.split(c, ","), wide_trim), lambda t: t != "")
+
+
+def with_line_ends(c: Column, newline: Column | str) -> Column:
+    """All line ends as the given one."""
+    return F.replace(F.regexp_replace(c, "\r\n?", "\n"), F.lit("\n"), F.lit(newline) if isinstance(newline, str) else newline)

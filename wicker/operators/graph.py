@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,32 @@ def invariants(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def all_links(parsed: DataFrame) -> DataFrame:
     return resolve(links(parsed), parsed)
+
+
+def message_faults(node_rows: DataFrame, edge_rows: DataFrame, back: DataFrame, stated: DataFrame) -> DataFrame:
+    """bundle_id, fault, n: what in a graph as it was received disagrees with itself; a sound graph has no rows.
+
+    back is (bundle_id, target, source); stated (bundle_id, concept_count, edge_count, orphan_count, broken_link_count).
+    Edge numbers must be 0, 1, ... in base 36, ends must be nodes, and backlinks, orphans and counts must be what edges
+    and nodes give.
+    """
+    faults = lambda rows, name: rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n")).select("bundle_id", F.lit(name).alias("fault"), "n")
+    ids = node_rows.select("bundle_id", "id")
+    number = F.conv(F.regexp_extract("edge_id", "^edge:([0-9a-z]+)$", 1), 36, 10).try_cast("long")
+    numbered = edge_rows.withColumn("_k", number)
+    total = edge_rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("_n"))
+    canonical = F.col("edge_id") == F.concat(F.lit("edge:"), base36(F.col("_k")))
+    outside = numbered.join(total, "bundle_id").where(F.col("_k").isNull() | (F.col("_k") >= F.col("_n")) | ~canonical)
+    pairs = edge_rows.select("bundle_id", "target", "source").distinct()
+    said = back.select("bundle_id", "target", "source")
+    counted = node_rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("_nodes"), F.count_if("orphan").alias("_orphans"), F.sum("broken_link_count").alias("_broken")).join(total, "bundle_id", "left")
+    wrong = stated.join(counted, "bundle_id", "left").where(
+        (F.col("concept_count") != F.coalesce("_nodes", F.lit(0))) | (F.col("edge_count") != F.coalesce("_n", F.lit(0))) | (F.col("orphan_count") != F.coalesce("_orphans", F.lit(0))) | (F.col("broken_link_count") != F.coalesce("_broken", F.lit(0)))
+    )
+    orphaned = node_rows.where("NOT source_failed").join(connected(edge_rows).withColumn("_linked", F.lit(True)), ["bundle_id", "id"], "left").where(F.col("orphan") == F.coalesce("_linked", F.lit(False)))
+    parts = [
+        faults(ids.groupBy("bundle_id", "id").count().where("count > 1"), "repeated-id"), faults(edge_rows.groupBy("bundle_id", "edge_id").count().where("count > 1"), "repeated-edge"), faults(outside, "edge-number"),
+        faults(connected(edge_rows).join(ids, ["bundle_id", "id"], "left_anti"), "dangling-end"), faults(pairs.exceptAll(said), "backlink-missing"), faults(said.exceptAll(pairs), "backlink-unfounded"),
+        faults(orphaned, "orphan-mark"), faults(node_rows.where("source_failed AND (orphan OR broken_link_count > 0 OR type <> '' OR size(tags) > 0)"), "failed-source"), faults(wrong, "counts"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="wicker-store-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return f"file://{_LOCAL[app]}"
 
 
