@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wicker.functions import paths, text
 from wicker.functions.dates import explicit_zone_epoch, is_iso_date
 from wicker.operators import graph, limits, parse, payload, query, reports, rules
-from wicker.plans import indexes, migration
+from wicker.plans import indexes, migration, templates
 from wicker.sources import guarded, store, tables
 from wicker.streaming import changes as stream
 
@@ -601,6 +601,70 @@ def timestamps_checked(spark, sf_dir):
     return events.select("event_id", explicit_zone_epoch(stamp).alias("at"), is_iso_date(F.date_format("ts", "yyyy-MM-dd")).alias("is_date"))
 
 
+def _said(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NAMES = list(templates.BODIES)
+_KIND_ROWS = ", ".join(f"({k}, {_said(name)}, {_said(templates.BODIES[name])})" for k, name in enumerate(_NAMES))
+_STARTER_ROWS = ", ".join(f"({_said(preset)}, {_said(s[0])}, {_said(templates.BODIES[s[1]])}, {_said(s[2])}, {_said(s[3])}, {_said(s[4])}, [{', '.join(map(_said, s[5]))}])" for preset, own in templates.PRESETS.items() for s in own)
+#: A document from type, title, description, tags, stamp, runtime and body, with quoted fields; chr(27) is the one control character that rows hold.
+_WRITTEN = """'---
+type: ' || to_json(type)::VARCHAR || '
+title: ' || replace(to_json(title)::VARCHAR, '\\u001B', '\\u001b') || '
+' || CASE WHEN description IS NULL THEN '' ELSE 'description: ' || to_json(description)::VARCHAR || '
+' END || CASE WHEN len(tags) > 0 THEN 'tags:
+' || array_to_string(list_transform(tags, lambda t: '  - ' || to_json(t)::VARCHAR || '
+'), '') ELSE '' END || CASE WHEN stamp IS NULL THEN '' ELSE 'generated:
+  by: "process:wicker"
+  at: ' || to_json(stamp)::VARCHAR || '
+' END || CASE WHEN runtime IS NULL THEN '' ELSE 'runtime: ' || to_json(runtime)::VARCHAR || '
+' END || '---
+
+' || body"""
+
+
+@register("entered_concepts", f"""WITH kinds(k, name, body) AS (VALUES {_KIND_ROWS}), t AS (
+  SELECT p_partkey, p_partkey % 23 AS d, name, body, 'part ' || p_brand AS type, CASE p_partkey % 23 WHEN 9 THEN p_name || ' "a' || chr(27) || '\\" end' ELSE p_name END AS title, CASE p_partkey % 23 WHEN 10 THEN 'one' || chr(10) || 'two' || chr(10) || 'three' WHEN 11 THEN NULL ELSE 'Of ' || p_brand END AS description,
+    CASE p_partkey % 23 WHEN 11 THEN [] ELSE [p_brand, 'size ' || p_size] END AS tags, CASE WHEN p_partkey % 3 = 0 THEN '2026-07-01T00:00:00Z' END AS stamp, CASE name WHEN 'attested-computation' THEN 'replace-with-runtime' END AS runtime FROM part JOIN kinds ON p_partkey % 8 = k
+), u AS (SELECT *, CASE d WHEN 0 THEN 'unknown-concept-template' WHEN 1 THEN 'unsafe-relative-path' WHEN 7 THEN 'unsafe-relative-path' WHEN 12 THEN 'unsafe-relative-path' WHEN 2 THEN 'empty-concept-type' WHEN 6 THEN 'unsafe-concept-type-control' WHEN 3 THEN 'empty-concept-title' WHEN 4 THEN 'empty-concept-tag' WHEN 13 THEN 'concept-tag-utf8-limit' WHEN 5 THEN 'empty-concept-timestamp' END AS problem FROM t)
+SELECT p_partkey, problem, CASE WHEN d IN (1, 7, 12) THEN NULL ELSE 'parts/' || p_partkey || '.md' END AS path, CASE WHEN problem IS NULL THEN {_WRITTEN} END AS text FROM u""", facts=False)
+def entered_concepts(spark, sf_dir):
+    """A concept per part, as someone might have typed it: every 23rd row of a kind holds one fault or one odd sign."""
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    odd = lambda usual, **other: F.coalesce(*[F.when(key % 23 == int(k[1:]), v) for k, v in other.items()], usual)
+    number, none = key.cast("string"), F.lit(None).cast("string")
+    path = odd(F.concat(F.lit("parts/"), number, F.lit(".md")), d1=F.concat(F.lit("../"), number, F.lit(".md")), d7=F.lit("a%252Findex.md"), d8=F.concat(F.lit("parts\\"), number, F.lit(".md")), d12=F.lit("parts/Con .md"), d14=F.concat(F.lit("%2570arts%2F"), number, F.lit("%2Emd")))
+    kind = odd(F.element_at(F.array(*map(F.lit, _NAMES)), (key % 8 + 1).cast("int")), d0=F.lit("none"))
+    type_ = odd(F.concat(F.lit("part "), brand), d2=F.lit("  "), d6=F.lit("a\tb"))
+    title = odd(F.col("p_name"), d3=F.lit(" \n"), d9=F.concat(F.lit("\n "), F.col("p_name"), F.lit(' "a\x1b\\"\r\n end')))
+    description = F.when(key % 23 != 11, odd(F.concat(F.lit("Of "), brand), d10=F.lit("one\r\ntwo\rthree")))
+    tags = F.when(key % 23 == 11, F.lit(None).cast("array<string>")).when(key % 23 == 4, F.array(brand, F.lit(""))).when(key % 23 == 13, F.array(brand, F.repeat(F.lit("é"), 129)))
+    tags = tags.otherwise(F.array(brand, F.concat(F.lit("size "), F.col("p_size").cast("string"))))
+    stamp = F.when(key % 23 == 5, "").when(key % 3 == 0, "2026-07-01T00:00:00Z").otherwise(none)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lit("parts").alias("bundle_id"), kind.alias("template"), path.alias("bundle_path"), type_.alias("type"), title.alias("title"), description.alias("description"), tags.alias("tags"), stamp.alias("timestamp"))
+    return templates.rendered(rows).select("p_partkey", "problem", "path", "text")
+
+
+@register("started_bundles", f"""WITH b AS (SELECT 'start-' || c_custkey AS bundle_id, ['minimal', 'software-project', 'data-analytics', 'none'][c_custkey % 4 + 1] AS preset, CASE WHEN c_custkey % 10 = 7 THEN ' ' WHEN c_custkey % 11 = 3 THEN 'a' || chr(10) ELSE '2026-07-0' || (c_custkey % 9 + 1) || 'T00:00:00Z' END AS stamp, c_custkey % 11 = 3 AS broken FROM customer
+), p AS (SELECT *, CASE WHEN preset = 'none' THEN 'unknown-bundle-preset' WHEN stamp = ' ' THEN 'empty-template-timestamp' WHEN broken AND preset <> 'minimal' THEN 'unsafe-concept-timestamp-control' END AS problem FROM b
+), s(preset, path, body, type, title, description, tags) AS (VALUES {_STARTER_ROWS}
+), e AS (
+  SELECT preset, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS folder, 0 AS kind, path AS name, '- [' || title || '](./' || split_part(path, '/', -1) || ') - ' || description || chr(10) AS line FROM s
+  UNION ALL SELECT DISTINCT preset, '', 1, split_part(path, '/', 1), '- [' || split_part(path, '/', 1) || '](./' || split_part(path, '/', 1) || '/)' || chr(10) FROM s WHERE contains(path, '/')
+), i AS (SELECT preset, folder, string_agg(line, '' ORDER BY kind, name) AS lines FROM e GROUP BY 1, 2 UNION ALL SELECT 'minimal', '', '')
+SELECT bundle_id, path, {_WRITTEN} AS text, problem FROM (SELECT *, NULL::VARCHAR AS runtime FROM p JOIN s USING (preset) WHERE problem IS NULL)
+UNION ALL SELECT bundle_id, CASE folder WHEN '' THEN 'index.md' ELSE folder || '/index.md' END, CASE folder WHEN '' THEN '---' || chr(10) || 'okf_version: "0.2"' || chr(10) || '---' || chr(10) ELSE '' END || '<!-- index:start -->' || chr(10) || '## Contents' || chr(10) || chr(10) || lines || '<!-- index:end -->' || chr(10), NULL FROM p JOIN i USING (preset) WHERE problem IS NULL
+UNION ALL SELECT bundle_id, NULL, NULL, problem FROM p WHERE problem IS NOT NULL""", facts=False)
+def started_bundles(spark, sf_dir):
+    """A new bundle per customer, by one preset or another; some ask for none that there is, or give no sound time."""
+    key = F.col("c_custkey")
+    preset = F.element_at(F.array(*map(F.lit, ["minimal", "software-project", "data-analytics", "none"])), (key % 4 + 1).cast("int"))
+    stamp = F.when(key % 10 == 7, " ").when(key % 11 == 3, "a\n").otherwise(F.concat(F.lit("2026-07-0"), (key % 9 + 1).cast("string"), F.lit("T00:00:00Z")))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("start-"), key.cast("string")).alias("bundle_id"), preset.alias("preset"), stamp.alias("timestamp"))
+    return templates.presets(rows)
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 

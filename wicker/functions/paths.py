@@ -108,8 +108,8 @@ def in_folder(node_id: Column, folder: str) -> Column:
 
 
 def portable_segment(c: Column) -> Column:
-    """Not empty, no reserved sign, no trailing dot or space, no device name."""
-    return ~(c.rlike(r'[<>:"/\\|?*\x00-\x1f]') | c.rlike(r"[. ]$") | (c == "") | c.rlike(r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\.|$)"))
+    """Not empty, no reserved sign, no trailing dot or space, no device name (with or without an ending)."""
+    return ~(c.rlike(r'[<>:"/\\|?*\x00-\x1f]') | c.rlike(r"[. ]$") | (c == "") | c.rlike(r"(?i)^(con|prn|aux|nul|conin\$|conout\$|(com|lpt)[1-9¹²³]) *(\.|$)"))
 
 
 #: Fixed value: rounds in which a path may still change when its escapes are decoded.

@@ -51,8 +51,14 @@ def utf16_key(c: Column) -> Column:
 
 
 def json_quote(c: Column) -> Column:
+    """A text as a JSON string; escapes of control characters have lower-case digits, for which Spark's own are put right."""
     wrapped = F.to_json(F.struct(c.alias("a")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    out = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    escape = r"(?<!\\)((?:\\\\)*)\\u00"
+    low = out
+    for digits in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        low = F.regexp_replace(low, escape + digits, r"$1\\u00" + digits.lower())
+    return F.when(c.rlike("[\\x0b\\x0e\\x0f\\x1a-\\x1f]"), low).otherwise(out)
 
 
 def utf16_cut(c: Column, at: Column) -> tuple[Column, Column]:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wicker.functions import commonmark, yaml
 
@@ -176,5 +177,5 @@ def with_structure(docs: DataFrame, rows_at_once: int = 512) -> DataFrame:
                 made = [{} if raw is None else structure(raw, reserved is not None) for raw, reserved in zip(batch.column(at).to_pylist(), batch.column(kind).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *batch_of(made)], names=names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} {t}" for n, t in COLUMNS.items()])
-    return docs.mapInArrow(run, schema)
+    added = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in COLUMNS.items()))
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))

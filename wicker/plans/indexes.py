@@ -103,18 +103,22 @@ def merged(text: Column, start: str, end: str) -> Column:
     )
 
 
-def plan(parsed: DataFrame, start: str = START, end: str = END, version: str = "0.2", missing_only: bool = False, chunks: DataFrame | None = None) -> DataFrame:
+def plan(parsed: DataFrame, start: str = START, end: str = END, version: str = "0.2", missing_only: bool = False, chunks: DataFrame | None = None, bundles: DataFrame | None = None) -> DataFrame:
     """bundle_id, directory, path, operation (create, update, keep, refuse), problem, newline, opening, closing, fills.
 
     The file is opening, then the directory's chunks where fills, then closing. Existing text changes only between its
     markers and, in a root index, by a missing version. With missing_only, existing indexes get nothing but that version.
-    Pass chunks (chunked(parsed)) where they are at hand.
+    Pass chunks (chunked(parsed)) where they are at hand, and bundles (bundle_id) where some may have no document yet: each
+    gets a root index.
     """
     chunks = chunked(parsed) if chunks is None else chunks
     existing = parsed.where("reserved = 'index' AND coalesce(failure, '') NOT IN ('read', 'decode')")
     roots = versioned(existing.where("path = 'index.md'"), version).select("bundle_id", F.lit("").alias("directory"), "prepared", F.col("problem").alias("refusal"))
     old = existing.select("bundle_id", directory_name(F.col("path")).alias("directory"), F.col("source").alias("old"))
-    rows = directories(parsed).join(old, ["bundle_id", "directory"], "left").join(roots, ["bundle_id", "directory"], "left")
+    wanted = directories(parsed)
+    if bundles is not None:
+        wanted = wanted.unionByName(bundles.select("bundle_id", F.lit("").alias("directory"))).distinct()
+    rows = wanted.join(old, ["bundle_id", "directory"], "left").join(roots, ["bundle_id", "directory"], "left")
     base = F.coalesce("prepared", "old")
     rows = rows.withColumn("m", F.when(base.isNotNull(), merged(base, start, end)))
     fills = F.lit(True) if not missing_only else F.col("old").isNull()
