@@ -422,6 +422,40 @@ def test_embeddings(spark):
     assert {i: r["component_id"] for i, r in got.items()} == groups(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(link), strict=True)])
 
 
+@pytest.mark.parametrize("vectors, least", [(1_000, 0.99), (50_000, 0.97), (40_000_000, 0.93)])
+def test_pivot_lists_grow_with_the_vectors(vectors, least):
+    """Pairs at a cosine of exactly 0.98 share a list, with the pivots of a table of this size; lists get no longer."""
+    from wicker.llm import embedding_dedup as e
+
+    rng = np.random.default_rng(1)
+    one, away = rng.normal(size=(2, 2000, 64))
+    one = e.unit(one)
+    away = e.unit(away - (away * one).sum(axis=1, keepdims=True) * one)
+    pivots = e.draw_pivots(rng.normal(size=(max(e.LEAST_SAMPLE, e.SAMPLE_RATE * e.pivot_count(vectors)), 64)).tolist(), e.pivot_count(vectors))[64]
+    assert len(pivots) == e.pivot_count(vectors) == round(3 * vectors ** (1 / 3))
+    near, other = e.describe(one, pivots), e.describe(0.98 * one + np.sqrt(1 - 0.98**2) * away, pivots)
+    by_sort = np.argsort(-(one @ pivots.T), axis=1, kind="stable")[:, : e.NEAREST]
+    assert (near == by_sort).all()
+    a, b = e.lists_of(near), e.lists_of(other)
+    assert np.mean((a[:, :, None] == b[:, None, :]).any(axis=(1, 2))) >= least
+    assert a.shape[1] == len(e.TRIOS) == 10 and all(len(set(row)) == 10 for row in a[:50].tolist())
+
+
+def test_pairs_count_in_their_first_list():
+    from wicker.llm import embedding_dedup as e
+
+    rng = np.random.default_rng(3)
+    nearest = np.array([rng.permutation(9)[: e.NEAREST] for _ in range(80)])
+    lists, link = e.lists_of(nearest), np.ones((80, 80), dtype=bool)
+    np.fill_diagonal(link, False)
+    found = np.zeros((80, 80), dtype=int)
+    for trio in np.unique(lists).tolist():
+        own = np.flatnonzero((lists == trio).any(axis=1))
+        found[np.ix_(own, own)] += e.elsewhere(link[np.ix_(own, own)], lists[own], trio)
+    share = (lists[:, None, :, None] == lists[None, :, None, :]).any(axis=(2, 3))
+    assert (found == (share & link)).all()
+
+
 def test_mixing_against_sql(spark):
     import duckdb
 
