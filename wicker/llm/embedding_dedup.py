@@ -153,15 +153,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for trio, i, j, cell in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), (x.values for x in batch.column(3)), strict=True):
                 node, part, copies = (np.asarray(cell.field(k)) for k in range(3))
-                lists = lists_of(np.asarray(cell.field(3).flatten()).reshape(-1, NEAREST))
                 v = near_one(np.asarray(cell.field(4).flatten(), dtype=np.float64).reshape(len(node), -1))
                 size = np.linalg.norm(v, axis=1)
                 link = (v @ v.T) / np.outer(size, size) >= threshold
                 np.fill_diagonal(link, False)
                 if i != j:
                     link &= part[:, None] != part[None, :]
-                link = elsewhere(link, lists, trio)
-                if link.any():
+                has = np.flatnonzero(link.any(axis=1))
+                if len(has):
+                    near = np.asarray(cell.field(3).flatten()).reshape(-1, NEAREST)
+                    node, copies = node[has], copies[has]
+                    link = elsewhere(link[np.ix_(has, has)], lists_of(near[has]), trio)
                     has = link.any(axis=1)
                     out.append((node[has], (link * copies[None, :]).sum(axis=1)[has], node[_labels(link)][has]))
             node, n, to = (np.concatenate([o[k] for o in out]) if out else np.empty(0, dtype=np.int64) for k in range(3))
