@@ -1,7 +1,9 @@
-from wicker.operators import graph
-from wicker.functions.text import utf16_key
 from pyspark.sql import functions as F
 
+from wicker import catalog
+from wicker.functions.text import utf16_key
+from wicker.operators import graph
+
 
 def test_positions_over_many_ranges(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -26,3 +28,12 @@ def test_no_window_over_rows_of_a_bundle(spark, sf_dir):
     resolved = spark.createDataFrame([("b", f"s{k}", "internal", "t", k, None) for k in range(50)], "bundle_id string, source_id string, classification string, target_id string, nth int, range struct<start:int>")
     plan = graph.edges(resolved)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.index("Aggregate [") > plan.index("Window [")
+
+
+def test_invariants_are_of_the_whole_concept_graph(spark, sf_dir):
+    lines, orders, customers, suppliers, nations = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders", "customer", "supplier", "nation"))
+    edges = lines.join(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey")).count() + sum(t.count() for t in (orders, customers, suppliers, nations))
+    found = catalog.queries()["graph_invariants"](spark, sf_dir).first()
+    # Of 36 numbers in a row, the last is written as the one before.
+    assert found.repeated_edge_ids == edges // 36
+    assert min(found.repeated_ids, found.dangling_edges, found.wrong_orphans) > 0

@@ -209,19 +209,17 @@ def graph_nodes(spark, sf_dir):
     return nodes.select("id", type_or_blank, "title", "description", "resource", F.array_join("tags", "|").alias("tags"), "timestamp", "generated_by", "trust_tier", "status", "stale_after", "orphan", "broken_link_count")
 
 
-@register("graph_invariants", """WITH n AS (SELECT c_mktsegment AS bundle_id, 'n' || (c_custkey % 997) AS id, c_custkey % 5 = 0 AS orphan FROM customer
-), g AS (SELECT c_mktsegment AS bundle_id, 'e' || (o_orderkey % 4093) AS edge_id, 'n' || (o_custkey % 997) AS source, 'n' || (o_orderkey % 1009) AS target FROM orders JOIN customer ON o_custkey = c_custkey
-), ends AS (SELECT bundle_id, source AS id FROM g UNION SELECT bundle_id, target FROM g)
-SELECT (SELECT count(*) FROM (SELECT 1 FROM n GROUP BY bundle_id, id HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM ends WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.bundle_id = ends.bundle_id AND n.id = ends.id)) AS dangling_edges,
-  (SELECT count(*) FROM n WHERE orphan AND EXISTS (SELECT 1 FROM ends WHERE n.bundle_id = ends.bundle_id AND n.id = ends.id)) AS wrong_orphans, (SELECT count(*) FROM (SELECT 1 FROM g GROUP BY bundle_id, edge_id HAVING count(*) > 1)) AS repeated_edge_ids""", facts=False)
+@register("graph_invariants", """, got AS (SELECT CASE WHEN id LIKE '%7' THEN id || '~' WHEN id LIKE '%3' THEN left(id, length(id) - 1) || '2' ELSE id END AS id, orphan OR id LIKE '%5' AS orphan FROM node
+), sent AS (SELECT regexp_replace('edge:' || lower(to_base(row_number() OVER (ORDER BY source, nth) - 1, 36)), 'z$', 'y') AS edge_id, source, target FROM e
+), ends AS (SELECT source AS id FROM sent UNION SELECT target FROM sent)
+SELECT (SELECT count(*) FROM (SELECT 1 FROM got GROUP BY id HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM ends WHERE id NOT IN (SELECT id FROM got)) AS dangling_edges,
+  (SELECT count(*) FROM got WHERE orphan AND id IN (SELECT id FROM ends)) AS wrong_orphans, (SELECT count(*) FROM (SELECT 1 FROM sent GROUP BY edge_id HAVING count(*) > 1)) AS repeated_edge_ids""")
 def graph_invariants(spark, sf_dir):
-    """Customers and orders as a graph that breaks every one of these."""
-    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    n = lambda c, by: F.concat(F.lit("n"), (F.col(c) % by).cast("string"))
-    node_rows = table("customer").select(F.col("c_mktsegment").alias("bundle_id"), n("c_custkey", 997).alias("id"), (F.col("c_custkey") % 5 == 0).alias("orphan"))
-    placed = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    edge_rows = placed.select(F.col("c_mktsegment").alias("bundle_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 4093).cast("string")).alias("edge_id"), n("o_custkey", 997).alias("source"), n("o_orderkey", 1009).alias("target"))
-    return graph.invariants(node_rows, edge_rows)
+    """The whole concept graph, with faults of each kind put in by the ends of its ids."""
+    node_id = F.col("id")
+    named = F.when(node_id.endswith("7"), F.concat(node_id, F.lit("~"))).when(node_id.endswith("3"), F.regexp_replace(node_id, "3$", "2")).otherwise(node_id)
+    got = _nodes(spark, sf_dir).select("bundle_id", named.alias("id"), (F.col("orphan") | node_id.endswith("5")).alias("orphan"))
+    return graph.invariants(got, _edges(spark, sf_dir).withColumn("edge_id", F.regexp_replace("edge_id", "z$", "y")))
 
 
 @register("graph_faults", """WITH n AS (SELECT c_mktsegment AS bundle_id, 'n' || (c_custkey % 997) AS id, 't' AS type, c_custkey % 5 = 0 AS orphan, c_custkey % 11 = 0 AS failed, c_custkey % 2 AS broken FROM customer
