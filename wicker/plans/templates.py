@@ -14,6 +14,7 @@ from wicker.functions.text import description_input, has_text, json_quote, let,
 from wicker.operators import parse
 from wicker.operators.structure import MOST_BYTES, with_structure
 from wicker.plans import indexes
+from wicker.sources import store
 
 #: The kinds of concepts, and the lines below each one's frontmatter.
 BODIES = {
@@ -173,8 +174,9 @@ def presets(bundles: DataFrame, producer: str = "process:wicker") -> DataFrame:
     starter = lambda s: F.struct(F.lit(s[0]).alias("bundle_path"), F.lit(s[1]).alias("template"), F.lit(s[2]).alias("type"), F.lit(s[3]).alias("title"), F.lit(s[4]).alias("description"), F.array(*map(F.lit, s[5])).alias("tags"))
     own = F.coalesce(*[F.when(F.col("preset") == name, F.array(*map(starter, given))) for name, given in PRESETS.items() if given])
     concepts = written(sound.select("bundle_id", "timestamp", F.explode(own).alias("s")).select("bundle_id", "timestamp", "s.*"), producer).select("bundle_id", "path", "text")
-    parsed = parse.parse(concepts.select("bundle_id", F.col("path").alias("uri"), F.col("path").alias("bundle_path"), F.encode("text", "UTF-8").alias("content")))
-    chunks = indexes.chunked(parsed)
+    # Indexes are planned in several passes, each of which would write and parse all concepts again.
+    parsed, _ = store.written(parse.parse(concepts.select("bundle_id", F.col("path").alias("uri"), F.col("path").alias("bundle_path"), F.encode("text", "UTF-8").alias("content"))))
+    chunks, _ = store.written(indexes.chunked(parsed))
     planned = indexes.plan(parsed, chunks=chunks, bundles=sound.select("bundle_id"))
     files = concepts.unionByName(indexes.texts(indexes.pieces(planned, chunks)).select("bundle_id", "path", "text"))
     none = F.lit(None).cast("string")
