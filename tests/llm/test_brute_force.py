@@ -279,6 +279,42 @@ def test_chained_near_copies_cost_few_pairs(spark):
     assert {r["component"] for r in got.collect()} == {0} and got.count() == 400 and sum(asked) < 4000 and len(asked) == 3
 
 
+def test_lists_with_few_pairs_are_settled_at_once(spark):
+    """Forty nodes that share a token by chance, two of which are near: the one pair, and no list left open (lists of over 16 nodes were, whatever they held)."""
+    from wicker.llm import linking
+
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, size=(40, 128))
+    bits[31] = bits[7]
+    bits[31, :3] ^= 1
+    entries = spark.createDataFrame([(t, k, int(linking.place_of(np.array([20]), np.array([9]))[0])) for t in (1, 2) for k in range(40) if t == 1 or k % 2], "token bigint, node bigint, place bigint")
+    payload = spark.createDataFrame([(k, 20, bytearray(np.packbits(x).tobytes())) for k, x in enumerate(bits)], "node bigint, size bigint, sig binary")
+    lists = linking.index_lists(entries, lambda n, m: np.ones_like(n), 0.9)
+    assert sorted(len(r["nodes"]) for r in lists.collect()) == [20, 40]
+    found = linking.first_pairs(lists, payload, lambda n, m: np.full(len(n), 6)).collect()
+    assert [(r["a"], r["b"], r["opened"]) for r in found] == [(7, 31, False)]
+
+
+def test_all_pairs_and_pairs_met_before():
+    from wicker.llm.linking import FEW, all_pairs, met_before
+
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 30, 2, 12, 25])
+    starts = np.cumsum(counts) - counts
+    bits = rng.integers(0, 2, size=(counts.sum(), 64))
+    bits[31:45] = bits[31]
+    bits[35] = 1 - bits[31]
+    sig, size = np.packbits(bits, axis=1).view(np.uint64), np.full(len(bits), 9)
+    x, y, settled = all_pairs(starts, counts, size, sig, lambda n, m: np.full(len(n), 25))
+    near = [{(a, b) for a, b in combinations(range(s, s + n), 2) if (bits[a] != bits[b]).sum() <= 25} for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+    assert settled.tolist() == [len(p) <= FEW * n for p, n in zip(near, counts.tolist(), strict=True)] and not settled.all() and near[1]
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(p for k in np.flatnonzero(settled) for p in near[k])
+    own, homes = rng.integers(0, 30, size=50), np.sort(rng.integers(0, 30, size=(50, 4)), axis=1)
+    a, b = rng.integers(0, 50, size=(2, 400))
+    met = met_before(a, b, own, homes).tolist()
+    assert met == [any(h < own[i] for h in set(homes[i].tolist()) & set(homes[j].tolist())) for i, j in zip(a.tolist(), b.tolist(), strict=True)] and 0 < sum(met) < 400
+
+
 def test_cross_pairs_skip_no_pair():
     from wicker.llm.linking import cross_pairs
 

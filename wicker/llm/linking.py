@@ -3,7 +3,8 @@
 Nodes that can link share an index token. An entry says where in its node's order of tokens the token stands, and so how
 many tokens follow; entries of one token meet in order of size and position, and pairs that cannot reach the overlap they
 need from there are skipped before anything is written, in blocks of a list too. Three passes follow. The first compares
-the nodes of a list with a few leaders and verifies what may link. The second takes each node's nearest few outside its
+all nodes of a list and verifies what may link, which settles the list, as long as these pairs are few; where near copies
+make them many it only compares with a few leaders. Of these lists the second takes each node's nearest few outside its
 group, which is where a link is if there is one. The third derives the rest from those answers: nodes already joined are
 not compared again, a group far from a node by its leader's distance and its own radius is skipped as a whole, and only
 pairs across groups are left, all of them. So m near copies cost some m verified pairs, while no link between different
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, stash
 
-#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one; neighbours of a node in the second pass.
-BLOCK, LEADERS, SHORT, NEAREST = 500, 16, 16, 4
+#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one; neighbours of a node in the second pass; pairs within the limit, for each node of a list, up to which the first pass takes all; lists that a node's row names.
+BLOCK, LEADERS, SHORT, NEAREST, FEW, HOMES = 500, 16, 16, 4, 2, 4
 #: Bits of the count of following tokens in an entry's place; a count that fills them stands for any larger one.
 REST_BITS = 16
 #: Largest difference of two parity maps that nodes of two sizes may have if they link, -1 where the sizes rule it out.
@@ -205,6 +206,23 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def all_pairs(starts: np.ndarray, counts: np.ndarray, size: np.ndarray, sig: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within the limit of the lists that have at most FEW a node of them, and which lists these are. All lists go on together, a distance in the list at a time; a list with more is left as soon as that shows."""
+    ends, at = np.repeat(starts + counts, counts), np.repeat(np.arange(len(starts)), counts)
+    made, settled = np.zeros(len(starts), dtype=np.int64), np.ones(len(starts), dtype=bool)
+    first, found = np.arange(len(size)), [(np.empty(0, dtype=np.int64),) * 2]
+    for step in range(1, int(counts.max(initial=0))):
+        first = first[(first + step < ends[first]) & settled[at[first]]]
+        if not len(first):
+            break
+        ok = first[_differ(sig[first], sig[first + step]) <= limit(size[first], size[first + step])]
+        found.append((ok, ok + step))
+        made += np.bincount(at[ok], minlength=len(starts))
+        settled = made <= FEW * counts
+    x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return x[settled[at[x]]], y[settled[at[x]]], settled
+
+
 def leader_pairs(lists: np.ndarray, size: np.ndarray, sig: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a leader and each later node of its list within the limit of it; what a leader takes is not compared again. All lists go on together, a leader each at a time."""
     rest = np.arange(len(size))
@@ -261,18 +279,39 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]], opened: list[tuple[np.nda
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "opened"])
 
 
+def met_before(x: np.ndarray, y: np.ndarray, own: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """Which pairs of rows also meet in a lesser list. own: the number of each row's list. homes: [row, HOMES], the least numbers of the lists that its node is in."""
+    met = np.zeros(len(x), dtype=bool)
+    for k in range(homes.shape[1]):
+        met |= (homes[y] == homes[x, k][:, None]).any(axis=1) & (homes[x, k] < own[x])
+    return met
+
+
 def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame:
-    """a, b, opened (stashed): pairs to verify (opened false), and the lists (a) and parts (b) whose pairs are not all answered by that."""
+    """a, b, opened (stashed): pairs to verify (opened false), and the lists (a) and parts (b) whose pairs are not all answered by that.
+
+    Near copies meet in most of their lists. A leader's pair whose rows name a common list of a lesser number is left to that
+    one, which gives all pairs, or this one, or is opened; so near copies give some rows a node, not one for each list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lists, parts, node, size, sig), starts, counts in _by_list(batches, 2):
-            at = np.repeat(np.arange(len(starts)), counts)
-            found = list(leader_pairs(at, size, sig, limit))
-            hit = np.bincount(at[np.concatenate([x for x, _ in found])], minlength=len(starts)) > 0
-            open_ = starts[((counts > 2) & hit) | (counts > LEADERS) | (parts[starts] > 0)]
-            yield _pairs([(node[x], node[y]) for x, y in found], [(lists[open_], parts[open_].astype(np.int64))])
-
-    rows = lists.select("list", "part", F.explode("nodes").alias("node")).join(payload, "node").select("list", "part", "node", "size", "sig")
+        for (lists, parts, node, size, own, *homes, sig), starts, counts in _by_list(batches, 3 + HOMES):
+            named = np.stack(homes, axis=1)
+            x, y, settled = all_pairs(starts, counts, size, sig, limit)
+            dense = np.flatnonzero(np.repeat(~settled, counts))
+            led = leader_pairs(np.repeat(np.arange(len(starts)), counts)[dense], size[dense], sig[dense], limit)
+            found = [(x, y)]
+            for i, j in ((dense[i], dense[j]) for i, j in led):
+                new = ~met_before(i, j, own, named)
+                found.append((i[new], j[new]))
+            # The parts of a long list say nothing of pairs across them.
+            open_ = starts[~settled | (parts[starts] > 0)]
+            yield _pairs([(node[i], node[j]) for i, j in found], [(lists[open_], parts[open_].astype(np.int64))])
+
+    rows = lists.select("list", "part", F.xxhash64("list", "part").alias("own"), F.explode("nodes").alias("node"))
+    named = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("own")), 1, HOMES).alias("homes"))
+    homes = [F.coalesce(F.get("homes", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"home_{k}") for k in range(HOMES)]
+    rows = rows.join(payload, "node").join(named, "node").select("list", "part", "node", "size", "own", *homes, "sig")
     return stash(rows.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").distinct())
 
 
