@@ -501,3 +501,34 @@ def test_mixing_against_sql(spark):
     expected = {r[0]: r[1:] for r in con.sql(queries.oracle_sql()["op7_mixing"]).fetchall()}
     got = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in queries.queries()["op7_mixing"](spark, sf).collect()}
     assert got == expected
+
+
+def test_pairs_across_come_from_one_list_each(spark):
+    """Lone nodes within the limit that share twelve lists, some of them long: each pair is written once, not once a list and pair of blocks, and no pair is lost."""
+    from wicker.llm import linking
+
+    count, block = 90, 20
+    bits = np.zeros((count, 64), dtype=np.uint8)
+    bits[np.arange(count), np.arange(count) % 60] = 1
+    members = {t: [k for k in range(count) if t < 4 or k % 3 == t % 3] for t in range(12)}
+    rows = spark.createDataFrame([(t, int(t < 4), k, 20, k) for t, ks in members.items() for k in ks], "list bigint, part int, node bigint, size bigint, group bigint")
+    payload = spark.createDataFrame([(k, 20, bytearray(np.packbits(x).tobytes())) for k, x in enumerate(bits)], "node bigint, size bigint, sig binary")
+    given = spark.sparkContext.accumulator(0)
+
+    def choose(*of):
+        for x, y in linking.cross_pairs(*of):
+            given.add(len(x))
+            yield x, y
+
+    found = linking.pairs_across(rows, payload, lambda n, m: np.full(len(n), 64), 0.9, block, choose)
+    assert {(r["a"], r["b"]) for r in found.collect()} == set(combinations(range(count), 2)) and given.value == count * (count - 1) // 2
+
+
+def test_lesser_lists_meet_where_rows_share_one():
+    from wicker.llm.linking import lesser_lists
+
+    rng = np.random.default_rng(4)
+    homes = np.sort(rng.integers(0, 400, size=(70, 9)), axis=1)
+    bits = lesser_lists(250, homes)
+    for i, j in combinations(range(70), 2):
+        assert bool((bits[i] & bits[j]).any()) == any(h < 250 for h in set(homes[i].tolist()) & set(homes[j].tolist()))

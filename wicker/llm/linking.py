@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from wicker.llm.common import discard, stash
 
-#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one; neighbours of a node in the second pass; pairs within the limit, for each node of a list, up to which the first pass takes all; lists that a node's row names.
-BLOCK, LEADERS, SHORT, NEAREST, FEW, HOMES = 500, 16, 16, 4, 2, 4
+#: Nodes per block of a long list; leaders of a list in the first pass; nodes up to which a list's pairs are tested one by one; neighbours of a node in the second pass; pairs within the limit, for each node of a list, up to which the first pass takes all; lists that a node's row names in the first pass, and in the others.
+BLOCK, LEADERS, SHORT, NEAREST, FEW, HOMES, OPEN_HOMES = 500, 16, 16, 4, 2, 4, 16
 #: Bits of the count of following tokens in an entry's place; a count that fills them stands for any larger one.
 REST_BITS = 16
 #: Largest difference of two parity maps that nodes of two sizes may have if they link, -1 where the sizes rule it out.
@@ -237,8 +237,31 @@ def leader_pairs(lists: np.ndarray, size: np.ndarray, sig: np.ndarray, limit: Li
         rest = rest[~ok & (rest != head)]
 
 
-def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within the limit whose groups differ.
+def lesser_lists(own: int, homes: np.ndarray) -> np.ndarray:
+    """Bits [row, words]: two rows of a list whose bits meet are also in one list of a lesser number than own. homes: [row, any], numbers of lists that the row's node is in."""
+    row, k = np.nonzero(homes < own)
+    _, at, uses = np.unique(homes[row, k], return_inverse=True, return_counts=True)
+    shared = uses[at] > 1
+    row, at = row[shared], (np.cumsum(uses > 1) - 1)[at[shared]]
+    bits = np.zeros((len(homes), (int((uses > 1).sum()) + 63) // 64), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
+#: Of a row and some others, those that it is to be compared with, before their maps are; and of those within the limit, the ones not left to a lesser list.
+Choice = tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, np.ndarray], np.ndarray]]
+EVERY: Choice = (lambda i, others: others, lambda i, others: others)
+
+
+def choice_of(side: np.ndarray, own: int, homes: np.ndarray) -> Choice:
+    """Each pair of nodes is given by one list: the least that both name, and of a long list's pairs of blocks the one that has their two blocks on two sides, or their one block alone."""
+    met = lesser_lists(own, homes)
+    new = (lambda i, others: others[~(met[others] & met[i]).any(axis=1)]) if met.shape[1] else EVERY[1]
+    return (lambda i, others: others[side[others] != side[i]]) if (side != side[0]).any() else EVERY[0], new
+
+
+def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit, choice: Choice = EVERY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the limit whose groups differ, of those in the choice.
 
     Maps obey the triangle inequality, so a node's distance to a group's first member, less the group's radius, bounds its
     distance to all members: from that one answer it follows for most nodes that the group holds nothing for them.
@@ -254,18 +277,17 @@ def cross_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Lim
             allowed = np.max([limit(size[others], np.full(len(others), n)) for n in np.unique(size[members])], axis=0)
             others = others[(far <= allowed) & (allowed >= 0)]
         for i in members.tolist():
-            ok = others[_differ(sig[others], sig[i]) <= limit(size[others], np.full(len(others), size[i]))]
+            own = choice[0](i, others)
+            ok = choice[1](i, own[_differ(sig[own], sig[i]) <= limit(size[own], np.full(len(own), size[i]))])
             yield np.full(len(ok), i), ok
 
 
-def nearest_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each node, the NEAREST nodes of other groups within the limit."""
+def nearest_pairs(size: np.ndarray, sig: np.ndarray, group: np.ndarray, limit: Limit, choice: Choice = EVERY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each node, the NEAREST nodes of other groups within the limit, of those in the choice; so over all lists its nearest are among them."""
     for i in range(len(size)):
-        others = np.flatnonzero(group != group[i])
-        differ = _differ(sig[others], sig[i])
-        ok = differ <= limit(size[others], np.full(len(others), size[i]))
-        others, differ = others[ok], differ[ok]
-        others = others[np.argsort(differ, kind="stable")[:NEAREST]]
+        others = choice[0](i, np.flatnonzero(group != group[i]))
+        others = choice[1](i, others[_differ(sig[others], sig[i]) <= limit(size[others], np.full(len(others), size[i]))])
+        others = others[np.argsort(_differ(sig[others], sig[i]), kind="stable")[:NEAREST]]
         yield np.full(len(others), i), others
 
 
@@ -287,6 +309,12 @@ def met_before(x: np.ndarray, y: np.ndarray, own: np.ndarray, homes: np.ndarray)
     return met
 
 
+def homes_of(rows: DataFrame, most: int) -> DataFrame:
+    """node, home_0 and so on: the least numbers (own) of its rows, as many as `most`; the largest long where there are fewer."""
+    named = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("own")), 1, most).alias("homes"))
+    return named.select("node", *[F.coalesce(F.get("homes", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"home_{k}") for k in range(most)])
+
+
 def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame:
     """a, b, opened (stashed): pairs to verify (opened false), and the lists (a) and parts (b) whose pairs are not all answered by that.
 
@@ -309,9 +337,8 @@ def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame
             yield _pairs([(node[i], node[j]) for i, j in found], [(lists[open_], parts[open_].astype(np.int64))])
 
     rows = lists.select("list", "part", F.xxhash64("list", "part").alias("own"), F.explode("nodes").alias("node"))
-    named = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("own")), 1, HOMES).alias("homes"))
-    homes = [F.coalesce(F.get("homes", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"home_{k}") for k in range(HOMES)]
-    rows = rows.join(payload, "node").join(named, "node").select("list", "part", "node", "size", "own", *homes, "sig")
+    named = homes_of(rows, HOMES)
+    rows = rows.join(payload, "node").join(named, "node").select("list", "part", "node", "size", "own", *named.columns[1:], "sig")
     return stash(rows.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").distinct())
 
 
@@ -325,7 +352,7 @@ def open_rows(lists: DataFrame, opened: DataFrame, groups: DataFrame, payload: D
 
 
 def cells_of(long: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
-    """list, part, node, group: pairs of blocks of the long lists, as lists of their own.
+    """list, part, node, group, own (number of the long list), side (the node's block): pairs of blocks of the long lists, as lists of their own.
 
     Blocks hold nodes of about one size, and of one group where the list holds over a block of that group. Two blocks of
     the same such group answer nothing new, nor do blocks of sizes out of reach; all other pairs of blocks are kept.
@@ -341,23 +368,32 @@ def cells_of(long: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
     same = F.coalesce(F.col("bulk") == F.col("o_bulk"), F.lit(False))
     cells = spans.join(other, "list").where((F.col("block") <= F.col("o_block")) & near & ~same)
     cells = cells.select("list", F.xxhash64("list", "block", "o_block").alias("cell"), F.explode(F.array_distinct(F.array("block", "o_block"))).alias("block"))
-    return keyed.join(cells, ["list", "block"]).select(F.col("cell").alias("list"), F.lit(1).alias("part"), "node", "group")
+    own = F.xxhash64("list", F.lit(1)).alias("own")
+    return keyed.join(cells, ["list", "block"]).select(F.col("cell").alias("list"), F.lit(1).alias("part"), "node", "group", own, F.col("block").alias("side"))
 
 
 def pairs_across(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float, block: int, choose: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """a, b (stashed): pairs to verify across the groups of the opened lists, those that nearest_pairs or cross_pairs choose. rows: as open_rows gives them."""
+    """a, b (stashed): pairs to verify across the groups of the opened lists, those that nearest_pairs or cross_pairs choose. rows: as open_rows gives them.
+
+    Nodes that may link meet in most of their lists; choice_of leaves each pair to one list, as far as rows name their lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, node, size, group, sig), starts, counts in _by_list(batches, 3):
+        for (_, _, node, size, group, own, side, *homes, sig), starts, counts in _by_list(batches, 5 + OPEN_HOMES):
+            named = np.stack(homes, axis=1)
             found = []
             for lo, n in zip(starts.tolist(), counts.tolist(), strict=True):
                 here = slice(lo, lo + n)
                 if n > 1 and (group[here] != group[lo]).any():
-                    found += [(node[lo + x], node[lo + y]) for x, y in choose(size[here], sig[here], group[here], limit) if len(x)]
+                    choice = choice_of(side[here], int(own[lo]), named[here])
+                    found += [(node[lo + x], node[lo + y]) for x, y in choose(size[here], sig[here], group[here], limit, choice) if len(x)]
             yield _pairs(found, [])
 
-    every = rows.where("part = 0").select("list", "part", "node", "group").unionByName(cells_of(rows.where("part > 0"), ratio, block))
-    full = every.join(payload, "node").select("list", "part", "node", "size", "group", "sig")
+    own = F.xxhash64("list", "part").alias("own")
+    short = rows.where("part = 0").select("list", "part", "node", "group", own, F.lit(0).cast("long").alias("side"))
+    named = homes_of(rows.select("node", own), OPEN_HOMES)
+    every = short.unionByName(cells_of(rows.where("part > 0"), ratio, block))
+    full = every.join(payload, "node").join(named, "node").select("list", "part", "node", "size", "group", "own", "side", *named.columns[1:], "sig")
     return stash(full.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").select("a", "b").distinct())
 
 
