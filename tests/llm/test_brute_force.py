@@ -532,3 +532,25 @@ def test_lesser_lists_meet_where_rows_share_one():
     bits = lesser_lists(250, homes)
     for i, j in combinations(range(70), 2):
         assert bool((bits[i] & bits[j]).any()) == any(h < 250 for h in set(homes[i].tolist()) & set(homes[j].tolist()))
+
+
+def test_block_of_trigrams_stays_small():
+    """A block's n-grams are numbered rightly in at most 96 bytes a word at once (114 before)."""
+    import tracemalloc
+
+    from wicker.llm.lm_scoring import Block
+
+    h, counts = np.random.default_rng(0).zipf(1.3, size=200_000).astype(np.uint64), np.full(200, 1000)
+    tracemalloc.start()
+    block = Block.of_hashes(h, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 * len(h)
+    of = np.array([-1, *block.words.tolist()], dtype=np.int64)
+    pair = block.pairs[block.pair_at]
+    triple = block.triples[block.triple_at]
+    for k in (0, 1, 2, 999, 1000, 1001, 5002, 199_999):
+        at = k % 1000
+        a, b, c = (int(h[k - d]) if at >= d else -1 for d in (2, 1, 0))
+        assert (of[triple[k] % block.n], of[pair[k] // block.n], of[pair[k] % block.n]) == (a, b, c) and block.pairs[triple[k] // block.n] == pair[k]
+    assert int(block.uses.sum()) == len(h)

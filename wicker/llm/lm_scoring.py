@@ -27,6 +27,8 @@ from wicker.llm.common import ascii_words, documents, hash_words, mix, slices, s
 ALPHA = 0.4
 #: Text bytes per block, and words that one partition of the count tables sums, about.
 BLOCK_BYTES, PARTITION_WORDS = 16 << 20, 5_000_000
+#: Text bytes of which the words are held one by one.
+SLICE_BYTES = 1 << 20
 #: Stands before each text's first word, twice.
 START = np.uint64(0x5EED0F57A27)
 
@@ -64,15 +66,32 @@ class Block:
         self.words, self.number, self.counts = words, number, counts
         self.hash_of, n = np.r_[START, words], np.int64(len(words) + 1)
         at = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
-        b, a = (np.where(at >= k, np.roll(number, k), 0) for k in (1, 2))
-        self.pairs, self.pair_at = np.unique(b * n + number, return_inverse=True)
-        self.triples, self.triple_at, self.uses = np.unique(self.pair_at * n + a, return_inverse=True, return_counts=True)
-        self.n, self.first = n, at == 0
+        self.n, self.first, early = n, at == 0, at < 2
+        del at
+
+        def before(k: int, none: np.ndarray) -> np.ndarray:
+            found = np.roll(number, k)
+            found[none] = 0
+            return found
+
+        # Columns of a block's words are made one at a time and numbers kept in four bytes: a worker's memory is theirs.
+        key = before(1, self.first)
+        key *= n
+        key += number
+        self.pairs, nth = np.unique(key, return_inverse=True)
+        self.pair_at = nth.astype(np.int32)
+        key = nth
+        key *= n
+        key += before(2, early)
+        del nth
+        self.triples, at, uses = np.unique(key, return_inverse=True, return_counts=True)
+        self.triple_at, self.uses = at.astype(np.int32), uses.astype(np.int32)
 
     @classmethod
     def of_hashes(cls, h: np.ndarray, counts: np.ndarray) -> Block:
-        words, at = np.unique(h, return_inverse=True)
-        return cls(words, at + 1, counts)
+        words, number = np.unique(h, return_inverse=True)
+        number += 1
+        return cls(words, number, counts)
 
     def parts(self, partitions: int) -> tuple[np.ndarray, np.ndarray]:
         """The partition of each trigram, by its last two words, and of each word."""
@@ -174,31 +193,35 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
         counts: list[np.ndarray] = []
         held = made = 0
 
-        def emit(id_type: pa.DataType) -> pa.RecordBatch:
-            block = Block.of_hashes(np.concatenate(hashes), np.concatenate(counts))
+        def emit(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            """A row a batch, so that no more than one request is held."""
+            together = np.concatenate(hashes)
+            hashes.clear()
+            block = Block.of_hashes(together, np.concatenate(counts))
+            del together
             name = (TaskContext.get().partitionId() << 32) + made
             triple_part, word_part = block.parts(partitions)
             totals = np.bincount(block.number, minlength=len(block.hash_of))[1:]
             by_triple, by_word = np.argsort(triple_part, kind="stable"), np.argsort(word_part, kind="stable")
             cut3, cut1 = (np.searchsorted(x[o], np.arange(partitions + 1)) for x, o in ((triple_part, by_triple), (word_part, by_word)))
-            asked = [block.request(by_triple[cut3[k] : cut3[k + 1]], by_word[cut1[k] : cut1[k + 1]], totals) for k in range(partitions)]
-            own = join([pack(block.words), pack(block.number.astype(np.uint32), rising=False), pack(block.counts, rising=False)])
-            n = partitions
-            return pa.RecordBatch.from_arrays([pa.array([*range(n), name % n], pa.int64()), pa.array([name] * (n + 1), pa.int64()), pa.array([0] * n + [1], pa.int32()), pa.array([*range(n), 0], pa.int32()), pa.array([*asked, own], pa.binary()), pa.array([None] * n + [ids], pa.list_(id_type))], names=names)
+            row = lambda dest, kind, part, data, ids: pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([name], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.array([ids], pa.list_(id_type))], names=names)
+            for k in range(partitions):
+                yield row(k, 0, k, block.request(by_triple[cut3[k] : cut3[k + 1]], by_word[cut1[k] : cut1[k + 1]], totals), None)
+            yield row(name % partitions, 1, 0, join([pack(block.words), pack(block.number.astype(np.uint32), rising=False), pack(block.counts, rising=False)]), ids)
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = texts_of(part)
-                words, n = ascii_words(texts)
+            for part in slices(batch, "text", SLICE_BYTES):
+                words, n = ascii_words(texts_of(part))
                 hashes.append(hash_words(words))
                 counts.append(n)
                 ids += part.column(0).to_pylist()
                 held += sum(map(len, words)) + len(words)
+                del words
                 if held > block_bytes:
-                    yield emit(part.schema.field(0).type)
+                    yield from emit(part.schema.field(0).type)
                     ids, hashes, counts, held, made = [], [], [], 0, made + 1
         if ids:
-            yield emit(part.schema.field(0).type)
+            yield from emit(part.schema.field(0).type)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, requests = None, [], []
