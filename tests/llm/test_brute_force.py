@@ -554,3 +554,36 @@ def test_block_of_trigrams_stays_small():
         a, b, c = (int(h[k - d]) if at >= d else -1 for d in (2, 1, 0))
         assert (of[triple[k] % block.n], of[pair[k] // block.n], of[pair[k] % block.n]) == (a, b, c) and block.pairs[triple[k] // block.n] == pair[k]
     assert int(block.uses.sum()) == len(h)
+
+
+def test_requests_under_any_code_book():
+    """Counts are the same under any code book, which makes requests a third smaller (0.71 MB here, 1.21 before); answering holds at most 64 bytes a trigram at once (35 here, 82 before)."""
+    import tracemalloc
+
+    from wicker.llm.common import mix
+    from wicker.llm.lm_scoring import NO_WORDS, Block, answer, read_counts, split
+
+    number = np.random.default_rng(1).zipf(1.3, size=400_000).astype(np.uint64) % np.uint64(50_000)
+    h, counts = mix(number), np.full(400, 1000)
+    book = np.r_[NO_WORDS, mix(np.arange(3, 20_000, dtype=np.uint64))]
+    found, sizes = [], []
+    for own in (NO_WORDS, book):
+        block = Block.of_hashes(h, counts, own)
+        back = Block.of_stored(block.stored(own), own)
+        assert (back.words == block.words).all() and (back.number == block.number).all() and (back.triples == block.triples).all()
+        part, every = block.parts(4)[0], np.arange(len(block.words))
+        uses = np.bincount(block.number, minlength=len(block.hash_of))[1:]
+        mine = [np.flatnonzero(part == k) for k in range(4)]
+        requests = [block.request(m, every[:0] if k else every, uses, own) for k, m in enumerate(mine)]
+        sizes.append(sum(map(len, requests)))
+        tracemalloc.start()
+        answers = answer(requests, own)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 * len(block.triples) + (1 << 20)
+        by_pair = np.bincount(block.triples // block.n, weights=block.uses)
+        for k, m in enumerate(mine):
+            third, second, words = (read_counts(x, n) for x, n in zip(split(answers[k]), (len(m), len(m), 0 if k else len(every)), strict=True))
+            assert (third == block.uses[m]).all() and (second == by_pair[block.triples[m] // block.n]).all() and (k or (words == uses).all())
+        found.append(dict(zip(block.words.tolist(), uses.tolist(), strict=True)))
+    assert found[0] == found[1] and sizes[1] < 0.8 * sizes[0]

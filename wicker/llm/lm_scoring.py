@@ -2,8 +2,9 @@
 
 Documents are dealt into blocks. A block sends its distinct trigrams with their counts to the partition of their last
 two words' hash (exploded n-grams, packed and counted before the shuffle); its distinct words go to the partition of
-their own hash. Each partition sums its part of the count tables over all blocks and answers every block in the order
-it asked. A block then joins the answers to its documents' n-grams and sums log scores per document. A bigram's count is
+their own hash. Frequent words go as places in a code book that all tasks hold, others as hashes; the book, from a
+sample, only makes messages small, and any book gives the same counts. Each partition sums its part of the count tables
+over all blocks, a range of hashes at a time, and answers every block in the order it asked. A block then joins the answers to its documents' n-grams and sums log scores per document. A bigram's count is
 the sum over the trigrams that end in it, as text starts are padded, so a trigram's partition holds its bigram too.
 
 Score of word c after a b, with counts f over all documents but the one that is scored (so that a text's own n-grams do
@@ -29,8 +30,12 @@ ALPHA = 0.4
 BLOCK_BYTES, PARTITION_WORDS = 16 << 20, 5_000_000
 #: Text bytes of which the words are held one by one.
 SLICE_BYTES = 1 << 20
+#: Words in the code book, documents that it is made from (about), bits of a hash that tell the ranges that are summed one after another.
+BOOK_WORDS, BOOK_DOCS, RANGE_BITS = 1 << 17, 20_000, 4
 #: Stands before each text's first word, twice.
 START = np.uint64(0x5EED0F57A27)
+#: A code book of no words: START, which has place 0 in all of them.
+NO_WORDS = np.array([START])
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -59,8 +64,30 @@ def bigram_hash(b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(mix(b) * np.uint64(0x9E3779B97F4A7C15) + c)
 
 
+def places(book: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word's hash in the code book; the book's length if it is not there."""
+    order = np.argsort(book)
+    found = order[np.minimum(np.searchsorted(book, words, sorter=order), len(book) - 1)]
+    return np.where(book[found] == words, found, len(book))
+
+
+def code_book(docs: DataFrame, share: float) -> np.ndarray:
+    """START and the most frequent words (hashes) of a share of the texts, falling. What it holds is of no account to any result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, uses = np.unique(hash_words(ascii_words(texts_of(part))[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(uses)], names=["word", "uses"])
+
+    some = docs.select("text").sample(share, 1) if share < 1 else docs.select("text")
+    found = some.mapInArrow(count, "word bigint, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses")).where("uses > 1").orderBy(F.desc("uses"), "word").limit(BOOK_WORDS).select("word").toArrow()
+    words = np.asarray(found.column(0).combine_chunks(), dtype=np.int64).astype(np.uint64)
+    return np.r_[START, words[words != START]]
+
+
 class Block:
-    """The n-grams of a run of texts: `words` (sorted hashes), `number` (of each word in turn, from 1; 0 is the text start), `counts` (words of each text)."""
+    """The n-grams of a run of texts: `words` (hashes, in an order of their own), `number` (of each word in turn, from 1; 0 is the text start), `counts` (words of each text)."""
 
     def __init__(self, words: np.ndarray, number: np.ndarray, counts: np.ndarray) -> None:
         self.words, self.number, self.counts = words, number, counts
@@ -88,10 +115,24 @@ class Block:
         self.triple_at, self.uses = at.astype(np.int32), uses.astype(np.int32)
 
     @classmethod
-    def of_hashes(cls, h: np.ndarray, counts: np.ndarray) -> Block:
+    def of_hashes(cls, h: np.ndarray, counts: np.ndarray, book: np.ndarray = NO_WORDS) -> Block:
+        """Words of the book come first, in its order, then others by hash: so places in the book rise with numbers."""
         words, number = np.unique(h, return_inverse=True)
-        number += 1
-        return cls(words, number, counts)
+        order = np.argsort(places(book, words), kind="stable")
+        new = np.empty(len(order), dtype=np.int64)
+        new[order] = np.arange(1, len(order) + 1)
+        return cls(words[order], new[number], counts)
+
+    def stored(self, book: np.ndarray) -> bytes:
+        at = places(book, self.words)
+        known = at < len(book)
+        return join([pack(at[known].astype(np.uint32)), pack(self.words[~known]), pack(self.number.astype(np.uint32), rising=False), pack(self.counts, rising=False)])
+
+    @classmethod
+    def of_stored(cls, data: bytes, book: np.ndarray) -> Block:
+        known, others, number, counts = split(data)
+        words = np.concatenate([book[unpack(known, "<u4")[0]], unpack(others, "<u8")[0]])
+        return cls(words, unpack(number, "<u4", rising=False)[0].astype(np.int64), unpack(counts, "<i8", rising=False)[0])
 
     def parts(self, partitions: int) -> tuple[np.ndarray, np.ndarray]:
         """The partition of each trigram, by its last two words, and of each word."""
@@ -99,13 +140,16 @@ class Block:
         pair = (bigram_hash(self.hash_of[self.pairs // self.n], self.hash_of[self.pairs % self.n]) % p).astype(np.int64)
         return pair[self.triples // self.n], (mix(self.words) % p).astype(np.int64)
 
-    def request(self, mine: np.ndarray, own: np.ndarray, totals: np.ndarray) -> bytes:
-        """Some trigrams as (bigram number, first word's number, uses) with the words they need, and some words with uses."""
+    def request(self, mine: np.ndarray, own: np.ndarray, totals: np.ndarray, book: np.ndarray = NO_WORDS, at: np.ndarray | None = None) -> bytes:
+        """Some trigrams as (bigram number, first word, uses), and some words with uses. A word is its place in the book (at: of hash_of) or, from there on, in the list of other words sent with it."""
+        at = places(book, self.hash_of) if at is None else at
         pairs, nth = np.unique(self.triples[mine] // self.n, return_inverse=True)
         a, b, c = self.triples[mine] % self.n, self.pairs[pairs] // self.n, self.pairs[pairs] % self.n
-        need = np.unique(np.concatenate([a, b, c]))
-        local = lambda x: np.searchsorted(need, x).astype(np.uint32)
-        return join([pack(self.hash_of[need]), pack(local(b), local(c)), pack(nth.astype(np.uint32), local(a), self.uses[mine].astype(np.uint32)), pack(self.words[own], totals[own].astype(np.uint32))])
+        own = own + 1
+        need = np.unique(np.concatenate([a, b, c, own]))
+        need = need[at[need] == len(book)]
+        local = lambda x: np.where(at[x] < len(book), at[x], len(book) + np.searchsorted(need, x)).astype(np.uint32)
+        return join([pack(self.hash_of[need]), pack(local(b), local(c)), pack(nth.astype(np.uint32), local(a), self.uses[mine].astype(np.uint32)), pack(local(own), totals[own - 1].astype(np.uint32))])
 
 
 def join(parts: list[bytes]) -> bytes:
@@ -121,12 +165,13 @@ def split(data: bytes) -> list[bytes]:
     return out
 
 
-def read_request(data: bytes) -> tuple[np.ndarray, ...]:
+def read_request(data: bytes, book: np.ndarray = NO_WORDS) -> tuple[np.ndarray, ...]:
     """Hash of each trigram's bigram, of itself, its uses; words, their uses."""
     parts = split(data)
-    (need,), (b, c), (nth, a, uses), (words, totals) = unpack(parts[0], "<u8"), unpack(parts[1], "<u4", "<u4"), unpack(parts[2], "<u4", "<u4", "<u4"), unpack(parts[3], "<u8", "<u4")
-    pair = bigram_hash(need[b], need[c])[nth]
-    return pair, mix(pair * np.uint64(0xD6E8FEB86659FD93) + need[a]), uses, words, totals
+    (need,), (b, c), (nth, a, uses), (words, totals) = unpack(parts[0], "<u8"), unpack(parts[1], "<u4", "<u4"), unpack(parts[2], "<u4", "<u4", "<u4"), unpack(parts[3], "<u4", "<u4")
+    all_words = np.concatenate([book, need])
+    pair = bigram_hash(all_words[b], all_words[c])[nth]
+    return pair, mix(pair * np.uint64(0xD6E8FEB86659FD93) + all_words[a]), uses, all_words[words], totals
 
 
 def read_counts(data: bytes, n: int) -> np.ndarray:
@@ -135,16 +180,27 @@ def read_counts(data: bytes, n: int) -> np.ndarray:
     return found if len(found) == n else unpack(data, "<u8", rising=False)[0]
 
 
-def answer(requests: list[bytes]) -> list[bytes]:
-    """Counts over all requests, in the order each one asked: trigrams, their bigrams, words."""
-    read = [read_request(r) for r in requests]
+def totals_of(keys: list[np.ndarray], uses: list[np.ndarray]) -> list[bytes]:
+    """Of each request's keys, in their order, the uses over all requests, packed. Sorts and sums a range of hashes at a time."""
+    found = [np.empty(len(k), dtype=np.uint64) for k in keys]
+    shift = np.uint64(64 - RANGE_BITS)
+    for low in range(1 << RANGE_BITS):
+        at = [np.flatnonzero(k >> shift == low) for k in keys]
+        _, nth = np.unique(np.concatenate([k[i] for k, i in zip(keys, at, strict=True)]), return_inverse=True)
+        sums = np.bincount(nth, weights=np.concatenate([u[i] for u, i in zip(uses, at, strict=True)])).astype(np.uint64)[nth]
+        for f, i, part in zip(found, at, np.split(sums, np.cumsum([len(i) for i in at])[:-1]), strict=True):
+            f[i] = part
+    return [pack(f.astype(np.uint32) if f.max(initial=0) < 2**32 else f, rising=False) for f in found]
 
-    def total(key: int, uses: int) -> list[np.ndarray]:
-        sizes = np.cumsum([len(r[key]) for r in read])[:-1]
-        _, at = np.unique(np.concatenate([r[key] for r in read]), return_inverse=True)
-        return np.split(np.bincount(at, weights=np.concatenate([r[uses] for r in read])).astype(np.uint64)[at], sizes)
 
-    return [join([pack(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x, rising=False) for x in answers]) for answers in zip(total(1, 2), total(0, 2), total(3, 4), strict=True)]
+def answer(requests: list[bytes], book: np.ndarray = NO_WORDS) -> list[bytes]:
+    """Counts over all requests, in the order each one asked: trigrams, their bigrams, words."""
+    pairs, triples, uses, words, totals = (list(x) for x in zip(*(read_request(r, book) for r in requests), strict=True))
+    third = totals_of(triples, uses)
+    del triples
+    second = totals_of(pairs, uses)
+    del pairs, uses
+    return [join(list(x)) for x in zip(third, second, totals_of(words, totals), strict=True)]
 
 
 def partial_scores(block: Block, answers: dict[int, bytes], partitions: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,32 +238,35 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     partitions = int(size // 6 // partition_words) + 1
     schema = f"dest bigint, block bigint, kind int, part int, data binary, ids array<{kind}>"
     names = ["dest", "block", "kind", "part", "data", "ids"]
+    held_book = docs.sparkSession.sparkContext.broadcast(code_book(rows, BOOK_DOCS / max(n_rows, 1)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         held = made = 0
+        book = held_book.value
 
         def emit(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             """A row a batch, so that no more than one request is held."""
             together = np.concatenate(hashes)
             hashes.clear()
-            block = Block.of_hashes(together, np.concatenate(counts))
+            block = Block.of_hashes(together, np.concatenate(counts), book)
             del together
             name = (TaskContext.get().partitionId() << 32) + made
             triple_part, word_part = block.parts(partitions)
+            at = places(book, block.hash_of)
             totals = np.bincount(block.number, minlength=len(block.hash_of))[1:]
             by_triple, by_word = np.argsort(triple_part, kind="stable"), np.argsort(word_part, kind="stable")
             cut3, cut1 = (np.searchsorted(x[o], np.arange(partitions + 1)) for x, o in ((triple_part, by_triple), (word_part, by_word)))
             row = lambda dest, kind, part, data, ids: pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([name], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.array([ids], pa.list_(id_type))], names=names)
             for k in range(partitions):
-                yield row(k, 0, k, block.request(by_triple[cut3[k] : cut3[k + 1]], by_word[cut1[k] : cut1[k + 1]], totals), None)
-            yield row(name % partitions, 1, 0, join([pack(block.words), pack(block.number.astype(np.uint32), rising=False), pack(block.counts, rising=False)]), ids)
+                yield row(k, 0, k, block.request(by_triple[cut3[k] : cut3[k + 1]], by_word[cut1[k] : cut1[k + 1]], totals, book, at), None)
+            yield row(name % partitions, 1, 0, block.stored(book), ids)
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -228,7 +287,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
 
         def emit(like: pa.Schema) -> pa.RecordBatch:
             n = len(blocks)
-            columns = [[0] * n, blocks, [0] * n, [now] * n, answer(requests), [None] * n]
+            columns = [[0] * n, blocks, [0] * n, [now] * n, answer(requests, held_book.value), [None] * n]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, like, strict=True)], schema=like)
 
         for batch in batches:
@@ -253,8 +312,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
                 if batch.column(2)[k].as_py() == 0:
                     answers[batch.column(3)[k].as_py()] = batch.column(4)[k].as_py()
                     continue
-                words, number, counts = split(batch.column(4)[k].as_py())
-                block = Block(unpack(words, "<u8")[0], unpack(number, "<u4", rising=False)[0].astype(np.int64), unpack(counts, "<i8", rising=False)[0])
+                block = Block.of_stored(batch.column(4)[k].as_py(), held_book.value)
                 total, texts, singles = partial_scores(block, answers, partitions, alpha)
                 answers = {}
                 yield pa.RecordBatch.from_arrays([batch.column(5)[k].values, pa.array(block.counts), pa.array(total), pa.array(texts), pa.array(singles)], names=["doc_id", "n_words", "total", "by_texts", "by_words"])
