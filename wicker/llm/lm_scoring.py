@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,17 +290,17 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, like, strict=True)], schema=like)
 
         for batch in batches:
-            docs_here = batch.filter(pc.equal(batch.column(2), 1))
-            if docs_here.num_rows:
-                yield docs_here
-            asked = batch.filter(pc.equal(batch.column(2), 0))
-            for block, part, data in zip(*(asked.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
+            # A batch may hold all of a task's rows, so only the requests of one partition are copied out of it.
+            for k, (block, kind, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                if kind == 1:
+                    yield batch.slice(k, 1)
+                    continue
                 if part != now and requests:
                     yield emit(batch.schema)
                     blocks, requests = [], []
                 now = part
                 blocks.append(block)
-                requests.append(data)
+                requests.append(batch.column(4)[k].as_py())
         if requests:
             yield emit(batch.schema)
 
