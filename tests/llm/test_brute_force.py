@@ -587,3 +587,45 @@ def test_requests_under_any_code_book():
             assert (third == block.uses[m]).all() and (second == by_pair[block.triples[m] // block.n]).all() and (k or (words == uses).all())
         found.append(dict(zip(block.words.tolist(), uses.tolist(), strict=True)))
     assert found[0] == found[1] and sizes[1] < 0.8 * sizes[0]
+
+
+def test_later_links_join_groups(spark):
+    """Groups after more links are those of all links together, and what changed is named for every node and component that a link touches."""
+    from wicker.llm import linking
+
+    draw = np.random.default_rng(3)
+    edges = [[(int(a), int(b)) for a, b in draw.integers(0, 400, (n, 2)) if a != b] for n in (150, 40)]
+    tables = [spark.createDataFrame(e + e[:5], "a bigint, b bigint") for e in edges]
+    plain = {}
+    for a, b in edges[0] + edges[1]:
+        low, high = sorted((plain.get(a, a), plain.get(b, b)))
+        plain.update({x: low for x in (a, b, *[x for x, c in plain.items() if c in (low, high)])})
+    after, changes = linking.joined_groups(linking.stash(linking.components(tables[0])), tables[1])
+    assert {r["node"]: r["component"] for r in after.collect()} == plain and after.count() == len(plain)
+    named = {r["node"]: r["component"] for r in changes.collect()}
+    assert all(plain[x] == c for x, c in named.items()) and {x for e in edges[1] for x in e} <= set(named)
+
+
+def test_few_jobs_for_marks(spark):
+    """A small bit map of ids takes a few jobs, not one for each partition; a path of 65 nodes is one group."""
+    from wicker.llm import common, linking
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        (held, _), n = jobs("marks", lambda: common.id_marks(spark.range(0, 5000, 1, 4)))
+        assert n < 12 and int(np.bitwise_count(held.value).sum()) > 4500
+        found = linking.components(spark.createDataFrame([(k, k + 1) for k in range(64)], "a bigint, b bigint"))
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(k, 0) for k in range(65)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -126,9 +126,11 @@ def id_marks(wanted: DataFrame) -> tuple[Broadcast, Callable[[Column], Column]]:
                 np.bitwise_or.at(chunks.setdefault(c, np.zeros(1 << 11, dtype=np.uint32)), here >> 5, np.uint32(1) << (here & 31).astype(np.uint32))
         yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], names=["chunk", "bits"])
 
-    marks = wanted.select(F.shiftright(place(F.col("id")), 16).alias("chunk"), place(F.col("id")).alias("p")).distinct()
+    marks = wanted.select(F.shiftright(place(F.col("id")), 16).alias("chunk"), place(F.col("id")).alias("p"))
     table = np.zeros((bits >> 16, 1 << 11), dtype=np.uint32)
-    for row in marks.repartition("chunk").mapInArrow(fill, "chunk bigint, bits binary").toLocalIterator():
+    filled = marks.repartition("chunk").mapInArrow(fill, "chunk bigint, bits binary")
+    # A small map comes in one job; of a large one the driver takes a partition at a time.
+    for row in filled.collect() if bits <= 1 << 26 else filled.toLocalIterator():
         table[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint32)
     return wanted.sparkSession.sparkContext.broadcast(table.ravel()), place
 

@@ -37,28 +37,38 @@ def place_of(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return (size.astype(np.int64) << REST_BITS) | np.minimum(rest, (1 << REST_BITS) - 1).astype(np.int64)
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node has one lesser neighbour, and no node both a lesser and a greater one."""
-    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").count() == 0
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) for the nodes of edges (a, b), by alternating large and small stars.
 
-    Every round is written to the shared folder, and the one before is deleted; the driver only sees whether stars are left.
+    Every round is written to the shared folder, with what it changed, and the one before is deleted; the driver only sees
+    whether anything changed. A round shuffles twice: edges that meet again are told apart in the next round's shuffle.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").withColumn("changed", F.lit(True)))
     least = F.min("b").over(Window.partitionBy("a"))
-    while not _are_stars(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("m", F.least("a", least))
-        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).withColumn("m", least)
-        small = large.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        before, now = now, stash(small.where("a <> b").distinct())
+    while not now.where("changed").isEmpty():
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.repartition("a").distinct().withColumn("m", F.least("a", least))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("a")).alias("moved")).withColumn("m", least)
+        small = large.select((F.col("moved") | (F.col("b") != F.col("m"))).alias("changed"), "m", F.explode(F.array("a", "b")).alias("a"))
+        before, now = now, stash(small.where("a <> m").select("a", F.col("m").alias("b"), "changed"))
         discard(before)
+    # A round that changes nothing gives every edge once.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def joined_groups(groups: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (node, component) after the links found (a, b), and what follows for single nodes and for components that some link touches: node, component. Both stashed; only what the links touch is gone through again."""
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    touched = stash(groups.join(ends, "node", "left_semi"))
+    changes = stash(components(found.select("a", "b").unionByName(touched.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    named = touched.select("node").unionByName(touched.select(F.col("component").alias("node")))
+    single = changes.join(named, "node", "left_anti")
+    renamed = groups.join(changes.select(F.col("node").alias("component"), F.col("component").alias("after")), "component", "left")
+    after = stash(renamed.select("node", F.coalesce("after", "component").alias("component")).unionByName(single.select("node", "component")))
+    discard(touched)
+    return after, changes
+
+
 def _columns(batch: pa.RecordBatch, *numbers: int) -> list[np.ndarray]:
     return [np.asarray(batch.column(k)) for k in numbers]
 
@@ -342,13 +352,24 @@ def first_pairs(lists: DataFrame, payload: DataFrame, limit: Limit) -> DataFrame
     return stash(rows.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").distinct())
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one group."""
+    mixed = rows.groupBy("list", "part").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return rows.join(mixed.select("list", "part"), ["list", "part"], "left_semi")
+
+
 def open_rows(lists: DataFrame, opened: DataFrame, groups: DataFrame, payload: DataFrame) -> DataFrame:
     """list, part, node, size, group (stashed) of the opened lists that hold more than one group. All parts of a long list count as one list."""
     picked = lists.join(opened.select(F.col("a").alias("list"), F.col("b").cast("int").alias("part")), ["list", "part"], "left_semi")
     rows = picked.select("list", F.least("part", F.lit(1)).alias("part"), F.explode("nodes").alias("node")).distinct()
     rows = rows.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = rows.groupBy("list", "part").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    return stash(rows.join(mixed.select("list", "part"), ["list", "part"], "left_semi").join(payload.select("node", "size"), "node"))
+    return stash(_mixed(rows).join(payload.select("node", "size"), "node"))
+
+
+def regrouped(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows (stashed) of open_rows that are left under the changes of joined_groups."""
+    rows = rows.join(changes.select(F.col("node").alias("group"), F.col("component").alias("after")), "group", "left")
+    return stash(_mixed(rows.withColumn("group", F.coalesce("after", "group")).select("list", "part", "node", "size", "group")))
 
 
 def cells_of(long: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
@@ -392,7 +413,8 @@ def pairs_across(rows: DataFrame, payload: DataFrame, limit: Limit, ratio: float
     own = F.xxhash64("list", "part").alias("own")
     short = rows.where("part = 0").select("list", "part", "node", "group", own, F.lit(0).cast("long").alias("side"))
     named = homes_of(rows.select("node", own), OPEN_HOMES)
-    every = short.unionByName(cells_of(rows.where("part > 0"), ratio, block))
+    long = rows.where("part > 0")
+    every = short if long.isEmpty() else short.unionByName(cells_of(long, ratio, block))
     full = every.join(payload, "node").join(named, "node").select("list", "part", "node", "size", "group", "own", "side", *named.columns[1:], "sig")
     return stash(full.repartition("list", "part").sortWithinPartitions("list", "part", "size", "node").mapInArrow(run, "a bigint, b bigint, opened boolean").select("a", "b").distinct())
 
@@ -406,14 +428,23 @@ def find_groups(entries: DataFrame, payload: DataFrame, limit: Limit, need: Need
     lists = index_lists(entries, need, ratio, block)
     firsts = first_pairs(lists, payload, limit)
     links = verify(firsts.where("NOT opened").select("a", "b"))
-    tried = None
-    for choose in (nearest_pairs, cross_pairs):
-        rows = open_rows(lists, firsts.where("opened"), components(links), payload)
-        more = pairs_across(rows, payload, limit, ratio, block, choose)
-        found = verify(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
-        before, links = links, stash(links.unionByName(found))
-        discard(rows, before, found, *([] if tried is None else [tried]))
-        tried = more
-    groups = components(links)
-    discard(lists, firsts, tried, links)
+    groups = stash(components(links))
+    discard(links)
+    opened = firsts.where("opened")
+    if not opened.isEmpty():
+        rows, tried = open_rows(lists, opened, groups, payload), None
+        for choose in (nearest_pairs, cross_pairs):
+            more = pairs_across(rows, payload, limit, ratio, block, choose)
+            found = verify(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+            if not found.isEmpty():
+                before, (groups, changes) = groups, joined_groups(groups, found)
+                discard(before)
+                if choose is nearest_pairs:
+                    before, rows = rows, regrouped(rows, changes)
+                    discard(before)
+                discard(changes)
+            discard(found, *([] if tried is None else [tried]))
+            tried = more
+        discard(rows, tried)
+    discard(lists, firsts)
     return groups
