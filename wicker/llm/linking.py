@@ -173,7 +173,13 @@ def index_lists(entries: DataFrame, need: Need, ratio: float, block: int = BLOCK
                     begins = int(np.searchsorted(rows[0], rows[0][0], side="right"))
                     yield blocks(int(rows[0][0]), long([x[:begins] for x in rows]), parts)
                     parts = 0
-                yield from done([x[begins:last] for x in rows])
+                # Two long lists may follow each other, with no other between.
+                if last > begins:
+                    yield from done([x[begins:last] for x in rows])
+            if len(held[0]) > 8 * block:
+                # Entries that a node gave from several slices are no longer list.
+                own = np.unique(np.stack(held[1:]), axis=1)
+                held = [held[0][: own.shape[1]], *own]
             if len(held[0]) > 8 * block:
                 found = blocks(int(held[0][0]), long(held), parts)
                 parts += found.num_rows
