@@ -45,6 +45,13 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(spark, sf_dir, "parsed", lambda: parse.parse(tables.documents(spark, sf_dir)))
 
 
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What parse.outline keeps of the documents, from the parsed ones where these are written already."""
+    if (spark.sparkContext.applicationId, sf_dir, "parsed") in _HELD:
+        return _parsed(spark, sf_dir)
+    return _held(spark, sf_dir, "outline", lambda: parse.outline(tables.documents(spark, sf_dir)))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _parsed(spark, sf_dir)
     return _held(spark, sf_dir, "links", lambda: graph.all_links(parsed))
@@ -395,7 +402,7 @@ def budget_cutoff(spark, sf_dir):
 
 @register("vocabulary_growth", "SELECT id || '.md' AS path, sum(CASE WHEN type <> '' AND first THEN 1 ELSE 0 END) OVER (ORDER BY id || '.md')::BIGINT AS types FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id || '.md') = 1 AS first FROM c)")
 def vocabulary_growth(spark, sf_dir):
-    return reports.vocabulary_growth(_parsed(spark, sf_dir)).select("path", F.col("types").cast("long").alias("types"))
+    return reports.type_growth(_outline(spark, sf_dir)).select("path", F.col("types").cast("long").alias("types"))
 
 
 @register("bundle_verdict", "SELECT count(*) AS findings, max(CASE category WHEN 'conformance' THEN 1 ELSE 0 END) AS exit_code FROM (SELECT DISTINCT code, category, id, subject FROM f)")

@@ -81,6 +81,11 @@ def nodes(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
+def names(parsed: DataFrame) -> DataFrame:
+    """bundle_id, id, title of the rows of nodes(), for which links are not needed."""
+    return concepts(parsed).select("bundle_id", "id", F.when(F.col("failure").isNull(), F.col("title")).alias("title"))
+
+
 def statistics(node_rows: DataFrame, edge_rows: DataFrame, broken: DataFrame) -> DataFrame:
     """bundle_id, concept_count, edge_count, orphan_count, broken_link_count."""
     per_edge = edge_rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("edge_count"))

@@ -90,6 +90,14 @@ def parse(docs: DataFrame) -> DataFrame:
     return rows.withColumn("trust_tier", tier)
 
 
+def outline(docs: DataFrame) -> DataFrame:
+    """bundle_id, uri, path, id, reserved, failure, type, title as parse gives them. Every document is read whole, but no more than this is kept of it."""
+    rows = decode(docs).withColumns({"id": paths.concept_id(F.col("path")), "reserved": paths.reserved_kind(F.col("path"))})
+    named = ["bundle_id", "uri", "path", "id", "reserved", "failure"]
+    rows = with_structure(rows.select(*named, "source"), made=("fields", "fault"), carried=named)
+    return rows.select(*named[:-1], F.coalesce("failure", "fault").alias("failure"), text_field("type").alias("type"), text_field("title").alias("title"))
+
+
 def event_ok(event: Column) -> Column:
     """A verification counts with a sound actor and a date-time with an explicit zone."""
     return F.coalesce(actor_ok(event["by"]) & explicit_zone_epoch(event["at"]).isNotNull(), F.lit(False))

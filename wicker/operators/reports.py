@@ -79,6 +79,12 @@ def budgets(nodes: DataFrame, edges: DataFrame, broken: DataFrame) -> DataFrame:
     return joined.select("bundle_id", "nodes", none("edges"), none("broken"), "types", none("tags"), "tag_uses", (F.col("node_bytes") + F.coalesce("edge_bytes", F.lit(0))).alias("json_bytes"))
 
 
+def type_growth(parsed: DataFrame) -> DataFrame:
+    """bundle_id, path, types: the different types up to and with each concept, in order of path."""
+    rows = concepts(parsed).where("failure IS NULL").select("bundle_id", "path", F.nullif("type", F.lit("")).alias("type"))
+    return running_distinct(rows, ["bundle_id"], utf16_key(F.col("path")), "type", "types").select("bundle_id", "path", "types")
+
+
 def vocabulary_growth(parsed: DataFrame) -> DataFrame:
     """bundle_id, path, types, bytes: the different types and the bytes of text up to and with each concept, in order of path."""
     rows = concepts(parsed).where("failure IS NULL").select("bundle_id", "path", F.nullif("type", F.lit("")).alias("type"), F.octet_length("source").cast("long").alias("size"))
