@@ -1,11 +1,15 @@
 """Runs are cut finer only where they are too large; what queries keep of documents that they read for a few fields."""
 
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from wicker import catalog
 from wicker.functions.text import utf16_key
-from wicker.operators import parse, structure
+from wicker.operators import parse, query, structure
 from wicker.operators.running import key_cuts, running
-from wicker.sources import tables
+from wicker.sources import store, tables
 
 
 def test_only_large_runs_are_cut_finer(spark):
@@ -32,3 +36,28 @@ def test_structure_gives_the_columns_named(spark):
     docs = spark.createDataFrame([("a", "---\ntype: t\n---\n\n# H\n\n[x](./y.md)\n", None), ("b", None, None)], "uri string, source string, reserved string")
     whole, some = structure.with_structure(docs), structure.with_structure(docs, made=("marks", "fault"), carried=("uri",))
     assert some.columns == ["uri", "marks", "fault"] and some.collect() == whole.select(*some.columns).collect()
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What a table was made from is removed with its query; the session's setting stays as it was."""
+    before = spark.conf.get(store.DROP_SHUFFLES, None)
+    local = Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    there = files()
+    df, path = store.written(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there and df.count() == 1000 and spark.conf.get(store.DROP_SHUFFLES, None) == before
+    store.delete(spark, path)
+
+
+def test_folder_children_needs_no_links(spark, sf_dir):
+    """Names of the outline are those of the nodes, and neither links nor nodes are made for them."""
+    catalog.release()
+    found = catalog.queries()["folder_children"](spark, sf_dir)
+    assert {name for _, _, name in catalog._HELD} == {"outline"}
+    want = query.children(catalog._nodes(spark, sf_dir)).drop("bundle_id")
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    catalog.release()

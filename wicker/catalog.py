@@ -522,7 +522,7 @@ def finding_places(spark, sf_dir):
 
 @register("folder_children", f", {_FOLDERS} SELECT regexp_replace(folder, '/?[^/]+$', '') AS folder, 0 AS kind, regexp_extract(folder, '[^/]*$') AS label, folder AS path FROM (SELECT DISTINCT folder FROM up WHERE folder <> '') UNION ALL SELECT regexp_replace(id, '/?[^/]*$', ''), 1, coalesce(title, id), id FROM c")
 def folder_children(spark, sf_dir):
-    return query.children(_nodes(spark, sf_dir)).drop("bundle_id")
+    return query.children(graph.names(_outline(spark, sf_dir))).drop("bundle_id")
 
 
 @register("link_occurrences", "SELECT source, nth, target, coalesce(c.title, target) AS title, row_number() OVER (PARTITION BY source, target ORDER BY nth) - 1 AS again FROM e JOIN c ON c.id = target")
