@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wicker import catalog
 from wicker.functions.text import utf16_key
-from wicker.operators import parse, query, structure
+from wicker.operators import parse, query, rules, structure
 from wicker.operators.running import key_cuts, running
+from wicker.plans import migration
 from wicker.sources import store, tables
 
 
@@ -61,3 +62,21 @@ def test_folder_children_needs_no_links(spark, sf_dir):
     want = query.children(catalog._nodes(spark, sf_dir)).drop("bundle_id")
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
     catalog.release()
+
+
+def test_bundle_summary_writes_no_findings(spark, sf_dir):
+    """Counts come from the rules at once, and are those of the written findings."""
+    catalog.release()
+    found = catalog.queries()["bundle_summary"](spark, sf_dir)
+    assert {name for _, _, name in catalog._HELD} == {"parsed", "links"}
+    want = rules.summary(catalog._findings(spark, sf_dir)).drop("bundle_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    catalog.release()
+
+
+def test_migration_keeps_what_it_reads(spark, sf_dir):
+    catalog.release()
+    catalog.queries()["migration_actions"](spark, sf_dir)
+    [(held, _)] = catalog._HELD.values()
+    assert held.columns == list(migration.READ)
+    catalog.release()
